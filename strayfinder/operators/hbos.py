@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.functions.scalar import bin_index, summary, widen
+from strayfinder.functions.scalar import bin_index, summaries, widen
 from strayfinder.session import sized
 from strayfinder.sources.datasets import cells
 
@@ -107,5 +107,4 @@ def hbos_landmarks(hist: DataFrame, n_bins: int = HBOS_BINS) -> DataFrame:
             F.when(F.count(d) < n_bins, 0.0).otherwise(F.min(d)).alias("HBOS_min"),
         )
     )
-    blocks = ("HBOS_mean", "HBOS_max", "HBOS_min")
-    return per_feature.groupBy("dataset_id").agg(*[a for b in blocks for a in summary(b, b)])
+    return summaries(per_feature, ("HBOS_mean", "HBOS_max", "HBOS_min"))

@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strayfinder.functions.scalar import summary
+from strayfinder.functions.scalar import summaries
 from strayfinder.operators.pairs import matrix
-from strayfinder.session import sized, with_parameters
+from strayfinder.session import sized, spread, with_parameters
 
 SUBSAMPLE = 256
 IFOREST_TREES = 100
@@ -52,7 +52,7 @@ def tree_samples(
     ).withColumn("_u", uniform_hash(F.lit(seed), "tree", "row_id"))
     w = Window.partitionBy("dataset_id", "tree").orderBy("_u", "row_id")
     return (
-        offered.where(F.col("_u") < second_rate)
+        spread(offered.where(F.col("_u") < second_rate), "dataset_id", "tree")
         .withColumn("_r", F.row_number().over(w))
         .where(F.col("_r") <= SUBSAMPLE)
         .select("dataset_id", "tree", "row_id", "features")
@@ -219,6 +219,4 @@ IFOREST_BLOCKS = ("IForest_n_leaves", "IForest_n_depth", "IForest_fi_mean", "IFo
 
 
 def iforest_landmarks(model: DataFrame) -> DataFrame:
-    return tree_shapes(model).groupBy("dataset_id").agg(
-        *[a for b in IFOREST_BLOCKS for a in summary(b, b)]
-    )
+    return summaries(tree_shapes(model), IFOREST_BLOCKS)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.functions.scalar import summary
+from strayfinder.functions.scalar import summaries
 from strayfinder.operators.pairs import matrix
 from strayfinder.session import SMALL_ROWS, with_parameters
 
@@ -170,11 +170,5 @@ def loda_landmarks(model: DataFrame) -> DataFrame:
     per_cut = entries.groupBy("dataset_id", "cut").agg(
         F.avg("prob").alias("LODA_n_cuts_mean"), F.max("prob").alias("LODA_n_cuts_max")
     )
-    parts = [
-        table.groupBy("dataset_id").agg(*[a for b in blocks for a in summary(b, b)])
-        for table, blocks in (
-            (per_bin, ("LODA_n_hists_mean", "LODA_n_hists_max")),
-            (per_cut, ("LODA_n_cuts_mean", "LODA_n_cuts_max")),
-        )
-    ]
-    return parts[0].join(parts[1], "dataset_id")
+    bins = summaries(per_bin, ("LODA_n_hists_mean", "LODA_n_hists_max"))
+    return bins.unionByName(summaries(per_cut, ("LODA_n_cuts_mean", "LODA_n_cuts_max")))

@@ -13,7 +13,7 @@ from pyspark.storagelevel import StorageLevel
 
 from strayfinder.operators.iforest import uniform_hash
 from strayfinder.operators.pairs import matrix
-from strayfinder.session import SMALL_ROWS, durable, sized, with_parameters
+from strayfinder.session import SMALL_ROWS, durable, sized, spread, with_parameters
 
 # Rows of a cell compared in one Python call, and the target size of a cell.
 CELL_ROWS = 4096
@@ -134,7 +134,7 @@ def knn_edges(
     counts = sized(distinct.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n")))
     biggest = counts.agg(F.max("_n")).first()[0] or 0
     if biggest <= cell_rows:
-        found = distinct.groupBy("dataset_id").applyInPandas(
+        found = spread(distinct, "dataset_id").groupBy("dataset_id").applyInPandas(
             lambda group: _search(k, metric)(group, group), _PART_SCHEMA
         )
     else:
@@ -302,7 +302,8 @@ def _grouped_search(
     )
     group = [*keys, "_q", "_c"]
     # both sides come from the same table; renaming in place gives them separate columns
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    left = spread(left.toDF(*left.columns), *group)
+    right = spread(right.toDF(*right.columns), *group)
     return (
         left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
             _search(k, metric), _PART_SCHEMA

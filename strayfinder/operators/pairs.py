@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.functions.scalar import summary
+from strayfinder.functions.scalar import summaries
 from strayfinder.functions.special import anova_f, anova_p
 from strayfinder.session import with_parameters
 
@@ -86,7 +86,7 @@ def _renamed(tag: str) -> list:
 
 
 def pair_summaries(stats: DataFrame, blocks: tuple[str, ...] = PAIR_BLOCKS) -> DataFrame:
-    return stats.groupBy("dataset_id").agg(*[a for b in blocks for a in summary(b, b)])
+    return summaries(stats, blocks)
 
 
 def flatten_diagonally(entries: DataFrame, size: str = "n", diagonals=None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.functions.scalar import flag, is_flat, normality_p, summary
+from strayfinder.functions.scalar import flag, is_flat, normality_p, shape_input, summaries
 from strayfinder.operators.pooled import value_counts
 from strayfinder.session import sized
 from strayfinder.sources.datasets import cells
@@ -35,8 +35,8 @@ def feature_base(sample_df: DataFrame) -> DataFrame:
             F.stddev_pop(v).alias("std"),
             F.min(v).alias("lo"),
             F.max(v).alias("hi"),
-            F.when(~flat, F.skewness(v)).alias("skewness"),
-            F.when(~flat, F.kurtosis(v)).alias("kurtosis"),
+            F.when(~flat, F.skewness(shape_input(v))).alias("skewness"),
+            F.when(~flat, F.kurtosis(shape_input(v))).alias("kurtosis"),
         )
     )
 
@@ -91,4 +91,4 @@ def feature_stats(
 
 def feature_summaries(stats: DataFrame, blocks: tuple[str, ...] = FEATURE_BLOCKS) -> DataFrame:
     """Six-number summaries across the features of each dataset."""
-    return stats.groupBy("dataset_id").agg(*[a for b in blocks for a in summary(b, b)])
+    return summaries(stats, blocks)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from strayfinder.functions.scalar import summaries
 from strayfinder.operators.pairs import feature_arrays, matrix
 from strayfinder.session import with_parameters
 
@@ -112,7 +113,7 @@ def _components(rows: pd.DataFrame, side: pd.DataFrame, scaled: bool):
 
 
 def first_row_scores(sample_df: DataFrame, eigenpairs: DataFrame) -> DataFrame:
-    """Spread of the first row's three component scores; the first row has the least ``row_id``.
+    """Long summary: spread of the first row's three component scores; the first row has the least ``row_id``.
 
     Signs are fixed so that the score of largest magnitude in each component is positive, which
     takes the extremes of every component: each batch sends one row per component.
@@ -143,14 +144,11 @@ def first_row_scores(sample_df: DataFrame, eigenpairs: DataFrame) -> DataFrame:
     signed = parts.groupBy("dataset_id", "component").agg(
         F.when(-F.min("low") > F.max("high"), -score).otherwise(score).alias("score")
     )
-    from strayfinder.functions.scalar import summary
-
-    enough = F.count(F.lit(1)) >= COMPONENTS
-    parts = summary("score", "first_pca", ("std", "skewness", "kurtosis"))
-    out = signed.groupBy("dataset_id").agg(enough.alias("_ok"), *parts)
-    return out.select(
-        "dataset_id", *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in FIRST_ROW_NAMES]
-    )
+    # fewer than three components leave the block undefined
+    full = Window.partitionBy("dataset_id")
+    enough = F.count(F.lit(1)).over(full) >= COMPONENTS
+    named = signed.withColumn("first_pca", F.when(enough, F.col("score")))
+    return summaries(named, ["first_pca"], ("std", "skewness", "kurtosis"))
 
 
 def pca_landmarks(eigenpairs: DataFrame) -> DataFrame:

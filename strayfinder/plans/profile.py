@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.functions.scalar import SUMMARY_PARTS
+from strayfinder.functions.scalar import SUMMARY_PARTS, clean
 from strayfinder.operators import hbos, iforest, loda, pairs, per_feature, pooled, spectral
 from strayfinder.session import sized
 from strayfinder.sources.datasets import validate
@@ -31,33 +31,34 @@ META_WIDTH = 200
 
 
 def to_long(wide: DataFrame) -> DataFrame:
-    """(dataset_id, idx, name, value) of the meta-feature columns a wide table has."""
-    present = set(wide.columns)
+    """(dataset_id, name, value) of the meta-feature columns a wide table has."""
     entries = [
-        F.struct(
-            F.lit(i).alias("idx"),
-            F.lit(name).alias("name"),
-            F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")).alias("value"),
-        )
-        for i, name in enumerate(META_NAMES)
-        if name in present
+        F.struct(F.lit(name).alias("name"), clean(F.col(name).cast("double")).alias("value"))
+        for name in META_NAMES
+        if name in wide.columns
     ]
     return wide.select("dataset_id", F.inline(F.array(*entries)))
 
 
+def indexed(long: DataFrame) -> DataFrame:
+    """meta(dataset_id, idx, name, value): positions in the vector looked up by name."""
+    names = long.sparkSession.createDataFrame(list(enumerate(META_NAMES)), "idx int, name string")
+    return long.join(F.broadcast(names), "name").select("dataset_id", "idx", "name", "value")
+
+
 def statistics(sample_df: DataFrame, quantile_scale: float = 0.01) -> DataFrame:
     """The meta-features that need neither a row id nor randomness, long."""
     base = sized(per_feature.feature_base(sample_df))
     stats = per_feature.feature_stats(sample_df, base)
     products = pairs.cross_products(sample_df, base)
     parts = [
-        pooled.pooled(sample_df, quantile_scale),
+        to_long(pooled.pooled(sample_df, quantile_scale)),
         per_feature.feature_summaries(stats),
         pairs.pair_summaries(pairs.pair_stats(products, base)),
         hbos.hbos_landmarks(hbos.histogram(sample_df, base, hbos.HBOS_BINS)),
-        spectral.pca_landmarks(spectral.eigen(products, base, scaled=True)),
+        to_long(spectral.pca_landmarks(spectral.eigen(products, base, scaled=True))),
     ]
-    return _stack([to_long(p) for p in parts])
+    return indexed(_stack(parts))
 
 
 def profile(sample_df: DataFrame, seed: int = 0, quantile_scale: float = 0.01) -> DataFrame:
@@ -70,12 +71,11 @@ def profile(sample_df: DataFrame, seed: int = 0, quantile_scale: float = 0.01) -
     base = sized(per_feature.feature_base(sample_df))
     products = pairs.cross_products(sample_df, base)
     parts = [
-        statistics(sample_df, quantile_scale),
-        to_long(spectral.first_row_scores(sample_df, spectral.eigen(products, base))),
-        to_long(iforest.iforest_landmarks(iforest.iforest_fit(sample_df, seed=seed))),
-        to_long(loda.loda_landmarks(loda.loda_fit(sample_df, seed=seed))),
+        spectral.first_row_scores(sample_df, spectral.eigen(products, base)),
+        iforest.iforest_landmarks(iforest.iforest_fit(sample_df, seed=seed)),
+        loda.loda_landmarks(loda.loda_fit(sample_df, seed=seed)),
     ]
-    known = _stack(parts)
+    known = statistics(sample_df, quantile_scale).unionByName(indexed(_stack(parts)))
     names = F.array(*[F.lit(n) for n in META_NAMES])
     frame = base.select("dataset_id").distinct().select(
         "dataset_id", F.posexplode(names).alias("idx", "name")

@@ -47,6 +47,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition on ``keys`` with a stated partition count.
+
+    Adaptive execution merges partitions by bytes, which would queue small but slow Python groups
+    in one task; it keeps a stated count. Later steps on the same keys need no other shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def sized(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Compute a parameter table once; hint a broadcast only when it was counted as small.
 
