@@ -33,9 +33,8 @@ def local_session(app: str = "strayfinder", cores: str = "*", memory: str = "8g"
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so a lost executor cannot change it."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only a local session without a setting gets its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +43,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="strayfinder-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder, so a lost executor cannot change it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

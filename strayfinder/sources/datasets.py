@@ -97,14 +97,15 @@ def read_arff(
     spark: SparkSession,
     path: str,
     second_last: Sequence[str] = LABEL_SECOND_LAST,
+    dataset_pattern: str = r"([^/]+)\.arff$",
 ) -> tuple[DataFrame, DataFrame]:
-    """(samples, attributes) of a directory of ARFF files, one dataset per file.
+    """(samples, attributes) of a directory of ARFF files, one dataset per match in the path.
 
     The last two columns hold an id and the label; which of them is the label depends on the path.
     Files are split line by line, so a large file is read by many tasks.
     """
     lines = arff_lines(spark, path).withColumn(
-        "dataset_id", F.regexp_extract("path", r"([^/]+)\.arff$", 1)
+        "dataset_id", F.regexp_extract("path", dataset_pattern, 1)
     )
     attributes = lines.where(F.lower("line").startswith("@attribute")).select(
         "dataset_id",
@@ -130,13 +131,16 @@ def read_arff(
     )
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], skip: int = CSV_LEADING) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    paths: str | list[str],
+    skip: int = CSV_LEADING,
+    dataset_pattern: str = r"([^/]+?)(?:\.csv)?$",
+) -> DataFrame:
     """Samples from CSV files with a header: columns from ``skip`` on are the features."""
     table = spark.read.csv(paths, header=True)
     return table.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.csv)?$", 1).alias(
-            "dataset_id"
-        ),
+        F.regexp_extract(F.col("_metadata.file_path"), dataset_pattern, 1).alias("dataset_id"),
         F.array(*[F.col(f"`{c}`").try_cast("double") for c in table.columns[skip:]]).alias(
             "features"
         ),
@@ -153,21 +157,28 @@ def read_manifest(spark: SparkSession, manifest: str, root: str, skip: int = CSV
         F.col("location").alias("location"),
         F.regexp_extract("location", r"([^/]+)$", 1).alias("_file"),
     )
-    # a manifest lists files, not rows: its paths are the bounded input of the scan
+    # a manifest lists files or folders, not rows: its paths are the bounded input of the scan
     paths = [f"{root.rstrip('/')}/{r.location}" for r in listed.select("location").toLocalIterator()]
     lines = spark.read.text(paths).select(
         F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path")
     )
     parts = F.transform(F.split("line", ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
     values = F.transform(
-        F.slice(parts, skip + 1, F.greatest(F.size(parts) - skip, F.lit(0))),
+        F.slice(parts, F.lit(skip + 1), F.greatest(F.size(parts) - skip, F.lit(0))),
         lambda x: x.try_cast("double"),
     )
     rows = lines.where("line <> ''").select("path", values.alias("features"))
     header = F.forall("features", lambda x: x.isNull())
+    # the listed location is the end of the file's path, or of its folder's
+    folder = F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)")
+    place = F.concat(F.lit("/"), F.col("location"))
     return (
         rows.where(~header)
-        .join(F.broadcast(listed), F.col("path").endswith(F.concat(F.lit("/"), "location")))
+        .withColumn("_folder", folder)
+        .join(
+            F.broadcast(listed),
+            F.col("path").endswith(place) | F.col("_folder").endswith(place),
+        )
         .select("dataset_id", "features")
     )
 
