@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strayfinder.functions.scalar import recode_label
+from strayfinder.session import sized
 
 # Substrings of a path whose ARFF file keeps the label in the second-last column (fixed values).
 LABEL_SECOND_LAST = ("Arrhythmia", "Cardiotocography", "Hepatitis", "ALOI", "KDDCup99")
@@ -155,7 +156,6 @@ def read_manifest(spark: SparkSession, manifest: str, root: str, skip: int = CSV
     listed = spark.read.csv(manifest, header=True).select(
         F.col("`bench.id`").alias("dataset_id"),
         F.col("location").alias("location"),
-        F.regexp_extract("location", r"([^/]+)$", 1).alias("_file"),
     )
     # a manifest lists files or folders, not rows: its paths are the bounded input of the scan
     paths = [f"{root.rstrip('/')}/{r.location}" for r in listed.select("location").toLocalIterator()]
@@ -169,17 +169,20 @@ def read_manifest(spark: SparkSession, manifest: str, root: str, skip: int = CSV
     )
     rows = lines.where("line <> ''").select("path", values.alias("features"))
     header = F.forall("features", lambda x: x.isNull())
-    # the listed location is the end of the file's path, or of its folder's
-    folder = F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)")
-    place = F.concat(F.lit("/"), F.col("location"))
+    # a location is a file or a folder below the root; both are equality lookups in a small table
+    relative = F.ltrim(F.substring_index("path", root.rstrip("/"), -1), F.lit("/"))
+    folder = F.regexp_replace("_file", "/[^/]*$", "")
+    by_file = listed.select(F.col("location").alias("_file"), F.col("dataset_id").alias("_by_file"))
+    by_folder = listed.select(
+        F.col("location").alias("_folder"), F.col("dataset_id").alias("_by_folder")
+    )
     return (
         rows.where(~header)
+        .withColumn("_file", relative)
         .withColumn("_folder", folder)
-        .join(
-            F.broadcast(listed),
-            F.col("path").endswith(place) | F.col("_folder").endswith(place),
-        )
-        .select("dataset_id", "features")
+        .join(sized(by_file), "_file", "left")
+        .join(sized(by_folder), "_folder", "left")
+        .select(F.coalesce("_by_file", "_by_folder").alias("dataset_id"), "features")
     )
 
 
