@@ -17,6 +17,7 @@ IFOREST_TREES = 100
 # Packed trees that may be broadcast; a tree has at most 2 * SUBSAMPLE - 1 nodes.
 SMALL_TREES = 10_000
 
+_NODE_COLUMNS = ("feature", "threshold", "child", "path", "depth", "gain")
 _TREE_SCHEMA = (
     "dataset_id string, tree int, sample_size int, width int, feature array<int>, "
     "threshold array<double>, child array<int>, path array<double>, depth array<int>, "
@@ -30,7 +31,10 @@ def uniform_hash(*columns: Column | str) -> Column:
 
 
 def tree_samples(
-    sample_df: DataFrame, trees: int = IFOREST_TREES, seed: int = 0
+    sample_df: DataFrame,
+    trees: int = IFOREST_TREES,
+    seed: int = 0,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(dataset_id, tree, row_id, features): at most 256 rows per tree, without replacement.
 
@@ -38,7 +42,9 @@ def tree_samples(
     dataset sends about ``2 * 256 * trees`` rows on, however many it has, and only about 400 of
     them are ranked per tree.
     """
-    counts = sized(sample_df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n")))
+    if counts is None:
+        counts = sample_df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = sized(counts.select("dataset_id", F.col("n_rows").alias("_n")))
     first_rate = F.least(F.lit(1.0), 2.0 * SUBSAMPLE * trees / F.col("_n"))
     thinned = (
         sample_df.select("dataset_id", "row_id", "features")
@@ -52,7 +58,7 @@ def tree_samples(
     ).withColumn("_u", uniform_hash(F.lit(seed), "tree", "row_id"))
     w = Window.partitionBy("dataset_id", "tree").orderBy("_u", "row_id")
     return (
-        spread(offered.where(F.col("_u") < second_rate), "dataset_id", "tree")
+        offered.where(F.col("_u") < second_rate)
         .withColumn("_r", F.row_number().over(w))
         .where(F.col("_r") <= SUBSAMPLE)
         .select("dataset_id", "tree", "row_id", "features")
@@ -67,45 +73,69 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, value))
 
 
-def _grow(x: np.ndarray, features: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
-    """One random tree. ``child`` is the left child (right is the next node), -1 at a leaf."""
+def _grow(x: np.ndarray, features: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """One random tree, a whole level at a time.
+
+    ``child`` is the left child (the right one follows it), -1 at a leaf; ``gain`` is the drop in
+    squared error of a random target.
+    """
     limit = math.ceil(math.log2(max(len(x), 2)))
-    target = rng.random(len(x))
-    nodes: dict[str, list] = {c: [] for c in ("feature", "threshold", "child", "path", "depth", "gain")}
-
-    def add(rows: np.ndarray, depth: int) -> int:
-        for column, value in zip(
-            nodes, (-1, 0.0, -1, depth + float(average_path(len(rows))), depth, 0.0)
-        ):
-            nodes[column].append(value)
-        pending.append((len(nodes["feature"]) - 1, rows, depth))
-        return len(nodes["feature"]) - 1
-
-    pending: list = []
-    add(np.arange(len(x)), 0)
-    while pending:
-        node, rows, depth = pending.pop()
-        if depth >= limit or len(rows) < 2:
-            continue
-        part = x[np.ix_(rows, features)]
-        low, high = part.min(axis=0), part.max(axis=0)
-        varying = np.flatnonzero(high > low)
-        if len(varying) == 0:
-            continue
-        pick = rng.choice(varying)
-        cut = low[pick] + rng.random() * (high[pick] - low[pick])
-        goes_left = part[:, pick] <= cut
-        if goes_left.all() or not goes_left.any():
-            goes_left = part[:, pick] < high[pick]
-            cut = part[goes_left, pick].max()
-        left, right = rows[goes_left], rows[~goes_left]
-        spread = [len(r) * target[r].var() for r in (rows, left, right)]
-        nodes["feature"][node] = int(features[pick])
-        nodes["threshold"][node] = float(cut)
-        nodes["gain"][node] = float(spread[0] - spread[1] - spread[2])
-        nodes["child"][node] = add(left, depth + 1)
-        add(right, depth + 1)
-    return nodes
+    values, target = x[:, features], rng.random(len(x))
+    node = np.zeros(len(x), dtype=int)
+    size = 2 * len(x)
+    out = {
+        "feature": np.full(size, -1),
+        "threshold": np.zeros(size),
+        "child": np.full(size, -1),
+        "depth": np.zeros(size, dtype=int),
+        "count": np.zeros(size),
+        "gain": np.zeros(size),
+    }
+    out["count"][0] = len(x)
+    used, rows = 1, np.arange(len(x))
+
+    def squared_error(of: np.ndarray, total: int) -> np.ndarray:
+        c = np.bincount(of, minlength=total)
+        s = np.bincount(of, weights=target[rows], minlength=total)
+        q = np.bincount(of, weights=target[rows] ** 2, minlength=total)
+        return q - s * s / np.maximum(c, 1)
+
+    for depth in range(limit):
+        rows = rows[np.argsort(node[rows], kind="stable")]
+        ids, starts, place = np.unique(node[rows], return_index=True, return_inverse=True)
+        low = np.minimum.reduceat(values[rows], starts, axis=0)
+        high = np.maximum.reduceat(values[rows], starts, axis=0)
+        order = np.where(high > low, rng.random(low.shape), -1.0)
+        pick, each = order.argmax(axis=1), np.arange(len(ids))
+        lo, hi = low[each, pick], high[each, pick]
+        cut = lo + rng.random(len(ids)) * (hi - lo)
+        cut = np.where(cut >= hi, lo, cut)
+        splits = hi > lo
+        if not splits.any():
+            break
+        child = np.where(splits, used + 2 * (np.cumsum(splits) - 1), -1)
+        before = squared_error(place, len(ids))
+        staying = splits[place]
+        rows, place = rows[staying], place[staying]
+        right = values[rows, pick[place]] > cut[place]
+        node[rows] = child[place] + right
+        total = used + 2 * int(splits.sum())
+        after = squared_error(node[rows], total)
+        at, to = ids[splits], child[splits]
+        out["feature"][at] = features[pick[splits]]
+        out["threshold"][at] = cut[splits]
+        out["child"][at] = to
+        out["gain"][at] = before[splits] - after[to] - after[to + 1]
+        out["depth"][used:total] = depth + 1
+        out["count"][used:total] = np.bincount(node[rows], minlength=total)[used:total]
+        used = total
+    out = {c: v[:used] for c, v in out.items()}
+    out["path"] = out["depth"] + average_path(out["count"])
+    return out
+
+
+# Trees grown per Python call; a group holds at most this many subsamples.
+_TREES_PER_GROUP = 10
 
 
 def iforest_fit(
@@ -113,32 +143,34 @@ def iforest_fit(
     trees: int = IFOREST_TREES,
     max_features: float = 1.0,
     seed: int = 0,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (dataset, tree) with packed node arrays; groups are 256 rows by construction."""
+    """One row per (dataset, tree) with packed node arrays.
+
+    A group is ten trees of one dataset, at most 2,560 rows by construction.
+    """
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_id")
-        x = matrix(rows["features"])
-        dataset, tree = rows["dataset_id"].iloc[0], int(rows["tree"].iloc[0])
-        key = [seed, tree, *dataset.encode()]
-        rng = np.random.default_rng(np.random.SeedSequence(key))
-        width = x.shape[1]
+        rows = rows.sort_values(["tree", "row_id"])
+        all_x = matrix(rows["features"])
+        dataset, width = rows["dataset_id"].iloc[0], all_x.shape[1]
         used = max(1, int(max_features * width))
-        features = np.sort(rng.choice(width, size=used, replace=False))
-        nodes = _grow(x, features, rng)
+        names, starts = np.unique(rows["tree"].to_numpy(), return_index=True)
+        grown = []
+        for tree, x in zip(names, np.split(all_x, starts[1:])):
+            key = [seed, int(tree), *dataset.encode()]
+            rng = np.random.default_rng(np.random.SeedSequence(key))
+            features = np.sort(rng.choice(width, size=used, replace=False))
+            nodes = _grow(x, features, rng)
+            grown.append((dataset, tree, len(x), used, *[nodes[c] for c in _NODE_COLUMNS]))
         return pd.DataFrame(
-            {
-                "dataset_id": [dataset],
-                "tree": [tree],
-                "sample_size": [len(x)],
-                "width": [used],
-                **{c: [v] for c, v in nodes.items()},
-            }
+            grown, columns=["dataset_id", "tree", "sample_size", "width", *_NODE_COLUMNS]
         )
 
+    group = F.floor(F.col("tree") / _TREES_PER_GROUP)
     return (
-        tree_samples(sample_df, trees, seed)
-        .groupBy("dataset_id", "tree")
+        spread(tree_samples(sample_df, trees, seed, counts).withColumn("_group", group), "dataset_id", "_group")
+        .groupBy("dataset_id", "_group")
         .applyInPandas(build, _TREE_SCHEMA)
     )
 
@@ -189,29 +221,28 @@ def tree_shapes(model: DataFrame) -> DataFrame:
 
     The importance of a feature is its share of the variance reduction of a random target.
     """
-    gains = (
-        model.select("dataset_id", "tree", F.arrays_zip("feature", "gain").alias("_n"))
-        .select("dataset_id", "tree", F.inline("_n"))
-        .where("feature >= 0")
-        .groupBy("dataset_id", "tree", "feature")
-        .agg(F.sum("gain").alias("gain"))
-        .groupBy("dataset_id", "tree")
-        .agg(F.sum("gain").alias("_total"), F.max("gain").alias("_top"))
+    nodes = model.select(
+        "dataset_id", "tree", "width", F.inline(F.arrays_zip("feature", "depth", "gain"))
     )
-    leaves = F.size(F.filter("child", lambda c: c < 0))
-    return model.select(
-        "dataset_id",
-        "tree",
-        "width",
-        leaves.alias("IForest_n_leaves"),
-        F.array_max("depth").alias("IForest_n_depth"),
-    ).join(gains, ["dataset_id", "tree"], "left").select(
+    per_feature = nodes.groupBy("dataset_id", "tree", "width", "feature").agg(
+        F.sum("gain").alias("gain"),
+        F.count_if(F.col("feature") < 0).alias("leaves"),
+        F.max("depth").alias("depth"),
+    )
+    per_tree = per_feature.groupBy("dataset_id", "tree", "width").agg(
+        F.sum("leaves").alias("IForest_n_leaves"),
+        F.max("depth").alias("IForest_n_depth"),
+        F.sum("gain").alias("_total"),
+        F.max("gain").alias("_top"),
+    )
+    split = F.col("_total") > 0
+    return per_tree.select(
         "dataset_id",
         "tree",
         "IForest_n_leaves",
         "IForest_n_depth",
-        F.when(F.col("_total") > 0, 1.0 / F.col("width")).otherwise(0.0).alias("IForest_fi_mean"),
-        F.coalesce(F.try_divide("_top", "_total"), F.lit(0.0)).alias("IForest_fi_max"),
+        F.when(split, 1.0 / F.col("width")).otherwise(0.0).alias("IForest_fi_mean"),
+        F.when(split, F.col("_top") / F.col("_total")).otherwise(0.0).alias("IForest_fi_max"),
     )
 
 

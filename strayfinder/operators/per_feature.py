@@ -21,24 +21,48 @@ FEATURE_BLOCKS = (
 def feature_base(sample_df: DataFrame) -> DataFrame:
     """Count, range and population moments of every feature in one scan.
 
-    Skewness and kurtosis of a constant feature are NULL.
+    Skewness and kurtosis of a constant feature are NULL. ``n_rows`` counts missing values too, and
+    rows without features appear under a NULL ``f_idx``, so ``validate_base`` needs no other scan.
     """
     v = F.col("value")
     flat = is_flat(F.stddev_pop(v), F.avg(v))
-    return (
-        cells(sample_df)
-        .groupBy("dataset_id", "f_idx")
-        .agg(
-            F.count(v).alias("n"),
-            F.avg(v).alias("mean"),
-            F.var_pop(v).alias("var"),
-            F.stddev_pop(v).alias("std"),
-            F.min(v).alias("lo"),
-            F.max(v).alias("hi"),
-            F.when(~flat, F.skewness(shape_input(v))).alias("skewness"),
-            F.when(~flat, F.kurtosis(shape_input(v))).alias("kurtosis"),
-        )
+    cell = sample_df.select("dataset_id", F.posexplode_outer("features").alias("f_idx", "value"))
+    return cell.groupBy("dataset_id", "f_idx").agg(
+        F.count(v).alias("n"),
+        F.avg(v).alias("mean"),
+        F.var_pop(v).alias("var"),
+        F.stddev_pop(v).alias("std"),
+        F.min(v).alias("lo"),
+        F.max(v).alias("hi"),
+        F.when(~flat, F.skewness(shape_input(v))).alias("skewness"),
+        F.when(~flat, F.kurtosis(shape_input(v))).alias("kurtosis"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+
+
+def validate_base(base: DataFrame) -> DataFrame:
+    """Raise when a dataset is ragged or has missing or infinite cells, judged by ``base`` alone.
+
+    NaN is the largest value in Spark's order, so it shows in the maximum.
+    """
+    infinite = float("inf")
+    bad = (
+        F.col("f_idx").isNull()
+        | (F.col("n") != F.col("n_rows"))
+        | F.isnan("hi")
+        | (F.col("hi") == infinite)
+        | (F.col("lo") == -infinite)
+    )
+    report = base.groupBy("dataset_id").agg(
+        F.count_if(bad).alias("bad_features"),
+        F.min("n_rows").alias("fewest"),
+        F.max("n_rows").alias("most"),
     )
+    wrong = report.where((F.col("bad_features") > 0) | (F.col("fewest") != F.col("most")))
+    first = wrong.orderBy("dataset_id").limit(3).collect()
+    if first:
+        raise ValueError(f"invalid datasets: {[r.asDict() for r in first]}")
+    return base
 
 
 def central_moments(sample_df: DataFrame, base: DataFrame) -> DataFrame:

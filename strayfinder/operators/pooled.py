@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strayfinder.session import running_sums, sized
+from strayfinder.session import SMALL_ROWS, running_sums, sized
 from strayfinder.sources.datasets import cells
 
 # Percentile arguments (fixed values). They are read as percents, so "q25" is the 0.25th percent;
@@ -40,6 +40,30 @@ def pooled_base(sample_df: DataFrame) -> DataFrame:
     )
 
 
+def merged_base(features: DataFrame) -> DataFrame:
+    """The table of ``pooled_base`` from per-feature statistics, without a scan of the data."""
+    n = F.col("n").cast("double")
+    mean = F.try_divide(F.sum(n * F.col("mean")), F.sum(n))
+    # spread within features plus spread between their means, about the mean of the means
+    centre = F.avg("mean").over(Window.partitionBy("dataset_id"))
+    shifted = features.withColumn("_d", F.col("mean") - centre)
+    between = F.sum(n * F.col("_d")) / F.sum(n)
+    var = F.sum(n * (F.col("var") + F.col("_d") * F.col("_d"))) / F.sum(n) - between * between
+    return (
+        shifted.groupBy("dataset_id")
+        .agg(
+            F.max("n").alias("n_samples"),
+            F.count(F.lit(1)).alias("n_features"),
+            F.sum("n").alias("n_cells"),
+            mean.alias("sample_mean"),
+            var.alias("sample_var"),
+            F.min("lo").alias("sample_min"),
+            F.max("hi").alias("sample_max"),
+        )
+        .withColumn("sample_std", F.sqrt(F.greatest(F.col("sample_var"), F.lit(0.0))))
+    )
+
+
 def value_counts(sample_df: DataFrame) -> DataFrame:
     """(dataset_id, f_idx, value, c): how often each value occurs in each feature."""
     return (
@@ -96,6 +120,7 @@ def gini(total: str = "n_cells", low: str = "sample_min") -> Column:
 def pooled(
     sample_df: DataFrame,
     quantile_scale: float = 0.01,
+    base: DataFrame | None = None,
     counts: DataFrame | None = None,
     window_rows: int | None = None,
 ) -> DataFrame:
@@ -104,10 +129,11 @@ def pooled(
     Every order statistic comes from value counts, so the sorted data is the distinct values only.
     The identical count shuffle in the three branches below is planned once and reused.
     """
-    base = sized(pooled_base(sample_df))
+    base = sized(pooled_base(sample_df) if base is None else base)
     if counts is None:
         counts = pooled_counts(sample_df)
-    biggest = base.agg(F.max("n_cells")).first()[0] or 0
+    size = base.agg(F.max("n_cells").alias("cells"), F.count(F.lit(1)).alias("datasets")).first()
+    biggest = size.cells or 0
     keyed = counts.join(base.select("dataset_id", "n_cells", "sample_min"), "dataset_id")
     ranked = running_sums(
         keyed, ["dataset_id"], "value", {"upto": "c"}, max_group=biggest, window_rows=window_rows
@@ -117,7 +143,7 @@ def pooled(
     order = exact_quantiles(
         ranked, "n_cells", probabilities, [gini().alias("sample_gini")]
     ).withColumn("iqr", F.col("q75") - F.col("q25"))
-    centre = sized(base.join(order, "dataset_id"))
+    centre = base.join(order, "dataset_id")
     bounds = centre.select(
         "dataset_id",
         "n_cells",
@@ -138,6 +164,9 @@ def pooled(
             for x in (lo.alias(f"lo_{tag}"), hi.alias(f"hi_{tag}"))
         ],
     )
+    # one row per dataset, as many as were counted in ``base``
+    if size.datasets <= SMALL_ROWS:
+        bounds = F.broadcast(bounds)
     spread = counts.join(bounds, "dataset_id")
     tags = ("15iqr", "3iqr", "1_99", "3std")
     outside = {t: (F.col("value") < F.col(f"lo_{t}")) | (F.col("value") > F.col(f"hi_{t}")) for t in tags}

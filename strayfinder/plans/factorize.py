@@ -316,6 +316,9 @@ def train(
     factors (models x factors numbers) are on the driver.
     """
     spark = vectors.sparkSession
+    # every step below reads these small tables again; they have a row per dataset (and model)
+    vectors, performance = durable(vectors), durable(performance)
+    valid_performance = durable(valid_performance)
     embedding = fit_embedding(vectors, factors)
     inputs = durable(embed(vectors, embedding, "x"))
     valid_inputs = durable(embed(valid_vectors, embedding, "x"))

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from strayfinder.functions.scalar import SUMMARY_PARTS, clean
 from strayfinder.operators import hbos, iforest, loda, pairs, per_feature, pooled, spectral
 from strayfinder.session import sized
-from strayfinder.sources.datasets import validate
 
 
 def _summary_names(*blocks: str) -> list[str]:
@@ -46,13 +45,24 @@ def indexed(long: DataFrame) -> DataFrame:
     return long.join(F.broadcast(names), "name").select("dataset_id", "idx", "name", "value")
 
 
-def statistics(sample_df: DataFrame, quantile_scale: float = 0.01) -> DataFrame:
+def statistics(
+    sample_df: DataFrame,
+    quantile_scale: float = 0.01,
+    base: DataFrame | None = None,
+    products: DataFrame | None = None,
+) -> DataFrame:
     """The meta-features that need neither a row id nor randomness, long."""
-    base = sized(per_feature.feature_base(sample_df))
-    stats = per_feature.feature_stats(sample_df, base)
-    products = pairs.cross_products(sample_df, base)
+    if base is None:
+        base = sized(per_feature.feature_base(sample_df))
+    if products is None:
+        products = pairs.cross_products(sample_df, base).persist()
+    counts = pooled.value_counts(sample_df)
+    pooled_values = counts.groupBy("dataset_id", "value").agg(F.sum("c").alias("c"))
+    stats = per_feature.feature_stats(sample_df, base, counts)
     parts = [
-        to_long(pooled.pooled(sample_df, quantile_scale)),
+        to_long(
+            pooled.pooled(sample_df, quantile_scale, pooled.merged_base(base), pooled_values)
+        ),
         per_feature.feature_summaries(stats),
         pairs.pair_summaries(pairs.pair_stats(products, base)),
         hbos.hbos_landmarks(hbos.histogram(sample_df, base, hbos.HBOS_BINS)),
@@ -67,15 +77,16 @@ def profile(sample_df: DataFrame, seed: int = 0, quantile_scale: float = 0.01) -
     One job set profiles one dataset or ten thousand. Undefined values are NULL rows, so every
     dataset has exactly 200 rows.
     """
-    validate(sample_df)
-    base = sized(per_feature.feature_base(sample_df))
-    products = pairs.cross_products(sample_df, base)
+    base = per_feature.validate_base(sized(per_feature.feature_base(sample_df)))
+    # p(p+1)/2 sums per dataset, read by the pair, spectral and first-row blocks
+    products = pairs.cross_products(sample_df, base).persist()
+    sizes = base.groupBy("dataset_id").agg(F.max("n_rows").alias("n_rows"))
     parts = [
         spectral.first_row_scores(sample_df, spectral.eigen(products, base)),
-        iforest.iforest_landmarks(iforest.iforest_fit(sample_df, seed=seed)),
+        iforest.iforest_landmarks(iforest.iforest_fit(sample_df, seed=seed, counts=sizes)),
         loda.loda_landmarks(loda.loda_fit(sample_df, seed=seed)),
     ]
-    known = statistics(sample_df, quantile_scale).unionByName(indexed(_stack(parts)))
+    known = statistics(sample_df, quantile_scale, base, products).unionByName(indexed(_stack(parts)))
     names = F.array(*[F.lit(n) for n in META_NAMES])
     frame = base.select("dataset_id").distinct().select(
         "dataset_id", F.posexplode(names).alias("idx", "name")

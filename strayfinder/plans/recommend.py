@@ -14,6 +14,7 @@ from strayfinder.operators.neighbors import knn_edges
 from strayfinder.operators.ranking import top_models
 from strayfinder.plans.factorize import TrainedModel, train
 from strayfinder.plans.profile import META_WIDTH, meta_vectors, profile
+from strayfinder.session import durable
 from strayfinder.sources.artifacts import load_forests, load_tables, save_forests, save_tables
 from strayfinder.sources.datasets import validate
 
@@ -29,7 +30,7 @@ class Recommender:
 
     def scores(self, meta: DataFrame, impute: str = "zero") -> DataFrame:
         """(dataset_id, model_id, score) averaged over the trained models."""
-        vectors = meta_vectors(scaled_meta(meta, self.ranges, self.means, impute))
+        vectors = durable(meta_vectors(scaled_meta(meta, self.ranges, self.means, impute)))
         validate(vectors, META_WIDTH)
         parts = None
         for model in self.trained:
@@ -74,13 +75,17 @@ def fit_recommender(
 
     ``performance(dataset_id, model_id, ap)`` may miss entries; they take the model's mean.
     """
-    known = performance.select("dataset_id").distinct().intersect(meta.select("dataset_id"))
+    performance = durable(performance)
+    known = durable(performance.select("dataset_id").intersect(meta.select("dataset_id")))
     meta = meta.join(known, "dataset_id", "left_semi")
-    performance = complete_performance(performance.join(known, "dataset_id", "left_semi"), known)
+    performance = durable(
+        complete_performance(performance.join(known, "dataset_id", "left_semi"), known)
+    )
     ranges = transform.min_max_fit(meta).persist()
     scaled = transform.min_max_apply(meta, ranges)
     means = transform.column_means(scaled).persist()
     filled = transform.zero_filled(transform.mean_fill(scaled, means=means))
+    vectors = durable(meta_vectors(filled))
     trained = []
     for seed in seeds:
         split = transform.split_datasets(known, fraction, seed).persist()
@@ -89,9 +94,9 @@ def fit_recommender(
         }
         trained.append(
             train(
-                meta_vectors(filled.join(side["train"], "dataset_id")),
+                vectors.join(side["train"], "dataset_id"),
                 performance.join(side["train"], "dataset_id"),
-                meta_vectors(filled.join(side["valid"], "dataset_id")),
+                vectors.join(side["valid"], "dataset_id"),
                 performance.join(side["valid"], "dataset_id"),
                 seed=seed,
                 **settings,

@@ -194,7 +194,7 @@ def performance_long(
         F.col(f"`{dataset}`").cast("string").alias("dataset_id"),
         *[F.col(f"`{m}`").try_cast("double").alias(m) for m in models],
     )
-    return wide.unpivot("dataset_id", list(models), "model", "ap")
+    return wide.unpivot("dataset_id", [F.col(f"`{m}`") for m in models], "model", "ap")
 
 
 def read_performance(
