@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -76,6 +77,15 @@ def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     )
 
 
+def bins_of(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, bins: int) -> np.ndarray:
+    """``bin_index`` for a matrix with one range per column, clipped to the range."""
+    width = (hi - lo) / bins
+    first = np.minimum(np.floor((x - lo) * (bins / (hi - lo))), bins - 1).astype(int)
+    first = np.where(x < first * width + lo, first - 1, first)
+    up = (x >= (first + 1) * width + lo) & (first < bins - 1)
+    return np.clip(np.where(up, first + 1, first), 0, bins - 1)
+
+
 def normality_p(n: Column, skew: Column, kurt: Column) -> Column:
     """p of the omnibus normality test from sample size, population skewness and excess kurtosis.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strayfinder.session import running_sums
+from strayfinder.session import durable, running_sums
 
 PAIR = ("dataset_id", "model_id")
 
@@ -27,8 +27,11 @@ def average_precision(
     Rows are first counted per score, and the running totals go through ``running_sums``, so one
     large dataset is never sorted by a single task. Without positives the result is NULL.
     """
-    steps = scored.groupBy(*keys, score).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_tp")
+    # written once: the scores behind it are costly, and it is measured before it is ranked
+    steps = durable(
+        scored.groupBy(*keys, score).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_tp")
+        )
     )
     running = running_sums(
         steps, keys, score, {"_cum_n": "_n", "_cum_tp": "_tp"}, descending=True,

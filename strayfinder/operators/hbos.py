@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.functions.scalar import bin_index, summaries, widen
-from strayfinder.session import sized
+from strayfinder.functions.scalar import bin_index, bins_of, summaries, widen
+from strayfinder.operators.pairs import matrix
+from strayfinder.session import sized, with_parameters
 from strayfinder.sources.datasets import cells
 
 HBOS_BINS = 10
@@ -42,10 +45,10 @@ def density(hist: DataFrame) -> DataFrame:
 
 
 def hbos_fit(sample_df: DataFrame, n_bins: int = HBOS_BINS, ranges: DataFrame | None = None) -> DataFrame:
-    """One row per dataset: per feature (lo, width, densities of all bins, empty ones 0)."""
+    """(dataset_id, f_idx, lo, width, density array): all bins of a feature, empty ones 0."""
     ranges = sized(feature_ranges(sample_df)) if ranges is None else ranges
     filled = F.map_from_entries(F.collect_list(F.struct("bin", "density")))
-    per_feature = (
+    return (
         density(histogram(sample_df, ranges, n_bins))
         .groupBy("dataset_id", "f_idx", "lo", "width")
         .agg(filled.alias("_m"))
@@ -53,45 +56,43 @@ def hbos_fit(sample_df: DataFrame, n_bins: int = HBOS_BINS, ranges: DataFrame |
             "density",
             F.expr(f"transform(sequence(0, {n_bins - 1}), b -> coalesce(_m[b], 0D))"),
         )
+        .drop("_m")
     )
-    packed = F.array_sort(F.collect_list(F.struct("f_idx", "lo", "width", "density")))
-    return per_feature.groupBy("dataset_id").agg(packed.alias("model"))
 
 
 def hbos_scores(sample_df: DataFrame, model: DataFrame, alphas=(0.1,), tol: float = 0.5) -> DataFrame:
     """(dataset_id, row_id, alpha, score), higher = more anomalous.
 
-    A projection after one join on the dataset: no explode, no shuffle of the rows when the model
-    is small, and it accepts a streaming DataFrame. A value outside the fitted range counts as the
-    end bin within ``tol`` bin widths of it, and as the emptiest bin further out.
+    One table lookup per cell; all ``alphas`` share it. With a small model there is no shuffle, and
+    a streaming DataFrame is accepted. A value outside the fitted range counts as the end bin
+    within ``tol`` bin widths of it, and as the emptiest bin further out.
     """
+    alphas = [float(a) for a in alphas]
 
-    def looked_up(x, m):
-        d, lo, width = m["density"], m["lo"], m["width"]
-        n = F.size(d)
-        first = F.least(F.floor((x - lo) * (n / (width * n))).cast("int"), n - 1)
-        inside = (
-            F.when(x < first * width + lo, first - 1)
-            .when((x >= (first + 1) * width + lo) & (first < n - 1), first + 1)
-            .otherwise(first)
-        )
+    def scores(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        side = side.sort_values("f_idx")
+        table = matrix(side["density"])
+        lo, width = side["lo"].to_numpy(), side["width"].to_numpy()
+        x, n = matrix(part["features"]), table.shape[1]
         hi = lo + width * n
         far = (x < lo - tol * width) | (x > hi + tol * width)
-        index = F.greatest(F.least(inside, n - 1), F.lit(0))
-        return F.when(far, F.array_min(d)).otherwise(F.get(d, index))
-
-    joined = sample_df.join(sized(model), "dataset_id")
-    keep = [c for c in ("row_id", "label") if c in sample_df.columns]
-    found = joined.select(
-        "dataset_id", *keep, F.zip_with("features", "model", looked_up).alias("_d")
-    )
-
-    def score(alpha: float):
-        total = F.aggregate("_d", F.lit(0.0), lambda s, d: s + F.log2(d + float(alpha)))
-        return F.struct(F.lit(float(alpha)).alias("alpha"), (-total).alias("score"))
+        found = table[np.arange(len(table)), bins_of(x, lo, hi, n)]
+        found = np.where(far, table.min(axis=1), found)
+        total = [-np.log2(found + a).sum(axis=1) for a in alphas]
+        return pd.DataFrame(
+            {
+                "dataset_id": part["dataset_id"].iloc[0],
+                "row_id": np.tile(part["row_id"].to_numpy(), len(alphas)),
+                "alpha": np.repeat(alphas, len(part)),
+                "score": np.concatenate(total),
+            }
+        )
 
-    return found.select(
-        "dataset_id", *keep, F.inline(F.array(*[score(a) for a in alphas]))
+    return with_parameters(
+        sample_df.select("dataset_id", "row_id", "features"),
+        model,
+        scores,
+        "dataset_id string, row_id bigint, alpha double, score double",
     )
 
 

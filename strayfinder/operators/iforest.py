@@ -14,8 +14,6 @@ from strayfinder.session import sized, spread, with_parameters
 
 SUBSAMPLE = 256
 IFOREST_TREES = 100
-# Packed trees that may be broadcast; a tree has at most 2 * SUBSAMPLE - 1 nodes.
-SMALL_TREES = 10_000
 
 _NODE_COLUMNS = ("feature", "threshold", "child", "path", "depth", "gain")
 _TREE_SCHEMA = (
@@ -212,7 +210,6 @@ def iforest_scores(sample_df: DataFrame, model: DataFrame, trees: int | None = N
         ),
         scores,
         "dataset_id string, row_id bigint, score double",
-        max_rows=SMALL_TREES,
     )
 
 

@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.functions.scalar import summaries
+from strayfinder.functions.scalar import bins_of, summaries
 from strayfinder.operators.pairs import matrix
-from strayfinder.session import SMALL_ROWS, with_parameters
+from strayfinder.session import with_parameters
 
 LODA_BINS, LODA_CUTS = 10, 100
 
@@ -44,15 +44,6 @@ class _Weights:
         return self.cache[width]
 
 
-def _bins(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_bins: int) -> np.ndarray:
-    """Edge-corrected bin index per column of ``z``."""
-    width = (hi - lo) / n_bins
-    first = np.minimum(np.floor((z - lo) * (n_bins / (hi - lo))).astype(int), n_bins - 1)
-    first = np.where(z < first * width + lo, first - 1, first)
-    up = (z >= (first + 1) * width + lo) & (first < n_bins - 1)
-    return np.clip(np.where(up, first + 1, first), 0, n_bins - 1)
-
-
 def loda_fit(
     sample_df: DataFrame, n_bins: int = LODA_BINS, cuts: int = LODA_CUTS, seed: int = 0
 ) -> DataFrame:
@@ -91,7 +82,7 @@ def loda_fit(
         side = side.sort_values("cut")
         x = matrix(part["features"])
         lo, hi = side["lo"].to_numpy(), side["hi"].to_numpy()
-        index = _bins(x @ weights(x.shape[1]), lo, hi, n_bins)
+        index = bins_of(x @ weights(x.shape[1]), lo, hi, n_bins)
         flat_index = np.arange(cuts) * n_bins + index
         counts = np.bincount(flat_index.ravel(), minlength=cuts * n_bins)
         return pd.DataFrame(
@@ -142,7 +133,7 @@ def loda_scores(sample_df: DataFrame, model: DataFrame, seed: int = 0) -> DataFr
         x = matrix(part["features"])
         prob = matrix(side["prob"])
         z = x @ weights(x.shape[1])
-        index = _bins(z, side["lo"].to_numpy(), side["hi"].to_numpy(), prob.shape[1])
+        index = bins_of(z, side["lo"].to_numpy(), side["hi"].to_numpy(), prob.shape[1])
         found = np.log(prob)[np.arange(cuts), index]
         return pd.DataFrame(
             {
@@ -157,7 +148,6 @@ def loda_scores(sample_df: DataFrame, model: DataFrame, seed: int = 0) -> DataFr
         model,
         scores,
         "dataset_id string, row_id bigint, score double",
-        max_rows=SMALL_ROWS,
     )
 
 

@@ -9,11 +9,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from strayfinder.operators.iforest import uniform_hash
 from strayfinder.operators.pairs import matrix
-from strayfinder.session import SMALL_ROWS, durable, sized, spread, with_parameters
+from strayfinder.session import SMALL_BYTES, durable, measured, sized, spread, with_parameters
 
 # Rows of a cell compared in one Python call, and the target size of a cell.
 CELL_ROWS = 4096
@@ -155,12 +154,11 @@ def _copy_edges(rows: DataFrame, distinct: DataFrame, k: int) -> DataFrame | Non
         distinct.groupBy("dataset_id", "features")
         .agg(F.sort_array(F.collect_list("row_id")).alias("_ids"))
         .where(F.size("_ids") == k + 1)
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    n = groups.count()
-    if n == 0:
+    groups, size = measured(groups)
+    if size == 0:
         return None
-    side = F.broadcast(groups) if n <= SMALL_ROWS else groups
+    side = F.broadcast(groups) if size <= SMALL_BYTES else groups
     return (
         rows.join(side, ["dataset_id", "features"])
         .where(F.col("row_id") > F.element_at("_ids", -1))
@@ -324,12 +322,10 @@ def lookup(
     """
     keys = ["dataset_id", "nbr_id"]
     side = table.withColumnRenamed("row_id", "nbr_id")
-    hot = (
+    hot, size = measured(
         edges.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    n = hot.count()
-    if n == 0 or n > SMALL_ROWS:
+    if size == 0 or size > SMALL_BYTES:
         return edges.join(side, keys)
     few = F.broadcast(hot)
     return edges.join(few, keys, "left_anti").join(side, keys).unionByName(

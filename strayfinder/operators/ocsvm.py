@@ -19,8 +19,6 @@ from strayfinder.session import durable, with_parameters
 LANDMARKS = 64
 PASSES = 12
 DEGREE = 3
-# Datasets whose landmark tables may be broadcast.
-SMALL_MODELS = 2_000
 
 _MODEL_SCHEMA = (
     "dataset_id string, width int, landmarks array<double>, map array<double>, w array<double>, "
@@ -101,8 +99,7 @@ def ocsvm_fit(
             break
         sums = (
             with_parameters(
-                rows, model, below, "dataset_id string, k int, s double, n bigint",
-                max_rows=SMALL_MODELS,
+                rows, model, below, "dataset_id string, k int, s double, n bigint"
             )
             .groupBy("dataset_id", "k")
             .agg((F.sum("s") / F.sum("n")).alias("v"))
@@ -139,8 +136,7 @@ def _projections(rows: DataFrame, model: DataFrame, kernel: str) -> DataFrame:
         )
 
     return with_parameters(
-        rows, model, project, "dataset_id string, row_id bigint, score double",
-        max_rows=SMALL_MODELS,
+        rows, model, project, "dataset_id string, row_id bigint, score double"
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strayfinder.session import SMALL_ROWS, running_sums, sized
+from strayfinder.session import SMALL_BYTES, running_sums, sized
 from strayfinder.sources.datasets import cells
 
 # Percentile arguments (fixed values). They are read as percents, so "q25" is the 0.25th percent;
@@ -164,8 +164,8 @@ def pooled(
             for x in (lo.alias(f"lo_{tag}"), hi.alias(f"hi_{tag}"))
         ],
     )
-    # one row per dataset, as many as were counted in ``base``
-    if size.datasets <= SMALL_ROWS:
+    # one row of 12 numbers for each dataset counted in ``base``
+    if size.datasets * 200 <= SMALL_BYTES:
         bounds = F.broadcast(bounds)
     spread = counts.join(bounds, "dataset_id")
     tags = ("15iqr", "3iqr", "1_99", "3std")

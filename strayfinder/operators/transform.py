@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strayfinder.functions.scalar import clean, is_flat, zero_fill
-from strayfinder.session import sized
+from strayfinder.session import running_sums, sized
 
 
 def column_means(table: DataFrame, column: str = "idx", value: str = "value") -> DataFrame:
@@ -77,13 +77,13 @@ def split_datasets(
     ``ids`` lists datasets, one row each.
     """
     order = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
-    hashed = ids.select(key).distinct().withColumn("_h", order)
-    n = hashed.count()
-    # one partition over dataset names only
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", key))
-    return hashed.select(
-        key, F.when(rank <= int(fraction * n), "train").otherwise("valid").alias("split")
+    hashed = ids.select(key).distinct().select(
+        key, F.concat(order, key).alias("_h"), F.lit(0).alias("_all"), F.lit(1).alias("_one")
     )
+    n = hashed.count()
+    ranked = running_sums(hashed, ["_all"], "_h", {"_rank": "_one"}, max_group=n)
+    train = F.col("_rank") <= int(fraction * n)
+    return ranked.select(key, F.when(train, "train").otherwise("valid").alias("split"))
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ import tempfile
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.storagelevel import StorageLevel
 
-# Largest number of rows of a parameter table that may be broadcast or held by one task.
-SMALL_ROWS = 200_000
+# Largest measured size of a parameter table that may be broadcast.
+SMALL_BYTES = 128 << 20
 # Largest number of rows one window partition may sort; larger groups are range-partitioned.
 WINDOW_ROWS = 5_000_000
 # Rows of one dataset handed to one Python call on the shuffled path.
@@ -62,14 +62,32 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def sized(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Compute a parameter table once; hint a broadcast only when it was counted as small.
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """Compute a parameter table once, keep it, and return it with its size in bytes.
+
+    The size counts every array element, so tables of few wide rows are judged rightly.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    width = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, T.ArrayType):
+            width = width + F.coalesce(F.size(field.name), F.lit(0)) * 8 + 16
+        elif isinstance(kind, T.StringType):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        else:
+            width = width + 8
+    return kept, kept.agg(F.sum(width)).first()[0] or 0
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Keep a parameter table; hint a broadcast only when its measured size is small.
 
     Above the bound the table is returned without a hint and joins as a shuffled side, where
     adaptive execution splits skewed keys.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    kept, size = measured(df)
+    return F.broadcast(kept) if size <= SMALL_BYTES else kept
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -138,20 +156,16 @@ def with_parameters(
     params: DataFrame,
     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
-    max_rows: int | None = None,
-    block_rows: int | None = None,
 ) -> DataFrame:
     """Apply ``fn(rows of one dataset, that dataset's parameters)`` in Arrow batches.
 
-    Parameter tables counted as small are broadcast and ``rows`` is not shuffled. Larger ones meet
+    Parameter tables measured as small are broadcast and ``rows`` is not shuffled. Larger ones meet
     their rows in a co-grouped shuffle on (dataset, block); a large dataset spans many blocks, so
-    no task holds more than about ``block_rows`` of its rows.
+    no task holds more than about ``BLOCK_ROWS`` of its rows.
     """
-    max_rows = SMALL_ROWS if max_rows is None else max_rows
-    block_rows = BLOCK_ROWS if block_rows is None else block_rows
-    head = params.limit(max_rows + 1).toPandas()
-    if len(head) <= max_rows:
-        by_dataset = dict(iter(head.groupby("dataset_id", sort=False)))
+    params, size = measured(params)
+    if size <= SMALL_BYTES:
+        by_dataset = dict(iter(params.toPandas().groupby("dataset_id", sort=False)))
         shared = rows.sparkSession.sparkContext.broadcast(by_dataset)
 
         def batches(iterator):
@@ -166,7 +180,7 @@ def with_parameters(
     blocks = sized(
         rows.groupBy("dataset_id")
         .count()
-        .select("dataset_id", F.ceil(F.col("count") / block_rows).cast("int").alias("_n"))
+        .select("dataset_id", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("_n"))
     )
     left = (
         rows.join(blocks, "dataset_id")

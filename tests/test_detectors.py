@@ -188,8 +188,7 @@ def test_large_parameter_tables_meet_rows_in_a_shuffle(make_samples, monkeypatch
     forest = iforest.iforest_fit(df, 8, seed=1).persist()
     cuts = loda.loda_fit(df, 5, 10).persist()
     want = scores(iforest.iforest_scores(df, forest)), scores(loda.loda_scores(df, cuts))
-    monkeypatch.setattr(iforest, "SMALL_TREES", 3)
-    monkeypatch.setattr(loda, "SMALL_ROWS", 3)
+    monkeypatch.setattr(session, "SMALL_BYTES", 0)
     monkeypatch.setattr(session, "BLOCK_ROWS", 20)
     got = scores(iforest.iforest_scores(df, forest)), scores(loda.loda_scores(df, cuts))
     assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
