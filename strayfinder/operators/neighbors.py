@@ -125,11 +125,12 @@ def knn_edges(
     metric = "euclidean" if metric == "minkowski" else metric
     rows = sample_df.select("dataset_id", "row_id", "features")
     same = Window.partitionBy("dataset_id", "features").orderBy("row_id")
-    distinct = (
-        rows.withColumn("_copy", F.row_number().over(same))
-        .where(F.col("_copy") <= k + 1)
-        .drop("_copy")
+    # read by the counts, the search and the copies below; one shuffle makes it
+    distinct = durable(
+        rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k + 1)
     )
+    extra = _copy_edges(rows, distinct, k)
+    distinct = distinct.drop("_copy")
     counts = sized(distinct.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n")))
     biggest = counts.agg(F.max("_n")).first()[0] or 0
     if biggest <= cell_rows:
@@ -139,7 +140,6 @@ def knn_edges(
     else:
         found = _cell_search(distinct, counts, k, metric, cell_rows, seed)
     edges = _ranked(found, k)
-    extra = _copy_edges(rows, distinct, k)
     return edges if extra is None else edges.unionByName(extra)
 
 
@@ -150,17 +150,19 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def _copy_edges(rows: DataFrame, distinct: DataFrame, k: int) -> DataFrame | None:
     """Edges of copies beyond the first k+1 of their group; None when there are none."""
-    groups = (
-        distinct.groupBy("dataset_id", "features")
-        .agg(F.sort_array(F.collect_list("row_id")).alias("_ids"))
-        .where(F.size("_ids") == k + 1)
+    crowded, size = measured(
+        distinct.where(F.col("_copy") == k + 1).select("dataset_id", "features")
     )
-    groups, size = measured(groups)
     if size == 0:
         return None
-    side = F.broadcast(groups) if size <= SMALL_BYTES else groups
+    keys = ["dataset_id", "features"]
+    side = sized(
+        distinct.join(sized(crowded), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list("row_id")).alias("_ids"))
+    )
     return (
-        rows.join(side, ["dataset_id", "features"])
+        rows.join(side, keys)
         .where(F.col("row_id") > F.element_at("_ids", -1))
         .select("dataset_id", "row_id", F.posexplode(F.slice("_ids", 1, k)).alias("rank", "nbr_id"))
         .select(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strayfinder.operators.iforest import uniform_hash
 from strayfinder.operators.pairs import matrix
-from strayfinder.session import durable, with_parameters
+from strayfinder.session import durable, measured, with_parameters
 
 # Landmark rows per dataset of the kernel approximation (Williams and Seeger 2001).
 LANDMARKS = 64
@@ -79,7 +79,8 @@ def ocsvm_fit(
 ) -> DataFrame:
     """One row per dataset: feature map, weights and offset."""
     rows = sample_df.select("dataset_id", "row_id", "features")
-    model = durable(_start(sample_df, kernel, seed))
+    # the weights change from pass to pass, their number does not
+    model, size = measured(durable(_start(sample_df, kernel, seed)))
 
     def below(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         phi = _mapped(matrix(part["features"]), side, kernel)
@@ -94,12 +95,12 @@ def ocsvm_fit(
         )
 
     for step in range(passes):
-        model = _with_offset(rows, model, nu, kernel)
+        model = _with_offset(rows, model, nu, kernel, size)
         if step == passes - 1:
             break
         sums = (
             with_parameters(
-                rows, model, below, "dataset_id string, k int, s double, n bigint"
+                rows, model, below, "dataset_id string, k int, s double, n bigint", size
             )
             .groupBy("dataset_id", "k")
             .agg((F.sum("s") / F.sum("n")).alias("v"))
@@ -124,7 +125,9 @@ def ocsvm_fit(
     return model
 
 
-def _projections(rows: DataFrame, model: DataFrame, kernel: str) -> DataFrame:
+def _projections(
+    rows: DataFrame, model: DataFrame, kernel: str, size: int | None = None
+) -> DataFrame:
     def project(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         phi = _mapped(matrix(part["features"]), side, kernel)
         return pd.DataFrame(
@@ -136,15 +139,17 @@ def _projections(rows: DataFrame, model: DataFrame, kernel: str) -> DataFrame:
         )
 
     return with_parameters(
-        rows, model, project, "dataset_id string, row_id bigint, score double"
+        rows, model, project, "dataset_id string, row_id bigint, score double", size
     )
 
 
-def _with_offset(rows: DataFrame, model: DataFrame, nu: float, kernel: str) -> DataFrame:
+def _with_offset(
+    rows: DataFrame, model: DataFrame, nu: float, kernel: str, size: int
+) -> DataFrame:
     """Set ``rho`` to the nu-quantile of w . phi(x); a mergeable sketch of bounded size."""
     centred = model.withColumn("rho", F.lit(0.0))
     rho = (
-        _projections(rows, centred, kernel)
+        _projections(rows, centred, kernel, size)
         .groupBy("dataset_id")
         .agg(F.percentile_approx(-F.col("score"), float(nu), 10_000).alias("rho"))
     )

@@ -25,19 +25,25 @@ def feature_base(sample_df: DataFrame) -> DataFrame:
     rows without features appear under a NULL ``f_idx``, so ``validate_base`` needs no other scan.
     """
     v = F.col("value")
-    flat = is_flat(F.stddev_pop(v), F.avg(v))
     cell = sample_df.select("dataset_id", F.posexplode_outer("features").alias("f_idx", "value"))
-    return cell.groupBy("dataset_id", "f_idx").agg(
+    base = cell.groupBy("dataset_id", "f_idx").agg(
         F.count(v).alias("n"),
         F.avg(v).alias("mean"),
         F.var_pop(v).alias("var"),
-        F.stddev_pop(v).alias("std"),
         F.min(v).alias("lo"),
         F.max(v).alias("hi"),
-        F.when(~flat, F.skewness(shape_input(v))).alias("skewness"),
-        F.when(~flat, F.kurtosis(shape_input(v))).alias("kurtosis"),
+        F.skewness(shape_input(v)).alias("_skewness"),
+        F.kurtosis(shape_input(v)).alias("_kurtosis"),
         F.count(F.lit(1)).alias("n_rows"),
     )
+    std = F.sqrt("var")
+    varies = ~is_flat(std, F.col("mean"))
+    return base.select(
+        "dataset_id", "f_idx", "n", "mean", "var", std.alias("std"), "lo", "hi",
+        F.when(varies, F.col("_skewness")).alias("skewness"),
+        F.when(varies, F.col("_kurtosis")).alias("kurtosis"),
+        "n_rows",
+    )
 
 
 def validate_base(base: DataFrame) -> DataFrame:

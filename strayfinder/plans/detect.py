@@ -113,7 +113,10 @@ def performance_table(sample_df: DataFrame, models: DataFrame, seed: int = 0) ->
 
     Models are fitted on all rows; rows without a label are left out of the evaluation only.
     """
-    labels = sample_df.where(F.col("label").isNotNull()).select("dataset_id", "row_id", "label")
+    # labels are often few; measured as small they are broadcast and the scores are not shuffled
+    labels = sized(
+        sample_df.where(F.col("label").isNotNull()).select("dataset_id", "row_id", "label")
+    )
     out = None
     # one evaluation per family keeps each job's plan small
     for row in models.select("family").distinct().orderBy("family").collect():

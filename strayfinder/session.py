@@ -156,14 +156,17 @@ def with_parameters(
     params: DataFrame,
     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
+    size: int | None = None,
 ) -> DataFrame:
     """Apply ``fn(rows of one dataset, that dataset's parameters)`` in Arrow batches.
 
     Parameter tables measured as small are broadcast and ``rows`` is not shuffled. Larger ones meet
     their rows in a co-grouped shuffle on (dataset, block); a large dataset spans many blocks, so
-    no task holds more than about ``BLOCK_ROWS`` of its rows.
+    no task holds more than about ``BLOCK_ROWS`` of its rows. Pass ``size`` in bytes when the same
+    table was measured before.
     """
-    params, size = measured(params)
+    if size is None:
+        params, size = measured(params)
     if size <= SMALL_BYTES:
         by_dataset = dict(iter(params.toPandas().groupby("dataset_id", sort=False)))
         shared = rows.sparkSession.sparkContext.broadcast(by_dataset)
