@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.functions.scalar import flag, is_flat, normality_p, shape_input, summaries
+from strayfinder.functions.scalar import flag, is_flat, normality_p, summaries
 from strayfinder.operators.pooled import value_counts
 from strayfinder.session import sized
 from strayfinder.sources.datasets import cells
@@ -19,29 +19,43 @@ FEATURE_BLOCKS = (
 
 
 def feature_base(sample_df: DataFrame) -> DataFrame:
-    """Count, range and population moments of every feature in one scan.
+    """Count, range, shape and central moments of every feature, in two scans.
 
-    Skewness and kurtosis of a constant feature are NULL. ``n_rows`` counts missing values too, and
-    rows without features appear under a NULL ``f_idx``, so ``validate_base`` needs no other scan.
+    The first scan finds count, mean and range; the second averages powers of the distance from
+    the mean, which is accurate far from zero and needs plain sums only. Skewness and kurtosis of a
+    constant feature are NULL. ``n_rows`` counts missing values too, and rows without features
+    appear under a NULL ``f_idx``, so ``validate_base`` needs no other scan.
     """
+    keys = ["dataset_id", "f_idx"]
     v = F.col("value")
-    cell = sample_df.select("dataset_id", F.posexplode_outer("features").alias("f_idx", "value"))
-    base = cell.groupBy("dataset_id", "f_idx").agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.var_pop(v).alias("var"),
-        F.min(v).alias("lo"),
-        F.max(v).alias("hi"),
-        F.skewness(shape_input(v)).alias("_skewness"),
-        F.kurtosis(shape_input(v)).alias("_kurtosis"),
-        F.count(F.lit(1)).alias("n_rows"),
+    outer = sample_df.select("dataset_id", F.posexplode_outer("features").alias("f_idx", "value"))
+    first = sized(
+        outer.groupBy(*keys).agg(
+            F.count(v).alias("n"),
+            F.avg(v).alias("mean"),
+            F.min(v).alias("lo"),
+            F.max(v).alias("hi"),
+            F.count(F.lit(1)).alias("n_rows"),
+        )
+    )
+    d = v - F.col("mean")
+    powers = {2: d * d, 3: d * d * d}
+    powers[4] = powers[2] * powers[2]
+    for k in range(5, 11):
+        powers[k] = powers[k // 2] * powers[k - k // 2]
+    second = (
+        cells(sample_df)
+        .join(first.select(*keys, "mean"), keys)
+        .groupBy(*keys)
+        .agg(*[F.avg(p).alias(f"moment_{k}") for k, p in powers.items()])
     )
-    std = F.sqrt("var")
+    var, std = F.col("moment_2"), F.sqrt("moment_2")
     varies = ~is_flat(std, F.col("mean"))
-    return base.select(
-        "dataset_id", "f_idx", "n", "mean", "var", std.alias("std"), "lo", "hi",
-        F.when(varies, F.col("_skewness")).alias("skewness"),
-        F.when(varies, F.col("_kurtosis")).alias("kurtosis"),
+    return first.join(second, keys, "left").select(
+        *keys, "n", "mean", var.alias("var"), std.alias("std"), "lo", "hi",
+        F.when(varies, F.col("moment_3") / F.pow(std, F.lit(3))).alias("skewness"),
+        F.when(varies, F.col("moment_4") / (var * var) - 3).alias("kurtosis"),
+        *[f"moment_{k}" for k in MOMENT_ORDERS],
         "n_rows",
     )
 
@@ -71,20 +85,6 @@ def validate_base(base: DataFrame) -> DataFrame:
     return base
 
 
-def central_moments(sample_df: DataFrame, base: DataFrame) -> DataFrame:
-    """Central moments of order 5 to 10; a second scan against the means."""
-    d = F.col("value") - F.col("mean")
-    cell = cells(sample_df).join(base.select("dataset_id", "f_idx", "mean"), ["dataset_id", "f_idx"])
-    powers = {2: d * d}
-    powers[4] = powers[2] * powers[2]
-    powers[5] = powers[4] * d
-    for k in range(6, 11):
-        powers[k] = powers[k - 1] * d
-    return cell.groupBy("dataset_id", "f_idx").agg(
-        *[F.avg(powers[k]).alias(f"moment_{k}") for k in MOMENT_ORDERS]
-    )
-
-
 def count_features(counts: DataFrame) -> DataFrame:
     """Distinct share and natural-log entropy over n, from value counts."""
     c = F.col("c").cast("double")
@@ -112,11 +112,7 @@ def feature_stats(
     base = sized(feature_base(sample_df)) if base is None else base
     counts = value_counts(sample_df) if counts is None else counts
     keys = ["dataset_id", "f_idx"]
-    return (
-        normality(base)
-        .join(central_moments(sample_df, base), keys)
-        .join(count_features(counts), keys)
-    )
+    return normality(base).join(count_features(counts), keys)
 
 
 def feature_summaries(stats: DataFrame, blocks: tuple[str, ...] = FEATURE_BLOCKS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strayfinder.session import SMALL_BYTES, running_sums, sized
+from strayfinder.session import durable, running_sums, sized
 from strayfinder.sources.datasets import cells
 
 # Percentile arguments (fixed values). They are read as percents, so "q25" is the 0.25th percent;
@@ -127,13 +127,14 @@ def pooled(
     """The 29 pooled meta-features, one row per dataset.
 
     Every order statistic comes from value counts, so the sorted data is the distinct values only.
-    The identical count shuffle in the three branches below is planned once and reused.
+    The counts are written once and read by the three steps below. ``counts`` may be given per
+    feature: equal values are ranked in any order without changing the result.
     """
     base = sized(pooled_base(sample_df) if base is None else base)
     if counts is None:
-        counts = pooled_counts(sample_df)
-    size = base.agg(F.max("n_cells").alias("cells"), F.count(F.lit(1)).alias("datasets")).first()
-    biggest = size.cells or 0
+        counts = durable(pooled_counts(sample_df))
+    counts = counts.select("dataset_id", "value", "c")
+    biggest = base.agg(F.max("n_cells")).first()[0] or 0
     keyed = counts.join(base.select("dataset_id", "n_cells", "sample_min"), "dataset_id")
     ranked = running_sums(
         keyed, ["dataset_id"], "value", {"upto": "c"}, max_group=biggest, window_rows=window_rows
@@ -143,7 +144,7 @@ def pooled(
     order = exact_quantiles(
         ranked, "n_cells", probabilities, [gini().alias("sample_gini")]
     ).withColumn("iqr", F.col("q75") - F.col("q25"))
-    centre = base.join(order, "dataset_id")
+    centre = sized(base.join(order, "dataset_id"))
     bounds = centre.select(
         "dataset_id",
         "n_cells",
@@ -164,9 +165,6 @@ def pooled(
             for x in (lo.alias(f"lo_{tag}"), hi.alias(f"hi_{tag}"))
         ],
     )
-    # one row of 12 numbers for each dataset counted in ``base``
-    if size.datasets * 200 <= SMALL_BYTES:
-        bounds = F.broadcast(bounds)
     spread = counts.join(bounds, "dataset_id")
     tags = ("15iqr", "3iqr", "1_99", "3std")
     outside = {t: (F.col("value") < F.col(f"lo_{t}")) | (F.col("value") > F.col(f"hi_{t}")) for t in tags}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strayfinder.functions.scalar import SUMMARY_PARTS, clean
 from strayfinder.operators import hbos, iforest, loda, pairs, per_feature, pooled, spectral
-from strayfinder.session import sized
+from strayfinder.session import durable, sized
 
 
 def _summary_names(*blocks: str) -> list[str]:
@@ -56,12 +56,12 @@ def statistics(
         base = sized(per_feature.feature_base(sample_df))
     if products is None:
         products = pairs.cross_products(sample_df, base).persist()
-    counts = pooled.value_counts(sample_df)
-    pooled_values = counts.groupBy("dataset_id", "value").agg(F.sum("c").alias("c"))
+    # the only shuffle that grows with the data; entropy, sparsity and all order statistics read it
+    counts = durable(pooled.value_counts(sample_df))
     stats = per_feature.feature_stats(sample_df, base, counts)
     parts = [
         to_long(
-            pooled.pooled(sample_df, quantile_scale, pooled.merged_base(base), pooled_values)
+            pooled.pooled(sample_df, quantile_scale, pooled.merged_base(base), counts)
         ),
         per_feature.feature_summaries(stats),
         pairs.pair_summaries(pairs.pair_stats(products, base)),

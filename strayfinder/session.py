@@ -107,7 +107,7 @@ def running_sums(
 ) -> DataFrame:
     """Add running totals ``{output: input}`` over ``order`` within ``keys``, exact at any size.
 
-    ``order`` must be unique within ``keys``. Groups proven small use one window. Otherwise rows
+    Equal values of ``order`` are added one row at a time, in any order. Groups proven small use one window. Otherwise rows
     are range-partitioned on (keys, order), so a group holding most of the data is cut into many
     sorted pieces, and each piece adds the totals of the pieces before it.
     """

@@ -233,10 +233,7 @@ SELECT dataset_id, CAST(f_idx AS INTEGER) AS f_idx,
 FROM shape""",
 )
 def mf18_moments(spark, sf):
-    shaped = x.lineitem(spark, sf)
-    base = sized(per_feature.feature_base(shaped))
-    out = per_feature.central_moments(shaped, base).join(base, ["dataset_id", "f_idx"])
-    return out.select(
+    return per_feature.feature_base(x.lineitem(spark, sf)).select(
         "dataset_id",
         "f_idx",
         *[
