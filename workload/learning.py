@@ -236,7 +236,13 @@ def rec1_mat1_embedding(spark, sf):
     return factorize.embed(vectors, factorize.fit_embedding(vectors, 3))
 
 
+# Small data may miss entries; like the operator, the SQL fills them with the model's mean.
 _MONTH_SQL = f"""{x.MONTHLY},
+complete AS (
+  SELECT d.dataset_id, m.model_id, coalesce(ap, mean_ap) AS ap
+  FROM (SELECT DISTINCT dataset_id FROM monthly) d,
+       (SELECT model_id, avg(ap) AS mean_ap FROM monthly GROUP BY model_id) m
+  LEFT JOIN monthly ON monthly.dataset_id = d.dataset_id AND monthly.model_id = m.model_id),
 mu AS (
   SELECT c_mktsegment || '/' || o_orderpriority AS dataset_id,
          [avg(o_totalprice) / 250000 - 1, stddev_pop(o_totalprice) / 150000 - 1] AS u
@@ -256,7 +262,7 @@ phi AS (
   FROM pairs GROUP BY dataset_id, i),
 weighted AS (
   SELECT phi.*, ap, (pow(10, ap) - 1) / (phi * pow(ln(phi), 2)) AS w
-  FROM phi JOIN monthly ON monthly.dataset_id = phi.dataset_id AND monthly.model_id = phi.i)"""
+  FROM phi JOIN complete ON complete.dataset_id = phi.dataset_id AND complete.model_id = phi.i)"""
 
 
 def _month_factors(spark, sf):

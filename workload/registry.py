@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+NUDGE = 1.000000000001
 
 
 def query(name: str, sql: str | None = None):
@@ -21,9 +22,12 @@ def query(name: str, sql: str | None = None):
 
 
 def digits(c: Column | str) -> Column:
-    """Eight significant digits, 0 below 1e-9: hides the order of floating-point sums."""
+    """Eight significant digits, 0 below 1e-9: hides the order of floating-point sums.
+
+    The factor keeps decimals that end in an exact 5 from being rounded differently by two engines.
+    """
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
-    text = F.format_string("%.7e", c)
+    text = F.format_string("%.7e", c * NUDGE)
     return F.when(F.abs(c) < 1e-9, 0.0).when(
         c.isNotNull() & ~F.isnan(c), text.cast("double") + F.lit(0.0)
     )
@@ -38,7 +42,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 def r(expression: str) -> str:
     """The SQL side of ``digits``."""
     x = f"CAST({expression} AS DOUBLE)"
-    return f"CASE WHEN abs({x}) < 1e-9 THEN 0.0 ELSE CAST(printf('%.7e', {x}) AS DOUBLE) + 0.0 END"
+    return (
+        f"CASE WHEN abs({x}) < 1e-9 THEN 0.0 "
+        f"ELSE CAST(printf('%.7e', {x} * CAST({NUDGE!r} AS DOUBLE)) AS DOUBLE) + 0.0 END"
+    )
 
 
 def rs(*columns: str, table: str = "") -> str:
