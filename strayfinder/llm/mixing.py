@@ -134,6 +134,8 @@ def mix(
     seed: int = 7,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies and taken words."""
+    if block < 4 * LANDING:
+        raise ValueError(f"block must be at least {4 * LANDING}")
     sized = durable(
         docs.select(
             docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size")
