@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strayfinder.llm import decontamination, mixing, quality_rules, warc
+from strayfinder.llm import decontamination, mixing, quality_model, quality_rules, toxicity, warc
+from strayfinder.llm.calibration import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +52,23 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf, "pages"))
 
 
+def judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels")), 0.3)
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels")), 0.5)
+
+
 @query("op9_decontaminate")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
