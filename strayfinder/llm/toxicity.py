@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
 Ordinary windows train the first dictionary. Toxic text is mostly ordinary too, so the second one holds
-the same content and, before it, a dictionary trained on the runs of words that toxic texts use in many
-more contexts than ordinary ones do. Contexts are distinct (word, next word) pairs; copies of one text
+the same content and, before it, a dictionary trained on the runs of words that toxic texts use, or
+whose beginning they use, in many more contexts than ordinary ones do. Contexts are distinct (word, next word) pairs; copies of one text
 therefore count once. Every text is cut into windows; a window is the more toxic the shorter the second
 dictionary makes it. The mean gain is turned into a probability by calibrated thresholds (isotonic).
 
@@ -30,12 +30,14 @@ from strayfinder.llm.calibration import Calibration, calibrate, training
 FIT_ROWS = 12_000
 WINDOW = 64
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
-HEADER_BYTES = 256
+#: fixed values: the initial repeat offsets 1, 4, 8 that end a dictionary's header
+REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
+STEMS = (4, 5)
 MAX_WORDS = 2_000
 SAMPLE_BYTES = 4 << 20
 SAMPLE_WINDOW = 256
 RUN = 8
-CONTEXTS, LIFT = 5, 8.0
+CONTEXTS, TEXTS, LIFT = 5, 3, 8.0
 LOW, HIGH = -4.0, 16.0
 BREAK = r"[ \t\n\x0B\f\r]+"
 
@@ -57,28 +59,41 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
 
 
-def marked_words(taught: DataFrame, most: int = MAX_WORDS) -> list[str]:
-    """Words with many contexts in toxic texts and far fewer, by share, in ordinary ones."""
-    words = taught.select("label", _words(F.col("text")).alias("w"))
-    # a context is (word, next word)
-    pairs = words.select("label", F.explode(F.arrays_zip("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("n"))).alias("p"))
-    contexts = pairs.select("label", F.col("p.w").alias("word"), F.xxhash64("p.n").alias("next")).distinct()
-    counts = contexts.groupBy("word").agg(
-        F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary")
+def _terms(word: Column) -> Column:
+    """A word and its beginnings, which inflected forms share."""
+    return F.array_distinct(F.array(word, *(F.concat(F.substring(word, 1, k), F.lit("*")) for k in STEMS)))
+
+
+def marked_terms(taught: DataFrame, most: int = MAX_WORDS) -> list[str]:
+    """Words and beginnings (``abcd*``) with many contexts in toxic texts and, by share, few in others."""
+    words = taught.select("id", "label", _words(F.col("text")).alias("w"))
+    following = F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("n")
+    pairs = words.select("id", "label", F.explode(F.arrays_zip("w", following)).alias("p"))
+    # all copies of a context belong to the first text that has it
+    contexts = pairs.groupBy("label", F.col("p.w").alias("w"), F.xxhash64("p.n").alias("next")).agg(
+        F.min("id").alias("id")
+    )
+    counts = contexts.select("label", "id", F.explode(_terms(F.col("w"))).alias("term")).groupBy("term").agg(
+        F.count_if(F.col("label") == 1).alias("toxic"),
+        F.count_if(F.col("label") == 0).alias("ordinary"),
+        F.approx_count_distinct(F.when(F.col("label") == 1, F.col("id"))).alias("texts"),
     )
-    totals = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    toxic, ordinary = (float(x or 0) for x in totals)
+    toxic, ordinary = (float(x or 0) for x in contexts.agg(
+        F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    ).first())
     share = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("ordinary") + 0.5) / (ordinary + 1))
-    chosen = counts.where((F.col("toxic") >= CONTEXTS) & (share >= LIFT))
-    return [r["word"] for r in chosen.orderBy(F.desc("toxic"), "word").limit(most).collect()]
+    chosen = counts.where((F.col("toxic") >= CONTEXTS) & (F.col("texts") >= TEXTS) & (share >= LIFT))
+    return [r["term"] for r in chosen.orderBy(F.desc("toxic"), "term").limit(most).collect()]
 
 
 def _train(size: int, samples: list[bytes]) -> bytes:
-    """Dictionary content of about ``size`` bytes; too few samples are taken as they are."""
+    """Dictionary content of at most ``size`` bytes; too few samples are taken as they are."""
     try:
-        return zs.train_dictionary(size, samples).as_bytes()[HEADER_BYTES - size :]
+        whole = zs.train_dictionary(size, samples).as_bytes()
     except zs.ZstdError:
         return b"".join(samples)[-size:]
+    head, mark, content = whole.partition(REPEATS)  # entropy tables end with the repeat offsets
+    return content if mark else whole
 
 
 def _samples(rows: DataFrame, column: str, limit: int) -> list[bytes]:
@@ -113,7 +128,7 @@ class Dictionaries:
 
 def train(taught: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_words: int = MAX_WORDS) -> Dictionaries:
     """Both dictionaries from (id, label, text) rows."""
-    marked = marked_words(taught, max_words)
+    marked = marked_terms(taught, max_words)
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     begin = F.pmod(F.xxhash64("id"), F.greatest(F.length(text) - SAMPLE_WINDOW, F.lit(0)) + 1) + 1
     ordinary = taught.where((F.col("label") == 0) & (F.length(text) > 0)).select(
@@ -122,7 +137,8 @@ def train(taught: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_words: int =
     base = _train(ORDINARY_BYTES, _samples(ordinary, "s", sample_bytes))
     if not marked:
         return Dictionaries(base, base)
-    hits = F.filter(_words(F.col("text")), lambda w: w.isin(marked))
+    terms = F.array(*(F.lit(t) for t in marked))
+    hits = F.filter(_words(F.col("text")), lambda w: F.arrays_overlap(_terms(w), terms))
     runs = (
         taught.where(F.col("label") == 1)
         .select(hits.alias("w"))
