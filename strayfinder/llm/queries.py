@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strayfinder.llm import decontamination, mixing, quality_model, quality_rules, toxicity, warc
+from strayfinder.llm import (
+    decontamination, licenses, mixing, pii, quality_model, quality_rules, toxicity, warc,
+)
 from strayfinder.llm.calibration import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +71,21 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return judged(toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels")), 0.5)
 
 
+@query("op7_license_scan")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents"))
+    counts = [pii.number(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op9_decontaminate")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
