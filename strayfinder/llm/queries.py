@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strayfinder.llm import (
-    decontamination, licenses, mixing, pii, quality_model, quality_rules, toxicity, warc,
+    decontamination, jaccard, licenses, mixing, pii, quality_model, quality_rules, toxicity, warc,
 )
 from strayfinder.llm.calibration import held_out
 
@@ -29,6 +29,31 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query(
+    "op1_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), common AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+    ), links AS (
+      SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+    ), reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    )
+    SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+    FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id, n.n
+    """,
+)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf, "documents"))
+
+
 @query("op3_mix_sources")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
