@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strayfinder.llm import (
-    decontamination, jaccard, licenses, mixing, pii, quality_model, quality_rules, toxicity, warc,
+    decontamination, jaccard, licenses, mixing, pii, quality_model, quality_rules, suffix_dedup, toxicity, warc,
 )
 from strayfinder.llm.calibration import held_out
 
@@ -54,6 +54,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.classes(table(spark, sf, "documents"))
 
 
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf, "documents"))
+
+
 @query("op3_mix_sources")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))

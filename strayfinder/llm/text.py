@@ -114,6 +114,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``count`` powers of the hash multiplier, and of its inverse."""
+    return _POWERS.of(count)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every byte span; spans are sorted and may only overlap within a piece."""
     out = np.empty(len(starts), dtype=np.uint64)
@@ -121,7 +126,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     while low < len(starts):
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + PIECE_BYTES, "right")))
         base = int(starts[low])
-        up, down = _POWERS.of(int(ends[high - 1]) - base + 1)
+        up, down = multipliers(int(ends[high - 1]) - base + 1)
         part = data[base : int(ends[high - 1])].astype(np.uint64) + np.uint64(1)
         part *= up[: len(part)]
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))
