@@ -87,11 +87,39 @@ def validate_labels(sample_df: DataFrame) -> DataFrame:
     return sample_df
 
 
-def arff_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of every ARFF file under ``path`` with their file path."""
-    return spark.read.text(path, recursiveFileLookup=True).select(
-        F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path")
+def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(line, path, row_id, head) of text files: ``head`` marks the first line of a file.
+
+    Paths are decoded. ``row_id`` grows with the place in a file and differs between files. Large files
+    are split, so a file's first line is the first row of the split that begins at its byte 0.
+    """
+    raw = spark.read.text(paths, recursiveFileLookup=True).select(
+        F.trim(F.regexp_replace("value", "\r$", "")).alias("line"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("row_id"),
+    )
+    # one row per file: its paths and first lines are the bounded input of the scan
+    first = (
+        raw.where("_start = 0").groupBy(F.col("path").alias("_path")).agg(F.min("row_id").alias("_first"))
     )
+    decoded = F.url_decode(F.regexp_replace("path", "\\+", "%2B"))
+    return raw.join(sized(first), F.col("path") == F.col("_path"), "left").select(
+        "line", decoded.alias("path"), "row_id", F.coalesce(F.col("row_id") == F.col("_first"), F.lit(False)).alias("head")
+    )
+
+
+def fields(line: Column) -> Column:
+    """The values of a CSV line; commas inside double quotes don't split."""
+    quoted = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    parts = F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
+    return F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', "")))
+
+
+def _numbers(parts: Column, start: int, drop_last: int = 0) -> Column:
+    """Values from position ``start`` as doubles; text that is no number is NULL."""
+    width = F.greatest(F.size(parts) - F.lit(start + drop_last), F.lit(0))
+    return F.transform(F.slice(parts, F.lit(start + 1), width), lambda x: x.try_cast("double") + F.lit(0.0))
 
 
 def read_arff(
@@ -99,15 +127,15 @@ def read_arff(
     path: str,
     second_last: Sequence[str] = LABEL_SECOND_LAST,
     dataset_pattern: str = r"([^/]+)\.arff$",
+    check_labels: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(samples, attributes) of a directory of ARFF files, one dataset per match in the path.
 
     The last two columns hold an id and the label; which of them is the label depends on the path.
-    Files are split line by line, so a large file is read by many tasks.
+    Files are split line by line, so a large file is read by many tasks. A label that is neither 0 nor
+    1 raises, unless ``check_labels`` is off; then it is NULL or what it is.
     """
-    lines = arff_lines(spark, path).withColumn(
-        "dataset_id", F.regexp_extract("path", dataset_pattern, 1)
-    )
+    lines = text_lines(spark, path).withColumn("dataset_id", F.regexp_extract("path", dataset_pattern, 1))
     attributes = lines.where(F.lower("line").startswith("@attribute")).select(
         "dataset_id",
         F.regexp_extract("line", r"(?i)^@attribute\s+('[^']*'|\"[^\"]*\"|\S+)", 1).alias("name"),
@@ -118,16 +146,17 @@ def read_arff(
     moved = F.lit(False)
     for name in second_last:
         moved = moved | F.col("path").contains(name)
-    rows = lines.where((F.col("line") != "") & ~F.col("line").rlike("^[@%]")).withColumn(
-        "parts", F.split("line", r"\s*,\s*")
-    )
-    label = F.when(moved, F.element_at("parts", -2)).otherwise(F.element_at("parts", -1))
-    label = F.regexp_replace(label, "['\"]", "")
-    features = F.transform(
-        F.slice("parts", F.lit(1), F.size("parts") - 2), lambda x: x.try_cast("double")
-    )
+    parts = F.split("line", r"\s*,\s*")
+    # get() instead of element_at(): Spark may move these expressions before the header filter
+    size = F.size(parts)
+    text = F.regexp_replace(F.get(parts, size - F.when(moved, 2).otherwise(1)), "['\"]", "")
+    label = recode_label(text)
+    if check_labels:
+        wrong = F.concat(F.lit("label must be 0 or 1: "), F.coalesce(text, F.lit("none")), F.lit(" in "), "path")
+        label = F.when(label.isin(0, 1), label).otherwise(F.raise_error(wrong).cast("int"))
+    rows = lines.where((F.col("line") != "") & ~F.col("line").rlike("^[@%]"))
     return (
-        rows.select("dataset_id", features.alias("features"), recode_label(label).alias("label")),
+        rows.select("dataset_id", "row_id", _numbers(parts, 0, 2).alias("features"), label.alias("label")),
         attributes,
     )
 
@@ -138,20 +167,23 @@ def read_csv(
     skip: int = CSV_LEADING,
     dataset_pattern: str = r"([^/]+?)(?:\.csv)?$",
 ) -> DataFrame:
-    """Samples from CSV files with a header: columns from ``skip`` on are the features."""
-    table = spark.read.csv(paths, header=True)
-    return table.select(
-        F.regexp_extract(F.col("_metadata.file_path"), dataset_pattern, 1).alias("dataset_id"),
-        F.array(*[F.col(f"`{c}`").try_cast("double") for c in table.columns[skip:]]).alias(
-            "features"
-        ),
+    """Samples from CSV files whose first line is a header: columns from ``skip`` on are the features.
+
+    Every file has its own width; the header is known by its place, so a line without a number stays,
+    with NULL features for validation to find. Quoted fields may hold commas but no line breaks.
+    """
+    rows = text_lines(spark, paths).where("not head and line <> ''")
+    return rows.select(
+        F.regexp_extract("path", dataset_pattern, 1).alias("dataset_id"),
+        "row_id",
+        _numbers(fields(F.col("line")), skip).alias("features"),
     )
 
 
 def read_manifest(spark: SparkSession, manifest: str, root: str, skip: int = CSV_LEADING):
     """Samples of every file a manifest lists; ``bench.id`` names the dataset.
 
-    Files may differ in width, so rows are read as text and split; the header line is dropped.
+    A location is a file or a folder below ``root``. A file that no location names raises.
     """
     listed = spark.read.csv(manifest, header=True).select(
         F.col("`bench.id`").alias("dataset_id"),
@@ -159,30 +191,23 @@ def read_manifest(spark: SparkSession, manifest: str, root: str, skip: int = CSV
     )
     # a manifest lists files or folders, not rows: its paths are the bounded input of the scan
     paths = [f"{root.rstrip('/')}/{r.location}" for r in listed.select("location").toLocalIterator()]
-    lines = spark.read.text(paths).select(
-        F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path")
-    )
-    parts = F.transform(F.split("line", ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
-    values = F.transform(
-        F.slice(parts, F.lit(skip + 1), F.greatest(F.size(parts) - skip, F.lit(0))),
-        lambda x: x.try_cast("double"),
-    )
-    rows = lines.where("line <> ''").select("path", values.alias("features"))
-    header = F.forall("features", lambda x: x.isNull())
-    # a location is a file or a folder below the root; both are equality lookups in a small table
+    rows = text_lines(spark, paths).where("not head and line <> ''")
     relative = F.ltrim(F.substring_index("path", root.rstrip("/"), -1), F.lit("/"))
     folder = F.regexp_replace("_file", "/[^/]*$", "")
-    by_file = listed.select(F.col("location").alias("_file"), F.col("dataset_id").alias("_by_file"))
-    by_folder = listed.select(
-        F.col("location").alias("_folder"), F.col("dataset_id").alias("_by_folder")
-    )
+    trimmed = F.regexp_replace("location", "^/+|/+$", "")
+    by_file = listed.select(trimmed.alias("_file"), F.col("dataset_id").alias("_by_file"))
+    by_folder = listed.select(trimmed.alias("_folder"), F.col("dataset_id").alias("_by_folder"))
+    unknown = F.raise_error(F.concat(F.lit("the manifest names no location of "), "path")).cast("string")
     return (
-        rows.where(~header)
-        .withColumn("_file", relative)
+        rows.withColumn("_file", relative)
         .withColumn("_folder", folder)
         .join(sized(by_file), "_file", "left")
         .join(sized(by_folder), "_folder", "left")
-        .select(F.coalesce("_by_file", "_by_folder").alias("dataset_id"), "features")
+        .select(
+            F.coalesce("_by_file", "_by_folder", unknown).alias("dataset_id"),
+            "row_id",
+            _numbers(fields(F.col("line")), skip).alias("features"),
+        )
     )
 
 

@@ -19,6 +19,7 @@ from strayfinder.operators.ranking import top_models
 from strayfinder.session import checkpoint_folder
 from strayfinder.sources import catalog
 from strayfinder.sources.datasets import (
+    cells,
     performance_long,
     read_arff,
     read_csv,
@@ -48,6 +49,17 @@ FROM events GROUP BY ALL""",
 )
 def src1_arff(spark, sf):
     """Events written as ARFF files and read back; one dataset keeps its label second to last."""
+    found, _ = read_arff(spark, _write_arff(spark, sf), dataset_pattern=r"dataset=([^/]+)/")
+    out = found.select(
+        "dataset_id",
+        digits(F.col("features")[0]).alias("f0"),
+        digits(F.col("features")[1]).alias("f1"),
+        "label",
+    )
+    return out.groupBy("dataset_id", "f0", "f1", "label").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _write_arff(spark, sf) -> str:
     events = x.table(spark, sf, "events").withColumn("dataset", F.expr(_EVENT_SET))
     label = F.when(F.col("event_id") % 2 == 1, "'yes'").otherwise("'no'")
     tail = F.when(F.col("dataset") == "ALOI-error", F.concat_ws(",", label, "event_id")).otherwise(
@@ -66,14 +78,29 @@ def src1_arff(spark, sf):
     )
     folder = _folder(spark)
     rows.unionByName(head).write.partitionBy("dataset").text(folder)
-    found, _ = read_arff(spark, folder, dataset_pattern=r"dataset=([^/]+)/")
-    out = found.select(
-        "dataset_id",
-        digits(F.col("features")[0]).alias("f0"),
-        digits(F.col("features")[1]).alias("f1"),
-        "label",
+    return folder
+
+
+def _cells_sql(table: str, dataset: str, values: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(
+        f"""
+SELECT {dataset} AS dataset_id, {i} AS f_idx, count({v}) AS n, {r(f'sum(CAST({v} AS DOUBLE))')} AS total,
+       {r(f'min({v})')} AS least, {r(f'max({v})')} AS most FROM {table} GROUP BY ALL"""
+        for i, v in enumerate(values)
+    )
+
+
+def _cell_sums(found):
+    """The read-back rows exploded to cells, as profiles use them."""
+    value = F.col("value")
+    return (
+        cells(found)
+        .groupBy("dataset_id", "f_idx")
+        .agg(
+            F.count(value).alias("n"), digits(F.sum(value)).alias("total"),
+            digits(F.min(value)).alias("least"), digits(F.max(value)).alias("most"),
+        )
     )
-    return out.groupBy("dataset_id", "f0", "f1", "label").agg(F.count(F.lit(1)).alias("c"))
 
 
 _CSV_SQL = f"""
@@ -101,6 +128,23 @@ def _counted(found):
     return out.groupBy("dataset_id", "f0", "f1").agg(F.count(F.lit(1)).alias("c"))
 
 
+@query("src1_arff_cells", _cells_sql("events", _EVENT_SET, ("value", "hour(ts)")))
+def src1_arff_cells(spark, sf):
+    found, _ = read_arff(spark, _write_arff(spark, sf), dataset_pattern=r"dataset=([^/]+)/")
+    return _cell_sums(found)
+
+
+@query("src2_csv_cells", _cells_sql("customer", "c_mktsegment", ("c_acctbal", "c_nationkey")))
+def src2_csv_cells(spark, sf):
+    pattern = r"c_mktsegment=([^/]+)/"
+    return _cell_sums(read_csv(spark, f"{_write_csv(spark, sf)}/*", dataset_pattern=pattern))
+
+
+@query("src3_manifest_cells", _cells_sql("customer", "c_mktsegment", ("c_acctbal", "c_nationkey")))
+def src3_manifest_cells(spark, sf):
+    return _cell_sums(read_manifest(spark, *_listed(spark, sf)))
+
+
 @query("src2_csv", _CSV_SQL)
 def src2_csv(spark, sf):
     """Customers written as CSV with six leading columns, one folder per dataset, and read back."""
@@ -114,6 +158,11 @@ def src2_csv(spark, sf):
 @query("src3_manifest", _CSV_SQL)
 def src3_manifest(spark, sf):
     """The same files found through a manifest of locations."""
+    return _counted(read_manifest(spark, *_listed(spark, sf)))
+
+
+def _listed(spark, sf) -> tuple[str, str]:
+    """A manifest of the CSV folders, and their root."""
     root = _write_csv(spark, sf)
     segments = x.table(spark, sf, "customer").select("c_mktsegment").distinct()
     manifest = _folder(spark)
@@ -121,7 +170,7 @@ def src3_manifest(spark, sf):
         F.col("c_mktsegment").alias("bench.id"),
         F.concat(F.lit("c_mktsegment="), "c_mktsegment").alias("location"),
     ).write.csv(manifest, header=True)
-    return _counted(read_manifest(spark, manifest, root))
+    return manifest, root
 
 
 @query(
