@@ -6,55 +6,47 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-# Above this many degrees of freedom the normal approximation is exact to double rounding noise.
-_LARGE_DF = 20_000.0
-
-
-def _beta_tail(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta I_x(a, 1/2) by its continued fraction (modified Lentz)."""
-    b = 0.5
-    mirrored = x > (a + 1) / (a + b + 2)
-    p, q = np.where(mirrored, b, a), np.where(mirrored, a, b)
-    z = np.where(mirrored, 1 - x, x)
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log_front = (
-            lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(z) + q * np.log1p(-z) - np.log(p)
-        )
-    tiny = 1e-300
-    d = 1 - (p + q) * z / (p + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    c = np.ones_like(z)
-    value = d.copy()
-    for m in range(1, 2000):
-        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
-        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
-        for term in (even, odd):
-            d = 1 + term * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + term / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            step = c * d
-            value = value * step
-        if np.all(np.abs(step - 1) < 1e-15):
-            break
-    tail = np.where(z <= 0, 0.0, np.exp(log_front) * value)
-    return np.where(mirrored, 1 - tail, tail)
+# Nodes of the integral, and the exponent at which the rest of the tail no longer counts.
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(128)
+_DROP = 45.0
+# The gamma ratio is taken this far up, where its series has converged.
+_SHIFT = 24
+
+
+def _log_gamma_ratio(a: np.ndarray) -> np.ndarray:
+    """log gamma(a + 1/2) - log gamma(a), without the difference of two large numbers."""
+    steps = sum(np.log1p(0.5 / (a + j)) for j in range(_SHIFT))
+    x = a + _SHIFT
+    series = 0.5 * np.log(x) - 1 / (8 * x) + 1 / (192 * x**3) - 1 / (640 * x**5) + 17 / (14336 * x**7)
+    return series - steps
+
+
+def _log_cosh(z: np.ndarray) -> np.ndarray:
+    small = np.minimum(z, 1.0)
+    return np.where(z < 1.0, np.log1p(2 * np.sinh(small / 2) ** 2), z + np.log1p(np.exp(-2 * z)) - math.log(2))
 
 
 def f_tail(f: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(F(1, df) > f)."""
+    """P(F(1, df) > f), by one method at every size.
+
+    F(1, df) is the square of Student's t; with t = sqrt(df) sinh(y) its tail is an integral of
+    cosh(y) ** -df, which decays smoothly from its lower end: Gauss-Legendre nodes up to where it has
+    fallen by exp(-45) give it to rounding noise.
+    """
     f, df = np.asarray(f, float), np.asarray(df, float)
     out = np.full(f.shape, np.nan)
     known = np.isfinite(f) & np.isfinite(df) & (df > 0)
-    small = known & (df <= _LARGE_DF)
-    large = known & (df > _LARGE_DF)
-    if small.any():
-        out[small] = _beta_tail(df[small] / (df[small] + f[small]), df[small] / 2)
-    if large.any():
-        d = df[large]
-        z = (8 * d + 1) / (8 * d + 3) * np.sqrt(d * np.log1p(f[large] / d))
-        out[large] = np.vectorize(math.erfc, otypes=[float])(z / math.sqrt(2))
+    v, x = df[known], np.sqrt(np.maximum(f[known], 0.0) / df[known])
+    low = np.arcsinh(x)
+    start = 0.5 * v * np.log1p(x * x)
+    # where the exponent is start + _DROP: log cosh(y) = level
+    level = (start + _DROP) / v
+    high = level + np.log1p(np.sqrt(-np.expm1(-2 * level)))
+    half = (high - low) / 2
+    y = low[:, None] + half[:, None] * (_NODES + 1)
+    inner = (np.exp(start[:, None] - v[:, None] * _log_cosh(y)) * _WEIGHTS).sum(axis=1)
+    front = _log_gamma_ratio(v / 2) - start - 0.5 * math.log(math.pi)
+    out[known] = np.minimum(2 * np.exp(front) * half * inner, 1.0)
     return out
 
 

@@ -36,28 +36,27 @@ def tree_samples(
 ) -> DataFrame:
     """(dataset_id, tree, row_id, features): at most 256 rows per tree, without replacement.
 
-    A tree takes the rows of smallest hash. Rows are thinned by a hash threshold first, so a large
-    dataset sends about ``2 * 256 * trees`` rows on, however many it has, and only about 400 of
-    them are ranked per tree.
+    A tree takes the rows of smallest hash. Which trees a row is offered to is decided row by row,
+    independently for every tree, before anything is copied: about 400 rows a tree, from all rows.
     """
     if counts is None:
         counts = sample_df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_rows"))
     counts = sized(counts.select("dataset_id", F.col("n_rows").alias("_n")))
-    first_rate = F.least(F.lit(1.0), 2.0 * SUBSAMPLE * trees / F.col("_n"))
-    thinned = (
+    rate = F.least(F.lit(1.0), 400.0 / F.col("_n"))
+    offered_to = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda tree: uniform_hash(F.lit(seed), tree, "row_id") < F.col("_rate"),
+    )
+    offered = (
         sample_df.select("dataset_id", "row_id", "features")
         .join(counts, "dataset_id")
-        .withColumn("_rate", first_rate)
-        .where(uniform_hash(F.lit(seed), F.lit("thin"), "row_id") < F.col("_rate"))
+        .withColumn("_rate", rate)
+        .withColumn("tree", F.explode(offered_to))
+        .withColumn("_u", uniform_hash(F.lit(seed), "tree", "row_id"))
     )
-    second_rate = F.least(F.lit(1.0), 400.0 / (F.col("_n") * F.col("_rate")))
-    offered = thinned.withColumn(
-        "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    ).withColumn("_u", uniform_hash(F.lit(seed), "tree", "row_id"))
     w = Window.partitionBy("dataset_id", "tree").orderBy("_u", "row_id")
     return (
-        offered.where(F.col("_u") < second_rate)
-        .withColumn("_r", F.row_number().over(w))
+        offered.withColumn("_r", F.row_number().over(w))
         .where(F.col("_r") <= SUBSAMPLE)
         .select("dataset_id", "tree", "row_id", "features")
     )

@@ -21,8 +21,6 @@ from strayfinder.session import durable
 
 EMBEDDING_SCHEMA = "component int, weights array<double>, center double, scale double"
 FACTOR_SCHEMA = "model_id int, v array<double>"
-# V moves by the summed gradient of at most this many datasets; larger batches are damped.
-FULL_STEP_DATASETS = 32
 # Pair matrices of models held by one task at a time, in doubles.
 _PAIR_CELLS = 4_000_000
 
@@ -108,14 +106,26 @@ def score_models(dataset_factors: DataFrame, model_factors: DataFrame) -> DataFr
     )
 
 
-def rating_vectors(performance: DataFrame) -> DataFrame:
-    """(dataset_id, ratings): quality of all models in model order, one array per dataset."""
-    packed = F.array_sort(F.collect_list(F.struct("model_id", "ap")))
-    return performance.groupBy("dataset_id").agg(packed.alias("_r")).select(
-        "dataset_id", F.col("_r.ap").alias("ratings")
+def rating_vectors(performance: DataFrame, ids: Iterable[int] | None = None) -> DataFrame:
+    """(dataset_id, ratings): quality of all models in the order of ``ids``, one array per dataset.
+
+    ``ids`` defaults to all models of the table, in order. A missing or NULL rating is NULL, so all
+    arrays have the same length.
+    """
+    if ids is None:
+        ids = sorted(r.model_id for r in performance.select("model_id").distinct().collect())
+    order = F.array(*[F.lit(int(i)) for i in ids])
+    rated = F.map_from_entries(F.collect_list(F.struct(F.col("model_id").cast("int"), "ap")))
+    return performance.groupBy("dataset_id").agg(rated.alias("_r")).select(
+        "dataset_id", F.transform(order, lambda m: F.col("_r")[m]).alias("ratings")
     )
 
 
+def _gains(ratings: np.ndarray) -> np.ndarray:
+    """What a model adds to the objective; one without a rating adds nothing."""
+    return np.nan_to_num(10.0 ** ratings - 1.0, nan=0.0)
+
+
 # ------------------------------------------------------------------------------ the objective
 
 
@@ -128,8 +138,12 @@ def _smooth_ranks(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def objective(dataset_factors: DataFrame, ratings: DataFrame, model_factors: DataFrame) -> DataFrame:
-    """(dataset_id, model_id, phi, term): smooth rank and its discounted gain, per model."""
-    v = factor_matrix(model_factors)
+    """(dataset_id, model_id, phi, term): smooth rank and its discounted gain, per model.
+
+    ``ratings`` follow the order of the model ids.
+    """
+    rows = model_factors.orderBy("model_id").collect()
+    ids, v = np.array([r.model_id for r in rows]), np.array([r.v for r in rows])
 
     def run(batches):
         for batch in batches:
@@ -137,11 +151,11 @@ def objective(dataset_factors: DataFrame, ratings: DataFrame, model_factors: Dat
             for start in range(0, len(batch), _chunk(v)):
                 part = slice(start, start + _chunk(v))
                 phi, _ = _smooth_ranks(matrix(batch["u"][part]), v)
-                term = (10.0 ** r[part] - 1.0) / np.log(phi)
+                term = _gains(r[part]) / np.log(phi)
                 yield pd.DataFrame(
                     {
                         "dataset_id": np.repeat(batch["dataset_id"][part].to_numpy(), len(v)),
-                        "model_id": np.tile(np.arange(len(v)), len(phi)),
+                        "model_id": np.tile(ids, len(phi)),
                         "phi": phi.ravel(),
                         "term": term.ravel(),
                     }
@@ -157,13 +171,18 @@ def _chunk(v: np.ndarray) -> int:
 
 
 def gradient_step(
-    dataset_factors: DataFrame, ratings: DataFrame, v: np.ndarray, rate: float
+    dataset_factors: DataFrame,
+    ratings: DataFrame,
+    v: np.ndarray,
+    rate: float,
+    ids: Iterable[int] | None = None,
 ) -> DataFrame:
     """One synchronous step: moved dataset factors and partial sums of the model gradients.
 
     Rows with a ``dataset_id`` carry the new u; rows with a ``model_id`` carry a partial sum of that
-    model's own-term gradient over the datasets of one batch.
+    model's own-term gradient over the datasets of one batch. ``ids`` names the rows of ``v``.
     """
+    names = np.arange(len(v)) if ids is None else np.asarray(list(ids))
 
     def run(batches):
         for batch in batches:
@@ -172,7 +191,7 @@ def gradient_step(
             for start in range(0, len(batch), _chunk(v)):
                 part = slice(start, start + _chunk(v))
                 phi, slope = _smooth_ranks(u[part], v)
-                weight = (10.0 ** r[part] - 1.0) / (phi * np.log(phi) ** 2)
+                weight = _gains(r[part]) / (phi * np.log(phi) ** 2)
                 own = slope.sum(axis=2)
                 toward = np.einsum("hi,hij->hj", weight, slope)
                 grad_u = toward @ v - (weight * own) @ v
@@ -188,7 +207,7 @@ def gradient_step(
                 yield pd.DataFrame(
                     {
                         "dataset_id": [None] * len(v),
-                        "model_id": pd.array(np.arange(len(v)), dtype="Int32"),
+                        "model_id": pd.array(names, dtype="Int32"),
                         "vec": list(grad_v),
                     }
                 )
@@ -230,8 +249,13 @@ def fit_forests(
     depth: int = 10,
     seed: int = 0,
     parallelism: int = 4,
+    bins: int | None = None,
 ) -> list:
-    """One regression forest per factor; ``inputs(dataset_id, x)``, ``targets(dataset_id, u)``."""
+    """One regression forest per factor; ``inputs(dataset_id, x)``, ``targets(dataset_id, u)``.
+
+    ``bins`` bounds the split candidates of a feature; by default there is one per training dataset,
+    which makes splits exact at every size.
+    """
     table = (
         inputs.join(targets, "dataset_id")
         .select(
@@ -240,8 +264,8 @@ def fit_forests(
         )
         .cache()
     )
-    # one bin per training dataset makes splits exact for small tables
-    bins = int(min(max(table.count(), 2), 256))
+    if bins is None:
+        bins = max(table.count(), 2)
 
     def fit(k: int):
         return RandomForestRegressor(
@@ -279,7 +303,11 @@ class TrainedModel:
     history: list[dict] = field(default_factory=list)
 
     def predict(self, vectors: DataFrame) -> DataFrame:
-        """Scores of all models for meta-feature vectors of width 200."""
+        """Scores of all models for meta-feature vectors as wide as those it was trained on."""
+        width = self.embedding.agg(F.max(F.size("weights"))).first()[0]
+        wrong = vectors.where(F.size("features") != width).limit(1).collect()
+        if wrong:
+            raise ValueError(f"{wrong[0].dataset_id}: {len(wrong[0].features)} meta-features, not {width}")
         inputs = embed(vectors, self.embedding, "x")
         return score_models(predict_forests(inputs, self.forests), self.model_factors)
 
@@ -309,9 +337,14 @@ def train(
     n_steps: int = 10,
     batch_fraction: float = 0.25,
     seed: int = 0,
+    model_scale: float = 1.0,
+    bins: int | None = None,
 ) -> TrainedModel:
     """Fit factors by mini-batch steps; every step and every evaluation is a Spark job.
 
+    The model factors move by ``rate * model_scale`` times the gradient summed over a batch, whatever
+    its size.
+
     Dataset factors live in a DataFrame that is checkpointed after each step; only the model
     factors (models x factors numbers) are on the driver.
     """
@@ -322,15 +355,16 @@ def train(
     embedding = fit_embedding(vectors, factors)
     inputs = durable(embed(vectors, embedding, "x"))
     valid_inputs = durable(embed(valid_vectors, embedding, "x"))
-    ratings = durable(rating_vectors(performance))
     ids = sorted(r.model_id for r in performance.select("model_id").distinct().collect())
+    place = {model: k for k, model in enumerate(ids)}
+    ratings = durable(rating_vectors(performance, ids))
     v = factor_matrix(initial_model_factors(spark, len(ids), factors, seed))
     u = inputs.withColumnRenamed("x", "u")
     batches = max(1, round(1 / batch_fraction))
     history, valid_scores = [], []
     for i, rate in enumerate(cyclic_rates(iterations, min_rate, max_rate, n_steps)):
         table = factor_table(spark, v, ids)
-        forests = fit_forests(inputs, u, factors, trees, depth, seed)
+        forests = fit_forests(inputs, u, factors, trees, depth, seed, bins=bins)
         train_ndcg = _quality(score_models(u, table), performance)
         valid_ndcg = _quality(
             score_models(predict_forests(valid_inputs, forests), table), valid_performance
@@ -343,17 +377,13 @@ def train(
             break
         for b in range(batches):
             chosen = F.floor(uniform_hash(F.lit(seed), F.lit(i), "dataset_id") * batches) == b
-            step = durable(gradient_step(u.where(chosen), ratings, v, rate))
+            step = durable(gradient_step(u.where(chosen), ratings, v, rate, ids))
             moved = step.where("dataset_id IS NOT NULL").select("dataset_id", F.col("vec").alias("u"))
-            size = moved.count()
-            if size == 0:
-                continue
-            damp = min(1.0, FULL_STEP_DATASETS / size)
             for r in summed_gradient(step).collect():  # models x factors numbers
-                v[r.model_id, r.k] += rate * damp * r.grad
+                v[place[r.model_id], r.k] += rate * model_scale * r.grad
             u = durable(u.where(~chosen).unionByName(moved))
     # the factors moved after the last forest was fitted
-    forests = fit_forests(inputs, u, factors, trees, depth, seed)
+    forests = fit_forests(inputs, u, factors, trees, depth, seed, bins=bins)
     return TrainedModel(embedding, forests, factor_table(spark, v, ids), u, history)
 
 

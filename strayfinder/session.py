@@ -163,7 +163,7 @@ def with_parameters(
     Parameter tables measured as small are broadcast and ``rows`` is not shuffled. Larger ones meet
     their rows in a co-grouped shuffle on (dataset, block); a large dataset spans many blocks, so
     no task holds more than about ``BLOCK_ROWS`` of its rows. Pass ``size`` in bytes when the same
-    table was measured before.
+    table was measured before. Rows of a dataset without parameters raise.
     """
     if size is None:
         params, size = measured(params)
@@ -175,8 +175,9 @@ def with_parameters(
             for batch in iterator:
                 for dataset, part in batch.groupby("dataset_id", sort=False):
                     side = shared.value.get(dataset)
-                    if side is not None:
-                        yield fn(part, side)
+                    if side is None:
+                        raise ValueError(f"no parameters for dataset {dataset}")
+                    yield fn(part, side)
 
         return rows.mapInPandas(batches, schema)
 
@@ -197,8 +198,10 @@ def with_parameters(
     )
 
     def block(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        if part.empty or side.empty:
+        if part.empty:
             return pd.DataFrame(columns=columns)
+        if side.empty:
+            raise ValueError(f"no parameters for dataset {part['dataset_id'].iloc[0]}")
         return fn(part.drop(columns="_block"), side.drop(columns="_block"))
 
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
