@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -172,14 +173,26 @@ def iforest_fit(
     )
 
 
-def iforest_scores(sample_df: DataFrame, model: DataFrame, trees: int | None = None) -> DataFrame:
-    """(dataset_id, row_id, score = 2^(-mean path / c(sample size))), in (0, 1]."""
+def iforest_scores(
+    sample_df: DataFrame,
+    model: DataFrame,
+    trees: int | None = None,
+    counts: Sequence[int] | None = None,
+) -> DataFrame:
+    """(dataset_id, row_id, score = 2^(-mean path / c(sample size))), in (0, 1].
+
+    With ``counts``, one scan gives a score for the first t trees of each t, as rows with a column
+    ``trees``.
+    """
 
     def scores(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         x = matrix(part["features"])
         index = np.arange(len(x))
         total = np.zeros(len(x))
-        for t in side.sort_values("tree").itertuples():
+        wanted = [len(side)] if counts is None else sorted(counts)
+        scale = float(average_path(side["sample_size"].max()))
+        out = []
+        for done, t in enumerate(side.sort_values("tree").itertuples(), 1):
             feature, child = np.asarray(t.feature), np.asarray(t.child)
             threshold, path = np.asarray(t.threshold), np.asarray(t.path)
             node = np.zeros(len(x), dtype=int)
@@ -191,25 +204,29 @@ def iforest_scores(sample_df: DataFrame, model: DataFrame, trees: int | None = N
                 right = x[index, np.maximum(feature[node], 0)] > threshold[node]
                 node = np.where(moving, step + right, node)
             total += path[node]
-        scale = float(average_path(side["sample_size"].max()))
-        mean = total / len(side)
-        return pd.DataFrame(
-            {
-                "dataset_id": part["dataset_id"].iloc[0],
-                "row_id": part["row_id"].to_numpy(),
-                "score": 2.0 ** (-mean / scale) if scale > 0 else np.full(len(x), 0.5),
-            }
-        )
+            if done in wanted:
+                out.append(
+                    pd.DataFrame(
+                        {
+                            "dataset_id": part["dataset_id"].iloc[0],
+                            "row_id": part["row_id"].to_numpy(),
+                            "trees": done,
+                            "score": 2.0 ** (-total / done / scale) if scale > 0 else np.full(len(x), 0.5),
+                        }
+                    )
+                )
+        return pd.concat(out, ignore_index=True)
 
     used = model if trees is None else model.where(F.col("tree") < trees)
-    return with_parameters(
+    scored = with_parameters(
         sample_df.select("dataset_id", "row_id", "features"),
         used.select(
             "dataset_id", "tree", "sample_size", "feature", "threshold", "child", "path"
         ),
         scores,
-        "dataset_id string, row_id bigint, score double",
+        "dataset_id string, row_id bigint, trees int, score double",
     )
+    return scored.drop("trees") if counts is None else scored
 
 
 def tree_shapes(model: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strayfinder.functions.scalar import bins_of, summaries
 from strayfinder.operators.pairs import matrix
-from strayfinder.session import with_parameters
+from strayfinder.session import fold_with_parameters, per_dataset, with_parameters
 
 LODA_BINS, LODA_CUTS = 10, 100
 
@@ -51,19 +52,17 @@ def loda_fit(
     weights = _Weights(cuts, seed)
     rows = sample_df.select("dataset_id", "features")
 
+    def widen(state, part: pd.DataFrame, _):
+        x = matrix(part["features"])
+        z = x @ weights(x.shape[1])
+        low, high = z.min(axis=0), z.max(axis=0)
+        return (low, high) if state is None else (np.minimum(state[0], low), np.maximum(state[1], high))
+
+    def ends(dataset, state, _) -> pd.DataFrame:
+        return pd.DataFrame({"dataset_id": dataset, "cut": np.arange(cuts), "lo": state[0], "hi": state[1]})
+
     def extremes(batches):
-        for batch in batches:
-            for dataset, part in batch.groupby("dataset_id", sort=False):
-                x = matrix(part["features"])
-                z = x @ weights(x.shape[1])
-                yield pd.DataFrame(
-                    {
-                        "dataset_id": dataset,
-                        "cut": np.arange(cuts),
-                        "lo": z.min(axis=0),
-                        "hi": z.max(axis=0),
-                    }
-                )
+        yield from per_dataset(batches, widen, ends)
 
     flat = F.col("lo") == F.col("hi")
     ranges = (
@@ -78,51 +77,61 @@ def loda_fit(
         )
     )
 
-    def partial(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    def count(state, part: pd.DataFrame, side: pd.DataFrame):
         side = side.sort_values("cut")
         x = matrix(part["features"])
-        lo, hi = side["lo"].to_numpy(), side["hi"].to_numpy()
-        index = bins_of(x @ weights(x.shape[1]), lo, hi, n_bins)
+        index = bins_of(x @ weights(x.shape[1]), side["lo"].to_numpy(), side["hi"].to_numpy(), n_bins)
         flat_index = np.arange(cuts) * n_bins + index
         counts = np.bincount(flat_index.ravel(), minlength=cuts * n_bins)
+        return (counts if state is None else state[0] + counts,)
+
+    def filled(dataset, state, side: pd.DataFrame) -> pd.DataFrame:
+        # empty bins are added behind the sum; a task sends those it has seen
+        side = side.sort_values("cut")
+        seen = np.flatnonzero(state[0])
         return pd.DataFrame(
             {
-                "dataset_id": part["dataset_id"].iloc[0],
-                "cut": np.repeat(np.arange(cuts), n_bins),
-                "bin": np.tile(np.arange(n_bins), cuts),
-                "lo": np.repeat(lo, n_bins),
-                "hi": np.repeat(hi, n_bins),
-                "c": counts,
+                "dataset_id": dataset,
+                "cut": seen // n_bins,
+                "bin": seen % n_bins,
+                "lo": side["lo"].to_numpy()[seen // n_bins],
+                "hi": side["hi"].to_numpy()[seen // n_bins],
+                "c": state[0][seen],
             }
         )
 
-    counted = with_parameters(
+    counted = fold_with_parameters(
         rows,
         ranges,
-        partial,
+        count,
+        filled,
         "dataset_id string, cut int, bin int, lo double, hi double, c bigint",
     )
-    per_bin = counted.groupBy("dataset_id", "cut", "bin", "lo", "hi").agg(
-        (F.sum("c") + 1e-12).alias("c")
+    per_bin = counted.groupBy("dataset_id", "cut", "bin", "lo", "hi").agg(F.sum("c").alias("c"))
+    found = F.map_from_entries(F.collect_list(F.struct("bin", "c")))
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda b: F.coalesce(F.col("_b")[b], F.lit(0)) + 1e-12
     )
-    ordered = F.array_sort(F.collect_list(F.struct("bin", "c")))
     return (
         per_bin.groupBy("dataset_id", "cut", "lo", "hi")
-        .agg(ordered.alias("_b"), F.sum("c").alias("_t"))
+        .agg(found.alias("_b"), (F.sum("c") + n_bins * 1e-12).alias("_t"))
         .select(
             "dataset_id",
             "cut",
             "lo",
             "hi",
-            F.transform("_b", lambda b: b["c"] / F.col("_t")).alias("prob"),
+            F.transform(every, lambda c: c / F.col("_t")).alias("prob"),
         )
     )
 
 
-def loda_scores(sample_df: DataFrame, model: DataFrame, seed: int = 0) -> DataFrame:
+def loda_scores(
+    sample_df: DataFrame, model: DataFrame, seed: int = 0, counts: Sequence[int] | None = None
+) -> DataFrame:
     """(dataset_id, row_id, score): minus the mean log density over the cuts.
 
-    ``model`` may hold the first cuts of a larger fit. Values outside the range use the end bin.
+    ``model`` may hold the first cuts of a larger fit. Values outside the range use the end bin. With
+    ``counts``, one scan gives a score for the first c cuts of each c, as rows with a column ``cuts``.
     """
     cache: dict[int, _Weights] = {}
 
@@ -135,20 +144,29 @@ def loda_scores(sample_df: DataFrame, model: DataFrame, seed: int = 0) -> DataFr
         z = x @ weights(x.shape[1])
         index = bins_of(z, side["lo"].to_numpy(), side["hi"].to_numpy(), prob.shape[1])
         found = np.log(prob)[np.arange(cuts), index]
-        return pd.DataFrame(
-            {
-                "dataset_id": part["dataset_id"].iloc[0],
-                "row_id": part["row_id"].to_numpy(),
-                "score": -found.mean(axis=1),
-            }
+        wanted = [cuts] if counts is None else list(counts)
+        return pd.concat(
+            [
+                pd.DataFrame(
+                    {
+                        "dataset_id": part["dataset_id"].iloc[0],
+                        "row_id": part["row_id"].to_numpy(),
+                        "cuts": c,
+                        "score": -found[:, :c].mean(axis=1),
+                    }
+                )
+                for c in wanted
+            ],
+            ignore_index=True,
         )
 
-    return with_parameters(
+    scored = with_parameters(
         sample_df.select("dataset_id", "row_id", "features"),
         model,
         scores,
-        "dataset_id string, row_id bigint, score double",
+        "dataset_id string, row_id bigint, cuts int, score double",
     )
+    return scored.drop("cuts") if counts is None else scored
 
 
 def loda_landmarks(model: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strayfinder.operators.iforest import uniform_hash
 from strayfinder.operators.pairs import matrix
-from strayfinder.session import durable, measured, with_parameters
+from strayfinder.session import durable, fold_with_parameters, measured, sized, with_parameters
 
-# Landmark rows per dataset of the kernel approximation (Williams and Seeger 2001).
-LANDMARKS = 64
+# Landmark rows of the kernel approximation (Williams and Seeger 2001) per doubling of the rows.
+LANDMARK_RATE = 32
 PASSES = 12
 DEGREE = 3
 
@@ -44,14 +44,24 @@ def _mapped(x: np.ndarray, side: pd.DataFrame, kernel: str) -> np.ndarray:
     return _kernel(x, marks, kernel) @ to
 
 
-def _start(sample_df: DataFrame, kernel: str, seed: int) -> DataFrame:
-    """Landmarks, feature map and the mean mapped landmark as the first point, per dataset."""
+def _start(sample_df: DataFrame, kernel: str, seed: int, landmarks: int | None) -> DataFrame:
+    """Landmarks, feature map and the mean mapped landmark as the first point, per dataset.
+
+    ``landmarks`` defaults to LANDMARK_RATE times the binary logarithm of a dataset's rows. Rows are
+    offered by hash before any are ranked, so a dataset ranks about twice as many as it keeps.
+    """
+    sizes = sized(sample_df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n")))
+    count = F.ceil(F.log2(F.col("_n") + 1.0) * LANDMARK_RATE) if landmarks is None else F.lit(landmarks)
     w = Window.partitionBy("dataset_id").orderBy("_u", "row_id")
     marks = (
         sample_df.select("dataset_id", "row_id", "features")
         .withColumn("_u", uniform_hash(F.lit(seed), F.lit("landmark"), "row_id"))
+        .join(sizes, "dataset_id")
+        .withColumn("_k", count)
+        .where(F.col("_u") * F.col("_n") < 2 * F.col("_k") + 64)
         .withColumn("_r", F.row_number().over(w))
-        .where(F.col("_r") <= LANDMARKS)
+        .where(F.col("_r") <= F.col("_k"))
+        .drop("_n", "_k")
     )
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -76,22 +86,22 @@ def ocsvm_fit(
     kernel: str = "rbf",
     passes: int = PASSES,
     seed: int = 0,
+    landmarks: int | None = None,
 ) -> DataFrame:
-    """One row per dataset: feature map, weights and offset."""
+    """One row per dataset: feature map, weights and offset; ``passes`` bounds the steps of the solver."""
     rows = sample_df.select("dataset_id", "row_id", "features")
     # the weights change from pass to pass, their number does not
-    model, size = measured(durable(_start(sample_df, kernel, seed)))
+    model, size = measured(durable(_start(sample_df, kernel, seed, landmarks)))
 
-    def below(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    def below(state, part: pd.DataFrame, side: pd.DataFrame):
         phi = _mapped(matrix(part["features"]), side, kernel)
         low = phi @ np.asarray(side["w"].iloc[0]) <= side["rho"].iloc[0]
+        own = phi[low].sum(axis=0), np.array([low.sum()])
+        return own if state is None else (state[0] + own[0], state[1] + own[1])
+
+    def sums_below(dataset, state, side: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
-            {
-                "dataset_id": part["dataset_id"].iloc[0],
-                "k": np.arange(phi.shape[1]),
-                "s": phi[low].sum(axis=0),
-                "n": int(low.sum()),
-            }
+            {"dataset_id": dataset, "k": np.arange(len(state[0])), "s": state[0], "n": int(state[1][0])}
         )
 
     for step in range(passes):
@@ -99,8 +109,8 @@ def ocsvm_fit(
         if step == passes - 1:
             break
         sums = (
-            with_parameters(
-                rows, model, below, "dataset_id string, k int, s double, n bigint", size
+            fold_with_parameters(
+                rows, model, below, sums_below, "dataset_id string, k int, s double, n bigint", size
             )
             .groupBy("dataset_id", "k")
             .agg((F.sum("s") / F.sum("n")).alias("v"))

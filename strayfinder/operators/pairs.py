@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strayfinder.functions.scalar import summaries
 from strayfinder.functions.special import anova_f, anova_p
-from strayfinder.session import with_parameters
+from strayfinder.session import fold_with_parameters
 
 PAIR_BLOCKS = ("correlation", "covariance", "anova_p_value")
 
@@ -31,21 +31,24 @@ def feature_arrays(base: DataFrame, *columns: str) -> DataFrame:
 def cross_products(sample_df: DataFrame, base: DataFrame) -> DataFrame:
     """(dataset_id, i, j, s): centred sums of products for i >= j.
 
-    Each Arrow batch is one matrix product; only p(p+1)/2 partial sums per batch are shuffled, never
+    Matrix products are summed within a task; p(p+1)/2 sums per task and dataset are shuffled, never
     the rows. Centring on the known means keeps the sums accurate for data far from zero.
     """
 
-    def partial(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    def add(state, rows: pd.DataFrame, side: pd.DataFrame):
         x = matrix(rows["features"]) - np.asarray(side["mean"].iloc[0], dtype=float)
-        i, j = np.tril_indices(x.shape[1])
-        return pd.DataFrame(
-            {"dataset_id": rows["dataset_id"].iloc[0], "i": i, "j": j, "s": (x.T @ x)[i, j]}
-        )
+        product = x.T @ x
+        return (product if state is None else state[0] + product,)
+
+    def sums(dataset, state, side: pd.DataFrame) -> pd.DataFrame:
+        i, j = np.tril_indices(len(state[0]))
+        return pd.DataFrame({"dataset_id": dataset, "i": i, "j": j, "s": state[0][i, j]})
 
-    parts = with_parameters(
+    parts = fold_with_parameters(
         sample_df.select("dataset_id", "features"),
         feature_arrays(base, "mean"),
-        partial,
+        add,
+        sums,
         "dataset_id string, i int, j int, s double",
     )
     return parts.groupBy("dataset_id", "i", "j").agg(F.sum("s").alias("s"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strayfinder.functions.scalar import summaries
 from strayfinder.operators.pairs import feature_arrays, matrix
-from strayfinder.session import with_parameters
+from strayfinder.session import fold_with_parameters, with_parameters
 
 COMPONENTS = 3
 SPECTRAL_NAMES = (
@@ -116,27 +116,35 @@ def first_row_scores(sample_df: DataFrame, eigenpairs: DataFrame) -> DataFrame:
     """Long summary: spread of the first row's three component scores; the first row has the least ``row_id``.
 
     Signs are fixed so that the score of largest magnitude in each component is positive, which
-    takes the extremes of every component: each batch sends one row per component.
+    takes the extremes of every component: each task sends one row per dataset and component.
     """
 
-    def extremes(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    def widen(state, rows: pd.DataFrame, side: pd.DataFrame):
         z, vectors = _components(rows, side, False)
         t = z @ vectors
         first = int(np.argmin(rows["row_id"].to_numpy()))
+        own = t.min(axis=0), t.max(axis=0), np.array([rows["row_id"].iloc[first]]), t[first]
+        if state is None:
+            return own
+        earlier = state if state[2][0] <= own[2][0] else own
+        return np.minimum(state[0], own[0]), np.maximum(state[1], own[1]), earlier[2], earlier[3]
+
+    def extremes(dataset, state, side: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "dataset_id": rows["dataset_id"].iloc[0],
+                "dataset_id": dataset,
                 "component": np.sort(side["component"].to_numpy()),
-                "low": t.min(axis=0),
-                "high": t.max(axis=0),
-                "row_id": rows["row_id"].iloc[first],
-                "score": t[first],
+                "low": state[0],
+                "high": state[1],
+                "row_id": state[2][0],
+                "score": state[3],
             }
         )
 
-    parts = with_parameters(
+    parts = fold_with_parameters(
         sample_df.select("dataset_id", "row_id", "features"),
         eigenpairs,
+        widen,
         extremes,
         "dataset_id string, component int, low double, high double, row_id bigint, score double",
     )

@@ -16,12 +16,16 @@ def run_models(sample_df: DataFrame, models: DataFrame, seed: int = 0) -> DataFr
 
     ``models`` are rows of the catalogue. Settings that share work are fitted together: one
     histogram per bin count, one set of cuts per bin count, one forest per feature share, and one
-    neighbour join per metric serve all their models.
+    neighbour join per metric serve all their models, and one scan scores all of a set of cuts or
+    trees. The samples are written once.
     """
+    return _scores(durable(sample_df.select("dataset_id", "row_id", "features")), models, seed)
+
+
+def _scores(rows: DataFrame, models: DataFrame, seed: int) -> DataFrame:
     wanted: dict[str, list[Row]] = {}
     for row in models.select("model_id", "family", "params").collect():  # at most 302 rows
         wanted.setdefault(row.family, []).append(row)
-    rows = sample_df.select("dataset_id", "row_id", "features")
     parts: list[DataFrame] = []
     if "HBOS" in wanted:
         parts += _hbos(rows, wanted["HBOS"])
@@ -44,6 +48,12 @@ def _tagged(scores: DataFrame, row: Row) -> DataFrame:
     return scores.withColumn("model_id", F.lit(row.model_id)).select(*_OUT)
 
 
+def _named(scores: DataFrame, of: dict[int, int], setting: str) -> DataFrame:
+    """Rows tagged with the model of their setting."""
+    ids = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+    return scores.withColumn("model_id", ids[F.col(setting)]).select(*_OUT)
+
+
 def _by(rows: list[Row], key: str) -> dict[str, list[Row]]:
     groups: dict[str, list[Row]] = {}
     for row in rows:
@@ -67,10 +77,9 @@ def _loda(rows: DataFrame, wanted: list[Row], seed: int) -> list[DataFrame]:
     parts = []
     for n_bins, group in _by(wanted, "n_bins").items():
         most = max(int(r.params["n_random_cuts"]) for r in group)
-        model = sized(loda.loda_fit(rows, int(n_bins), most, seed))
-        for row in group:
-            first = model.where(F.col("cut") < int(row.params["n_random_cuts"]))
-            parts.append(_tagged(loda.loda_scores(rows, first, seed), row))
+        model = loda.loda_fit(rows, int(n_bins), most, seed)
+        of = {int(r.params["n_random_cuts"]): r.model_id for r in group}
+        parts.append(_named(loda.loda_scores(rows, model, seed, sorted(of)), of, "cuts"))
     return parts
 
 
@@ -79,9 +88,8 @@ def _iforest(rows: DataFrame, wanted: list[Row], seed: int) -> list[DataFrame]:
     for share, group in _by(wanted, "max_features").items():
         most = max(int(r.params["n_estimators"]) for r in group)
         model = durable(iforest.iforest_fit(rows, most, float(share), seed))
-        for row in group:
-            trees = int(row.params["n_estimators"])
-            parts.append(_tagged(iforest.iforest_scores(rows, model, trees), row))
+        of = {int(r.params["n_estimators"]): r.model_id for r in group}
+        parts.append(_named(iforest.iforest_scores(rows, model, counts=sorted(of)), of, "trees"))
     return parts
 
 
@@ -117,10 +125,11 @@ def performance_table(sample_df: DataFrame, models: DataFrame, seed: int = 0) ->
     labels = sized(
         sample_df.where(F.col("label").isNotNull()).select("dataset_id", "row_id", "label")
     )
+    rows = durable(sample_df.select("dataset_id", "row_id", "features"))
     out = None
     # one evaluation per family keeps each job's plan small
     for row in models.select("family").distinct().orderBy("family").collect():
-        scores = run_models(sample_df, models.where(F.col("family") == row.family), seed)
+        scores = _scores(rows, models.where(F.col("family") == row.family), seed)
         part = average_precision(scores.join(labels, ["dataset_id", "row_id"])).select(
             "dataset_id", "model_id", "ap"
         )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.storagelevel import StorageLevel
@@ -15,6 +16,10 @@ SMALL_BYTES = 128 << 20
 WINDOW_ROWS = 5_000_000
 # Rows of one dataset handed to one Python call on the shuffled path.
 BLOCK_ROWS = 20_000
+# Feature values that a task gathers before it splits them by dataset.
+GATHER_CELLS = 2_000_000
+# Numbers that a task holds as states of its datasets.
+STATE_CELLS = 8_000_000
 
 
 def local_session(app: str = "strayfinder", cores: str = "*", memory: str = "8g") -> SparkSession:
@@ -151,12 +156,79 @@ def running_sums(
     )
 
 
+def gathered(batches: Iterator[pd.DataFrame], cells: int = GATHER_CELLS) -> Iterator[pd.DataFrame]:
+    """Batches joined up to about ``cells`` feature values, so interleaved datasets come in few pieces."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        if batch.empty:
+            continue
+        held.append(batch)
+        size += len(batch) * (len(batch["features"].iloc[0]) if "features" in batch else batch.shape[1])
+        if size >= cells:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def per_dataset(
+    batches: Iterator[pd.DataFrame],
+    step: Callable,
+    finish: Callable,
+    side_of: Callable = lambda dataset: None,
+) -> Iterator[pd.DataFrame]:
+    """Fold a task's rows into one state per dataset and emit each state once.
+
+    ``step(state or None, rows, side)`` returns a tuple of arrays and ``finish(dataset, state, side)``
+    its rows. States are emitted early only when all of them hold more than ``STATE_CELLS`` numbers;
+    the aggregate behind adds what several tasks, or such early ends, emit.
+    """
+    states: dict = {}
+    held = 0
+
+    def emit() -> pd.DataFrame:
+        return pd.concat([finish(d, s, side_of(d)) for d, s in states.items()], ignore_index=True)
+
+    for batch in gathered(batches):
+        for dataset, part in batch.groupby("dataset_id", sort=False):
+            known = states.get(dataset)
+            states[dataset] = step(known, part, side_of(dataset))
+            if known is None:
+                held += sum(np.size(x) for x in states[dataset])
+        if held > STATE_CELLS:
+            yield emit()
+            states, held = {}, 0
+    if states:
+        yield emit()
+
+
+def fold_with_parameters(
+    rows: DataFrame,
+    params: DataFrame,
+    step: Callable,
+    finish: Callable,
+    schema: str,
+    size: int | None = None,
+) -> DataFrame:
+    """``with_parameters`` for results that add up: a task emits once per dataset, not once per batch."""
+
+    def whole(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        return finish(part["dataset_id"].iloc[0], step(None, part, side), side)
+
+    def folded(batches, side_of):
+        return per_dataset(batches, step, finish, side_of)
+
+    return with_parameters(rows, params, whole, schema, size, folded)
+
+
 def with_parameters(
     rows: DataFrame,
     params: DataFrame,
     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
     size: int | None = None,
+    folded: Callable | None = None,
 ) -> DataFrame:
     """Apply ``fn(rows of one dataset, that dataset's parameters)`` in Arrow batches.
 
@@ -171,13 +243,21 @@ def with_parameters(
         by_dataset = dict(iter(params.toPandas().groupby("dataset_id", sort=False)))
         shared = rows.sparkSession.sparkContext.broadcast(by_dataset)
 
+        def side_of(dataset):
+            side = shared.value.get(dataset)
+            if side is None:
+                raise ValueError(f"no parameters for dataset {dataset}")
+            return side
+
         def batches(iterator):
-            for batch in iterator:
-                for dataset, part in batch.groupby("dataset_id", sort=False):
-                    side = shared.value.get(dataset)
-                    if side is None:
-                        raise ValueError(f"no parameters for dataset {dataset}")
-                    yield fn(part, side)
+            if folded is not None:
+                yield from folded(iterator, side_of)
+                return
+            for batch in gathered(iterator):
+                yield pd.concat(
+                    [fn(part, side_of(d)) for d, part in batch.groupby("dataset_id", sort=False)],
+                    ignore_index=True,
+                )
 
         return rows.mapInPandas(batches, schema)
 
