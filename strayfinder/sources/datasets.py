@@ -79,11 +79,21 @@ def validate(sample_df: DataFrame, width: int | None = None) -> DataFrame:
     return sample_df
 
 
+def label_report(sample_df: DataFrame) -> DataFrame:
+    """Per dataset: rows, positive labels, and labels that are neither 0 nor 1 (missing ones too)."""
+    known = F.coalesce(F.col("label").isin(0, 1), F.lit(False))
+    return sample_df.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("label") == 1).alias("positives"),
+        F.count_if(~known).alias("bad_labels"),
+    )
+
+
 def validate_labels(sample_df: DataFrame) -> DataFrame:
     """Raise when a label is neither 0 nor 1."""
-    bad = sample_df.where(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).limit(1).collect()
+    bad = label_report(sample_df).where("bad_labels > 0").orderBy("dataset_id").limit(3).collect()
     if bad:
-        raise ValueError(f"label must be 0 or 1: {bad[0].asDict()}")
+        raise ValueError(f"label must be 0 or 1: {[r.asDict() for r in bad]}")
     return sample_df
 
 

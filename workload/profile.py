@@ -339,6 +339,34 @@ def mf23_mf24_summaries(spark, sf):
     return rounded(out, "value")
 
 
+# With an even number of degrees of freedom the tail is a series of products of odd over even numbers:
+# its first terms for small f, where the tail is large, and the rest of them otherwise.
+@query(
+    "mf25_mat8_anova_p_events",
+    f"""WITH {x.EVENTS}, cells AS (
+  SELECT dataset_id, unnest(range(3)) AS f_idx, unnest(features) AS value FROM samples),
+stat AS (
+  SELECT dataset_id, f_idx, count(*) AS n, avg(value) AS mean, var_pop(value) AS var FROM cells GROUP BY ALL),
+f AS (
+  SELECT a.dataset_id, a.f_idx AS i, b.f_idx AS j, 2.0 * a.n - 2 AS df, a.n - 1 AS m,
+         (a.n * (a.mean - b.mean) ** 2 / 2) / (a.n * (a.var + b.var) / (2 * a.n - 2)) AS f
+  FROM stat a JOIN stat b ON a.dataset_id = b.dataset_id AND a.f_idx > b.f_idx),
+w AS (
+  SELECT k, sum(CASE WHEN k = 0 THEN 0 ELSE ln((2 * k - 1) / (2.0 * k)) END) OVER (ORDER BY k) AS lw
+  FROM range(600000) t(k)),
+part AS (
+  SELECT dataset_id, i, j, f, df, sqrt(f / (df + f)) * sum(exp(lw + k * ln(df / (df + f)))) AS s
+  FROM f JOIN w ON CASE WHEN f < 4 THEN k < m ELSE k >= m AND k < m + 30 * (df + f) / f END
+  GROUP BY dataset_id, i, j, f, df)
+SELECT dataset_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r('f')} AS anova_f,
+       {r('CASE WHEN f < 4 THEN 1 - s ELSE s END')} AS anova_p_value
+FROM part""",
+)
+def mf25_mat8_anova_p_events(spark, sf):
+    found = _pair_stats(x.events(spark, sf))
+    return rounded(found.select("dataset_id", "i", "j", "anova_f", "anova_p_value"), "anova_f", "anova_p_value")
+
+
 @query("mat8_anova_p")
 def mat8_anova_p(spark, sf):
     return rounded(_pair_stats(x.parts(spark, sf)), "correlation", "covariance", "anova_f", "anova_p_value")

@@ -18,8 +18,10 @@ from strayfinder.operators import transform
 from strayfinder.operators.ranking import top_models
 from strayfinder.session import checkpoint_folder
 from strayfinder.sources import catalog
+from strayfinder.sources.artifacts import load_tables, save_tables
 from strayfinder.sources.datasets import (
     cells,
+    label_report,
     performance_long,
     read_arff,
     read_csv,
@@ -128,6 +130,44 @@ def _counted(found):
     return out.groupBy("dataset_id", "f0", "f1").agg(F.count(F.lit(1)).alias("c"))
 
 
+@query(
+    "agg7_label_report",
+    """
+SELECT l_returnflag || l_linestatus AS dataset_id, count(*) AS n_rows,
+       count(*) FILTER (l_linenumber - 1 = 1) AS positives,
+       count(*) FILTER (l_linenumber - 1 NOT IN (0, 1)) AS bad_labels
+FROM lineitem GROUP BY ALL""",
+)
+def agg7_label_report(spark, sf):
+    """The expectation behind the label check, over labels of which most are wrong."""
+    shaped = samples(
+        x.table(spark, sf, "lineitem"), ["l_quantity"], F.concat("l_returnflag", "l_linestatus"),
+        label=F.col("l_linenumber") - 1,
+    )
+    return label_report(shaped)
+
+
+@query(
+    "sink1_src6_roundtrip",
+    f"""
+SELECT event_type AS dataset_id, hour(ts)::INTEGER AS f_idx, count(*) AS n, {r('avg(value)')} AS mean
+FROM events GROUP BY ALL""",
+)
+def sink1_src6_roundtrip(spark, sf):
+    """Fitted statistics saved to shared storage and loaded again, arrays and all."""
+    fitted = (
+        x.table(spark, sf, "events")
+        .groupBy(F.col("event_type").alias("dataset_id"), F.hour("ts").alias("f_idx"))
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+        .groupBy("dataset_id")
+        .agg(F.collect_list(F.struct("f_idx", "n", "mean")).alias("stats"))
+    )
+    folder = _folder(spark)
+    save_tables(folder, fitted=fitted)
+    loaded = load_tables(spark, folder, "fitted")["fitted"]
+    return rounded(loaded.select("dataset_id", F.inline("stats")), "mean")
+
+
 @query("src1_arff_cells", _cells_sql("events", _EVENT_SET, ("value", "hour(ts)")))
 def src1_arff_cells(spark, sf):
     found, _ = read_arff(spark, _write_arff(spark, sf), dataset_pattern=r"dataset=([^/]+)/")
