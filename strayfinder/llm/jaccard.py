@@ -7,10 +7,10 @@ fewer words the whole sequence is one. Documents link when intersection / union
    occur in another set. A set with fewer than THRESHOLD percent cannot link and goes no further.
    Shingles travel as packed arrays, once per slice of rows, so a shingle that a third of all documents
    holds is as many records as there are slices.
-2. Equal sets collapse to the smallest id. The rest order their shingles by hash, one global order, and
-   the prefixes that similar sets must share give candidate clusters (through the smallest id of a
+2. Equal sets collapse to the smallest id, and those left learn the same of each other. The prefixes, rare
+   shingles first, that similar sets must share give candidate clusters (through the smallest id of a
    prefix shingle and size class, so a hot shingle is a star and never a list of pairs).
-3. ``Trie``: a cluster's ordered sets are stored in a prefix tree. Each set walks the tree sharing partial
+3. ``Trie``: a cluster's sets, in the global order of their hashes, are stored in a prefix tree. Each set walks the tree sharing partial
    overlaps; a subtree is left when the remaining length cannot reach the overlap needed, or when all of
    it is in the set's class already. Clusters too large for a task go in blocks, then delegates of the
    classes found meet, and what is still apart is compared exactly over shared prefix shingles.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strayfinder.llm import text as tx
 from strayfinder.llm.graph import components, groups, small
@@ -36,8 +36,8 @@ from strayfinder.session import durable
 
 WIDTH = 5
 THRESHOLD = 80
-SLICE_BYTES = 1 << 23
-PART_BYTES = 1 << 25
+SLICE_BYTES = 1 << 21
+PART_BYTES = 1 << 24
 #: shingles of one trie; larger clusters go in blocks
 TRIE_SHINGLES = 4_000_000
 DELEGATES = 16
@@ -237,6 +237,7 @@ class Trie:
             return
         size, t = len(x), self.threshold
         small_size, large_size = -(-t * size // 100), 100 * size // t
+        least = needed(size, small_size, t)
         stack = [(self.root, 0, 0)]
         while stack:
             node, overlap, at = stack.pop()
@@ -258,8 +259,14 @@ class Trie:
                 for other in node.ends:
                     self.union(k, other)
             if node.children:
+                # a child that begins behind this place of x leaves too little of it
+                last = size - least + overlap
                 following = node.children.get(int(x[at])) if at < size else None
-                stack += [(c, overlap, at) for c in node.children.values() if c is not following]
+                if last < size:
+                    bound = int(x[last])
+                    stack += [(c, overlap, at) for first, c in node.children.items() if first <= bound and c is not following]
+                else:
+                    stack += [(c, overlap, at) for c in node.children.values() if c is not following]
                 if following is not None:
                     stack.append((following, overlap, at))
 
@@ -335,7 +342,7 @@ def _pack(width: int):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in tx.slices(batch, "text"):
+            for rows in tx.slices(batch, "text", SLICE_BYTES):
                 hashes, bounds = sets(rows.column("text"), width)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -348,26 +355,38 @@ def _pack(width: int):
     return pack
 
 
-def _prefixes(threshold: int):
-    """(key, id): the prefix shingles of each set, within its size class and the next."""
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, id, n): one row per shingle of the sets."""
+    for batch in batches:
+        for rows in tx.slices(batch, "shingles"):
+            packed = rows.column("shingles")
+            sizes = rows.column("n").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.frombuffer(b"".join(packed.to_pylist()), np.int64)),
+                    pa.array(np.repeat(rows.column("id").to_numpy(zero_copy_only=False), sizes)), pa.array(np.repeat(sizes, sizes)),
+                ],
+                names=["shingle", "id", "n"],
+            )
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in tx.slices(batch, "shingles"):
-                ids = rows.column("id").to_numpy(zero_copy_only=False)
-                keys, owners = [], []
-                for i, n, packed in zip(ids, rows.column("n").to_pylist(), rows.column("shingles").to_pylist()):
-                    prefix = np.frombuffer(packed, np.uint64)[: n - -(-threshold * n // 100) + 1]
-                    size_class = int(np.log(n) / np.log(CLASS))
-                    for c in (size_class, size_class + 1):
-                        keys.append(tx.mix(prefix + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64))))
-                        owners.append(np.full(len(prefix), i))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "id"]
-                    )
-
-    return prefixes
+
+def _prefixes(packed: DataFrame, threshold: int) -> DataFrame:
+    """(key, id): the prefix shingles of each set, rare ones first, in its size class and the next.
+
+    Similar sets share one of their first n - threshold% of n + 1 shingles in any one order. The rarest
+    come first, so a passage that many sets hold is in a prefix only where it fills the set. Shingles of
+    one set alone take the first places and match nothing.
+    """
+    each = packed.mapInArrow(_shingles, "shingle long, id long, n long")
+    often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    held = each.join(often, "shingle")
+    own = W.partitionBy("id")
+    place = F.row_number().over(own.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(own)
+    prefix = held.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
+    size_class = F.floor(F.log("n") / F.log(F.lit(CLASS)))
+    return prefix.select(F.explode(F.array(size_class, size_class + 1)).alias("class"), "shingle", "id").select(
+        F.xxhash64("shingle", "class").alias("key"), "id"
+    )
 
 
 def _stars(keyed: DataFrame, name: str) -> DataFrame:
@@ -378,7 +397,7 @@ def _stars(keyed: DataFrame, name: str) -> DataFrame:
 
 def links(packed: DataFrame, threshold: int = THRESHOLD, limit: int = TRIE_SHINGLES) -> DataFrame:
     """(id, component) of the distinct sets (id, n, shingles) that link with another one."""
-    keyed = packed.mapInArrow(_prefixes(threshold), "key long, id long")
+    keyed = durable(_prefixes(packed, threshold))
     clusters = durable(components(_stars(keyed, "id")))
     member = packed.join(clusters, packed["id"] == clusters["node"]).select(
         "id", "n", "shingles", F.col("component").alias("cluster"), F.col("id").alias("label")
@@ -456,8 +475,13 @@ def classes(
     equal = durable(
         named.where("n > 0").groupBy("high", "low", "n").agg(F.min("id").alias("first"), F.max("may").alias("may"))
     )
-    chosen = equal.where("may and first is not null").select(F.col("first").alias("doc"), F.col("high").alias("id"))
-    texts = rows.join(small(chosen.select(F.col("doc").alias("id")).distinct()), "id", "left_semi")
+    first = equal.where("may and first is not null").select(F.col("first").alias("id")).distinct()
+    texts = durable(rows.join(small(first), "id", "left_semi"))
+    # among different sets, many of which had only copies of their own
+    again = durable(shared(texts, width, threshold).where("may"))
+    chosen = again.join(equal.select("high", "low", "n", "first"), ["high", "low", "n"]).where("id = first").select(
+        F.col("id").alias("doc"), F.col("high").alias("id")
+    ).distinct()
     packed = texts.mapInArrow(_pack(width), "doc long, id long, n long, shingles binary")
     packed = durable(packed.join(small(chosen), ["doc", "id"]).select("id", "n", "shingles"))
     linked = links(packed, threshold, limit).groupBy("id").agg(F.min("component").alias("component"))
