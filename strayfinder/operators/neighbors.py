@@ -6,6 +6,8 @@ its own neighbour, ties go to the smaller ``nbr_id``, and k is at most the numbe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -18,6 +20,9 @@ from strayfinder.session import SMALL_BYTES, durable, measured, sized, spread, w
 CELL_ROWS = 4096
 # In-degree above which a neighbour is looked up by broadcast instead of by shuffle.
 HOT_ROWS = 1_000_000
+# Rows that a task sends to other cells in one frame, and numbers it scores as one array.
+ROUTED = 20_000
+_BATCH_CELLS = 4_000_000
 
 _PART_SCHEMA = "dataset_id string, row_id bigint, nbr_id bigint, dist double"
 
@@ -229,13 +234,12 @@ def _cell_search(
         F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("reach")
     )
 
-    def route(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    def route(part: pd.DataFrame, side: pd.DataFrame) -> Iterator[pd.DataFrame]:
         x, p = matrix(part["features"]), matrix(side["pivot"])
         ids = side["cell"].to_numpy()
         home = part["cell"].to_numpy()
         limit = part["reach"].to_numpy(float)
         limit = np.where(np.isnan(limit), np.inf, limit)
-        at, to = [], []
         for start in range(0, len(x), 1024):
             cut = slice(start, start + 1024)
             d, error = _all_distances(x[cut], p, metric)
@@ -248,12 +252,11 @@ def _cell_search(
             near = bound <= (limit[cut] * (1 + 1e-9))[:, None]
             near &= ids[None, :] != home[cut][:, None]
             i, j = np.nonzero(near)
-            at.append(i + start)
-            to.append(ids[j])
-        at, to = np.concatenate(at), np.concatenate(to)
-        out = part.iloc[at][["dataset_id", "row_id", "features"]].copy()
-        out["cell"] = to
-        return out
+            # at most ROUTED rows at a time leave for Spark, however many cells are open
+            for low in range(0, len(i), ROUTED):
+                out = part.iloc[i[low : low + ROUTED] + start][["dataset_id", "row_id", "features"]].copy()
+                out["cell"] = ids[j[low : low + ROUTED]]
+                yield out
 
     routed = with_parameters(
         placed.drop("radius").join(reach, ["dataset_id", "row_id"], "left"),
@@ -330,8 +333,12 @@ def lookup(
     if size == 0 or size > SMALL_BYTES:
         return edges.join(side, keys)
     few = F.broadcast(hot)
+    # the rows that are broadcast are measured too: they may be wide
+    looked_up, size = measured(side.join(few, keys, "left_semi"))
+    if size > SMALL_BYTES:
+        return edges.join(side, keys)
     return edges.join(few, keys, "left_anti").join(side, keys).unionByName(
-        edges.join(few, keys, "left_semi").join(F.broadcast(side.join(few, keys, "left_semi")), keys)
+        edges.join(few, keys, "left_semi").join(F.broadcast(looked_up), keys)
     )
 
 
@@ -384,29 +391,47 @@ def lof_scores(edges: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     return around.join(density, keys).select(*keys, (F.col("_mean") / F.col("lrd")).alias("score"))
 
 
-def _per_row(fn):
+def _batched(fn):
+    """Score all rows of a batch that have as many neighbours and features as one array."""
+
     def run(batches):
         for batch in batches:
-            values = [
-                fn(np.asarray(own, dtype=float), np.vstack(near).astype(float))
-                for own, near in zip(batch["features"], batch["near"])
-            ]
+            own = [np.asarray(x, dtype=float) for x in batch["features"]]
+            near = [np.vstack(x).astype(float) for x in batch["near"]]
+            shapes: dict[tuple[int, ...], list[int]] = {}
+            for i, n in enumerate(near):
+                shapes.setdefault(n.shape, []).append(i)
+            values = np.full(len(batch), np.nan)
+            for (k, width), rows in shapes.items():
+                step = max(1, _BATCH_CELLS // (k * max(k, width)))
+                for low in range(0, len(rows), step):
+                    part = rows[low : low + step]
+                    values[part] = fn(np.stack([own[i] for i in part]), np.stack([near[i] for i in part]))
             yield pd.DataFrame(
-                {"dataset_id": batch["dataset_id"], "row_id": batch["row_id"], "score": values}
+                {
+                    "dataset_id": batch["dataset_id"],
+                    "row_id": batch["row_id"],
+                    "score": pd.Series(values).astype(object).where(~np.isnan(values), None),
+                }
             )
 
     return run
 
 
-def _angle_variance(own: np.ndarray, near: np.ndarray) -> float | None:
+def _angle_variance(own: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Minus the variance of angles between neighbour directions, weighted by distance."""
-    v = near - own
-    norms = (v * v).sum(axis=1)
-    v, norms = v[norms > 0], norms[norms > 0]
-    if len(v) < 2:
-        return None
-    a, b = np.triu_indices(len(v), 1)
-    return -float(((v @ v.T)[a, b] / (norms[a] * norms[b])).var())
+    v = near - own[:, None]
+    norms = (v * v).sum(axis=2)
+    there = norms > 0
+    a, b = np.triu_indices(near.shape[1], 1)
+    pairs = there[:, a] & there[:, b]
+    scale = np.where(pairs, norms[:, a] * norms[:, b], 1.0)
+    angle = np.einsum("nkp,nlp->nkl", v, v)[:, a, b] / scale
+    n = pairs.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(pairs, angle, 0.0).sum(axis=1) / n
+        spread_ = np.where(pairs, (angle - mean[:, None]) ** 2, 0.0).sum(axis=1) / n
+    return np.where(n > 0, -spread_, np.nan)
 
 
 def abod_scores(
@@ -417,19 +442,19 @@ def abod_scores(
     The k(k-1)/2 angles of a row stay inside one Python call; only k vectors per row are shuffled.
     """
     return _neighbourhoods(top_edges(edges, k), sample_df, hot_rows).mapInPandas(
-        _per_row(_angle_variance), "dataset_id string, row_id bigint, score double"
+        _batched(_angle_variance), "dataset_id string, row_id bigint, score double"
     )
 
 
-def _chaining_distance(own: np.ndarray, near: np.ndarray) -> float:
+def _chaining_distance(own: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Weighted mean of the distances that join each neighbour to those before it."""
-    path = np.vstack([own, near])
-    k = len(near)
-    cost = np.empty(k)
+    path = np.concatenate([own[:, None], near], axis=1)
+    k = near.shape[1]
+    total = np.zeros(len(own))
     for j in range(1, k + 1):
-        cost[j - 1] = np.sqrt(((path[:j] - path[j]) ** 2).sum(axis=1)).min()
-    weight = 2.0 * (k + 1 - np.arange(1, k + 1)) / (k * (k + 1.0))
-    return float((weight * cost).sum())
+        cost = np.sqrt(((path[:, :j] - path[:, j : j + 1]) ** 2).sum(axis=2)).min(axis=1)
+        total += 2.0 * (k + 1 - j) / (k * (k + 1.0)) * cost
+    return total
 
 
 def cof_scores(
@@ -439,7 +464,7 @@ def cof_scores(
     near = top_edges(edges, k)
     chain = durable(
         _neighbourhoods(near, sample_df, hot_rows).mapInPandas(
-            _per_row(_chaining_distance), "dataset_id string, row_id bigint, score double"
+            _batched(_chaining_distance), "dataset_id string, row_id bigint, score double"
         )
     ).withColumnRenamed("score", "_chain")
     keys = ["dataset_id", "row_id"]

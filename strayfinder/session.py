@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from inspect import isgeneratorfunction
 
 import numpy as np
 import pandas as pd
@@ -235,7 +236,8 @@ def with_parameters(
     Parameter tables measured as small are broadcast and ``rows`` is not shuffled. Larger ones meet
     their rows in a co-grouped shuffle on (dataset, block); a large dataset spans many blocks, so
     no task holds more than about ``BLOCK_ROWS`` of its rows. Pass ``size`` in bytes when the same
-    table was measured before. Rows of a dataset without parameters raise.
+    table was measured before. Rows of a dataset without parameters raise. ``fn`` may be a generator
+    of frames.
     """
     if size is None:
         params, size = measured(params)
@@ -254,10 +256,12 @@ def with_parameters(
                 yield from folded(iterator, side_of)
                 return
             for batch in gathered(iterator):
-                yield pd.concat(
-                    [fn(part, side_of(d)) for d, part in batch.groupby("dataset_id", sort=False)],
-                    ignore_index=True,
-                )
+                found = [fn(part, side_of(d)) for d, part in batch.groupby("dataset_id", sort=False)]
+                if isgeneratorfunction(fn):
+                    for frames in found:
+                        yield from frames
+                else:
+                    yield pd.concat(found, ignore_index=True)
 
         return rows.mapInPandas(batches, schema)
 
@@ -282,7 +286,11 @@ def with_parameters(
             return pd.DataFrame(columns=columns)
         if side.empty:
             raise ValueError(f"no parameters for dataset {part['dataset_id'].iloc[0]}")
-        return fn(part.drop(columns="_block"), side.drop(columns="_block"))
+        found = fn(part.drop(columns="_block"), side.drop(columns="_block"))
+        if not isgeneratorfunction(fn):
+            return found
+        frames = list(found)
+        return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=columns)
 
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     columns = [c.split()[0] for c in schema.replace(", ", ",").split(",")]
