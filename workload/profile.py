@@ -10,7 +10,7 @@ from strayfinder.plans.profile import profile, statistics
 from strayfinder.session import sized
 from strayfinder.sources.datasets import validation
 from workload import fixtures as x
-from workload.registry import digits, query, r, rounded, rs
+from workload.registry import TINY, digits, query, r, rounded, rs
 
 
 def summaries_sql(source: str, blocks: list[str]) -> str:
@@ -359,12 +359,13 @@ part AS (
   FROM f JOIN w ON CASE WHEN f < 4 THEN k < m ELSE k >= m AND k < m + 30 * (df + f) / f END
   GROUP BY dataset_id, i, j, f, df)
 SELECT dataset_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r('f')} AS anova_f,
-       {r('CASE WHEN f < 4 THEN 1 - s ELSE s END')} AS anova_p_value
+       {r('CASE WHEN f < 4 THEN 1 - s ELSE s END', TINY)} AS anova_p_value
 FROM part""",
 )
 def mf25_mat8_anova_p_events(spark, sf):
     found = _pair_stats(x.events(spark, sf))
-    return rounded(found.select("dataset_id", "i", "j", "anova_f", "anova_p_value"), "anova_f", "anova_p_value")
+    found = found.select("dataset_id", "i", "j", "anova_f", "anova_p_value")
+    return rounded(rounded(found, "anova_f"), "anova_p_value", floor=TINY)
 
 
 @query("mat8_anova_p")

@@ -21,29 +21,37 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def digits(c: Column | str) -> Column:
-    """Eight significant digits, 0 below 1e-9: hides the order of floating-point sums.
+FLOOR = 1e-9
+
+
+def digits(c: Column | str, floor: float = FLOOR) -> Column:
+    """Eight significant digits, 0 below ``floor``: hides the order of floating-point sums.
+
+    Probabilities and densities, whose small values matter, take a floor of TINY.
 
     The factor keeps decimals that end in an exact 5 from being rounded differently by two engines.
     """
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
     text = F.format_string("%.7e", c * NUDGE)
-    return F.when(F.abs(c) < 1e-9, 0.0).when(
+    return F.when(F.abs(c) < floor, 0.0).when(
         c.isNotNull() & ~F.isnan(c), text.cast("double") + F.lit(0.0)
     )
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
+TINY = 1e-290
+
+
+def rounded(df: DataFrame, *columns: str, floor: float = FLOOR) -> DataFrame:
     return df.select(
-        *[digits(c).alias(c) if c in columns else F.col(c) for c in df.columns]
+        *[digits(c, floor).alias(c) if c in columns else F.col(c) for c in df.columns]
     )
 
 
-def r(expression: str) -> str:
+def r(expression: str, floor: float = FLOOR) -> str:
     """The SQL side of ``digits``."""
     x = f"CAST({expression} AS DOUBLE)"
     return (
-        f"CASE WHEN abs({x}) < 1e-9 THEN 0.0 "
+        f"CASE WHEN abs({x}) < {floor!r} THEN 0.0 "
         f"ELSE CAST(printf('%.7e', {x} * CAST({NUDGE!r} AS DOUBLE)) AS DOUBLE) + 0.0 END"
     )
 
