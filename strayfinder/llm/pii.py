@@ -172,13 +172,13 @@ def revealing(rows: DataFrame) -> DataFrame | None:
         .groupBy("term")
         .agg(F.countDistinct("copy").alias("total"))
     )
-    size = rows.agg(F.countDistinct("copy").alias("corpus"))
+    corpus = rows.agg(F.countDistinct("copy")).first()[0]
     held = rows.select("copy", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity"))
     holders = held.join(_small(likely.select("entity").distinct()), "entity").groupBy("entity").agg(F.countDistinct("copy").alias("holders"))
     p = F.col("n") / F.col("total")
     judged = (
-        likely.join(spread, "term").join(holders, "entity").join(F.broadcast(size))
-        .withColumns({"p": p, "whole": F.log2(F.col("corpus") / F.col("holders"))})
+        likely.join(spread, "term").join(holders, "entity")
+        .withColumns({"p": p, "whole": F.log2(F.lit(float(corpus)) / F.col("holders"))})
         .withColumn("bits", F.col("whole") + F.log2("p"))
     )
     strong = judged.where((F.col("p") >= DISCLOSE) & (F.col("bits") > 0) & (F.col("bits") >= INFORMED * F.col("whole")))
