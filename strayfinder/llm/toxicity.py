@@ -4,7 +4,9 @@ Ordinary windows train the first dictionary. Toxic text is mostly ordinary too,
 the same content and, before it, a dictionary trained on the runs of words that toxic texts use, or
 whose beginning they use, in many more contexts than ordinary ones do. Contexts are distinct (word, next word) pairs; copies of one text
 therefore count once. Every text is cut into windows; a window is the more toxic the shorter the second
-dictionary makes it. The mean gain is turned into a probability by calibrated thresholds (isotonic).
+dictionary makes it. Bytes saved beyond ``CLEAR`` count twice, and ``PRIOR`` windows without a gain are
+added to every text, so that a short one needs more than a chance match. Calibrated thresholds
+(isotonic) turn the mean gain into a probability.
 
 Bounds, all parameters: dictionaries and thresholds are learned from at most about ``fit_rows``
 labelled rows chosen by a hash of the id, ``max_words`` marked words and ``sample_bytes`` of samples.
@@ -38,6 +40,7 @@ SAMPLE_BYTES = 4 << 20
 SAMPLE_WINDOW = 256
 RUN = 8
 CONTEXTS, TEXTS, LIFT = 5, 3, 8.0
+CLEAR, PRIOR = 2, 5
 LOW, HIGH = -4.0, 16.0
 BREAK = r"[ \t\n\x0B\f\r]+"
 
@@ -150,7 +153,7 @@ def train(taught: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_words: int =
 
 
 def gains(docs: DataFrame, dictionaries: Dictionaries, thresholds: Calibration | None = None) -> DataFrame:
-    """(id, gain, windows, score): mean bytes that the toxic dictionary saves on a window."""
+    """(id, gain, windows, score): weighted mean of the bytes that the toxic dictionary saves on a window."""
 
     def measure(batches):
         ordinary, toxic = dictionaries.compressors()
@@ -159,8 +162,8 @@ def gains(docs: DataFrame, dictionaries: Dictionaries, thresholds: Calibration |
                 gain, count = [], []
                 for text in part.column("text").to_pylist():
                     pieces = windows((text or "").encode().lower())
-                    saved = sum(len(ordinary.compress(w)) - len(toxic.compress(w)) for w in pieces)
-                    gain.append(saved / max(len(pieces), 1))
+                    saved = [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in pieces]
+                    gain.append((sum(saved) + sum(n - CLEAR for n in saved if n > CLEAR)) / (len(pieces) + PRIOR))
                     count.append(len(pieces))
                 gain = np.array(gain, dtype=float)
                 score = thresholds(gain) if thresholds else gain
