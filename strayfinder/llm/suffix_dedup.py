@@ -360,11 +360,11 @@ def _send(length: int, bits: int):
                     continue
                 gram, context = anchors.hashes()
                 owned = (codes & FULL == 0) & ~copied
-                # of covered anchors one of each context is enough; they are only partners
-                _, once = np.unique(np.column_stack([gram[at], context[at]]), axis=0, return_index=True)
-                chosen = np.zeros(len(at), dtype=bool)
-                chosen[once] = True
-                at = at[chosen | owned[at]]
+                # of covered anchors one of each context is enough; they are only partners, also of
+                # an anchor with their own context, whose cover nobody has told yet
+                partner = at[~owned[at]]
+                _, once = np.unique(np.column_stack([gram[partner], context[partner]]), axis=0, return_index=True)
+                at = np.sort(np.concatenate([at[owned[at]], partner[once]]))
                 part = (gram[at] >> np.uint64(64 - bits)).astype(np.int64)
                 whole = data.tobytes()
                 k1, k2 = rows.column("k1").to_numpy(), rows.column("k2").to_numpy()

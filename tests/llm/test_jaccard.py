@@ -65,6 +65,14 @@ def test_classes(spark, limit):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute(texts)
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "small", lambda rows: rows)
+    texts = corpus(seed=8)
+    docs = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    rows = jaccard.classes(docs, limit=300).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute(texts)
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(5, text, "", 1), (5, text, "", 1), (None, text, "", 1), (3, text + " i", "", 1), (9, "x", "", 1), (None, "alone", "", 1)], SCHEMA)

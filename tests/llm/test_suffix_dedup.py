@@ -59,6 +59,13 @@ def test_removal(spark, length, hot, monkeypatch):
     assert sorted(tuple(r) for r in rows) == brute(texts, length)
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(sd, "_small", lambda rows, size: rows)
+    texts = corpus(40, seed=5)
+    docs = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(texts)], SCHEMA).repartition(4)
+    assert sorted(tuple(r) for r in sd.dedup(docs, length=40).collect()) == brute(texts, 40)
+
+
 def test_one_slice_and_empty(spark):
     texts = corpus(40, seed=9)
     docs = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(texts)], SCHEMA).coalesce(1)
