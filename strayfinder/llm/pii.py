@@ -3,9 +3,12 @@
 Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers. Every value found
 is a protected entity. The corpus then tells how strongly a term reveals one: of the texts that hold
 the term, the share in which it stands near that entity, an estimate of P(entity | term), and the
-information this gains about the entity, log P(entity | term) / P(entity). Terms of independent mentions (distinct neighbours
-on both sides, so copies of one text count once) above ``DISCLOSE`` are generalised, those above
-``REMOVE`` are removed, wherever they stand, also in texts without the entity.
+information this gains about the entity, log P(entity | term) / P(entity). A term counts when
+``MENTIONS`` independent texts hold it beside the entity: the words around the entity in them, within
+``WIDE``, have at most half of their union in common for any two, so copies and near copies of one text count
+once, and neither the place of the term nor the number of mentions matters. Terms above ``DISCLOSE``
+are generalised, those above ``REMOVE`` are removed, wherever they stand, also in texts without the
+entity.
 
 Defined results: null and empty texts have no span; repeated rows are separate documents but one
 mention; texts of any length are read whole; an empty table gives an empty result; other columns are
@@ -28,13 +31,16 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 
 #: code points before and after an entity that are near it
 NEAR = 80
+#: code points before and after an entity whose words tell independent texts from copies
+WIDE = 240
 MENTIONS = 3
-INDEPENDENT = 0.5
 DISCLOSE, REMOVE = 0.5, 0.9
 #: share of an entity's information, log 1 / P(entity), that a term must give
 INFORMED = 0.5
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SMALL_ROWS = 200_000
+#: the same for rows that hold the words of a window
+LEADERS = 20_000
 
 
 def _spans(text: Column, pattern: str | Column, kind: Column | str, guard: Column) -> Column:
@@ -125,25 +131,45 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
 
 
-def mentions(rows: DataFrame) -> DataFrame:
-    """(entity, term, before, after, text): words near an entity, with their neighbours."""
-    held = rows.where(F.size("spans") > 0).select("text", "copy", F.explode("spans").alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - NEAR, F.lit(0)).cast("int") + 1,
-                       F.least(F.col("s.start"), F.lit(NEAR)).cast("int"))
-    right = F.substring(F.col("text"), F.col("s.end").cast("int") + 1, F.lit(NEAR))
+def _around(width: int) -> Column:
+    """Distinct words at most ``width`` code points before or after the span ``s``."""
+    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - width, F.lit(0)).cast("int") + 1,
+                       F.least(F.col("s.start"), F.lit(width)).cast("int"))
+    right = F.substring(F.col("text"), F.col("s.end").cast("int") + 1, F.lit(width))
     # a word that the border of the window cuts is left out
-    left = F.when(F.col("s.start") > NEAR, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    right = F.when(F.length("text") > F.col("s.end") + NEAR, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
-    entity = F.concat("s.kind", F.lit(":"), F.lower("s.value"))
-    sides = held.select(
-        entity.alias("entity"), "copy", F.explode(F.array(_words(left), _words(right))).alias("w")
-    ).where(F.size("w") > 0)
-    inner = F.transform("w", lambda t, k: F.struct(
-        t.alias("term"),
-        F.coalesce(F.get(F.col("w"), k - 1), F.lit("")).alias("before"),
-        F.coalesce(F.get(F.col("w"), k + 1), F.lit("")).alias("after"),
-    ))
-    return sides.select("entity", "copy", F.explode(inner).alias("m")).select("entity", "copy", "m.*")
+    left = F.when(F.col("s.start") > width, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
+    right = F.when(F.length("text") > F.col("s.end") + width, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
+    return F.array_union(_words(left), _words(right))
+
+
+def _entity(span: Column) -> Column:
+    return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
+
+
+def mentions(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, copy, terms, context): words near an entity and hashes of those in the wider window, per text."""
+    held = rows.where(F.size("spans") > 0).select("text", "copy", F.explode("spans").alias("s"))
+    near = held.withColumn("entity", _entity(F.col("s"))).join(_small(entities), "entity").select(
+        "entity", "copy", _around(NEAR).alias("terms"), F.transform(_around(WIDE), lambda w: F.xxhash64(w)).alias("context")
+    )
+    return near.groupBy("entity", "copy").agg(
+        *(F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("terms", "context"))
+    )
+
+
+def independent(pairs: DataFrame) -> DataFrame:
+    """(entity, term) with ``MENTIONS`` independent texts among ``pairs`` (entity, term, copy, context).
+
+    Each pass sets one text aside and leaves those that are no copies of it.
+    """
+    rest = pairs.where(F.size("context") > 0)
+    for k in range(MENTIONS - 1):
+        first = durable(rest.groupBy("entity", "term").agg(F.min_by("context", "copy").alias("first")))
+        common = F.size(F.array_intersect("context", "first"))
+        rest = rest.join(_small(first, LEADERS), ["entity", "term"]).where(
+            3 * common <= F.size("context") + F.size("first")
+        ).drop("first")
+    return rest.select("entity", "term").distinct()
 
 
 def _small(rows: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
@@ -156,12 +182,19 @@ def revealing(rows: DataFrame) -> DataFrame | None:
 
     ``rows`` has text, copy (a hash of the text, which copies share) and spans.
     """
-    near = mentions(rows)
-    seen = near.groupBy("entity", "term").agg(
-        F.countDistinct("copy").alias("n"), F.countDistinct("before").alias("nb"), F.countDistinct("after").alias("na")
+    held = rows.select("copy", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    holders = durable(
+        held.groupBy("entity").agg(F.countDistinct("copy").alias("holders")).where(F.col("holders") >= MENTIONS)
     )
-    independent = F.least("nb", "na") >= F.greatest(F.lit(MENTIONS), F.ceil(F.col("n") * INDEPENDENT))
-    likely = durable(seen.where((F.col("n") >= MENTIONS) & independent))
+    if holders.isEmpty():
+        return None
+    near = durable(mentions(rows, holders.select("entity")))
+    each = near.select("entity", "copy", "context", F.explode("terms").alias("term"))
+    often = durable(each.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= MENTIONS))
+    # the term itself is in all its contexts
+    others = F.array_remove("context", F.xxhash64("term"))
+    pairs = each.join(_small(often.select("entity", "term")), ["entity", "term"]).withColumn("context", others)
+    likely = durable(often.join(_small(durable(independent(pairs))), ["entity", "term"]))
     terms = likely.select("term").distinct()
     if likely.isEmpty():
         return None
@@ -173,8 +206,6 @@ def revealing(rows: DataFrame) -> DataFrame | None:
         .agg(F.countDistinct("copy").alias("total"))
     )
     corpus = rows.agg(F.countDistinct("copy")).first()[0]
-    held = rows.select("copy", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity"))
-    holders = held.join(_small(likely.select("entity").distinct()), "entity").groupBy("entity").agg(F.countDistinct("copy").alias("holders"))
     p = F.col("n") / F.col("total")
     judged = (
         likely.join(spread, "term").join(holders, "entity")

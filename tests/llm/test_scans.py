@@ -124,6 +124,49 @@ def test_revealing_terms(spark):
     assert clean[len(texts) - 1] == texts[-1] and "[EMAIL]" in clean[0]
 
 
+def found_terms(spark, texts):
+    """Per text the words that count as revealing terms."""
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], SCHEMA)
+    rows = pii.find(docs).collect()
+    return {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind.startswith("term")} for r in rows}
+
+
+def prose(k, n):
+    """n words of a small vocabulary, other ones for each k."""
+    return " ".join("w" + "".join(chr(97 + int(d)) for d in hashlib.md5(f"{k} {j}".encode()).hexdigest()[:8] if d.isdigit())[:2] for j in range(n))
+
+
+@pytest.mark.parametrize("form", [
+    "{a} zorblax jane@corp.example {b}", "{a} jane@corp.example zorblax {b}", "{a} zorblax, +1 234 567 8901 {b}",
+    "zorblax jane@corp.example {b}", "{a} jane@corp.example zorblax",
+])
+def test_adjacent_name(spark, form):
+    texts = [form.format(a=prose(k, 9), b=prose(k + 1000, 9)) for k in range(4)] + [prose(k, 30) for k in range(2000, 2060)]
+    got = found_terms(spark, texts)
+    assert all(got[k] == ({"zorblax"} if k < 4 else set()) for k in got)
+
+
+def test_two_word_name(spark):
+    texts = [f"{prose(k, 9)} jane doe <jd@corp.example> {prose(k + 1000, 9)}" for k in range(5)]
+    texts += [prose(k, 30) for k in range(2000, 2060)]
+    got = found_terms(spark, texts)
+    assert all(got[k] == ({"jane", "doe"} if k < 5 else set()) for k in got)
+
+
+def test_entity_with_thousands_of_mentions(spark):
+    texts = [f"{prose(k, 7)} zorblax {prose(k + 10_000, 1)} jane@corp.example {prose(k + 20_000, 7)} {k}" for k in range(3000)]
+    texts += [prose(k, 30) for k in range(40_000, 46_000)]
+    got = found_terms(spark, texts)
+    assert all(got[k] == ({"zorblax"} if k < 3000 else set()) for k in got)
+
+
+def test_near_copies_are_one_mention(spark):
+    words = f"a passage about zorblax that people send around with carol@corp.example inside it {prose(1, 20)}".split()
+    texts = [" ".join(words[:k] + [f"edit{chr(97 + k)}"] + words[k + 1 :]) for k in range(len(words)) if "@" not in words[k]] * 2
+    texts += [prose(k, 30) for k in range(2000, 2060)]
+    assert not any(found_terms(spark, texts).values())
+
+
 def test_sanitise_keeps_columns(spark):
     docs = spark.createDataFrame(
         [(1, "a@b.co x +1 234 567 8901", "s", 24), (2, None, None, None), (3, "", "s", 0), (4, "plain", "s", 5)],
