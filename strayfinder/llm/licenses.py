@@ -1,11 +1,12 @@
 """Licence scan by a positional index of rare tokens; DataFrame functions only.
 
 Templates are short licence texts with a mandatory key phrase. Their words are postings (word,
-template, position). Document frequencies over all files give each licence word its IDF. The licence words of a
-file are looked up in the postings, and places agree when file position minus template position is the
-same. An offset is a candidate when a word agrees there that is rare (IDF at least ``RARE`` of the
-template's highest); the template is found when the agreeing words carry ``SHARE`` of its weight and
-every word of its mandatory key phrase stands there.
+template, position). Document frequencies over all files give each licence word its IDF, which is 1 for
+a word that every file holds and more for others. The licence words of a file are looked up in the
+postings, and places agree when file position minus template position is the same. An offset is a
+candidate when a word agrees there that is rare (IDF at least ``RARE`` of the template's highest); the
+template is found when the agreeing words carry ``SHARE`` of its weight and every word of its mandatory
+key phrase stands there.
 Beside that, the base phrases are counted wherever their words stand consecutively.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased.
@@ -109,7 +110,7 @@ def frequencies(files: DataFrame) -> dict[str, float]:
     counted = files.select(F.explode("found").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     df = {row["word"]: row["df"] for row in counted.collect()}
     n = files.count()
-    return {word: math.log((n + 1) / (df.get(word, 0) + 1)) for word in VOCABULARY}
+    return {word: 1 + math.log((n + 1) / (df.get(word, 0) + 1)) for word in VOCABULARY}
 
 
 def index(idf: dict[str, float]) -> Column:
@@ -146,7 +147,7 @@ def found_templates(files: DataFrame) -> DataFrame:
             F.count_if("rare").alias("n_rare"),
         )
     )
-    share = F.when(F.col("full") > 0, F.col("weight") / F.col("full")).otherwise(0.0)
+    share = F.col("weight") / F.col("full")
     return agreeing.where(
         (F.col("n_rare") > 0) & (F.col("n_key") == F.col("key_words")) & (share >= SHARE)
     ).select("row", "label", F.col("offset").alias("at"), share.alias("share"))

@@ -49,6 +49,16 @@ def test_license_base_and_templates(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("number", range(len(licenses.TEMPLATES)))
+def test_license_in_every_file(spark, number):
+    label, text, _ = licenses.TEMPLATES[number]
+    for n in (1, 5):
+        docs = spark.createDataFrame([(k, f"{text}. File {k}", None) for k in range(n)], SCHEMA)
+        rows = licenses.scan(docs).collect()
+        assert len(rows) == n
+        assert all(label in r.labels.split(",") and r.score > 0.99 for r in rows)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
