@@ -17,7 +17,7 @@ fewer words the whole sequence is one. Documents link when intersection / union
 
 Defined results: null, empty and wordless texts have size 0 and link with nothing; equal ids are one
 document for ``component_id`` but keep a row each; a null id keeps its row and never names a class (null
-if no member has an id); texts of any length are read whole; empty tables give empty results; other columns
+if no member has an id, but such sets link and carry chains like others); texts of any length are read whole; empty tables give empty results; other columns
 are not read by ``classes``, and ``distinct`` carries them.
 """
 
@@ -464,11 +464,10 @@ def _similar(threshold: int):
     return similar
 
 
-def classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD,
-    limit: int = TRIE_SHINGLES,
+def _classes(
+    docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, threshold: int = THRESHOLD, limit: int = TRIE_SHINGLES
 ) -> DataFrame:
-    """(id, n_shingles, component_id) per row."""
+    """(id, high, low, n, component, component_id) per row; ``component`` names the class, null without words."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     named = durable(shared(rows, width, threshold))
     # copies of one set are one set from here on, named by its fingerprint
@@ -476,28 +475,87 @@ def classes(
         named.where("n > 0").groupBy("high", "low", "n").agg(F.min("id").alias("first"), F.max("may").alias("may"))
     )
     first = equal.where("may and first is not null").select(F.col("first").alias("id")).distinct()
-    texts = durable(rows.join(small(first), "id", "left_semi"))
+    texts = rows.join(small(first), "id", "left_semi")
+    nameless = not equal.where("may and first is null").isEmpty()
+    if nameless:  # only their fingerprints name sets without an id
+        texts = texts.unionByName(rows.where("id is null"))
+    texts = durable(texts)
     # among different sets, many of which had only copies of their own
     again = durable(shared(texts, width, threshold).where("may"))
-    chosen = again.join(equal.select("high", "low", "n", "first"), ["high", "low", "n"]).where("id = first").select(
+    chosen = again.join(equal.select("high", "low", "n", "first"), ["high", "low", "n"]).where("id <=> first").select(
         F.col("id").alias("doc"), F.col("high").alias("id")
     ).distinct()
-    packed = texts.mapInArrow(_pack(width), "doc long, id long, n long, shingles binary")
-    packed = durable(packed.join(small(chosen), ["doc", "id"]).select("id", "n", "shingles"))
+    every = texts.mapInArrow(_pack(width), "doc long, id long, n long, shingles binary")
+    packed = every.join(small(chosen), ["doc", "id"]).select("id", "n", "shingles")
+    if nameless:
+        alone = every.where("doc is null").join(small(chosen.where("doc is null").select("id")), "id")
+        packed = packed.unionByName(alone.select("id", "n", "shingles").dropDuplicates(["id"]))
+    packed = durable(packed)
     linked = links(packed, threshold, limit).groupBy("id").agg(F.min("component").alias("component"))
     labelled = durable(
         equal.join(linked, equal["high"] == linked["id"], "left")
         .select("high", "low", "n", "first", F.coalesce("component", "high").alias("component"))
     )
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    component = labelled.join(least, "component").select("high", "low", "n", "component_id")
+    component = labelled.join(least, "component").select("high", "low", "n", "component", "component_id")
     return named.join(component, ["high", "low", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        "id", "high", "low", "n", "component", F.coalesce("component_id", "id").alias("component_id")
     )
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, n_shingles, component_id) per row; options are width, threshold and limit."""
+    return _classes(docs, id_col, text_col, **options).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"
+    )
+
+
+def _named(width: int):
+    """(id, text_hash, high, low, n): rows named by their text and by their set."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in tx.slices(batch, "text", SLICE_BYTES):
+                hashes, bounds = sets(rows.column("text"), width)
+                high, low = fingerprints(hashes, bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("id"), rows.column("text_hash"), pa.array(high), pa.array(low), pa.array(np.diff(bounds))],
+                    names=["id", "text_hash", "high", "low", "n"],
+                )
+
+    return name
+
+
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id; rows without an id stay."""
-    found = classes(docs, id_col, text_col, **options)
-    gone = durable(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_")).distinct())
-    return docs.join(small(gone), docs[id_col] == F.col("gone_"), "left_anti")
+    """``docs`` with one row of each class, one with the smallest id; rows without an id or words stay.
+
+    A row whose id others have too is judged by its own text.
+    """
+    found = _classes(docs, id_col, text_col, **options)
+    repeated = durable(found.where("id is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    several = not repeated.isEmpty()
+    if several:
+        found = durable(found)
+    gone = durable(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("gone_")).distinct())
+    if not several:
+        return docs.join(small(gone), docs[id_col] == F.col("gone_"), "left_anti")
+    apart = repeated.select(F.col("id").alias("gone_"))
+    once = docs.join(small(durable(gone.unionByName(apart).distinct())), docs[id_col] == F.col("gone_"), "left_anti")
+    names = docs.columns
+    text_hash = F.xxhash64(docs[text_col], F.lit(1))
+    rows = docs.join(small(apart), docs[id_col] == F.col("gone_"), "left_semi")
+    texts = rows.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), text_hash.alias("text_hash"))
+    told = texts.mapInArrow(_named(options.get("width", WIDTH)), "id long, text_hash long, high long, low long, n long").distinct()
+    # a class keeps one of the texts that its smallest id has
+    judged = told.join(
+        found.join(small(repeated), "id", "left_semi").distinct(), ["id", "high", "low", "n"]
+    ).where("n = 0 or id = component_id")
+    best = judged.where("n > 0").groupBy("component").agg(F.min(F.struct("high", "low", "n", "text_hash")).alias("best"))
+    chosen = judged.join(best, "component", "left").where(
+        "n = 0 or (high = best.high and low = best.low and n = best.n and text_hash = best.text_hash)"
+    )
+    chosen = durable(chosen.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), (F.col("n") == 0).alias("free_")))
+    held = rows.join(small(chosen), (docs[id_col] == F.col("id_")) & (text_hash == F.col("hash_")))
+    order = W.partitionBy("id_", "hash_").orderBy(F.xxhash64(*(docs[c] for c in names)))
+    one = held.withColumn("place_", F.row_number().over(order)).where("free_ or place_ = 1")
+    return once.unionByName(one.select(*(docs[c] for c in names)))

@@ -84,6 +84,26 @@ def test_odd_rows(spark):
     assert jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(3, text), (3, text), (3, text + " x"), (5, text + " y"), (5, "only this id has such words at all"), (5, ""), (5, ""),
+            (7, "seven has its own text too"), (7, "seven has its OWN text  too"), (8, "seven has its own text too"), (9, "x")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], SCHEMA).repartition(3)
+    kept = [(r.doc_id, r.text) for r in jaccard.distinct(docs).collect()]
+    assert sorted((i, "" if i == 3 else t.lower().split()[0] if t else "") for i, t in kept) == [
+        (3, ""), (5, ""), (5, ""), (5, "only"), (7, "seven"), (9, "x")]
+    assert jaccard.distinct(docs).columns == docs.columns
+
+
+def test_chain_through_sets_without_id(spark):
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([f"n{j}" if j < 8 * k else w for j, w in enumerate(words)]) for k in range(3)]
+    rows = [(3, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (None, "a b c d e f"), (None, "a b c d e f")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], SCHEMA).repartition(3)
+    got = sorted(((str(r.doc_id), r.component_id) for r in jaccard.classes(docs).collect()), key=str)
+    assert got == [("3", 3), ("7", 3), ("None", 3), ("None", 3), ("None", None), ("None", None)]
+
+
 def test_trie_matches_pairs():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
