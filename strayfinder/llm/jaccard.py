@@ -41,8 +41,8 @@ PART_BYTES = 1 << 24
 #: shingles of one trie; larger clusters go in blocks
 TRIE_SHINGLES = 4_000_000
 DELEGATES = 16
-#: size classes differ by more than 1 / THRESHOLD, so similar sets are in the same or the next one
-CLASS = 1.26
+#: size classes differ by so much more than 100 / threshold, so similar sets are in the same or the next one
+CLASS = 1.008
 NOBODY = np.uint16(65535)
 SLICE_ROWS = 65_000
 
@@ -383,7 +383,7 @@ def _prefixes(packed: DataFrame, threshold: int) -> DataFrame:
     own = W.partitionBy("id")
     place = F.row_number().over(own.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(own)
     prefix = held.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
-    size_class = F.floor(F.log("n") / F.log(F.lit(CLASS)))
+    size_class = F.floor(F.log("n") / F.log(F.lit(CLASS * 100 / threshold)))
     return prefix.select(F.explode(F.array(size_class, size_class + 1)).alias("class"), "shingle", "id").select(
         F.xxhash64("shingle", "class").alias("key"), "id"
     )

@@ -104,6 +104,23 @@ def test_chain_through_sets_without_id(spark):
     assert got == [("3", 3), ("7", 3), ("None", 3), ("None", 3), ("None", None), ("None", None)]
 
 
+@pytest.mark.parametrize("threshold", [60, 95])
+def test_other_thresholds(spark, threshold):
+    words = [f"w{k}" for k in range(200)]
+    # sizes 60 and 97 share 61.9 percent and are more than two steps of 1.26 apart
+    texts = [" ".join(words[:64]), " ".join(words[:101]), *corpus(seed=5)]
+    sets = [shingles(t) for t in texts]
+    least = list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                low, high = sorted((least[a], least[b]))
+                least = [low if p == high else p for p in least]
+    docs = spark.createDataFrame([(k, t, "s", 1) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(docs, threshold=threshold).collect()}
+    assert got == dict(enumerate(least))
+
+
 def test_trie_matches_pairs():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
