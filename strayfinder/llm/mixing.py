@@ -6,7 +6,8 @@ what it has, the excess going to the others by weight. Each document is then tak
 probabilities that the cube method moves through the null space of two constraints, the number of
 documents and the number of words of the source, until they are 0 or 1.
 
-The flight runs in blocks of a source dealt by a hash, so a source that holds a third of all rows is
+The flight runs in blocks of a source dealt by a hash of the id and, among rows of one id or without
+one, round by round in order of size, so a source that holds a third of all rows is
 many tasks; at most two documents of a block stay undecided, and those meet in the blocks of the next
 level until one block per source is left. There a few documents of spread sizes are held back, and
 the landing tries all choices of these and of the undecided two.
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strayfinder.session import durable
+from strayfinder.session import durable, running_sums
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 4096
@@ -109,7 +110,7 @@ def reserve(size: np.ndarray) -> np.ndarray:
 
 def _fly(level: int, seed: int, last: bool):
     def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "tie", "id"], ascending=[False, True, True], ignore_index=True)
+        rows = rows.sort_values(["size", "tie", "again"], ascending=[False, True, True], ignore_index=True)
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         p, size = rows["p"].to_numpy(float).copy(), rows["size"].to_numpy(float)
         held = np.zeros(len(p), dtype=bool)
@@ -156,6 +157,9 @@ def mix(
         "id", "slot", "size", F.xxhash64("id").alias("tie"), "n", F.floor("rate").alias("whole"),
         F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("p"),
     )
+    # rows of a source with the same id are numbered, whatever their order in the table
+    numbered = running_sums(units.withColumn("one", F.lit(1).cast("long")), ["slot", "tie"], "size", {"again": "one"})
+    units = numbered.drop("one").withColumn("again", F.col("again") - 1)
     schema = units.schema
     largest = plan.agg(F.max("n")).first()[0] or 0
     decided = []
@@ -163,9 +167,8 @@ def mix(
     while True:
         blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("long")
         last = largest <= block
-        moved = units.groupBy(
-            "slot", F.pmod(F.xxhash64("id", F.lit(level)), blocks).alias("part")
-        ).applyInPandas(_fly(level, seed, last), schema)
+        part = F.pmod(F.pmod(F.xxhash64("id", F.lit(level)), blocks) + F.col("again"), blocks)
+        moved = units.groupBy("slot", part.alias("part")).applyInPandas(_fly(level, seed, last), schema)
         if last:
             decided.append(moved)
             break

@@ -108,6 +108,34 @@ def test_mix(spark, block):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("repeated", [None, 7])
+def test_mix_deals_equal_ids_to_many_blocks(spark, monkeypatch, tmp_path, repeated):
+    fly, folder = mixing._fly, str(tmp_path)
+
+    def counted(level, seed, last):
+        inner = fly(level, seed, last)
+
+        def run(key, rows):
+            with open(f"{folder}/{level}-{int(key[0])}-{int(key[1])}", "w") as out:
+                out.write(str(len(rows)))
+            return inner(key, rows)
+
+        return run
+
+    monkeypatch.setattr(mixing, "_fly", counted)
+    rng = random.Random(4)
+    rows = [(repeated, "w " * rng.randrange(1, 40), "a") for _ in range(1500)] + [(k, "w w", "b") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs, block=64).collect()
+    assert len(got) == len(rows)
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) <= 2 * 64
+    taken = sum(r.taken for r in got if r.source == "a")
+    target = next(r.target for r in got if r.source == "a")
+    assert abs(taken - target) <= max(0.02 * target, 40)
+    again = mixing.mix(docs.repartition(7), block=64).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_flight_keeps_both_sums():
     size = np.sort(np.random.default_rng(0).integers(1, 500, 300))[::-1].astype(float)
     p = mixing.flight(np.full(300, 0.37), size, np.random.default_rng(1))
