@@ -6,11 +6,13 @@ decisions applied; the last one says how often each remaining document is taken.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strayfinder.llm import decontamination, jaccard, mixing, pii, quality_rules
 from strayfinder.llm.queries import table
-from strayfinder.session import durable
+from strayfinder.session import checkpoint_folder
 
 #: near duplicates, disclosure and balanced sampling aren't expressible as one DuckDB statement
 ORACLE_SQL = None
@@ -51,10 +53,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written to the shared folder and read again."""
+    """All stages over ``documents``, each result written as Parquet to a fresh shared folder and read again."""
+    folder = f"{checkpoint_folder(spark)}/stages-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = durable(docs)
+            docs.write.parquet(f"{folder}/{k}.parquet")
+            docs = spark.read.parquet(f"{folder}/{k}.parquet")
     return docs

@@ -3,12 +3,15 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strayfinder.llm import decontamination as dc, mixing, quality_rules as qr
+from strayfinder.session import checkpoint_folder
 
 SCHEMA = "doc_id bigint, text string, n_words string, bits int"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -206,3 +209,21 @@ def test_item_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(dc, "ITEM_WORDS", 20)
     assert sorted(map(tuple, dc.contaminated(docs, bench).collect())) == whole
     assert dc.clean(docs, bench).count() == 0
+
+
+def test_pipeline_reads_written_stages(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"{a}{b}er" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)] + [None, "too short"]
+    docs = spark.createDataFrame(
+        [(k, t, "en", "ab"[k % 2], len(t or "")) for k, t in enumerate(texts)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an item that stands in no document at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(30))
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    runs = list(folder.glob("stages-*"))
+    assert runs and all(sorted(p.name for p in r.iterdir()) == [f"{k}.parquet" for k in range(4)] for r in runs)
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{runs[-1]}/3.parquet").collect()) == list(range(30))
