@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strayfinder.llm import (
-    decontamination, jaccard, licenses, mixing, pii, quality_model, quality_rules, suffix_dedup, toxicity, warc,
+    decontamination, jaccard, language, licenses, merkle, mixing, pii, quality_model, quality_rules, suffix_dedup,
+    toxicity, warc, whitening,
 )
 from strayfinder.llm.calibration import held_out
 
@@ -164,3 +165,82 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         quality_rules.fails(F.col("bits"), quality_rules.BASE).alias("base_failed"),
         (~quality_rules.fails(F.col("bits"), quality_rules.V2)).alias("kept"),
     )
+
+
+@query(
+    "op11_merkle_manifest",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, lang, n_chars,
+             CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+             || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+             || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+             CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+             xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+               lambda c, b: list_reduce([xor(c, b)] || list_transform(range(8), lambda i: i::BIGINT),
+                 lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+      FROM documents
+    ), l AS (
+      SELECT doc_id, lang,
+             sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || tail) AS leaf,
+             sha256(head || CASE WHEN n_chars IS NULL THEN '-' WHEN crc % 7 = 0 THEN strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)
+                                 ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || tail) AS altered
+      FROM d
+    ), p AS (
+      SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g, count(*) OVER (PARTITION BY lang) AS n,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+      FROM l
+    ), up AS (
+      SELECT g, 0 AS lvl, pos, leaf AS h, n FROM p
+      UNION ALL
+      SELECT g, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM up
+      WHERE n > 1 GROUP BY g, lvl, pos // 2, n
+    ), subs AS (SELECT g, h AS subroot, count(*) OVER () AS n FROM up WHERE n = 1
+    ), top AS (
+      SELECT 0 AS lvl, g - 1 AS pos, subroot AS h, n FROM subs
+      UNION ALL
+      SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top
+      WHERE n > 1 GROUP BY lvl, pos // 2, n
+    ), steps AS (
+      SELECT p.g, p.pos, s.lvl, (p.pos >> s.lvl) & 1 = 1 AS is_right, coalesce(u.h, '') AS h
+      FROM p JOIN (SELECT DISTINCT g, lvl FROM up WHERE n > 1) s ON s.g = p.g
+      LEFT JOIN up u ON u.g = p.g AND u.lvl = s.lvl AND u.pos = xor(p.pos >> s.lvl, 1)
+      UNION ALL
+      SELECT p.g, p.pos, 1000 + s.lvl, ((p.g - 1) >> s.lvl) & 1 = 1, coalesce(u.h, '')
+      FROM p CROSS JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) s
+      LEFT JOIN top u ON u.lvl = s.lvl AND u.pos = xor((p.g - 1) >> s.lvl, 1)
+    ), paths AS (
+      SELECT g, pos, sha256(string_agg(h, '' ORDER BY lvl)) AS proof,
+             list(CASE WHEN is_right THEN 'L' ELSE 'R' END || h ORDER BY lvl) AS path
+      FROM steps GROUP BY g, pos
+    ), f AS (
+      SELECT p.doc_id, p.leaf, subs.subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(paths.proof, sha256('')) AS proof_sha256,
+             list_reduce([p.altered] || coalesce(paths.path, []), lambda a, s: sha256(
+               CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+      FROM p JOIN subs ON subs.g = p.g LEFT JOIN paths ON paths.g = p.g AND paths.pos = p.pos
+    )
+    SELECT *, folded_root = root AS verified FROM f
+    """,
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    # one decimal digit more than a long has, so the last one can be counted up too
+    added = docs["n_chars"].cast("decimal(20,0)") + F.when(F.crc32(docs["doc_id"].cast("string")) % 7 == 0, 1).otherwise(0)
+    proofs = merkle.manifest(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": added.cast("decimal(20,0)")}
+    ).withColumn("folded_root", merkle.folded(F.col("altered"), F.col("path")))
+    return proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = language.identify(table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "n_words")
