@@ -22,15 +22,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strayfinder.session import durable
+from strayfinder.session import durable, sized
 
 FANOUT = 2
 BLOCK = 256
 DIGEST = 64
 PIECE_ROWS = 500_000
+# Rows that one window may number; more go in sorted ranges.
+WINDOW_ROWS = 4_096
+# Blocks written to one file.
+FILE_BLOCKS = 1_000
 
 
 def field(value: Column) -> Column:
@@ -43,22 +48,44 @@ def leaf(values: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*(field(v) for v in values)), 256)
 
 
-def numbered(nodes: DataFrame, order: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """Add ``pos``, from 0 within ``key`` by ``order``, and ``size``, the rows of the key."""
+@dataclass
+class Nodes:
+    """(key, pos, size, digest, payload) rows; ``pos`` runs from 0 within a key of ``size`` rows."""
+
+    rows: DataFrame
+    total: int
+    largest: int
+
+
+def numbered(nodes: DataFrame, order: Sequence[str], piece_rows: int = PIECE_ROWS, window_rows: int = WINDOW_ROWS) -> Nodes:
+    """Number written (key, ...) rows within ``key`` by ``order``.
+
+    Sorted ranges of all rows are written with a running number, from which each row's place in its range
+    follows; a range's first place in a key comes from the counts of the ranges before it.
+    """
     total = nodes.count()
+    whole = Window.partitionBy("key")
+    if total <= window_rows:
+        placed = durable(nodes.select(
+            "*", (F.row_number().over(whole.orderBy(*order)) - 1).cast("long").alias("pos"),
+            F.count("*").over(whole).alias("size"),
+        ).coalesce(1))
+        return Nodes(placed, total, placed.agg(F.max("size")).first()[0] or 0)
     pieces = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // piece_rows))
-    # the running number spreads identical rows; ``nodes`` is written, so it is the same in reruns
+    # identical rows are spread by a running number; ``nodes`` is written, so it is the same in reruns
     ranged = nodes.repartitionByRange(pieces, "key", *order, F.monotonically_increasing_id())
-    cut = durable(ranged.withColumn("piece", F.spark_partition_id()))
-    by_piece = Window.partitionBy("key").orderBy("piece")
-    offsets = cut.groupBy("key", "piece").count().select(
-        "key", "piece",
-        F.coalesce(F.sum("count").over(by_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("count").over(Window.partitionBy("key")).alias("size"),
+    cut = durable(ranged.sortWithinPartitions("key", *order).withColumn("at", F.monotonically_increasing_id()))
+    piece = F.shiftright("at", 33)
+    before = whole.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = durable(
+        cut.groupBy("key", piece.alias("piece")).agg(F.count("*").alias("n"), F.min("at").alias("first")).select(
+            "key", "piece", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("move"),
+            F.sum("n").over(whole).alias("size"),
+        ).coalesce(-(-(total // piece_rows + pieces) // FILE_BLOCKS))
     )
-    inside = F.row_number().over(Window.partitionBy("key", "piece").orderBy(*order)) - 1
-    placed = cut.withColumn("inside", inside).join(offsets, ["key", "piece"])
-    return placed.select(*nodes.columns, (F.col("before") + F.col("inside")).alias("pos"), "size")
+    placed = cut.withColumn("piece", piece).join(sized(offsets), ["key", "piece"])
+    rows = placed.select(*nodes.columns, (F.col("at") + F.col("move")).alias("pos"), "size")
+    return Nodes(rows, total, offsets.agg(F.max("size")).first()[0] or 0)
 
 
 def _upto(count: Column) -> Column:
@@ -80,8 +107,8 @@ def _depth(nodes: int, fanout: int) -> int:
     return depth
 
 
-def blocks(nodes: DataFrame, payload: Sequence[str], fanout: int, block: int) -> DataFrame:
-    """(key, block, size, height, rows, levels) from (key, pos, size, digest, payload) nodes.
+def blocks(nodes: Nodes, payload: Sequence[str], fanout: int, block: int) -> DataFrame:
+    """(key, block, size, height, rows, levels): every ``block`` consecutive nodes of a key.
 
     ``levels`` holds the hex strings from the nodes up to the block's top, as bytes, which substrings
     reach without a walk along the characters. A group of several blocks lifts each by the same height.
@@ -89,7 +116,7 @@ def blocks(nodes: DataFrame, payload: Sequence[str], fanout: int, block: int) ->
     full = _depth(block, fanout)
     # levels that a group of one block needs: as many as powers of the fan-out lie below its size
     own = sum((F.when(F.col("size") > fanout**j, 1).otherwise(0) for j in range(full)), F.lit(0))
-    grouped = nodes.groupBy("key", "size", F.floor(F.col("pos") / block).alias("block")).agg(
+    grouped = nodes.rows.groupBy("key", "size", F.floor(F.col("pos") / block).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "digest", *payload))).alias("rows")
     )
     base = F.array_join(F.transform("rows", lambda r: r["digest"]), "").cast("binary")
@@ -97,6 +124,9 @@ def blocks(nodes: DataFrame, payload: Sequence[str], fanout: int, block: int) ->
         _upto(F.col("height")), F.array(base),
         lambda done, _: F.concat(done, F.array(_parents(F.element_at(done, -1), fanout))),
     )
+    files = max(1, nodes.total // (block * FILE_BLOCKS))
+    if files < nodes.rows.sparkSession.sparkContext.defaultParallelism and nodes.total <= block * FILE_BLOCKS // 8:
+        grouped = grouped.coalesce(files)
     return durable(
         grouped.withColumn("height", F.when(F.col("size") > block, full).otherwise(own)).withColumn("levels", levels)
     )
@@ -127,37 +157,24 @@ class Tree:
     block: int
 
     def roots(self) -> DataFrame:
-        """(key, size, digest): one row per group, ``size`` its number of nodes."""
-        done = [self._done(r).select("key", F.decode(F.element_at("levels", -1), "UTF-8").alias("digest")) for r in self.rounds]
-        out = done[0]
-        for more in done[1:]:
-            out = out.unionByName(more)
-        return out
-
-    @staticmethod
-    def _finished(block: int) -> Column:
-        return F.col("size") <= block
-
-    def _done(self, blocks: DataFrame) -> DataFrame:
-        return blocks.where(self._finished(self.block))
+        """(key, round, digest): one row per group, and the round that its root comes from."""
+        tops = F.decode(F.element_at("levels", -1), "UTF-8").alias("digest")
+        done = [r.where(F.col("size") <= self.block).select("key", F.lit(k).alias("round"), tops) for k, r in enumerate(self.rounds)]
+        return reduce(DataFrame.unionByName, done)
 
-    def paths(self, above: DataFrame | None = None) -> DataFrame:
-        """(key, pos, digest, payload, path, columns of ``above``) of every node of the first round.
+    def paths(self, above: DataFrame) -> DataFrame:
+        """(key, pos, digest, payload, path, more columns of ``above``) of every node of the first round.
 
-        ``above`` gives (key, path, ...) beyond each group's root.
+        ``above`` gives (key, round, path, ...): what lies beyond each group's root, whose one block is
+        the last of its round.
         """
-        if above is None:
-            above = self.roots().select("key", F.array().cast("array<struct<left:string,right:string>>").alias("path"))
-        carried = [c for c in above.columns if c not in ("key", "path")]
+        carried = [c for c in above.columns if c not in ("key", "round", "path")]
         found = None
         for k in range(len(self.rounds) - 1, -1, -1):
-            payload = self.payload if k == 0 else []
-            blocks = self.rounds[k]
-            known = self._done(blocks).select("key", "block").join(above, "key")
+            known = above.where(F.col("round") == k).select("key", F.lit(0).cast("long").alias("block"), F.col("path").alias("upper"), *carried)
             if found is not None:
-                lower = found.select("key", F.col("pos").alias("block"), "path", *carried)
-                known = known.select(*lower.columns).unionByName(lower)
-            known = known.withColumnRenamed("path", "upper")
+                known = known.unionByName(found.select("key", F.col("pos").alias("block"), F.col("path").alias("upper"), *carried))
+            payload = self.payload if k == 0 else []
             members = F.transform(
                 "rows", lambda r: F.struct(
                     r["pos"].alias("pos"), r["digest"].alias("digest"), *(r[p].alias(p) for p in payload),
@@ -165,35 +182,34 @@ class Tree:
                 ),
             )
             found = (
-                blocks.join(known, ["key", "block"])
+                self.rounds[k].join(known, ["key", "block"])
                 .select("key", "upper", *carried, F.explode(members).alias("m"))
                 .select("key", "m.pos", "m.digest", *(f"m.{p}" for p in payload),
                         F.concat("m.own", "upper").alias("path"), *carried)
             )
-            if k:
-                found = durable(found)
         return found
 
 
-def tree(nodes: DataFrame, payload: Sequence[str] = (), fanout: int = FANOUT, block: int = BLOCK) -> Tree:
-    """The tree of (key, pos, size, digest, payload) nodes."""
+def tree(nodes: Nodes, payload: Sequence[str] = (), fanout: int = FANOUT, block: int = BLOCK) -> Tree:
+    """The tree of each key's nodes."""
     if fanout < 2 or fanout ** _depth(block, fanout) != block:
         raise ValueError("block must be a power of the fan-out, which is 2 or more")
     rounds = [blocks(nodes, payload, fanout, block)]
-    while True:
-        above = rounds[-1].where(F.col("size") > block)
-        if above.isEmpty():
-            return Tree(rounds, list(payload), fanout, block)
-        tops = above.select(
+    total, largest = nodes.total, nodes.largest
+    while largest > block:
+        # every group of several blocks holds more nodes than a block, so rounds shrink by half at least
+        total, largest = 2 * total // block, -(-largest // block)
+        tops = rounds[-1].where(F.col("size") > block).select(
             "key", F.col("block").alias("pos"), F.ceil(F.col("size") / block).alias("size"),
             F.decode(F.element_at("levels", -1), "UTF-8").alias("digest"),
         )
-        rounds.append(blocks(tops, [], fanout, block))
+        rounds.append(blocks(Nodes(tops, total, largest), [], fanout, block))
+    return Tree(rounds, list(payload), fanout, block)
 
 
 def manifest(
     docs: DataFrame, columns: Sequence[str], group_col: str, order_col: str, forged: dict[str, Column] | None = None,
-    fanout: int = FANOUT, block: int = BLOCK, piece_rows: int = PIECE_ROWS,
+    fanout: int = FANOUT, block: int = BLOCK, piece_rows: int = PIECE_ROWS, window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """(id, group, leaf, altered, path, subroot, root) per row: the whole manifest with its proofs.
 
@@ -209,14 +225,12 @@ def manifest(
         leaf([docs[c] for c in columns]).alias("digest"),
         leaf([forged.get(c, docs[c]) for c in columns]).alias("altered"),
     ))
-    lower = tree(numbered(rows, ["id", "digest"], piece_rows), ["id", "altered"], fanout, block)
-    subroots = durable(lower.roots())
-    tops = subroots.select(F.lit("").alias("key"), F.col("key").alias("id"), "digest")
-    upper = tree(numbered(tops, ["id"], piece_rows), ["id"], fanout, block)
-    root = upper.roots().select(F.col("digest").alias("root"), F.lit("").alias("one"))
-    above = upper.paths().select(F.col("id").alias("key"), "path", F.col("digest").alias("subroot"), F.lit("").alias("one"))
-    # one row on the right: the root of all
-    above = durable(above.join(root, "one").drop("one"))
+    lower = tree(numbered(rows, ["id", "digest"], piece_rows, window_rows), ["id", "altered"], fanout, block)
+    tops = durable(lower.roots().select(F.lit("").alias("key"), F.col("key").alias("id"), "round", "digest"))
+    upper = tree(numbered(tops, ["id"], piece_rows, window_rows), ["id", "round"], fanout, block)
+    nothing = F.array().cast("array<struct<left:string,right:string>>")
+    top = upper.roots().select("key", F.col("round"), nothing.alias("path"), F.col("digest").alias("root"))
+    above = durable(upper.paths(top).select(F.col("id").alias("key"), "round", "path", F.col("digest").alias("subroot"), "root"))
     return lower.paths(above).select(
         "id", F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("group"),
         F.col("digest").alias("leaf"), "altered", "path", "subroot", "root",

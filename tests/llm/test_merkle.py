@@ -59,14 +59,14 @@ def expected(rows: list[tuple], fanout: int = 2) -> Counter:
     return out
 
 
-def got(spark, rows, fanout=2, block=4, piece_rows=3, extra=False):
+def got(spark, rows, fanout=2, block=4, piece_rows=3, window_rows=0, extra=False):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     if extra:
         for name in ("key", "pos", "size", "digest", "levels", "path", "id", "root"):
             docs = docs.withColumn(name, F.lit("x"))
     added = docs["n_chars"] + F.when(F.crc32(docs["doc_id"].cast("string")) % 7 == 0, 1).otherwise(0)
     out = merkle.manifest(
-        docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": added}, fanout, block, piece_rows
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": added}, fanout, block, piece_rows, window_rows
     ).withColumn("folded", merkle.folded(F.col("altered"), F.col("path")))
     picked = out.select("id", "leaf", "subroot", "root", merkle.proof(F.col("path")), "folded", F.expr("folded = root"))
     return Counter(tuple(r) for r in picked.collect())
@@ -87,8 +87,13 @@ def test_manifest_equals_definition(spark, fanout, block, count):
     assert got(spark, rows, fanout, block, extra=True) == expected(rows, fanout)
 
 
-def test_empty_table(spark):
-    assert got(spark, []) == Counter()
+def test_window_numbers_alike(spark):
+    assert got(spark, ROWS, window_rows=1000) == expected(ROWS)
+
+
+@pytest.mark.parametrize("window_rows", [0, 1000])
+def test_empty_table(spark, window_rows):
+    assert got(spark, [], window_rows=window_rows) == Counter()
 
 
 def test_block_must_fit_the_fanout(spark):
