@@ -1,13 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters, digits and non-ASCII bytes, lower-cased. Rolling (Karp-Rabin) hashes of
-``seed`` consecutive words find the places that a document shares with a benchmark item; seeds on one
-diagonal join to maximal matches, and the longest match that covers no marked word is marked again and
-again until none of ``seed`` words is left. A document is contaminated by an item when the marked
-words cover at least ``coverage`` of the item, in whatever order the passages come.
+Words are runs of letters, digits and non-ASCII bytes, lower-cased. Hashes of ``seed`` consecutive words
+find the items whose seeds a document holds. Running Karp-Rabin, with rolling hashes of any length, then
+finds the longest match that covers no marked word and marks it, again and again until none of ``seed``
+words is left. A document is contaminated by an item when the marked words cover at least ``coverage``
+of the item, in whatever order the passages come. Matches are never listed as pairs of places, so a
+document and an item that repeat one line take memory in proportion to their words.
 
 The items are a stated query set: they go to the tasks in blocks of at most ``ITEM_WORDS`` words, one
-pass over the documents each, so no join shuffles documents and no block grows with the data.
+pass over the documents each, so no join shuffles documents and no block grows with the data. A suite of
+many blocks costs as many passes.
 
 Defined results: null and empty texts share nothing; an item of fewer words than ``seed`` matches where
 all its words stand; items without words never match; equal rows get equal rows; repeated item ids are
@@ -16,7 +18,6 @@ separate items; empty tables give no rows; other columns are not read, and ``cle
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,48 +44,95 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tx.span_hashes(data, starts, ends), tx.per_row(starts, offsets)
 
 
-def matches(doc_at: np.ndarray, item_at: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (length, doc start, item start) from the places where seeds agree."""
-    diagonal = doc_at - item_at
-    order = np.lexsort((doc_at, diagonal))
-    doc_at, item_at, diagonal = doc_at[order], item_at[order], diagonal[order]
-    breaks = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(doc_at) != 1)) + 1
-    first = np.concatenate(([0], breaks))
-    last = np.concatenate((breaks, [len(doc_at)])) - 1
-    return [
-        (int(doc_at[b] - doc_at[a]) + width, int(doc_at[a]), int(item_at[a]))
-        for a, b in zip(first, last)
-    ]
+class _Rolling:
+    """Karp-Rabin hashes of windows of any length over one sequence, and what of it is still unmarked."""
 
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.up, self.down = tx.multipliers(len(words) + 1)
+        terms = words * self.up[: len(words)]
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+        self.marked = np.zeros(len(words), dtype=bool)
+        self.free = np.arange(len(words), 0, -1)
 
-def tiling(found: list[tuple[int, int, int]], n_item: int, width: int) -> tuple[int, int]:
-    """Marked words and tiles: always the longest match first, cut to what is still unmarked.
+    def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[starts + length] - self.sums[starts]) * self.down[starts]
 
-    Equal lengths go by the place in the item, then in the document.
+    def mark(self, spans: list[tuple[int, int]]) -> None:
+        for a, b in spans:
+            self.marked[a:b] = True
+        # unmarked words from each place on: the distance to the next marked one
+        n = len(self.words)
+        ahead = np.where(self.marked, np.arange(n), n)
+        self.free = np.minimum.accumulate(ahead[::-1])[::-1] - np.arange(n)
+
+
+def tiling(doc: np.ndarray, item: np.ndarray, width: int, at: np.ndarray) -> tuple[int, int]:
+    """Marked words and tiles of greedy string tiling; ``at`` are the places of ``doc`` to look at.
+
+    The longest match between unmarked words is marked first; equal lengths go by the place in the item,
+    then in the document. Its length comes from a binary search: windows of a length that agree exist
+    for every smaller one. At that length only equal hashes are walked, each place once, so no pair
+    of places is ever listed and work grows with the words times the number of different lengths.
     """
-    heap = [(-n, i, d) for n, d, i in found]
-    heapq.heapify(heap)
-    item_marked = np.zeros(n_item, dtype=bool)
-    doc_marked: set[int] = set()
+    d, i = _Rolling(doc), _Rolling(item)
+    every = np.arange(len(item))
+    longest = min(len(doc), len(item))
     tiles = 0
-    while heap:
-        n, i, d = heapq.heappop(heap)
-        n = -n
-        free = [not item_marked[i + k] and d + k not in doc_marked for k in range(n)]
-        if all(free):
-            item_marked[i : i + n] = True
-            doc_marked.update(range(d, d + n))
-            tiles += 1
+
+    def agreeing(at: np.ndarray, length: int) -> np.ndarray:
+        known = np.unique(i.hashes(every[i.free >= length], length))
+        at = at[d.free[at] >= length]
+        if not len(known) or not len(at):
+            return at[:0]
+        own = d.hashes(at, length)
+        return at[known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own]
+
+    while longest >= width:
+        at = agreeing(at, width)
+        if not len(at):
+            break
+        low, high, held = width, min(longest, int(d.free[at].max()), int(i.free.max())), at
+        while low < high:
+            middle = (low + high + 1) // 2
+            found = agreeing(held, middle)
+            if len(found):
+                low, held = middle, found
+            else:
+                high = middle - 1
+        own = d.hashes(held, low)
+        order = np.argsort(own, kind="stable")
+        places, own = held[order], own[order]
+        starts = every[i.free >= low]
+        wanted = i.hashes(starts, low)
+        begin, end = np.searchsorted(own, wanted, "left"), np.searchsorted(own, wanted, "right")
+        blocked = np.zeros(len(doc) + 1, dtype=bool)
+        first: dict[int, int] = {}
+        item_spans, doc_spans, until = [], [], 0
+        for s, a, b in zip(starts.tolist(), begin.tolist(), end.tolist()):
+            if s < until or a == b:
+                continue
+            k = first.get(a, a)
+            while k < b and blocked[places[k]]:
+                k += 1
+            first[a] = k
+            if k == b:
+                continue
+            p = int(places[k])
+            if not np.array_equal(doc[p : p + low], item[s : s + low]):
+                continue  # equal hashes of different words
+            item_spans.append((s, s + low))
+            doc_spans.append((p, p + low))
+            blocked[max(p - low + 1, 0) : p + low] = True
+            until = s + low
+        if not item_spans:
+            longest = low - 1
             continue
-        begin = None
-        for k in range(n + 1):
-            if k < n and free[k]:
-                begin = k if begin is None else begin
-            elif begin is not None:
-                if k - begin >= width:
-                    heapq.heappush(heap, (begin - k, i + begin, d + begin))
-                begin = None
-    return int(item_marked.sum()), tiles
+        i.mark(item_spans)
+        d.mark(doc_spans)
+        tiles += len(item_spans)
+        longest = low
+    return int(i.marked.sum()), tiles
 
 
 @dataclass
@@ -93,6 +141,8 @@ class Items:
 
     ids: list[int | None]
     sizes: np.ndarray
+    words: np.ndarray
+    bounds: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
@@ -111,7 +161,7 @@ class Items:
             bits = np.zeros(1 << FILTER_BITS, dtype=bool)
             bits[hashes & np.uint64((1 << FILTER_BITS) - 1)] = True
             seeds[width] = hashes, rows, starts - bounds[rows], bits
-        return cls(ids, sizes, seeds)
+        return cls(ids, sizes, words, bounds, seeds)
 
 
 def tile(column: pa.Array, items: Items, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -124,26 +174,28 @@ def tile(column: pa.Array, items: Items, coverage: float) -> Iterator[tuple[int,
             continue
         windows = tx.window_hashes(words, width)
         starts = starts[bits[windows[starts] & np.uint64((1 << FILTER_BITS) - 1)]]
-        low = np.searchsorted(hashes, windows[starts], "left")
-        count = np.searchsorted(hashes, windows[starts], "right") - low
-        starts, low, count = starts[count > 0], low[count > 0], count[count > 0]
+        # the distinct (seed, item) pairs, and for each row the distinct seeds that it holds
+        first = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (item_rows[1:] != item_rows[:-1]))))
+        seeds, owners = hashes[first], item_rows[first]
+        copies = np.diff(np.append(first, len(hashes)))
+        own = windows[starts]
+        starts = starts[seeds[np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)] == own]
         if not len(starts):
             continue
-        at = np.repeat(starts, count)
-        hit = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        row, item = row_of[at], item_rows[hit]
-        order = np.lexsort((item, row))
-        row, item = row[order], item[order]
-        doc_at, item_at = (at - bounds[row_of[at]])[order], item_starts[hit][order]
-        cuts = np.concatenate(([0], np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1, [len(row)]))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            size = int(items.sizes[item[a]])
-            # a tile of n words holds n - width + 1 distinct seeds, so n <= width * seeds
-            if width * len(np.unique(item_at[a:b])) < coverage * size:
-                continue
-            marked, tiles = tiling(matches(doc_at[a:b], item_at[a:b], width), size, width)
-            if marked >= coverage * size:
-                yield int(row[a]), int(item[a]), marked, tiles, int(bounds[row[a] + 1] - bounds[row[a]])
+        for row in np.unique(row_of[starts]):
+            at = starts[np.searchsorted(starts, bounds[row]) : np.searchsorted(starts, bounds[row + 1])]
+            own = np.unique(windows[at])
+            low, high = np.searchsorted(seeds, own, "left"), np.searchsorted(seeds, own, "right")
+            count = high - low
+            hit = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            # a tile of n words holds n - width + 1 seeds of the item, so n <= width * seeds
+            reach = np.bincount(owners[hit], copies[hit], len(items.sizes))
+            doc = words[bounds[row] : bounds[row + 1]]
+            for item in np.flatnonzero((reach > 0) & (width * reach >= coverage * items.sizes)):
+                text = items.words[items.bounds[item] : items.bounds[item + 1]]
+                marked, tiles = tiling(doc, text, width, at - bounds[row])
+                if marked >= coverage * len(text):
+                    yield int(row), int(item), marked, tiles, len(doc)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:

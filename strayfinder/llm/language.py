@@ -11,7 +11,7 @@ block are cut into runs of words, the runs are shuffled and laid end to end. ``f
 the gradient of the likelihood on their own and their weights are averaged after every round.
 
 Bounds, all parameters: weights are fitted on at most about ``fit_rows`` rows, as many of each language,
-chosen by a hash of text and id, whole texts; the lexicon holds the ``lexicon_words`` words with the highest
+chosen by a hash of text and id, whole texts; the lexicon holds about the ``lexicon_words`` words with the highest
 share in a language's words. Lexicon counts cover all training rows; every word of every text is labelled.
 A model has 2**16 weights per language, so languages should be hundreds at most.
 
@@ -49,7 +49,8 @@ LEXICON_WORDS = 40_000
 RUN, STEPS, CHAINS = 16, 64, 64
 RATE, DECAY = 0.3, 1e-6
 CHUNK, RESCALE = 1024, 8
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+LEVELS = 64
 COUNTED_WORDS = 1_000_000
 UNKNOWN = "und"
 
@@ -402,8 +403,19 @@ def lexicon(taught: DataFrame, languages: list[str], edges, most: int) -> Lexico
     totals = [float(x or 0) for x in by_word.agg(*(F.sum(n) for n in names)).first()]
     rates = [F.col(n) / max(t, 1.0) for n, t in zip(names, totals)]
     top = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    rows = by_word.select("word", *(r.alias(f"r{k}") for k, r in enumerate(rates)), top.alias("top"))
-    kept = rows.orderBy(F.desc("top"), "word").limit(most).toPandas()
+    # bins of the highest share tell where the list ends, so tasks send the driver listed words only
+    level = F.floor(F.log2(top) * LEVELS).cast("int")
+    rows = by_word.select("word", *(r.alias(f"r{k}") for k, r in enumerate(rates)), level.alias("level"))
+    sizes = sorted(((r["level"], r["count"]) for r in rows.groupBy("level").count().collect()), reverse=True)
+    room, last, part = most, None, 0.0
+    for bin_, n in sizes:
+        last, part = bin_, min(1.0, room / n)
+        room -= n
+        if room <= 0:
+            break
+    # of the last bin, words by a hash
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(part * (1 << 30))
+    kept = rows.where((F.col("level") > last) | ((F.col("level") == last) & drawn) if sizes else F.lit(False)).toPandas()
     values = kept[[f"r{k}" for k in range(len(languages))]].to_numpy(float)
     best = values.argmax(axis=1) if len(kept) else np.empty(0, int)
     share = values.max(axis=1) / np.maximum(values.sum(axis=1), 1e-300) if len(kept) else np.empty(0)

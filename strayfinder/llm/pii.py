@@ -10,6 +10,9 @@ once, and neither the place of the term nor the number of mentions matters. Term
 are generalised, those above ``REMOVE`` are removed, wherever they stand, also in texts without the
 entity.
 
+The patterns run over all texts twice, once to count and once for the result. Places are running lengths
+by doubling steps and windows are byte slices, so a text of n spans or words takes n log n steps.
+
 Defined results: null and empty texts have no span; repeated rows are separate documents but one
 mention; texts of any length are read whole; an empty table gives an empty result; other columns are
 not read by ``find``, and ``sanitise`` carries them, whatever their names.
@@ -43,8 +46,30 @@ SMALL_ROWS = 200_000
 LEADERS = 20_000
 
 
+NO_SPANS = "array<struct<start:bigint,end:bigint,value:string,kind:string,at:bigint,to:bigint>>"
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, join) -> Column:
+    """Running totals of an array by doubling steps: n log n work, where appending would take n squared."""
+    last = F.size(values) - 1
+    steps = F.when(last >= 1, F.sequence(F.lit(0), F.floor(F.log2(last.cast("double"))).cast("int"))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+    def step(held: Column, j: Column) -> Column:
+        far = F.pow(F.lit(2.0), j).cast("int")
+        return F.transform(held, lambda x, k: F.when(k >= far, join(x, F.get(held, k - far))).otherwise(x))
+
+    return F.aggregate(steps, values, step)
+
+
 def _spans(text: Column, pattern: str | Column, kind: Column | str, guard: Column) -> Column:
-    """array<struct<start, end, value, kind>> of all matches, in code points.
+    """array<struct<start, end, value, kind, at, to>> of all matches: places in code points and in bytes.
 
     The pieces between matches and the matches themselves alternate, so places are running lengths.
     """
@@ -52,24 +77,24 @@ def _spans(text: Column, pattern: str | Column, kind: Column | str, guard: Colum
     kind = F.lit(kind) if isinstance(kind, str) else kind
     gaps = F.split(text, pattern, F.lit(-1))
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,kind:string>>")
-    walked = F.aggregate(
+    sizes = F.transform(
         F.arrays_zip(gaps.alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("bigint").alias("at"),
-            F.when(
-                x["hit"].isNotNull(),
-                F.concat(acc["out"], F.array(F.struct(
-                    (acc["at"] + F.length(x["gap"])).cast("bigint").alias("start"),
-                    (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).cast("bigint").alias("end"),
-                    x["hit"].alias("value"), kind.alias("kind"),
-                ))),
-            ).otherwise(acc["out"]).alias("out"),
+        lambda x: F.struct(
+            x["hit"].alias("hit"), F.length(x["hit"]).cast("bigint").alias("long"), F.octet_length(x["hit"]).cast("bigint").alias("wide"),
+            (F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("bigint").alias("end"),
+            (F.octet_length(x["gap"]) + F.coalesce(F.octet_length(x["hit"]), F.lit(0))).cast("bigint").alias("to"),
         ),
-        lambda acc: acc["out"],
     )
-    return F.when(guard, walked).otherwise(empty)
+    added = lambda x, y: F.struct(
+        x["hit"].alias("hit"), x["long"].alias("long"), x["wide"].alias("wide"),
+        (x["end"] + y["end"]).alias("end"), (x["to"] + y["to"]).alias("to"),
+    )
+    placed = F.filter(_bound(sizes, lambda held: _running(held, added)), lambda x: x["hit"].isNotNull())
+    walked = F.transform(placed, lambda x: F.struct(
+        (x["end"] - x["long"]).alias("start"), x["end"].alias("end"), x["hit"].alias("value"), kind.alias("kind"),
+        (x["to"] - x["wide"]).alias("at"), x["to"].alias("to"),
+    ))
+    return F.when(guard, walked).otherwise(F.array().cast(NO_SPANS))
 
 
 def _digits(value: Column) -> Column:
@@ -111,7 +136,7 @@ def _ordered(spans: Column) -> Column:
     place = F.array(*(F.lit(k) for k in (*KINDS, TERM)))
     keyed = F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), F.array_position(place, F.split_part(s["kind"], F.lit("/"), F.lit(1))).alias("order"),
-        s["end"].alias("end"), s["value"].alias("value"), s["kind"].alias("kind"),
+        s["end"].alias("end"), s["value"].alias("value"), s["kind"].alias("kind"), s["at"].alias("at"), s["to"].alias("to"),
     ))
     return F.array_sort(keyed)
 
@@ -131,14 +156,32 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
 
 
+def evidence(rows: DataFrame) -> DataFrame:
+    """(copy, entity, left, right, before, after): what stands around every span, at most ``WIDE`` code points.
+
+    ``before`` and ``after`` count what the text holds there in all. A text without spans has one row with
+    a null entity. Windows are cut from the bytes, where any place is reached at once, so a text of many
+    spans is not walked for each; a code point has at most four bytes.
+    """
+    raw = F.struct(F.col("text").cast("binary").alias("raw"), F.length("text").alias("n"))
+    # the last WIDE code points in front of a span; a code point that the cut splits is not among them
+    cut = lambda t, s: F.substring(t["raw"], F.greatest(s["at"] - 4 * WIDE, F.lit(0)).cast("int") + 1,
+                                   F.least(s["at"], F.lit(4 * WIDE)).cast("int"))
+    around = _bound(raw, lambda t: F.transform("spans", lambda s: F.struct(
+        _entity(s).alias("entity"),
+        F.right(cut(t, s).cast("string"), F.lit(WIDE)).alias("left"),
+        F.substring(F.substring(t["raw"], s["to"].cast("int") + 1, F.lit(4 * WIDE)).cast("string"), 1, WIDE).alias("right"),
+        s["start"].alias("before"), (t["n"] - s["end"]).alias("after"),
+    )))
+    return rows.select("copy", F.explode_outer(F.when(F.size("spans") > 0, around)).alias("e")).select("copy", "e.*")
+
+
 def _around(width: int) -> Column:
-    """Distinct words at most ``width`` code points before or after the span ``s``."""
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - width, F.lit(0)).cast("int") + 1,
-                       F.least(F.col("s.start"), F.lit(width)).cast("int"))
-    right = F.substring(F.col("text"), F.col("s.end").cast("int") + 1, F.lit(width))
+    """Distinct words at most ``width`` code points before or after a row of ``evidence``."""
+    left, right = F.right("left", F.lit(width)), F.substring("right", 1, width)
     # a word that the border of the window cuts is left out
-    left = F.when(F.col("s.start") > width, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    right = F.when(F.length("text") > F.col("s.end") + width, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
+    left = F.when(F.col("before") > width, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
+    right = F.when(F.col("after") > width, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
     return F.array_union(_words(left), _words(right))
 
 
@@ -146,10 +189,9 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
 
 
-def mentions(rows: DataFrame, entities: DataFrame) -> DataFrame:
+def mentions(found: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, copy, terms, context): words near an entity and hashes of those in the wider window, per text."""
-    held = rows.where(F.size("spans") > 0).select("text", "copy", F.explode("spans").alias("s"))
-    near = held.withColumn("entity", _entity(F.col("s"))).join(_small(entities), "entity").select(
+    near = found.join(_small(entities), "entity").select(
         "entity", "copy", _around(NEAR).alias("terms"), F.transform(_around(WIDE), lambda w: F.xxhash64(w)).alias("context")
     )
     return near.groupBy("entity", "copy").agg(
@@ -182,13 +224,13 @@ def revealing(rows: DataFrame) -> DataFrame | None:
 
     ``rows`` has text, copy (a hash of the text, which copies share) and spans.
     """
-    held = rows.select("copy", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    found = durable(evidence(rows))  # the patterns run over the texts once; all counts come from here
     holders = durable(
-        held.groupBy("entity").agg(F.countDistinct("copy").alias("holders")).where(F.col("holders") >= MENTIONS)
+        found.where(F.col("entity").isNotNull()).groupBy("entity").agg(F.countDistinct("copy").alias("holders")).where(F.col("holders") >= MENTIONS)
     )
     if holders.isEmpty():
         return None
-    near = durable(mentions(rows, holders.select("entity")))
+    near = durable(mentions(found, holders.select("entity")))
     each = near.select("entity", "copy", "context", F.explode("terms").alias("term"))
     often = durable(each.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= MENTIONS))
     # the term itself is in all its contexts
@@ -205,7 +247,7 @@ def revealing(rows: DataFrame) -> DataFrame | None:
         .groupBy("term")
         .agg(F.countDistinct("copy").alias("total"))
     )
-    corpus = rows.agg(F.countDistinct("copy")).first()[0]
+    corpus = found.agg(F.countDistinct("copy")).first()[0]
     p = F.col("n") / F.col("total")
     judged = (
         likely.join(spread, "term").join(holders, "entity")
@@ -221,15 +263,15 @@ def revealing(rows: DataFrame) -> DataFrame | None:
 
 def _term_spans(text: Column) -> Column:
     """Places of the row's terms as whole words; ``terms`` holds structs (term, action)."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,kind:string>>")
     every = _spans(F.lower(text), LETTERS, TERM, F.col("terms").isNotNull())
     names = F.transform("terms", lambda t: t["term"])
     kept = F.filter(every, lambda s: F.array_contains(names, s["value"]))
     acted = F.transform(kept, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
         F.concat(F.lit(TERM + "/"), F.get(F.col("terms.action"), F.array_position(names, s["value"]).cast("int") - 1)).alias("kind"),
+        s["at"].alias("at"), s["to"].alias("to"),
     ))
-    return F.when(F.col("terms").isNotNull(), acted).otherwise(empty)
+    return F.when(F.col("terms").isNotNull(), acted).otherwise(F.array().cast(NO_SPANS))
 
 
 def _found(docs: DataFrame, text: Column) -> DataFrame:
@@ -248,7 +290,7 @@ def _found(docs: DataFrame, text: Column) -> DataFrame:
         .agg(F.array_sort(F.collect_set(F.struct("term", "action"))).alias("terms"))
     )
     joined = with_base.join(_small(durable(holders)).withColumnRenamed("copy", "copy_"), "copy_", "left")
-    plain = F.transform("base_", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["kind"].alias("kind")))
+    plain = F.transform("base_", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["kind"].alias("kind"), s["at"].alias("at"), s["to"].alias("to")))
     return joined.withColumn("spans_", _ordered(F.concat(plain, _term_spans(F.col("text_"))))).drop("terms")
 
 
@@ -259,21 +301,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by the mask of its kind; overlapping spans share one mask."""
+    """The text with every span replaced by the mask of its kind; overlapping spans share one mask.
+
+    Pieces are cut from the bytes between the furthest end so far and the next start, and joined once.
+    """
     masks = F.create_map(*(F.lit(x) for pair in MASKS.items() for x in pair))
-    folded = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                         F.coalesce(F.element_at(masks, F.substring_index(s["kind"], "/", -1)), F.lit(""))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2_147_483_647))),
-    )
+    mask = lambda s: F.coalesce(F.element_at(masks, F.substring_index(s["kind"], "/", -1)), F.lit(""))
+
+    def cut(t: Column) -> Column:
+        def piece(s: Column, k: Column) -> Column:
+            done = F.when(k > 0, F.get(t["ends"], k - 1)).otherwise(F.lit(0).cast("bigint"))
+            between = F.substring(t["raw"], (done + 1).cast("int"), (s["at"] - done).cast("int")).cast("string")
+            return F.when(s["at"] >= done, F.concat(between, mask(s))).otherwise(F.lit(""))
+
+        rest = F.substring(t["raw"], (F.element_at(t["ends"], -1) + 1).cast("int"), F.lit(2_147_483_647)).cast("string")
+        return F.array_join(F.concat(F.transform(t["spans"], piece), F.array(rest)), "")
+
+    ends = _bound(F.transform(spans, lambda s: s["to"]), lambda held: _running(held, lambda x, y: F.greatest(x, y)))
+    folded = _bound(F.struct(text.cast("binary").alias("raw"), spans.alias("spans"), ends.alias("ends")), cut)
     return F.when(F.size(spans) > 0, folded).otherwise(text)
 
 

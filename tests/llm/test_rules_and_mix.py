@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +204,27 @@ def test_decontamination(spark):
     assert dc.clean(frame, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_tiling_of_repetitive_words(seed):
+    rng = random.Random(seed)
+    for _ in range(12):
+        doc, item = ([rng.choice("ab" if seed % 2 else "abc") for _ in range(rng.randrange(1, n))] for n in (60, 25))
+        width = rng.randrange(1, 5)
+        code = {w: 7919 * (k + 3) for k, w in enumerate("abc")}
+        d, i = (np.array([code[w] for w in x], np.uint64) for x in (doc, item))
+        assert dc.tiling(d, i, width, np.arange(max(len(doc) - width + 1, 0))) == longest_first(doc, item, width)
+
+
+def test_a_million_repeated_words():
+    items = dc.Items.of([1, 2], ["spam " * 5000, "quick brown fox jumps over " * 30 + "the end"], dc.SEED)
+    text = "spam " * 1_000_000 + "quick brown fox jumps over " * 40
+    tracemalloc.start()
+    found = list(dc.tile(pa.array([text], pa.large_string()), items, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r, i, n, t) for r, i, n, t, _ in found] == [(0, 0, 5000, 1), (0, 1, 150, 1)] and peak < 500 << 20
+
+
 def test_item_blocks_give_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"q{k} one two three four five six") for k in range(9)], "item_id bigint, text string")
     docs = spark.createDataFrame([(k, f"x q{k} one two three four five six y") for k in range(9)], "doc_id bigint, text string")

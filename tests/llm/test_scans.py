@@ -192,3 +192,17 @@ def test_hash_of_spans(spark, value):
     docs = spark.createDataFrame([(1, f"x {value}", None)], SCHEMA)
     got = pii.find(docs).select(F.sha2(pii.written(F.col("base")), 256).alias("h")).first().h
     assert got == hashlib.sha256(f"card:2:{2 + len(value)}".encode()).hexdigest()
+
+
+def test_many_spans_and_words_in_one_text(spark):
+    many = " ".join(f"é user{k}@mail{k}.com" for k in range(20_000))
+    named = " ".join(["zorblax"] + [f"é{prose(k, 1)}" for k in range(20_000)] + ["zorblax"])
+    texts = [f"{prose(k, 9)} zorblax jane@corp.example {prose(k + 1000, 9)}" for k in range(4)] + [many, named]
+    texts += [prose(k, 30) for k in range(2000, 2060)]
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r for r in pii.find(docs).where("doc_id in (4, 5)").collect()}
+    assert [(s.start, s.end) for s in rows[4].base] == [m.span() for m in re.finditer(r"[^ ]+@[^ ]+", many)]
+    assert [(s.start, s.end) for s in rows[5].spans] == [(0, 7), (len(named) - 7, len(named))]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, length_col=None).where("doc_id in (4, 5)").collect()}
+    assert clean[4] == re.sub(r"[^ ]+@[^ ]+", "[EMAIL]", many)
+    assert clean[5] == named.replace("zorblax", "[TERM]")
