@@ -2,15 +2,22 @@
 
 All detectors share one edge table ``edges(dataset_id, row_id, nbr_id, dist, rank)``: a row is not
 its own neighbour, ties go to the smaller ``nbr_id``, and k is at most the number of other rows.
+
+``fit_neighbors`` divides the fitted rows into cells once. Rows of the same table or new rows search
+them in rounds, best cell first: a round opens the next cells in order of their lower bound, and the
+k-th distance found so far closes cells for the rounds behind it. Only ids travel from the routing;
+a vector is sent once per open cell. ``NeighborModel`` keeps cells, edges and the detectors' fitted
+states, scores unseen rows against them, and can be saved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strayfinder.operators.iforest import uniform_hash
 from strayfinder.operators.pairs import matrix
@@ -20,7 +27,9 @@ from strayfinder.session import SMALL_BYTES, durable, measured, sized, spread, w
 CELL_ROWS = 4096
 # In-degree above which a neighbour is looked up by broadcast instead of by shuffle.
 HOT_ROWS = 1_000_000
-# Rows that a task sends to other cells in one frame, and numbers it scores as one array.
+# Cells that the second round opens for each that the first did, and so on.
+WIDEN = 4
+# Ids that a task sends to cells in one frame, and numbers it scores as one array.
 ROUTED = 20_000
 _BATCH_CELLS = 4_000_000
 
@@ -55,9 +64,12 @@ def _all_distances(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarra
 
 
 def nearest(
-    q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, metric: str
+    q_ids: np.ndarray | None, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, metric: str
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, neighbour id, distance) of the k nearest candidates of each query."""
+    """(query position, neighbour id, distance) of the k nearest candidates of each query.
+
+    Candidates with the id of a query are not its neighbours; None for ``q_ids`` keeps all.
+    """
     out = ([], [], [])
     centre = c.mean(axis=0)
     qs, cs = q - centre, c - centre
@@ -65,7 +77,8 @@ def nearest(
     for start in range(0, len(q), step):
         part = slice(start, start + step)
         d, error = _all_distances(qs[part], cs, metric)
-        d[q_ids[part][:, None] == c_ids[None, :]] = np.inf
+        if q_ids is not None:
+            d[q_ids[part][:, None] == c_ids[None, :]] = np.inf
         take = min(k, len(c)) - 1
         # infinite when fewer than k candidates exist, which keeps them all
         kth = np.partition(d, take, axis=1)[:, take]
@@ -81,15 +94,15 @@ def nearest(
     return tuple(np.concatenate(o) if o else np.empty(0) for o in out)
 
 
-def _search(k: int, metric: str):
-    """Function for co-grouped (queries, candidates) of one cell."""
+def _search(k: int, metric: str, same: bool = True):
+    """Function for co-grouped (queries, candidates) of one cell; ``same`` if ids are of one table."""
 
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame({"dataset_id": [], "row_id": [], "nbr_id": [], "dist": []})
         ids = queries["row_id"].to_numpy()
         at, nbr, dist = nearest(
-            ids,
+            ids if same else None,
             matrix(queries["features"]),
             candidates["row_id"].to_numpy(),
             matrix(candidates["features"]),
@@ -118,14 +131,27 @@ def knn_edges(
     cell_rows: int = CELL_ROWS,
     seed: int = 0,
 ) -> DataFrame:
-    """Exact kNN self-join per dataset.
+    """Exact kNN self-join per dataset."""
+    return fit_neighbors(sample_df, k, metric, cell_rows, seed).edges
+
+
+def fit_neighbors(
+    sample_df: DataFrame,
+    k: int,
+    metric: str = "euclidean",
+    cell_rows: int = CELL_ROWS,
+    seed: int = 0,
+    log: list | None = None,
+) -> "NeighborModel":
+    """Cells of the rows and their own edges.
 
     1. Copies: among identical rows only the k+1 smallest ids can be anyone's neighbour, so the
        search runs on those (the ranking is cut before the shuffle). The remaining copies have the
        k smallest ids of their group at distance 0, whatever the size of the group.
-    2. Datasets of at most ``cell_rows`` rows are one bounded group each.
-    3. Larger ones are cut into about sqrt(n) cells around pivot rows. Rows search their own cell
-       first; the k-th distance found there and the triangle inequality leave few other cells.
+    2. Datasets of at most ``cell_rows`` rows are one cell each.
+    3. Larger ones are cut into about sqrt(n) cells around pivot rows, which are searched in rounds.
+
+    ``log`` receives (round, routed rows).
     """
     metric = "euclidean" if metric == "minkowski" else metric
     rows = sample_df.select("dataset_id", "row_id", "features")
@@ -135,17 +161,9 @@ def knn_edges(
         rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k + 1)
     )
     extra = _copy_edges(rows, distinct, k)
-    distinct = distinct.drop("_copy")
-    counts = sized(distinct.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n")))
-    biggest = counts.agg(F.max("_n")).first()[0] or 0
-    if biggest <= cell_rows:
-        found = spread(distinct, "dataset_id").groupBy("dataset_id").applyInPandas(
-            lambda group: _search(k, metric)(group, group), _PART_SCHEMA
-        )
-    else:
-        found = _cell_search(distinct, counts, k, metric, cell_rows, seed)
-    edges = _ranked(found, k)
-    return edges if extra is None else edges.unionByName(extra)
+    cells = _cells(distinct.drop("_copy"), metric, cell_rows, seed)
+    edges = cells.search(cells.placed.drop("cell"), k, True, log)
+    return NeighborModel(rows, edges if extra is None else edges.unionByName(extra), cells, k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -180,14 +198,15 @@ def _copy_edges(rows: DataFrame, distinct: DataFrame, k: int) -> DataFrame | Non
     )
 
 
-def _cell_search(
-    rows: DataFrame, counts: DataFrame, k: int, metric: str, cell_rows: int, seed: int
-) -> DataFrame:
-    first = rows.groupBy("dataset_id").agg(F.min("row_id").alias("_first"))
+def _cells(rows: DataFrame, metric: str, cell_rows: int, seed: int) -> "Cells":
+    """Divide every dataset among pivot rows, one per ``cell_rows`` rows and at most sqrt(n)."""
+    counts = sized(rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"), F.min("row_id").alias("_first")))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= cell_rows:
+        one = counts.select("dataset_id", F.lit(0).cast("long").alias("cell"), F.col("_n").alias("size"))
+        return Cells(rows.withColumn("cell", F.lit(0).cast("long")), one, metric, cell_rows, True)
     wanted = F.least(F.ceil(F.col("_n") / cell_rows), F.ceil(F.sqrt(F.col("_n"))))
     pivots = (
         rows.join(counts, "dataset_id")
-        .join(sized(first), "dataset_id")
         .where(
             (F.col("row_id") == F.col("_first"))
             | (
@@ -200,11 +219,13 @@ def _cell_search(
     pivots = durable(pivots)
 
     def assign(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        side = side.sort_values("cell")
         x, p = matrix(part["features"]), matrix(side["pivot"])
+        centre = p.mean(axis=0)
         near = np.empty(len(x), dtype=int)
         for start in range(0, len(x), 1024):
             cut = slice(start, start + 1024)
-            near[cut] = _all_distances(x[cut], p, metric)[0].argmin(axis=1)
+            near[cut] = _all_distances(x[cut] - centre, p - centre, metric)[0].argmin(axis=1)
         return part.assign(
             cell=side["cell"].to_numpy()[near], radius=distances(x, p[near], metric)
         )
@@ -217,7 +238,7 @@ def _cell_search(
             "dataset_id string, row_id bigint, features array<double>, cell bigint, radius double",
         )
     )
-    cells = sized(
+    cells = (
         placed.groupBy("dataset_id", "cell")
         .agg(
             F.count(F.lit(1)).alias("size"),
@@ -226,50 +247,126 @@ def _cell_search(
         )
         .join(pivots, ["dataset_id", "cell"])
     )
-    own = _ranked(
-        _grouped_search(placed.drop("radius"), placed, cells, k, metric, cell_rows), k
-    )
-    own = durable(own)
-    reach = own.groupBy("dataset_id", "row_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("reach")
-    )
+    return Cells(placed.drop("radius"), cells, metric, cell_rows)
 
-    def route(part: pd.DataFrame, side: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        x, p = matrix(part["features"]), matrix(side["pivot"])
-        ids = side["cell"].to_numpy()
-        home = part["cell"].to_numpy()
-        limit = part["reach"].to_numpy(float)
-        limit = np.where(np.isnan(limit), np.inf, limit)
-        for start in range(0, len(x), 1024):
-            cut = slice(start, start + 1024)
-            d, error = _all_distances(x[cut], p, metric)
-            if metric == "euclidean":
-                d, error = np.sqrt(np.maximum(d, 0.0)), np.sqrt(error)
-            d_low, d_high = d - error[:, None], d + error[:, None]
-            bound = np.maximum(
-                d_low - side["outer"].to_numpy()[None, :], side["inner"].to_numpy()[None, :] - d_high
-            )
-            near = bound <= (limit[cut] * (1 + 1e-9))[:, None]
-            near &= ids[None, :] != home[cut][:, None]
-            i, j = np.nonzero(near)
-            # at most ROUTED rows at a time leave for Spark, however many cells are open
-            for low in range(0, len(i), ROUTED):
-                out = part.iloc[i[low : low + ROUTED] + start][["dataset_id", "row_id", "features"]].copy()
-                out["cell"] = ids[j[low : low + ROUTED]]
-                yield out
-
-    routed = with_parameters(
-        placed.drop("radius").join(reach, ["dataset_id", "row_id"], "left"),
-        cells,
-        route,
-        "dataset_id string, row_id bigint, features array<double>, cell bigint",
-    )
-    far = _grouped_search(routed, placed, cells, k, metric, cell_rows)
-    return own.drop("rank").unionByName(far)
+
+def _lower_bounds(x: np.ndarray, side: pd.DataFrame, metric: str) -> np.ndarray:
+    """No row of a cell is closer to a row of ``x`` than this, rounding included.
+
+    Two bounds: the ring of the cell's radii around its pivot, and the border to the pivot nearest to
+    the row, since a cell's rows are at least as close to their own pivot.
+    """
+    p = matrix(side["pivot"])
+    inner, outer = side["inner"].to_numpy(), side["outer"].to_numpy()
+    centre = p.mean(axis=0)
+    x, p = x - centre, p - centre
+    d, error = _all_distances(x, p, metric)
+    home = d.argmin(axis=1)
+    between = np.sqrt(np.maximum(_all_distances(p, p, metric)[0], 0.0)) if metric == "euclidean" else _all_distances(p, p, metric)[0]
+    apart = between[home]
+    # what the choice of the nearest pivot may have been off by, for rows and for ``x``
+    norms = np.abs(p).sum(axis=1) if metric == "manhattan" else np.sqrt((p * p).sum(axis=1))
+    widest = float((norms + outer).max(initial=0.0))
+    if metric == "euclidean":
+        slack = 1e-15 * (p.shape[1] + 4) * 8.0 * (2 * widest**2) + 2.0 * error
+        gap = d - d[np.arange(len(x)), home][:, None] - slack[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            border = np.where(apart > 0, gap / (2.0 * apart) * (1 - 1e-9), 0.0)
+        d, error = np.sqrt(np.maximum(d, 0.0)), np.sqrt(error)
+    else:
+        border = (d - d[np.arange(len(x)), home][:, None] - 4.0 * error[:, None] - 1e-12 * widest) / 2.0
+    low, high = d - error[:, None], d + error[:, None]
+    ring = np.maximum(low - outer[None, :], inner[None, :] - high)
+    return np.maximum(np.maximum(ring, border), 0.0)
+
+
+@dataclass
+class Cells:
+    """Rows placed in cells, and every cell's pivot, size and radii; ``single`` if a dataset is one cell."""
+
+    placed: DataFrame
+    cells: DataFrame
+    metric: str
+    cell_rows: int
+    single: bool = False
+
+    def search(self, queries: DataFrame, k: int, same: bool, log: list | None = None) -> DataFrame:
+        """Edges from ``queries`` to their k nearest placed rows; ``same`` if the queries are placed rows.
+
+        Cells stand in the order of their lower bounds. A round visits the next ones, ``WIDEN`` times as
+        many as the round before, as far as the k-th distance known reaches; a row whose next bound
+        lies beyond it is done.
+        """
+        keys = ["dataset_id", "row_id"]
+        metric = self.metric
+        if self.single and same:
+            whole = spread(self.placed.drop("cell"), "dataset_id").groupBy("dataset_id")
+            return _ranked(whole.applyInPandas(lambda g: _search(k, metric)(g, g), _PART_SCHEMA), k)
+        cells = sized(self.cells)
+        rows = queries.select(*keys, "features")
+        if self.single:
+            first = rows.withColumn("cell", F.lit(0).cast("long"))
+            return _ranked(_grouped_search(first, self.placed, cells, k, metric, self.cell_rows, False), k)
+        active, best = rows, None
+        low, step, done = 0, 1, 0
+        schema = "dataset_id string, row_id bigint, cell bigint, more boolean"
+        while True:
+            if best is None:
+                asked = active.withColumn("reach", F.lit(None).cast("double"))
+            else:
+                reach = best.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("reach"))
+                asked = active.join(reach, keys, "left")
+            first, last = low, low + step
+
+            def route(part: pd.DataFrame, side: pd.DataFrame, first=first, last=last) -> Iterator[pd.DataFrame]:
+                side = side.sort_values("cell")
+                ids = side["cell"].to_numpy()
+                if first >= len(ids):
+                    return
+                x = matrix(part["features"])
+                limit = part["reach"].to_numpy(float)
+                limit = np.where(np.isnan(limit), np.inf, limit) * (1 + 1e-9)
+                for start in range(0, len(x), 1024):
+                    cut = slice(start, start + 1024)
+                    bound = _lower_bounds(x[cut], side, metric)
+                    order = np.argsort(bound, axis=1, kind="stable")
+                    sorted_ = np.take_along_axis(bound, order, axis=1)
+                    near = sorted_[:, first:last] <= limit[cut][:, None]
+                    more = np.zeros(len(near), bool)
+                    if last < len(ids):
+                        more = sorted_[:, last] <= limit[cut]
+                    i, j = np.nonzero(near)
+                    # at most ROUTED ids at a time leave for Spark, however many cells are open
+                    for at in range(0, len(i), ROUTED):
+                        a, b = i[at : at + ROUTED], j[at : at + ROUTED]
+                        out = part.iloc[a + start][keys].copy()
+                        out["cell"] = ids[order[a, first + b]]
+                        out["more"] = more[a]
+                        yield out
+
+            routed = durable(with_parameters(asked, cells, route, schema))
+            sent = routed.count()
+            if log is not None:
+                log.append((done, sent))
+            if sent == 0:
+                break
+            vectors = routed.select(*keys, "cell").join(rows, keys)
+            found = _grouped_search(vectors, self.placed, cells, k, metric, self.cell_rows, same)
+            if best is not None:
+                found = found.unionByName(best.drop("rank"))
+            best = durable(_ranked(found, k))
+            open_ = routed.where("more").select(*keys).distinct()
+            low, step, done = last, step * WIDEN, done + 1
+            active = rows.join(open_, keys, "left_semi")
+            if open_.isEmpty():
+                break
+        if best is None:
+            return rows.sparkSession.createDataFrame([], _PART_SCHEMA + ", rank int")
+        return best
 
 
 def _grouped_search(
-    queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int, metric: str, cell_rows: int
+    queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int, metric: str, cell_rows: int, same: bool
 ) -> DataFrame:
     """Search each query in its ``cell``, in groups bounded on both sides.
 
@@ -309,7 +406,7 @@ def _grouped_search(
     right = spread(right.toDF(*right.columns), *group)
     return (
         left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-            _search(k, metric), _PART_SCHEMA
+            _search(k, metric, same), _PART_SCHEMA
         )
     )
 
@@ -346,10 +443,12 @@ def top_edges(edges: DataFrame, k: int) -> DataFrame:
     return edges.where(F.col("rank") <= k)
 
 
-def _neighbourhoods(edges: DataFrame, sample_df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per sample with its features and its neighbours' vectors in rank order (k bounded)."""
-    rows = sample_df.select("dataset_id", "row_id", "features")
-    vectors = rows.withColumnRenamed("features", "vector")
+def _neighbourhoods(
+    edges: DataFrame, sample_df: DataFrame, hot_rows: int = HOT_ROWS, own: DataFrame | None = None
+) -> DataFrame:
+    """One row per sample, or row of ``own``, with its features and its neighbours' vectors in rank order."""
+    rows = (sample_df if own is None else own).select("dataset_id", "row_id", "features")
+    vectors = sample_df.select("dataset_id", "row_id", F.col("features").alias("vector"))
     near = lookup(edges, vectors, hot_rows).groupBy("dataset_id", "row_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "vector"))).alias("_n")
     )
@@ -371,24 +470,36 @@ def knn_scores(edges: DataFrame, k: int, method: str = "largest") -> DataFrame:
     return top_edges(edges, k).groupBy("dataset_id", "row_id").agg(score.alias("score"))
 
 
-def lof_scores(edges: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Local outlier factor: mean density of the neighbours over the own density."""
+def lof_state(edges: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(dataset_id, row_id, k_distance, density) of the fitted rows, from their own edges."""
     near = top_edges(edges, k)
     keys = ["dataset_id", "row_id"]
-    k_distance = near.groupBy(*keys).agg(F.max("dist").alias("_kd"))
-    reach = F.greatest(F.col("dist"), F.col("_kd"))
+    k_distance = near.groupBy(*keys).agg(F.max("dist").alias("k_distance"))
+    reach = F.greatest(F.col("dist"), F.col("k_distance"))
     density = (
         lookup(near, k_distance, hot_rows)
         .groupBy(*keys)
         # the added constant keeps groups of copies finite
-        .agg((1.0 / (F.avg(reach) + 1e-10)).alias("lrd"))
+        .agg((1.0 / (F.avg(reach) + 1e-10)).alias("density"))
     )
-    around = (
-        lookup(near, density.withColumnRenamed("lrd", "_lrd"), hot_rows)
-        .groupBy(*keys)
-        .agg(F.avg("_lrd").alias("_mean"))
+    return density.join(k_distance, keys).select(*keys, "k_distance", "density")
+
+
+def lof_scores(
+    edges: DataFrame, k: int, hot_rows: int = HOT_ROWS, state: DataFrame | None = None
+) -> DataFrame:
+    """Local outlier factor: mean density of the neighbours over the own density.
+
+    ``state`` is that of the neighbours; the edges may lead from other rows to them.
+    """
+    near = top_edges(edges, k)
+    state = durable(lof_state(edges, k, hot_rows)) if state is None else state
+    reach = F.avg(F.greatest(F.col("dist"), F.col("k_distance")))
+    return (
+        lookup(near, state, hot_rows)
+        .groupBy("dataset_id", "row_id")
+        .agg((F.avg("density") * (reach + 1e-10)).alias("score"))
     )
-    return around.join(density, keys).select(*keys, (F.col("_mean") / F.col("lrd")).alias("score"))
 
 
 def _batched(fn):
@@ -435,13 +546,14 @@ def _angle_variance(own: np.ndarray, near: np.ndarray) -> np.ndarray:
 
 
 def abod_scores(
-    edges: DataFrame, sample_df: DataFrame, k: int, hot_rows: int = HOT_ROWS
+    edges: DataFrame, sample_df: DataFrame, k: int, hot_rows: int = HOT_ROWS, own: DataFrame | None = None
 ) -> DataFrame:
     """Angle-based score over the k nearest neighbours; neighbours equal to the row are skipped.
 
     The k(k-1)/2 angles of a row stay inside one Python call; only k vectors per row are shuffled.
+    ``own`` holds the rows that the edges lead from, if they are not of ``sample_df``.
     """
-    return _neighbourhoods(top_edges(edges, k), sample_df, hot_rows).mapInPandas(
+    return _neighbourhoods(top_edges(edges, k), sample_df, hot_rows, own).mapInPandas(
         _batched(_angle_variance), "dataset_id string, row_id bigint, score double"
     )
 
@@ -457,17 +569,100 @@ def _chaining_distance(own: np.ndarray, near: np.ndarray) -> np.ndarray:
     return total
 
 
+def _chains(edges: DataFrame, sample_df: DataFrame, hot_rows: int, own: DataFrame | None = None) -> DataFrame:
+    return (
+        _neighbourhoods(edges, sample_df, hot_rows, own)
+        .mapInPandas(_batched(_chaining_distance), "dataset_id string, row_id bigint, score double")
+        .withColumnRenamed("score", "chain")
+    )
+
+
+def cof_state(edges: DataFrame, sample_df: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(dataset_id, row_id, chain): chaining distances of the fitted rows."""
+    return _chains(top_edges(edges, k), sample_df, hot_rows)
+
+
 def cof_scores(
-    edges: DataFrame, sample_df: DataFrame, k: int, hot_rows: int = HOT_ROWS
+    edges: DataFrame, sample_df: DataFrame, k: int, hot_rows: int = HOT_ROWS,
+    state: DataFrame | None = None, own: DataFrame | None = None,
 ) -> DataFrame:
-    """Connectivity-based factor: own chaining distance over the mean of the neighbours'."""
+    """Connectivity-based factor: own chaining distance over the mean of the neighbours'.
+
+    ``state`` is that of ``sample_df``; ``own`` holds the rows that the edges lead from, if others.
+    """
     near = top_edges(edges, k)
-    chain = durable(
-        _neighbourhoods(near, sample_df, hot_rows).mapInPandas(
-            _batched(_chaining_distance), "dataset_id string, row_id bigint, score double"
-        )
-    ).withColumnRenamed("score", "_chain")
+    state = durable(cof_state(edges, sample_df, k, hot_rows)) if state is None else state
+    chain = state if own is None else _chains(near, sample_df, hot_rows, own)
     keys = ["dataset_id", "row_id"]
-    around = lookup(near, chain, hot_rows).groupBy(*keys).agg(F.avg("_chain").alias("_mean"))
-    ratio = F.coalesce(F.try_divide("_chain", "_mean"), F.lit(0.0))
+    around = lookup(near, state, hot_rows).groupBy(*keys).agg(F.avg("chain").alias("_mean"))
+    ratio = F.coalesce(F.try_divide("chain", "_mean"), F.lit(0.0))
     return around.join(chain, keys).select(*keys, ratio.alias("score"))
+
+
+# --------------------------------------------------------------------------- fitted detectors
+
+
+@dataclass
+class NeighborModel:
+    """Fitted rows, their edges and cells, and the states that detectors need of them, by (name, k).
+
+    Unseen rows score as ``score("LOF", new, k)``: their neighbours are fitted rows, whose k-distances,
+    densities and chaining distances were computed at fit time. Ids of new rows may equal fitted ones.
+    """
+
+    rows: DataFrame
+    edges: DataFrame
+    cells: Cells
+    k: int
+    states: dict[tuple[str, int], DataFrame] = field(default_factory=dict)
+
+    def query(self, new: DataFrame, k: int | None = None, log: list | None = None) -> DataFrame:
+        """Edges from new rows to their k nearest fitted rows."""
+        k = self.k if k is None else k
+        if k > self.k:
+            raise ValueError(f"fitted for {self.k} neighbours")
+        return self.cells.search(new, k, False, log)
+
+    def state(self, family: str, k: int) -> DataFrame:
+        if (family, k) not in self.states:
+            made = lof_state(self.edges, k) if family == "LOF" else cof_state(self.edges, self.rows, k)
+            self.states[family, k] = durable(made)
+        return self.states[family, k]
+
+    def score(
+        self, family: str, new: DataFrame, k: int | None = None, method: str = "largest",
+        edges: DataFrame | None = None,
+    ) -> DataFrame:
+        """(dataset_id, row_id, score) of new rows; pass ``edges`` when several detectors share a query."""
+        k = self.k if k is None else k
+        edges = durable(self.query(new, k)) if edges is None else edges
+        if family == "KNN":
+            return knn_scores(edges, k, method)
+        if family == "LOF":
+            return lof_scores(edges, k, state=self.state("LOF", k))
+        if family == "ABOD":
+            return abod_scores(edges, self.rows, k, own=new)
+        if family == "COF":
+            return cof_scores(edges, self.rows, k, state=self.state("COF", k), own=new)
+        raise ValueError(f"no neighbour detector {family}")
+
+    def save(self, folder: str) -> None:
+        """Write all tables below ``folder``."""
+        spark = self.rows.sparkSession
+        for name, table in (("rows", self.rows), ("edges", self.edges), ("placed", self.cells.placed), ("cells", self.cells.cells)):
+            table.write.parquet(f"{folder}/{name}")
+        for (family, k), table in self.states.items():
+            table.write.parquet(f"{folder}/state-{family}-{k}")
+        cells = self.cells
+        kept = [(self.k, cells.metric, cells.cell_rows, cells.single, [f"{f}-{k}" for f, k in self.states])]
+        spark.createDataFrame(kept, "k int, metric string, cell_rows int, single boolean, states array<string>").write.parquet(f"{folder}/about")
+
+
+def load_neighbors(spark: SparkSession, folder: str) -> NeighborModel:
+    about = spark.read.parquet(f"{folder}/about").first()
+    rows, edges, placed, cells = (spark.read.parquet(f"{folder}/{n}") for n in ("rows", "edges", "placed", "cells"))
+    states = {}
+    for name in about["states"]:
+        family, k = name.split("-")
+        states[family, int(k)] = spark.read.parquet(f"{folder}/state-{name}")
+    return NeighborModel(rows, edges, Cells(placed, cells, about["metric"], about["cell_rows"], about["single"]), about["k"], states)

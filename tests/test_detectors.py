@@ -51,6 +51,73 @@ def test_knn_equals_brute_force(make_samples, metric, cell_rows):
             assert [d for _, d in got[i]] == pytest.approx([d for _, d in want[i]], abs=1e-12)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("cell_rows", [4096, 16])
+def test_neighbours_of_unseen_rows(make_samples, metric, cell_rows):
+    rng = np.random.default_rng(2)
+    sets = {"cloud": cloud(1), "grid": rng.integers(0, 4, size=(160, 2)).astype(float), "tiny": cloud(n=3)}
+    fresh = {"cloud": cloud(7, n=40), "grid": rng.integers(0, 5, size=(50, 2)).astype(float), "tiny": cloud(9, n=5)}
+    model = neighbors.fit_neighbors(make_samples(sets), 5, metric, cell_rows=cell_rows)
+    edges = model.query(make_samples(fresh))
+    for name, x in sets.items():
+        got, q = edge_map(edges, name), fresh[name]
+        d = np.abs(q[:, None] - x[None]).sum(2) if metric == "manhattan" else np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+        for i in range(len(q)):
+            order = np.lexsort((np.arange(len(x)), d[i]))[:5]
+            assert [j for j, _ in got[i]] == order.tolist(), (name, i)
+            assert [v for _, v in got[i]] == pytest.approx(d[i][order], abs=1e-12)
+
+
+def test_unseen_scores_follow_the_definitions(spark, make_samples, tmp_path):
+    x, q, k = cloud(3, n=80), cloud(8, n=30), 6
+    model = neighbors.fit_neighbors(make_samples({"a": x}), k, cell_rows=16)
+    new = make_samples({"a": q})
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    near = [np.lexsort((np.arange(80), row))[:k] for row in d]
+    own = brute(x, k)
+    kd = np.array([own[i][-1][1] for i in range(80)])
+    lrd = np.array([1 / (np.mean([max(v, kd[j]) for j, v in own[i]]) + 1e-10) for i in range(80)])
+
+    def chain(point, ids):
+        path = [point, *x[ids]]
+        return sum(2 * (k + 1 - j) / (k * (k + 1)) * min(np.linalg.norm(path[j] - p) for p in path[:j]) for j in range(1, k + 1))
+
+    chains = np.array([chain(x[i], [j for j, _ in own[i]]) for i in range(80)])
+    want = {"KNN": [], "LOF": [], "ABOD": [], "COF": []}
+    for i in range(30):
+        n, v = near[i], d[i][near[i]]
+        want["KNN"].append(v.max())
+        want["LOF"].append(lrd[n].mean() * (np.maximum(v, kd[n]).mean() + 1e-10))
+        ways = x[n] - q[i]
+        angles = [ways[a] @ ways[b] / (ways[a] @ ways[a]) / (ways[b] @ ways[b]) for a in range(k) for b in range(a)]
+        want["ABOD"].append(-np.var(angles))
+        want["COF"].append(chain(q[i], n) / chains[n].mean())
+    for family, values in want.items():
+        got = scores(model.score(family, new))
+        assert [got["a", i] for i in range(30)] == pytest.approx(values, rel=1e-9), family
+    model.save(str(tmp_path / "model"))
+    kept = neighbors.load_neighbors(spark, str(tmp_path / "model"))
+    assert ("LOF", k) in kept.states and ("COF", k) in kept.states
+    got = scores(kept.score("LOF", new))
+    assert [got["a", i] for i in range(30)] == pytest.approx(want["LOF"], rel=1e-9)
+    with pytest.raises(ValueError):
+        kept.query(new, k + 1)
+
+
+def test_rounds_open_few_cells(make_samples):
+    """64 dimensions in 40 groups: ids routed stay far below rows times cells."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64)) * 4
+    x = np.vstack([c + 0.3 * rng.normal(size=(100, 64)) for c in centres])
+    log = []
+    model = neighbors.fit_neighbors(make_samples({"a": x}), 5, cell_rows=100, log=log)
+    cells = model.cells.cells.count()
+    sent = sum(n for _, n in log)
+    assert cells > 25 and len(log) > 1 and sent < 0.35 * len(x) * cells
+    got, want = edge_map(model.edges, "a"), brute(x, 5)
+    assert all([j for j, _ in got[i]] == [j for j, _ in want[i]] for i in range(0, 4000, 37))
+
+
 def test_knn_far_from_zero(make_samples):
     x = cloud(3) * 1e-3 + 1e6
     edges = neighbors.knn_edges(make_samples({"far": x}), 4)

@@ -188,6 +188,113 @@ def det7_cof_scores(spark, sf):
     return rounded(neighbors.cof_scores(edges, shaped, K), "score")
 
 
+# Rows with even ids are fitted, the others are new to the detectors.
+_UNSEEN = f"""{edges_sql(x.EMBEDDINGS.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id % 2 = 0)'))},
+fresh AS (
+  SELECT 'embeddings' AS dataset_id, vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS features
+  FROM embeddings WHERE vec_id % 2 <> 0),
+new_dist AS (
+  SELECT a.dataset_id, a.row_id, b.row_id AS nbr_id, list_distance(a.features, b.features) AS dist
+  FROM fresh a JOIN samples b ON a.dataset_id = b.dataset_id),
+new_edges AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, row_id ORDER BY dist, nbr_id) AS rank
+                 FROM new_dist) WHERE rank <= {K})"""
+
+
+def _halves(spark, sf):
+    shaped = x.embeddings(spark, sf)
+    fitted = neighbors.fit_neighbors(shaped.where(F.col("row_id") % 2 == 0), K)
+    return fitted, shaped.where(F.col("row_id") % 2 != 0)
+
+
+@query(
+    "j7_knn_join_unseen",
+    f"""{_UNSEEN}
+SELECT dataset_id, row_id, nbr_id, {r('dist')} AS dist, CAST(rank AS INTEGER) AS rank FROM new_edges""",
+)
+def j7_knn_join_unseen(spark, sf):
+    fitted, new = _halves(spark, sf)
+    return rounded(fitted.query(new), "dist")
+
+
+@query(
+    "det4_knn_unseen",
+    f"""{_UNSEEN}
+SELECT dataset_id, row_id, {r('avg(dist)')} AS score FROM new_edges GROUP BY dataset_id, row_id""",
+)
+def det4_knn_unseen(spark, sf):
+    fitted, new = _halves(spark, sf)
+    return rounded(fitted.score("KNN", new, method="mean"), "score")
+
+
+@query(
+    "det5_lof_unseen",
+    f"""{_UNSEEN},
+kd AS (SELECT dataset_id, row_id, max(dist) AS kd FROM edges GROUP BY dataset_id, row_id),
+lrd AS (
+  SELECT e.dataset_id, e.row_id, 1 / (avg(greatest(e.dist, kd.kd)) + 1e-10) AS lrd
+  FROM edges e JOIN kd ON kd.dataset_id = e.dataset_id AND kd.row_id = e.nbr_id
+  GROUP BY e.dataset_id, e.row_id)
+SELECT e.dataset_id, e.row_id, {r('avg(n.lrd) * (avg(greatest(e.dist, kd.kd)) + 1e-10)')} AS score
+FROM new_edges e JOIN lrd n ON n.dataset_id = e.dataset_id AND n.row_id = e.nbr_id
+JOIN kd ON kd.dataset_id = e.dataset_id AND kd.row_id = e.nbr_id
+GROUP BY e.dataset_id, e.row_id""",
+)
+def det5_lof_unseen(spark, sf):
+    fitted, new = _halves(spark, sf)
+    return rounded(fitted.score("LOF", new), "score")
+
+
+@query(
+    "det6_abod_unseen",
+    f"""{_UNSEEN},
+near AS (
+  SELECT e.dataset_id, e.row_id, e.rank,
+         list_transform(list_zip(n.features, o.features), lambda p: p[1] - p[2]) AS v
+  FROM new_edges e JOIN samples n ON n.dataset_id = e.dataset_id AND n.row_id = e.nbr_id
+  JOIN fresh o ON o.dataset_id = e.dataset_id AND o.row_id = e.row_id)
+SELECT a.dataset_id, a.row_id,
+       {r('-var_pop(list_dot_product(a.v, b.v) / (list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)))')} AS score
+FROM near a JOIN near b ON a.dataset_id = b.dataset_id AND a.row_id = b.row_id AND a.rank < b.rank
+GROUP BY a.dataset_id, a.row_id""",
+)
+def det6_abod_unseen(spark, sf):
+    fitted, new = _halves(spark, sf)
+    return rounded(fitted.score("ABOD", new), "score")
+
+
+@query(
+    "det7_cof_unseen",
+    f"""{_UNSEEN},
+path AS (
+  SELECT dataset_id, row_id, nbr_id, rank FROM edges
+  UNION ALL SELECT dataset_id, row_id, row_id, 0 FROM samples),
+cost AS (
+  SELECT j.dataset_id, j.row_id, j.rank, min(d.dist) AS cost
+  FROM path j JOIN path m ON m.dataset_id = j.dataset_id AND m.row_id = j.row_id AND m.rank < j.rank
+  JOIN dist d ON d.dataset_id = j.dataset_id AND d.row_id = j.nbr_id AND d.nbr_id = m.nbr_id
+  GROUP BY j.dataset_id, j.row_id, j.rank),
+chain AS (
+  SELECT dataset_id, row_id, sum(2.0 * ({K} + 1 - rank) / ({K} * ({K} + 1.0)) * cost) AS chain
+  FROM cost GROUP BY dataset_id, row_id),
+new_cost AS (
+  SELECT j.dataset_id, j.row_id, j.rank, least(any_value(j.dist), min(d.dist)) AS cost
+  FROM new_edges j LEFT JOIN new_edges m ON m.dataset_id = j.dataset_id AND m.row_id = j.row_id AND m.rank < j.rank
+  LEFT JOIN dist d ON d.dataset_id = j.dataset_id AND d.row_id = j.nbr_id AND d.nbr_id = m.nbr_id
+  GROUP BY j.dataset_id, j.row_id, j.rank),
+new_chain AS (
+  SELECT dataset_id, row_id, sum(2.0 * ({K} + 1 - rank) / ({K} * ({K} + 1.0)) * cost) AS chain
+  FROM new_cost GROUP BY dataset_id, row_id)
+SELECT e.dataset_id, e.row_id, {r('any_value(o.chain) / avg(n.chain)')} AS score
+FROM new_edges e JOIN chain n ON n.dataset_id = e.dataset_id AND n.row_id = e.nbr_id
+JOIN new_chain o ON o.dataset_id = e.dataset_id AND o.row_id = e.row_id
+GROUP BY e.dataset_id, e.row_id""",
+)
+def det7_cof_unseen(spark, sf):
+    fitted, new = _halves(spark, sf)
+    return rounded(fitted.score("COF", new), "score")
+
+
 @query("det8_ocsvm_scores")
 def det8_ocsvm_scores(spark, sf):
     shaped = x.embeddings(spark, sf)
