@@ -1,8 +1,12 @@
-"""One-class support vector machine (Schoelkopf et al. 2001) trained by distributed passes.
+"""One-class support vector machine (Schoelkopf et al. 2001), solved to a stated duality gap.
 
 The dual asks for the point of smallest norm among weighted means of the mapped rows, no row
-weighing more than 1 / (nu n). Frank-Wolfe steps need only two aggregates per pass over the data:
-the nu-quantile of the current scores, and the mean of the mapped rows below it.
+weighing more than 1 / (nu n). Frank-Wolfe steps need the mean of the nu n rows with the lowest scores.
+One scan per pass finds it for all nu: every row falls into a bin of its score, and counts and sums per
+bin give that mean up to the width of one bin, which narrows from pass to pass around the quantile. The
+new mean joins the ones found before, and the point of smallest norm among all their mixtures is exact
+(Wolfe 1976), so steps never zigzag. The gap between the point and the best possible step, the bin's
+width included, bounds how far the solution is from the optimum; passes end when it is small.
 """
 
 from __future__ import annotations
@@ -13,16 +17,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strayfinder.operators.iforest import uniform_hash
 from strayfinder.operators.pairs import matrix
-from strayfinder.session import durable, fold_with_parameters, measured, sized, with_parameters
+from strayfinder.session import durable, fold_with_parameters, measured, running_sums, sized, with_parameters
 
 # Landmark rows of the kernel approximation (Williams and Seeger 2001) per doubling of the rows.
 LANDMARK_RATE = 32
-PASSES = 12
+# Gap, as a share of the squared norm, at which a solution is done, and passes that may reach it.
+GAP = 1e-3
+PASSES = 200
+# Least squared norm, as a share of the largest mapped row's, that a gap is measured by: where the origin
+# lies among the means the solution is 0.
+FLOOR = 1e-6
+# Bins of the scores between the two open ones.
+BINS = 14
 DEGREE = 3
 
-_MODEL_SCHEMA = (
-    "dataset_id string, width int, landmarks array<double>, map array<double>, w array<double>, "
-    "rho double"
+_MODEL_SCHEMA = "dataset_id string, width int, landmarks array<double>, map array<double>, size int"
+_STATE_SCHEMA = (
+    "dataset_id string, w array<double>, low array<double>, step array<double>, gap array<double>, "
+    "atoms array<array<double>>, shares array<array<double>>"
 )
 
 
@@ -45,7 +57,7 @@ def _mapped(x: np.ndarray, side: pd.DataFrame, kernel: str) -> np.ndarray:
 
 
 def _start(sample_df: DataFrame, kernel: str, seed: int, landmarks: int | None) -> DataFrame:
-    """Landmarks, feature map and the mean mapped landmark as the first point, per dataset.
+    """Landmarks, feature map and the number of mapped coordinates, per dataset.
 
     ``landmarks`` defaults to LANDMARK_RATE times the binary logarithm of a dataset's rows. Rows are
     offered by hash before any are ranked, so a dataset ranks about twice as many as it keeps.
@@ -74,65 +86,197 @@ def _start(sample_df: DataFrame, kernel: str, seed: int, landmarks: int | None)
             to = vectors[:, used] / np.sqrt(values[used])
             side = {"landmarks": [x.ravel().tolist()], "map": [to.ravel().tolist()]}
         side = pd.DataFrame({"dataset_id": rows["dataset_id"].iloc[0], "width": [x.shape[1]], **side})
-        mean = _mapped(x, side, kernel).mean(axis=0)
-        return side.assign(w=[mean.tolist()], rho=0.0)
+        return side.assign(size=_mapped(x[:1], side, kernel).shape[1])
 
     return marks.groupBy("dataset_id").applyInPandas(build, _MODEL_SCHEMA)
 
 
-def ocsvm_fit(
+def smallest_norm(atoms: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shares of the mixture of ``atoms`` with the smallest norm, from a start that has the last at 0.
+
+    Wolfe's minor cycles: the point of smallest norm of the affine hull, or the border on the way to it,
+    where an atom drops out.
+    """
+    shares = shares.copy()
+    used = shares > 0
+    used[-1] = True
+    while True:
+        at = np.flatnonzero(used)
+        gram = atoms[at] @ atoms[at].T
+        scale = max(float(np.trace(gram)), 1e-300) / len(at)
+        system = np.block([[gram / scale, np.ones((len(at), 1))], [np.ones((1, len(at))), np.zeros((1, 1))]])
+        target = np.zeros(len(at) + 1)
+        target[-1] = 1.0
+        best = np.linalg.lstsq(system, target, rcond=None)[0][:-1]
+        now = shares[at]
+        falling = best <= 1e-12
+        if not falling.any():
+            shares[at] = best
+            return shares / shares.sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(falling & (now > best), now / (now - best), np.inf)
+        reach = min(1.0, float(part.min()))
+        now = now + reach * (best - now)
+        gone = falling & (now <= 1e-12)
+        if not gone.any():
+            gone[int(part.argmin())] = True
+        now[gone] = 0.0
+        shares[at] = now
+        used[at[gone]] = False
+        if used.sum() <= 1:
+            shares[:] = used
+            return shares
+
+
+def _pass(nus: list[float], kernel: str):
+    """Functions for ``fold_with_parameters``: counts and sums of the mapped rows per nu and score bin."""
+    m, bins = len(nus), BINS + 2
+
+    def fold(state, part: pd.DataFrame, side: pd.DataFrame):
+        phi = _mapped(matrix(part["features"]), side, kernel)
+        w = np.asarray(side["w"].iloc[0], dtype=float).reshape(m, -1)
+        low, step = (np.asarray(side[c].iloc[0], dtype=float) for c in ("low", "step"))
+        scores = phi @ w.T
+        place = np.clip(np.floor((scores - low) / step) + 1, 0, bins - 1).astype(int)
+        sums = np.zeros((m, bins, phi.shape[1] + 1))
+        for j in range(m):
+            of = (place[:, j, None] == np.arange(bins)).astype(float)
+            sums[j, :, 0] = of.sum(axis=0)
+            sums[j, :, 1:] = of.T @ phi
+        ends = np.concatenate([-scores.min(axis=0), scores.max(axis=0), [np.sqrt((phi * phi).sum(axis=1).max())]])
+        return (sums, ends) if state is None else (state[0] + sums, np.maximum(state[1], ends))
+
+    def finish(dataset, state, side: pd.DataFrame) -> pd.DataFrame:
+        sums, ends = state[0].ravel(), state[1]
+        return pd.DataFrame({
+            "dataset_id": dataset, "k": np.concatenate([np.arange(len(sums)), -1 - np.arange(len(ends))]),
+            "s": np.concatenate([sums, ends]),
+        })
+
+    return fold, finish
+
+
+def _step(nus: list[float], gap: float):
+    """Function for the rows (k, total, top) of one dataset beside its state: the next state."""
+    m, bins = len(nus), BINS + 2
+
+    def advance(sums: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        if sums.empty or states.empty:
+            return pd.DataFrame(columns=[c.split()[0] for c in _STATE_SCHEMA.split(", ")])
+        held = states.iloc[0]
+        inner = sums[sums["k"] >= 0].sort_values("k")["total"].to_numpy()
+        ends = sums[sums["k"] < 0].sort_values("k", ascending=False)["top"].to_numpy()
+        lowest, highest, radius = -ends[:m], ends[m : 2 * m], ends[2 * m]
+        table = inner.reshape(m, bins, -1)
+        size = table.shape[2] - 1
+        w = np.asarray(held["w"], dtype=float).reshape(m, size)
+        out = {"w": [], "low": [], "step": [], "gap": [], "atoms": [], "shares": []}
+        for j, nu in enumerate(nus):
+            counts, sums_ = table[j, :, 0], table[j, :, 1:]
+            low, step = held["low"][j], held["step"][j]
+            atoms = np.asarray(list(held["atoms"][j]), dtype=float).reshape(-1, size)
+            shares = np.asarray(held["shares"][j], dtype=float)
+            mass = nu * counts.sum()
+            total = np.cumsum(counts)
+            b = min(int(np.searchsorted(total, mass * (1 - 1e-12))), bins - 1)
+            before = total[b - 1] if b else 0.0
+            inside = (mass - before) / max(counts[b], 1e-300)
+            lower = max(low + (b - 1) * step if b else -np.inf, lowest[j])
+            upper = min(low + b * step if b < bins - 1 else np.inf, highest[j])
+            wide = max(upper - lower, 0.0)
+            atom = (sums_[:b].sum(axis=0) + inside * sums_[b]) / mass
+            point, norm = w[j], float(w[j] @ w[j])
+            if not len(atoms):
+                new, left = atom, np.inf
+                atoms, shares = atom[None, :], np.ones(1)
+            else:
+                # the best mean may lie lower than the bin's mean by its width at most
+                left = (norm - float(point @ atom) + (mass - before) / mass * wide) / max(norm, FLOOR * radius**2, 1e-300)
+                new = point
+                if left > gap and norm > float(point @ atom):
+                    atoms, shares = np.vstack([atoms, atom]), np.append(shares, 0.0)
+                    shares = smallest_norm(atoms, shares)
+                    atoms, shares = atoms[shares > 0], shares[shares > 0]
+                    new = shares @ atoms
+            about = float(np.linalg.norm(new - point)) * radius + max(wide, 1e-12 * max(abs(lower), abs(upper), 1e-300))
+            centre = lower + inside * wide
+            out["w"].extend(new.tolist())
+            out["low"].append(centre - about)
+            out["step"].append(2 * about / BINS)
+            out["gap"].append(float(left))
+            out["atoms"].append(atoms.ravel().tolist())
+            out["shares"].append(shares.tolist())
+        return pd.DataFrame({"dataset_id": [held["dataset_id"]], **{k: [v] for k, v in out.items()}})
+
+    return advance
+
+
+def ocsvm_fit_all(
     sample_df: DataFrame,
-    nu: float = 0.5,
+    nus: list[float],
     kernel: str = "rbf",
+    gap: float = GAP,
     passes: int = PASSES,
     seed: int = 0,
     landmarks: int | None = None,
+    log: list | None = None,
 ) -> DataFrame:
-    """One row per dataset: feature map, weights and offset; ``passes`` bounds the steps of the solver."""
+    """One row per dataset: feature map and, for every nu, weights, offset and the gap reached.
+
+    All nu share every scan. ``gap`` is relative to the squared norm of the solution; passes end when
+    all datasets and nu are within it, or after ``passes``; ``log`` receives the worst gap of each.
+    """
     rows = sample_df.select("dataset_id", "row_id", "features")
-    # the weights change from pass to pass, their number does not
-    model, size = measured(durable(_start(sample_df, kernel, seed, landmarks)))
+    base = durable(_start(sample_df, kernel, seed, landmarks))
+    m = len(nus)
+    none = F.array_repeat(F.array().cast("array<double>"), m)
+    state = durable(base.select(
+        "dataset_id", F.array_repeat(F.lit(0.0), F.col("size") * m).alias("w"),
+        F.array_repeat(F.lit(-1.0), m).alias("low"), F.array_repeat(F.lit(1.0), m).alias("step"),
+        F.array_repeat(F.lit(float("inf")), m).alias("gap"), none.alias("atoms"), none.alias("shares"),
+    ))
 
-    def below(state, part: pd.DataFrame, side: pd.DataFrame):
-        phi = _mapped(matrix(part["features"]), side, kernel)
-        low = phi @ np.asarray(side["w"].iloc[0]) <= side["rho"].iloc[0]
-        own = phi[low].sum(axis=0), np.array([low.sum()])
-        return own if state is None else (state[0] + own[0], state[1] + own[1])
+    def sides() -> DataFrame:
+        return base.join(state.select("dataset_id", "w", "low", "step"), "dataset_id")
 
-    def sums_below(dataset, state, side: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"dataset_id": dataset, "k": np.arange(len(state[0])), "s": state[0], "n": int(state[1][0])}
+    # the weights change from pass to pass, their number does not
+    _, size = measured(sides())
+    fold, finish = _pass(nus, kernel)
+    for _ in range(passes):
+        found = fold_with_parameters(rows, sides(), fold, finish, "dataset_id string, k int, s double", size)
+        sums = found.groupBy("dataset_id", "k").agg(F.sum("s").alias("total"), F.max("s").alias("top"))
+        state = durable(
+            sums.groupBy("dataset_id").cogroup(state.groupBy("dataset_id")).applyInPandas(_step(nus, gap), _STATE_SCHEMA)
         )
-
-    for step in range(passes):
-        model = _with_offset(rows, model, nu, kernel, size)
-        if step == passes - 1:
+        worst = state.agg(F.max(F.array_max("gap"))).first()[0]
+        if log is not None:
+            log.append(worst)
+        if worst is None or worst <= gap:
             break
-        sums = (
-            fold_with_parameters(
-                rows, model, below, sums_below, "dataset_id string, k int, s double, n bigint", size
-            )
-            .groupBy("dataset_id", "k")
-            .agg((F.sum("s") / F.sum("n")).alias("v"))
-            .groupBy("dataset_id")
-            .agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("_v"))
-            .select("dataset_id", F.col("_v.v").alias("_target"))
-        )
-        gap = F.zip_with("w", "_target", lambda a, b: a - b)
-        top = F.aggregate(
-            F.zip_with("w", gap, lambda a, g: a * g), F.lit(0.0), lambda s, x: s + x
-        )
-        length = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-        move = F.greatest(
-            F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(top, length), F.lit(0.0)))
-        )
-        moved = model.join(sums, "dataset_id").withColumn("_move", move)
-        model = durable(
-            moved.withColumn(
-                "w", F.zip_with("w", "_target", lambda a, b: a + F.col("_move") * (b - a))
-            ).drop("_target", "_move")
-        )
-    return model
+    solved = base.join(state.select("dataset_id", "w", "gap"), "dataset_id")
+    model = durable(solved.select(
+        "dataset_id", "width", "landmarks", "map", F.lit([float(v) for v in nus]).alias("nus"), "w",
+        F.array_repeat(F.lit(0.0), m).alias("rho"), "gap",
+    ))
+    # the offset is the score of the ceil(nu n)-th lowest row, exact at any size
+    scores = _projections(rows, model, kernel, size).withColumn("_one", F.lit(1))
+    ranked = running_sums(scores, ["dataset_id", "nu"], "score", {"_rank": "_one"}, descending=True)
+    counts = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
+    # scores are offset minus projection, so the largest belong to the lowest projections
+    wanted = F.greatest(F.ceil(F.col("nu") * F.col("_n") - 1e-9), F.lit(1))
+    rho = (
+        ranked.join(sized(counts), "dataset_id").where(F.col("_rank") == wanted)
+        .groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("nu", (-F.col("score")).alias("v")))).alias("_r"))
+    )
+    order = F.transform("nus", lambda v: F.element_at(F.filter("_r", lambda x: x["nu"] == v), 1)["v"])
+    return durable(
+        model.join(rho, "dataset_id").select("dataset_id", "width", "landmarks", "map", "nus", "w", order.alias("rho"), "gap")
+    )
+
+
+def ocsvm_fit(sample_df: DataFrame, nu: float = 0.5, kernel: str = "rbf", **options) -> DataFrame:
+    """``ocsvm_fit_all`` for one nu."""
+    return ocsvm_fit_all(sample_df, [nu], kernel, **options)
 
 
 def _projections(
@@ -140,36 +284,27 @@ def _projections(
 ) -> DataFrame:
     def project(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         phi = _mapped(matrix(part["features"]), side, kernel)
+        nus, rho = (np.asarray(side[c].iloc[0], dtype=float) for c in ("nus", "rho"))
+        w = np.asarray(side["w"].iloc[0], dtype=float).reshape(len(nus), -1)
         return pd.DataFrame(
             {
                 "dataset_id": part["dataset_id"].iloc[0],
-                "row_id": part["row_id"].to_numpy(),
-                "score": side["rho"].iloc[0] - phi @ np.asarray(side["w"].iloc[0]),
+                "row_id": np.repeat(part["row_id"].to_numpy(), len(nus)),
+                "nu": np.tile(nus, len(part)),
+                "score": (rho - phi @ w.T).ravel(),
             }
         )
 
     return with_parameters(
-        rows, model, project, "dataset_id string, row_id bigint, score double", size
+        rows, model, project, "dataset_id string, row_id bigint, nu double, score double", size
     )
 
 
-def _with_offset(
-    rows: DataFrame, model: DataFrame, nu: float, kernel: str, size: int
-) -> DataFrame:
-    """Set ``rho`` to the nu-quantile of w . phi(x); a mergeable sketch of bounded size."""
-    centred = model.withColumn("rho", F.lit(0.0))
-    rho = (
-        _projections(rows, centred, kernel, size)
-        .groupBy("dataset_id")
-        .agg(F.percentile_approx(-F.col("score"), float(nu), 10_000).alias("rho"))
-    )
-    return durable(
-        model.drop("rho").join(rho, "dataset_id").select(
-            "dataset_id", "width", "landmarks", "map", "w", "rho"
-        )
-    )
+def ocsvm_scores_all(sample_df: DataFrame, model: DataFrame, kernel: str = "rbf") -> DataFrame:
+    """(dataset_id, row_id, nu, score = rho - w . phi(x)), higher = more anomalous."""
+    return _projections(sample_df.select("dataset_id", "row_id", "features"), model, kernel)
 
 
 def ocsvm_scores(sample_df: DataFrame, model: DataFrame, kernel: str = "rbf") -> DataFrame:
-    """(dataset_id, row_id, score = rho - w . phi(x)), higher = more anomalous."""
-    return _projections(sample_df.select("dataset_id", "row_id", "features"), model, kernel)
+    """(dataset_id, row_id, score) of a model with one nu."""
+    return ocsvm_scores_all(sample_df, model, kernel).drop("nu")

@@ -15,8 +15,8 @@ def run_models(sample_df: DataFrame, models: DataFrame, seed: int = 0) -> DataFr
     """(dataset_id, row_id, model_id, score) of every requested model, higher = more anomalous.
 
     ``models`` are rows of the catalogue. Settings that share work are fitted together: one
-    histogram per bin count, one set of cuts per bin count, one forest per feature share, and one
-    neighbour join per metric serve all their models, and one scan scores all of a set of cuts or
+    histogram per bin count, one set of cuts per bin count, one forest per feature share, one solver
+    per kernel, and one neighbour join per metric serve all their models, and one scan scores all of a set of cuts or
     trees. The samples are written once.
     """
     return _scores(durable(sample_df.select("dataset_id", "row_id", "features")), models, seed)
@@ -33,10 +33,10 @@ def _scores(rows: DataFrame, models: DataFrame, seed: int) -> DataFrame:
         parts += _loda(rows, wanted["LODA"], seed)
     if "IForest" in wanted:
         parts += _iforest(rows, wanted["IForest"], seed)
-    for row in wanted.get("OCSVM", []):
-        nu, kernel = float(row.params["nu"]), row.params["kernel"]
-        model = ocsvm.ocsvm_fit(rows, nu, kernel, seed=seed)
-        parts.append(_tagged(ocsvm.ocsvm_scores(rows, model, kernel), row))
+    for kernel, group in _by(wanted.get("OCSVM", []), "kernel").items():
+        of = {float(r.params["nu"]): r.model_id for r in group}
+        model = ocsvm.ocsvm_fit_all(rows, sorted(of), kernel, seed=seed)
+        parts.append(_named(ocsvm.ocsvm_scores_all(rows, model, kernel), of, "nu"))
     parts += _neighbour_models(rows, wanted)
     out = parts[0]
     for part in parts[1:]:
@@ -48,7 +48,7 @@ def _tagged(scores: DataFrame, row: Row) -> DataFrame:
     return scores.withColumn("model_id", F.lit(row.model_id)).select(*_OUT)
 
 
-def _named(scores: DataFrame, of: dict[int, int], setting: str) -> DataFrame:
+def _named(scores: DataFrame, of: dict[float, int], setting: str) -> DataFrame:
     """Rows tagged with the model of their setting."""
     ids = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
     return scores.withColumn("model_id", ids[F.col(setting)]).select(*_OUT)

@@ -261,30 +261,80 @@ def test_large_parameter_tables_meet_rows_in_a_shuffle(make_samples, monkeypatch
     assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
 
 
-def one_class_reference(x, nu, steps=4000):
-    """Small dual solver: projected gradient on the capped simplex, rbf kernel."""
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    k = np.exp(-d / x.shape[1])
-    cap = 1 / (nu * len(x))
-    a = np.full(len(x), 1 / len(x))
-    for _ in range(steps):
-        g = a - 0.5 / len(x) * (k @ a) * 2
-        lo, hi = g.min() - cap, g.max()
+def one_class_reference(x, nu, kernel="rbf", steps=4000):
+    """Small dual solver: accelerated projected gradient on the capped simplex."""
+    if kernel == "rbf":
+        k = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / x.shape[1])
+    else:
+        k = x @ x.T
+    cap, top = 1 / (nu * len(x)), np.linalg.norm(k, 2)
+    a = before = np.full(len(x), 1 / len(x))
+    for t in range(steps):
+        y = a + t / (t + 3) * (a - before)
+        g = y - k @ y / top
+        lo, hi = g.min() - cap - 1, g.max()
         for _ in range(60):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if np.clip(g - mid, 0, cap).sum() > 1 else (lo, mid)
-        a = np.clip(g - lo, 0, cap)
-    return -(k @ a)
-
-
-def test_ocsvm_ranks_like_the_dual_solution(make_samples):
-    x = cloud(4, n=80, p=2)
+        before, a = a, np.clip(g - lo, 0, cap)
+    return a @ k @ a, -(k @ a)
+
+
+def rank_correlation(a, b):
+    return np.corrcoef(np.argsort(np.argsort(a)), np.argsort(np.argsort(b)))[0, 1]
+
+
+def test_smallest_norm_of_mixtures():
+    rng = np.random.default_rng(0)
+    for n, size in ((2, 3), (6, 4), (12, 30)):
+        atoms = rng.normal(size=(n, size)) + 1.0
+        shares = np.zeros(n)
+        shares[0] = 1.0
+        for k in range(2, n + 1):
+            shares[:k] = ocsvm.smallest_norm(atoms[:k], shares[:k])
+        for _ in range(200):  # major cycles on the atoms at hand
+            point = shares @ atoms
+            worst = int((atoms @ point).argmin())
+            if point @ point - atoms[worst] @ point < 1e-10:
+                break
+            order = np.append(np.delete(np.arange(n), worst), worst)
+            shares[order] = ocsvm.smallest_norm(atoms[order], shares[order])
+        point = shares @ atoms
+        assert shares.min() >= 0 and shares.sum() == pytest.approx(1)
+        assert point @ point - (atoms @ point).min() < 1e-8
+
+
+def test_ocsvm_reaches_the_dual_solution(make_samples):
+    x = cloud(4, n=80, p=2) + 3
+    df = make_samples({"a": x, "b": cloud(6, n=50, p=2)})  # the origin is among the means of b
+    for kernel in ("rbf", "linear"):
+        log = []
+        model = ocsvm.ocsvm_fit_all(df, [0.2, 0.5], kernel, gap=1e-5, log=log)
+        row = model.where("dataset_id = 'a'").first()
+        w = np.reshape(row.w, (2, -1))
+        got = {(r.nu, r.row_id): r.score for r in ocsvm.ocsvm_scores_all(df, model, kernel).where("dataset_id = 'a'").collect()}
+        assert max(row.gap) <= 1e-5 and len(log) < 60
+        for j, nu in enumerate((0.2, 0.5)):
+            norm, want = one_class_reference(x, nu, kernel)
+            ours = np.array([got[nu, i] for i in range(80)])
+            assert w[j] @ w[j] == pytest.approx(norm, rel=1e-3)
+            # scores below the margin stay apart from each other, those on it are equal up to the gap
+            assert np.abs((ours - row.rho[j]) - want).max() <= 0.02 * np.sqrt(norm) * np.sqrt((x * x).sum(1).max() if kernel == "linear" else 1)
+            projections = np.sort(row.rho[j] - ours)
+            assert row.rho[j] == pytest.approx(projections[int(np.ceil(nu * 80)) - 1])
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "linear"])
+def test_ocsvm_ranks_like_the_dual_with_landmarks(make_samples, kernel):
+    x = np.random.default_rng(11).normal(size=(1500, 3)) * [1.0, 2.0, 0.5] + ([2.0, 1.0, 1.0] if kernel == "linear" else 0.0)
     df = make_samples({"a": x})
-    got = scores(ocsvm.ocsvm_scores(df, ocsvm.ocsvm_fit(df, 0.5, "rbf"), "rbf"))
-    ours = np.array([got["a", i] for i in range(80)])
-    ranks = [np.argsort(np.argsort(v)) for v in (ours, one_class_reference(x, 0.5))]
-    assert np.corrcoef(*ranks)[0, 1] > 0.9
-    assert abs((ours > 0).mean() - 0.5) < 0.1  # nu is the share of rows outside
+    model = ocsvm.ocsvm_fit(df, 0.3, kernel)
+    if kernel == "rbf":
+        assert len(model.first().landmarks) < 3 * 1500
+    got = scores(ocsvm.ocsvm_scores(df, model, kernel))
+    ours = np.array([got["a", i] for i in range(1500)])
+    assert rank_correlation(ours, one_class_reference(x, 0.3, kernel, 1500)[1]) > 0.99
+    assert abs((ours > 0).mean() - 0.3) < 0.01  # nu is the share of rows outside
 
 
 def test_every_family_runs(make_samples):
