@@ -599,6 +599,134 @@ def cof_scores(
     return around.join(chain, keys).select(*keys, ratio.alias("score"))
 
 
+# --------------------------------------------------------------------------- many settings at once
+
+_KEYS = ("dataset_id", "row_id")
+
+
+def _exploded(wide: DataFrame, scores: dict) -> DataFrame:
+    """(dataset_id, row_id, model_id, score) from one row per sample; the scores are exploded last."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("model_id"), c.alias("score")) for m, c in scores.items()))
+    return wide.select(*_KEYS, F.explode(pairs).alias("_s")).select(*_KEYS, "_s.model_id", "_s.score")
+
+
+def knn_scores_all(edges: DataFrame, models: dict[int, tuple[int, str]]) -> DataFrame:
+    """Scores of {model_id: (k, method)} from one pass over the edges."""
+    fold = {"largest": F.max, "mean": F.avg, "median": F.median}
+    wide = edges.groupBy(*_KEYS).agg(
+        *(fold[method](F.when(F.col("rank") <= k, F.col("dist"))).alias(f"s{m}") for m, (k, method) in models.items())
+    )
+    return _exploded(wide, {m: F.col(f"s{m}") for m in models})
+
+
+def lof_scores_all(edges: DataFrame, models: dict[int, int], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Scores of {model_id: k}: k-distances and densities of all k travel as one array per neighbour."""
+    ks = sorted(set(models.values()))
+
+    def upto(k: int, value):
+        return F.when(F.col("rank") <= k, value)
+
+    reached = edges.groupBy(*_KEYS).agg(F.array(*(F.max(upto(k, F.col("dist"))) for k in ks)).alias("_kd"))
+    own = durable(
+        lookup(edges, reached, hot_rows).groupBy(*_KEYS).agg(F.array(*(
+            1.0 / (F.avg(upto(k, F.greatest(F.col("dist"), F.col("_kd")[j]))) + 1e-10) for j, k in enumerate(ks)
+        )).alias("density"))
+    )
+    around = lookup(edges, own.withColumnRenamed("density", "_near"), hot_rows).groupBy(*_KEYS).agg(
+        F.array(*(F.avg(upto(k, F.col("_near")[j])) for j, k in enumerate(ks))).alias("mean")
+    )
+    wide = around.join(own, list(_KEYS))
+    return _exploded(wide, {m: F.col("mean")[ks.index(k)] / F.col("density")[ks.index(k)] for m, k in models.items()})
+
+
+def _prefixes(fn, ks: list[int]):
+    """Score the rows of a batch for every k at once; rows with fewer neighbours use all they have."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.asarray(x, dtype=float) for x in batch["features"]]
+            near = [np.vstack(x).astype(float) for x in batch["near"]]
+            shapes: dict[tuple[int, ...], list[int]] = {}
+            for i, n in enumerate(near):
+                shapes.setdefault(n.shape, []).append(i)
+            values = np.full((len(batch), len(ks)), np.nan)
+            for (most, width), rows in shapes.items():
+                step = max(1, _BATCH_CELLS // (most * max(most, width)))
+                for low in range(0, len(rows), step):
+                    part = rows[low : low + step]
+                    values[part] = fn(
+                        np.stack([own[i] for i in part]), np.stack([near[i] for i in part]), [min(k, most) for k in ks]
+                    )
+            yield pd.DataFrame({
+                "dataset_id": batch["dataset_id"], "row_id": batch["row_id"],
+                "values": [[None if np.isnan(v) else float(v) for v in row] for row in values],
+            })
+
+    return run
+
+
+def _angle_variances(own: np.ndarray, near: np.ndarray, ks: list[int]) -> np.ndarray:
+    """``_angle_variance`` of the first k neighbours for every k, from one matrix of angles."""
+    v = near - own[:, None]
+    norms = (v * v).sum(axis=2)
+    there = norms > 0
+    pairs = there[:, :, None] & there[:, None, :]
+    pairs &= np.tri(near.shape[1], k=-1, dtype=bool)[None]
+    scale = np.where(pairs, norms[:, :, None] * norms[:, None, :], 1.0)
+    angle = np.where(pairs, np.einsum("nkp,nlp->nkl", v, v) / scale, 0.0)
+    out = np.empty((len(own), len(ks)))
+    for j, k in enumerate(ks):
+        cut, held = angle[:, :k, :k], pairs[:, :k, :k]
+        n = held.sum(axis=(1, 2))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = cut.sum(axis=(1, 2)) / n
+            spread_ = np.where(held, (cut - mean[:, None, None]) ** 2, 0.0).sum(axis=(1, 2)) / n
+        out[:, j] = np.where(n > 0, -spread_, np.nan)
+    return out
+
+
+def _chaining_distances(own: np.ndarray, near: np.ndarray, ks: list[int]) -> np.ndarray:
+    """``_chaining_distance`` of the first k neighbours for every k: the costs are the same for all."""
+    path = np.concatenate([own[:, None], near], axis=1)
+    costs = np.stack([
+        np.sqrt(((path[:, :j] - path[:, j : j + 1]) ** 2).sum(axis=2)).min(axis=1) for j in range(1, max(ks) + 1)
+    ], axis=1)
+    weights = np.array([[2.0 * (k + 1 - j) / (k * (k + 1.0)) if j <= k else 0.0 for j in range(1, max(ks) + 1)] for k in ks])
+    return costs @ weights.T
+
+
+def abod_scores_all(
+    edges: DataFrame, sample_df: DataFrame, models: dict[int, int], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Scores of {model_id: k}; the vectors of the largest k's neighbours are sent once."""
+    ks = sorted(set(models.values()))
+    wide = _neighbourhoods(top_edges(edges, ks[-1]), sample_df, hot_rows).mapInPandas(
+        _prefixes(_angle_variances, ks), "dataset_id string, row_id bigint, values array<double>"
+    )
+    return _exploded(wide, {m: F.col("values")[ks.index(k)] for m, k in models.items()})
+
+
+def cof_scores_all(
+    edges: DataFrame, sample_df: DataFrame, models: dict[int, int], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Scores of {model_id: k}; chaining distances of all k travel as one array per neighbour."""
+    ks = sorted(set(models.values()))
+    near = top_edges(edges, ks[-1])
+    chains = durable(
+        _neighbourhoods(near, sample_df, hot_rows).mapInPandas(
+            _prefixes(_chaining_distances, ks), "dataset_id string, row_id bigint, values array<double>"
+        )
+    )
+    around = lookup(near, chains.withColumnRenamed("values", "_near"), hot_rows).groupBy(*_KEYS).agg(
+        F.array(*(F.avg(F.when(F.col("rank") <= k, F.col("_near")[j])) for j, k in enumerate(ks))).alias("mean")
+    )
+    wide = around.join(chains, list(_KEYS))
+    return _exploded(wide, {
+        m: F.coalesce(F.try_divide(F.col("values")[ks.index(k)], F.col("mean")[ks.index(k)]), F.lit(0.0))
+        for m, k in models.items()
+    })
+
+
 # --------------------------------------------------------------------------- fitted detectors
 
 

@@ -16,8 +16,8 @@ def run_models(sample_df: DataFrame, models: DataFrame, seed: int = 0) -> DataFr
 
     ``models`` are rows of the catalogue. Settings that share work are fitted together: one
     histogram per bin count, one set of cuts per bin count, one forest per feature share, one solver
-    per kernel, and one neighbour join per metric serve all their models, and one scan scores all of a set of cuts or
-    trees. The samples are written once.
+    per kernel, and one neighbour join per metric serve all their models, and one scan scores all of
+    a set of cuts, trees or neighbour counts. The samples are written once.
     """
     return _scores(durable(sample_df.select("dataset_id", "row_id", "features")), models, seed)
 
@@ -44,10 +44,6 @@ def _scores(rows: DataFrame, models: DataFrame, seed: int) -> DataFrame:
     return out
 
 
-def _tagged(scores: DataFrame, row: Row) -> DataFrame:
-    return scores.withColumn("model_id", F.lit(row.model_id)).select(*_OUT)
-
-
 def _named(scores: DataFrame, of: dict[float, int], setting: str) -> DataFrame:
     """Rows tagged with the model of their setting."""
     ids = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
@@ -101,25 +97,27 @@ def _neighbour_models(rows: DataFrame, wanted: dict[str, list[Row]]) -> list[Dat
             needs[metric] = max(needs.get(metric, 0), int(row.params["n_neighbors"]))
     edges = {m: durable(neighbors.knn_edges(rows, k, m)) for m, k in needs.items()}
     parts = []
-    for family in ("KNN", "LOF", "ABOD", "COF"):
-        for row in wanted.get(family, []):
-            k = int(row.params["n_neighbors"])
-            metric = "manhattan" if row.params.get("metric") == "manhattan" else "euclidean"
-            table = edges[metric]
-            scores = {
-                "KNN": lambda: neighbors.knn_scores(table, k, row.params["method"]),
-                "LOF": lambda: neighbors.lof_scores(table, k),
-                "ABOD": lambda: neighbors.abod_scores(table, rows, k),
-                "COF": lambda: neighbors.cof_scores(table, rows, k),
-            }[family]()
-            parts.append(_tagged(scores, row))
-    return parts
-
-
-def performance_table(sample_df: DataFrame, models: DataFrame, seed: int = 0) -> DataFrame:
+    if "KNN" in wanted:
+        settings = {r.model_id: (int(r.params["n_neighbors"]), r.params["method"]) for r in wanted["KNN"]}
+        parts.append(neighbors.knn_scores_all(edges["euclidean"], settings))
+    for metric, table in edges.items():
+        group = [r for r in wanted.get("LOF", []) if (r.params["metric"] == "manhattan") == (metric == "manhattan")]
+        if group:
+            parts.append(neighbors.lof_scores_all(table, {r.model_id: int(r.params["n_neighbors"]) for r in group}))
+    for family, scores in (("ABOD", neighbors.abod_scores_all), ("COF", neighbors.cof_scores_all)):
+        if family in wanted:
+            settings = {r.model_id: int(r.params["n_neighbors"]) for r in wanted[family]}
+            parts.append(scores(edges["euclidean"], rows, settings))
+    return [part.select(*_OUT) for part in parts]
+
+
+def performance_table(
+    sample_df: DataFrame, models: DataFrame, seed: int = 0, digits: int | None = None
+) -> DataFrame:
     """(dataset_id, model_id, ap): average precision of each model on labelled samples.
 
-    Models are fitted on all rows; rows without a label are left out of the evaluation only.
+    Models are fitted on all rows; rows without a label are left out of the evaluation only. ``digits``
+    rounds the scores first, so that scores which differ by rounding errors tie.
     """
     # labels are often few; measured as small they are broadcast and the scores are not shuffled
     labels = sized(
@@ -130,6 +128,8 @@ def performance_table(sample_df: DataFrame, models: DataFrame, seed: int = 0) ->
     # one evaluation per family keeps each job's plan small
     for row in models.select("family").distinct().orderBy("family").collect():
         scores = _scores(rows, models.where(F.col("family") == row.family), seed)
+        if digits is not None:
+            scores = scores.withColumn("score", F.round("score", digits))
         part = average_precision(scores.join(labels, ["dataset_id", "row_id"])).select(
             "dataset_id", "model_id", "ap"
         )

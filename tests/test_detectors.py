@@ -337,6 +337,29 @@ def test_ocsvm_ranks_like_the_dual_with_landmarks(make_samples, kernel):
     assert abs((ours > 0).mean() - 0.3) < 0.01  # nu is the share of rows outside
 
 
+def test_all_settings_equal_single_ones(make_samples):
+    x = cloud(5, n=70)
+    x[10:14] = x[10]  # copies
+    df = make_samples({"a": x, "tiny": cloud(n=4)})
+    edges = neighbors.knn_edges(df, 9).persist()
+    ks = {1: 3, 2: 5, 3: 9}
+    many = {
+        "lof": neighbors.lof_scores_all(edges, ks), "abod": neighbors.abod_scores_all(edges, df, ks),
+        "cof": neighbors.cof_scores_all(edges, df, ks),
+        "knn": neighbors.knn_scores_all(edges, {m: (k, ("largest", "mean", "median")[m - 1]) for m, k in ks.items()}),
+    }
+    for m, k in ks.items():
+        one = {
+            "lof": neighbors.lof_scores(edges, k), "abod": neighbors.abod_scores(edges, df, k),
+            "cof": neighbors.cof_scores(edges, df, k), "knn": neighbors.knn_scores(edges, k, ("largest", "mean", "median")[m - 1]),
+        }
+        for family, table in many.items():
+            got, want = scores(table.where(f"model_id = {m}")), scores(one[family])
+            assert got.keys() == want.keys()
+            values = [[np.nan if t[i] is None else t[i] for i in want] for t in (got, want)]
+            assert values[0] == pytest.approx(values[1], rel=1e-9, nan_ok=True), (family, k)
+
+
 def test_every_family_runs(make_samples):
     names = (
         "LODA(n_bins=5, n_random_cuts=10)", "ABOD(n_neighbors=5)",

@@ -4,7 +4,7 @@ import __spark_entry__ as contract
 from workload.check import difference, sql_frame
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"rec7_recommend"}
+SLOW = {"rec7_recommend", "rec10_performance_all"}
 
 
 def test_contract(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strayfinder.operators import hbos, iforest, loda, neighbors, ocsvm, pairs, per_feature, spectral
 from strayfinder.operators.evaluate import average_precision
-from strayfinder.plans.detect import performance_table, run_models
+from strayfinder.plans.detect import performance_table
 from strayfinder.session import sized
 from strayfinder.sources.catalog import model_catalog
 from workload import fixtures as x
@@ -375,12 +375,37 @@ labelled AS (
 )
 def rec10_performance_hbos(spark, sf):
     """All 40 histogram models of the catalogue on the labelled documents."""
-    shaped = x.documents(spark, sf)
     models = model_catalog(spark).where("family = 'HBOS'")
-    scores = run_models(shaped, models).withColumn("score", F.round("score", 9))
-    labels = shaped.where("label IS NOT NULL").select("dataset_id", "row_id", "label")
-    joined = scores.join(labels, ["dataset_id", "row_id"])
-    return rounded(average_precision(joined).select("dataset_id", "model_id", "ap"), "ap")
+    return rounded(performance_table(x.documents(spark, sf), models, digits=9), "ap")
+
+
+_NEIGHBOR_AP = f"""{{scores}},
+labelled AS (
+  SELECT dataset_id, model_id, round(score, 9) AS score, label
+  FROM scores JOIN (SELECT dataset_id, row_id, label FROM samples) USING (dataset_id, row_id)
+  WHERE label IS NOT NULL),
+{_AP_SQL.format(keys='dataset_id, model_id', ap=r('sum(tp * cum_tp / cum_c) / nullif(sum(tp), 0)'), extra='')}"""
+
+_GRID = "[1, 5, 10, 15, 20, 25, 50, 60, 70, 80, 90, 100]"
+_KNN_AP = _NEIGHBOR_AP.format(scores=f"""{edges_sql(x.DOCUMENTS, k=100)},
+scores AS (
+  SELECT dataset_id, row_id, CAST(147 + 12 * list_position(['largest', 'mean', 'median'], m) - 12 + i AS INTEGER) AS model_id,
+         CASE m WHEN 'largest' THEN max(dist) WHEN 'mean' THEN avg(dist) ELSE median(dist) END AS score
+  FROM edges, (SELECT unnest({_GRID}) AS k, unnest(range(12)) AS i), (SELECT unnest(['largest', 'mean', 'median']) AS m)
+  WHERE rank <= k GROUP BY dataset_id, row_id, m, i)""")
+
+
+@query("rec10_performance_knn", _KNN_AP)
+def rec10_performance_knn(spark, sf):
+    """All 36 distance models of the catalogue on the labelled documents."""
+    models = model_catalog(spark).where("family = 'KNN'")
+    return rounded(performance_table(x.documents(spark, sf), models, digits=9), "ap")
+
+
+@query("rec10_performance_all")
+def rec10_performance_all(spark, sf):
+    """The whole performance table: all 302 models of the catalogue on the labelled documents."""
+    return performance_table(x.documents(spark, sf), model_catalog(spark))
 
 
 # One setting of every family, by name.
