@@ -529,8 +529,14 @@ def _named(width: int):
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, one with the smallest id; rows without an id or words stay.
 
-    A row whose id others have too is judged by its own text.
+    A row whose id others have too is judged by its own text. Columns are carried whatever their names.
     """
+    names = docs.columns
+    short = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    return _distinct(short, f"c{names.index(id_col)}", f"c{names.index(text_col)}", **options).toDF(*names)
+
+
+def _distinct(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     found = _classes(docs, id_col, text_col, **options)
     repeated = durable(found.where("id is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
     several = not repeated.isEmpty()

@@ -250,3 +250,47 @@ def test_pipeline_reads_written_stages(spark, tmp_path):
     runs = list(folder.glob("stages-*"))
     assert runs and all(sorted(p.name for p in r.iterdir()) == [f"{k}.parquet" for k in range(4)] for r in runs)
     assert sorted(r.doc_id for r in spark.read.parquet(f"{runs[-1]}/3.parquet").collect()) == list(range(30))
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Copies, near copies, leaks and personal data: every stage but the mix changes something."""
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in ("ra", "lo", "mi", "te") for c in ("ner", "sing", "tor")]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [say(24) for _ in range(4)]
+    texts = [say(60) for _ in range(24)]
+    texts += [texts[k] for k in (1, 1, 2)]  # exact copies
+    texts += [texts[k][:30] + ["changed"] + texts[k][31:] for k in (3, 4, 4, 5)]  # 100 * 51 >= 80 * 61
+    texts += [say(15) + items[k] + say(15) for k in (0, 1)] + [items[2][12:] + say(20) + items[2][:12], say(30) + items[3][:8]]
+    texts += [say(20) + [f"mail{k}@corp.example"] + say(20) for k in range(4)]
+    texts += [["too", "short"], [], say(5) * 9]
+    rows = [(k, " ".join(t) or None, "en", "ab"[k % 2], len(" ".join(t)), "x") for k, t in enumerate(texts)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, gone_ string"
+    spark.createDataFrame(rows, schema).withColumn("place_", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def repeats(t):
+        seen = Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4))
+        return len({i + d for i in range(len(t) - 4) if seen[tuple(t[i : i + 5])] > 1 for d in range(5)})
+
+    kept = [k for k, t in enumerate(texts) if len(t) >= 10 and 100 * repeats(t) <= 20 * len(t)]
+    sets = {k: {tuple(texts[k][i : i + 5]) for i in range(len(texts[k]) - 4)} for k in kept}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    single = []
+    for k in kept:  # classes here are stars, so the first of a class links with all of it
+        if not any(linked(k, other) for other in single):
+            single.append(k)
+    clean = [k for k in single if all(2 * longest_first(texts[k], item, dc.SEED)[0] < len(item) for item in items)]
+    masked = {k: re.sub(r"mail[0-9]@corp.example", "[EMAIL]", " ".join(texts[k])) for k in clean}
+    assert len(texts) > len(kept) > len(single) > len(clean) and any("[EMAIL]" in t for t in masked.values())
+
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == clean
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    newest = max(folder.glob("stages-*"), key=lambda p: p.stat().st_mtime)
+    stage = [spark.read.parquet(f"{newest}/{k}.parquet") for k in range(4)]
+    assert [sorted(r.doc_id for r in s.collect()) for s in stage] == [kept, single, clean, clean]
+    assert all(set(s.columns) == {"doc_id", "text", "lang", "source", "n_chars", "gone_", "place_"} for s in stage)
+    assert {r.doc_id: r.text for r in stage[3].collect()} == masked
+    words_of = {k: len(t.split()) for k, t in masked.items()}
+    assert all(r["size"] == words_of[r.doc_id] and 0 <= r.taken <= 3 * r["size"] for r in out.collect())
