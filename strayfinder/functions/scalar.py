@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def clean(c: Column) -> Column:
@@ -119,9 +119,16 @@ def normality_p(n: Column, skew: Column, kurt: Column) -> Column:
 SUMMARY_PARTS = ("min", "max", "mean", "std", "skewness", "kurtosis")
 
 
-def shape_input(c: Column) -> Column:
-    """Values small enough to underflow in third powers count as 0, which keeps ANSI mode quiet."""
-    return F.when(F.abs(c) < 1e-50, 0.0).otherwise(c)
+# Doublings between neighbouring scales of ``summaries``: fourth powers of values on one scale stay finite.
+_SPAN = 64
+# Scale of zeros, below that of every other number.
+_NOTHING = -100
+
+
+def _doubled(c: Column, steps: Column) -> Column:
+    """``c`` times 2 to the ``steps`` spans, in halves that neither overflow nor vanish on the way."""
+    half = F.pow(F.lit(2.0), steps * (_SPAN // 2))
+    return c * half * half
 
 
 def summaries(
@@ -133,28 +140,61 @@ def summaries(
     """Six-number summaries of columns per dataset, long: (dataset_id, name, value).
 
     ``df`` has one row per feature, pair, bin or tree. NULLs are ignored, moments are population
-    moments, and a name is block_part. Shape statistics are taken on values scaled by the largest
-    of their block, so high moments of large numbers do not overflow. All blocks share six
-    aggregates, which keeps the generated code small.
+    moments, and a name is block_part. Values of like size share a scale, on which central moments
+    neither overflow nor vanish; they are summed per scale on the map side, so a dataset of any
+    width is spread over all tasks, and the few scales of a block merge by the rule for central
+    moments of a union (Pebay 2008).
     """
     entries = [F.struct(F.lit(b).alias("block"), F.col(b).cast("double").alias("v")) for b in blocks]
     values = df.select(key, F.inline(F.array(*entries))).withColumn("v", clean(F.col("v")))
-    largest = F.max(F.abs("v")).over(Window.partitionBy(key, "block"))
-    scaled = values.withColumn(
-        "_s", shape_input(F.coalesce(F.try_divide(F.col("v"), largest), F.col("v")))
+    most = F.lit(1024.0 / _SPAN)  # infinite values stand with the largest
+    scale = F.when(F.abs("v") > 0, F.floor(F.least(F.log2(F.abs("v")) / _SPAN, most))).otherwise(_NOTHING).cast("int")
+    scaled = values.withColumn("_at", scale).withColumn(
+        "_s", F.when(F.col("v") == 0, 0.0).otherwise(_doubled(F.col("v"), -F.col("_at")))
+    )
+    each = scaled.groupBy(key, "block", "_at").agg(
+        F.count("v").cast("double").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.coalesce(F.avg("_s"), F.lit(0.0)).alias("m1"), F.coalesce(F.var_pop("_s"), F.lit(0.0)).alias("var"), F.skewness("_s").alias("skew"), F.kurtosis("_s").alias("kurt"),
     )
-    flat = is_flat(F.stddev_pop("v"), F.avg("v"))
-    of = {
-        "min": F.min("v"),
-        "max": F.max("v"),
-        "mean": F.avg("v"),
-        "std": F.stddev_pop("v"),
-        "skewness": F.when(~flat, F.skewness("_s")),
-        "kurtosis": F.when(~flat, F.kurtosis("_s")),
-    }
-    wide = scaled.groupBy(key, "block").agg(*[of[p].alias(p) for p in parts])
+    varies = F.col("var") > 0
+    held = F.struct(
+        F.col("_at").alias("at"), F.col("n").alias("n"), F.col("m1").alias("m1"), (F.col("var") * F.col("n")).alias("m2"),
+        F.when(varies, F.col("skew") * F.col("n") * F.col("var") * F.sqrt("var")).otherwise(0.0).alias("m3"),
+        F.when(varies, (F.col("kurt") + 3) * F.col("n") * F.col("var") * F.col("var")).otherwise(0.0).alias("m4"),
+    )
+    merged = each.groupBy(key, "block").agg(
+        F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n").alias("_n"), F.max("_at").alias("_top"),
+        F.collect_list(held).alias("_b"),  # one entry per scale, about 35 at most
+    )
+
+    def total(of) -> Column:
+        return F.aggregate(F.transform("_b", of), F.lit(0.0), lambda a, x: a + x)
+
+    def share(b: Column, power: int) -> Column:
+        return F.pow(F.lit(2.0), (b["at"] - F.col("_top")) * (_SPAN * power))
+
+    def moved(b: Column) -> Column:
+        return b["m1"] * share(b, 1) - F.col("_m1")
+
+    merged = merged.withColumn("_m1", F.try_divide(total(lambda b: b["n"] * b["m1"] * share(b, 1)), F.col("_n")))
+    merged = merged.withColumns({
+        "_m2": total(lambda b: b["m2"] * share(b, 2) + b["n"] * moved(b) * moved(b)),
+        "_m3": total(lambda b: b["m3"] * share(b, 3) + 3 * moved(b) * b["m2"] * share(b, 2) + b["n"] * F.pow(moved(b), 3)),
+        "_m4": total(
+            lambda b: b["m4"] * share(b, 4) + 4 * moved(b) * b["m3"] * share(b, 3)
+            + 6 * moved(b) * moved(b) * b["m2"] * share(b, 2) + b["n"] * F.pow(moved(b), 4)
+        ),
+    })
+    variance = F.try_divide(F.col("_m2"), F.col("_n"))
+    top = F.when(F.col("_top") == _NOTHING, 0).otherwise(F.col("_top"))
+    merged = merged.withColumns({"mean": _doubled(F.col("_m1"), top), "std": _doubled(F.sqrt(variance), top)})
+    flat = is_flat(F.col("std"), F.col("mean"))
+    merged = merged.withColumns({
+        "skewness": F.when(~flat, F.try_divide(F.try_divide(F.col("_m3"), F.col("_n")), variance * F.sqrt(variance))),
+        "kurtosis": F.when(~flat, F.try_divide(F.try_divide(F.col("_m4"), F.col("_n")), variance * variance) - 3),
+    })
     out = [
         F.struct(F.concat("block", F.lit(f"_{p}")).alias("name"), F.col(p).alias("value"))
         for p in parts
     ]
-    return wide.select(key, F.inline(F.array(*out)))
+    return merged.select(key, F.inline(F.array(*out)))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from strayfinder.functions.scalar import SUMMARY_PARTS, summaries
 from strayfinder.functions.special import f_tail
 from strayfinder.operators import pairs, per_feature, pooled
 from strayfinder.plans.profile import META_NAMES, profile, statistics
@@ -204,3 +205,31 @@ def test_validation(spark, make_samples):
             validate(df)
         with pytest.raises(ValueError):
             per_feature.validate_base(sized(per_feature.feature_base(df)))
+
+
+def test_summaries_merge_scales(spark):
+    """Moments of values from 1e-200 to 1e300, merged from several scales, without a window."""
+    rng = np.random.default_rng(0)
+    sets = {
+        "plain": rng.normal(size=500).tolist(), "wide": (10.0 ** rng.uniform(-200, 200, 60)).tolist(),
+        "mixed": [0.0, 0.0, 1.0, 1e30, -2e30, 5.0, None], "huge": [1e300, 2e300, -1.5e300, 1.7e300],
+        "zero": [0.0] * 4, "one": [3.0], "same": [2.5] * 5, "none": [None, None],
+    }
+    rows = [(name, v) for name, values in sets.items() for v in values]
+    out = summaries(spark.createDataFrame(rows, "dataset_id string, b double").repartition(5), ["b"])
+    assert "Window" not in out._jdf.queryExecution().toString()
+    got = {(r.dataset_id, r.name): r.value for r in out.collect()}
+    assert len(got) == 6 * len(sets)
+    for name, values in sets.items():
+        x = np.array([v for v in values if v is not None], dtype=np.longdouble)
+        parts = [got[name, f"b_{p}"] for p in SUMMARY_PARTS]
+        if not len(x):
+            assert parts == [None] * 6
+            continue
+        d = x - x.mean()
+        v = (d * d).mean()
+        assert parts[:4] == pytest.approx([float(x.min()), float(x.max()), float(x.mean()), float(np.sqrt(v))], rel=1e-12)
+        if v == 0:
+            assert parts[4:] == [None, None]
+        else:
+            assert parts[4:] == pytest.approx([float((d**3).mean() / v**1.5), float((d**4).mean() / v**2 - 3)], rel=1e-9)
