@@ -57,6 +57,15 @@ def calibrate(scored: DataFrame, raw: str, label: str, low: float, high: float)
     return Calibration(low, high, knots, values)
 
 
+def thresholds(raw: np.ndarray, labels: np.ndarray, low: float, high: float) -> Calibration:
+    """As ``calibrate``, from the values of a bounded set of rows."""
+    if not len(raw):
+        return Calibration(low, high, np.array([low, high]), np.array([0.5, 0.5]))
+    x, place = np.unique(np.clip(raw, low, high), return_inverse=True)
+    good, n = np.bincount(place, weights=labels), np.bincount(place).astype(float)
+    return Calibration(low, high, *isotonic(x, good, n))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text; folds are remainders."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))

@@ -2,24 +2,31 @@
 
 Ordinary windows train the first dictionary. Toxic text is mostly ordinary too, so the second one holds
 the same content and, before it, a dictionary trained on the runs of words that toxic texts use, or
-whose beginning they use, in many more contexts than ordinary ones do. Contexts are distinct (word, next word) pairs; copies of one text
-therefore count once. Every text is cut into windows; a window is the more toxic the shorter the second
-dictionary makes it. Bytes saved beyond ``CLEAR`` count twice, and ``PRIOR`` windows without a gain are
-added to every text, so that a short one needs more than a chance match. Calibrated thresholds
-(isotonic) turn the mean gain into a probability.
+whose beginning they use, in many more contexts than ordinary ones do: toxic text with all other words
+weighted zero. Contexts are distinct (word, next word) pairs; copies of one text therefore count once.
+
+Every text is cut into windows; a window is the more toxic the shorter the second dictionary makes it.
+Bytes saved beyond ``clear`` count twice. Two numbers judge a text: the mean gain of its windows, with
+``prior`` windows without a gain added, so that a short text needs more than a chance match; and its
+strongest run of neighbouring windows, each less ``drift``, over the logarithm of their number, so that
+one toxic passage in a long text is found. Calibrated thresholds (isotonic) turn each into a
+probability, and the larger one into the score. ``clear``, ``prior`` and ``drift`` are those of
+``WHOLE`` and ``RUNS`` that order best the training rows that no dictionary learned from.
 
 Bounds, all parameters: dictionaries and thresholds are learned from at most about ``fit_rows``
-labelled rows chosen by a hash of the id, ``max_words`` marked words and ``sample_bytes`` of samples.
-All windows of every text are scored.
+labelled rows chosen by a hash of the id, whole texts; ``max_words`` marked words; windows of
+``sample_window`` characters, in hash order up to ``sample_bytes``, train a dictionary. All windows of
+every text are scored. Letters A-Z are lower-cased, in training as in scoring.
 
-Defined results: null and empty texts have no window and a gain of 0; repeated rows get equal scores;
+Defined results: null and empty texts have no window and gains of 0; repeated rows get equal scores;
 an empty table gives an empty result; without toxic examples both dictionaries are the same and every
-gain is 0; other columns are not read.
+gain is 0; other columns are not read; ids are whole numbers.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +34,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strayfinder.llm import text as tx
-from strayfinder.llm.calibration import Calibration, calibrate, training
+from strayfinder.llm.calibration import Calibration, thresholds, training
 
 FIT_ROWS = 12_000
 WINDOW = 64
@@ -40,8 +47,10 @@ SAMPLE_BYTES = 4 << 20
 SAMPLE_WINDOW = 256
 RUN = 8
 CONTEXTS, TEXTS, LIFT = 5, 3, 8.0
-CLEAR, PRIOR = 2, 5
-LOW, HIGH = -4.0, 16.0
+#: (clear, prior) of the mean gain and (clear, drift) of the strongest run, to choose from
+WHOLE = ((2, 2), (2, 5), (2, 10), (4, 2), (4, 5), (4, 10))
+RUNS = ((2, 0.5), (2, 1.0), (2, 1.5), (4, 0.5), (4, 1.0), (4, 1.5))
+WHOLE_RANGE, RUN_RANGE = (-4.0, 16.0), (0.0, 64.0)
 BREAK = r"[ \t\n\x0B\f\r]+"
 
 
@@ -58,8 +67,12 @@ def windows(data: bytes, width: int = WINDOW) -> list[bytes]:
     return out
 
 
+def _lower(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
+    return F.filter(F.split(_lower(text), BREAK), lambda w: w != "")
 
 
 def _terms(word: Column) -> Column:
@@ -129,14 +142,13 @@ class Dictionaries:
         return build(self.ordinary), build(self.toxic)
 
 
-def train(taught: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_words: int = MAX_WORDS) -> Dictionaries:
+def train(
+    taught: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_words: int = MAX_WORDS, sample_window: int = SAMPLE_WINDOW
+) -> Dictionaries:
     """Both dictionaries from (id, label, text) rows."""
     marked = marked_terms(taught, max_words)
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    begin = F.pmod(F.xxhash64("id"), F.greatest(F.length(text) - SAMPLE_WINDOW, F.lit(0)) + 1) + 1
-    ordinary = taught.where((F.col("label") == 0) & (F.length(text) > 0)).select(
-        F.substring(text, begin.cast("int"), F.lit(SAMPLE_WINDOW)).alias("s")
-    )
+    pieces = F.regexp_extract_all(_lower(F.col("text")), F.lit(f"(?s).{{1,{sample_window}}}"), F.lit(0))
+    ordinary = taught.where("label = 0").select(F.explode(pieces).alias("s"))
     base = _train(ORDINARY_BYTES, _samples(ordinary, "s", sample_bytes))
     if not marked:
         return Dictionaries(base, base)
@@ -152,42 +164,99 @@ def train(taught: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_words: int =
     return Dictionaries(base, _train(TOXIC_BYTES, _samples(runs, "s", sample_bytes)) + base)
 
 
-def gains(docs: DataFrame, dictionaries: Dictionaries, thresholds: Calibration | None = None) -> DataFrame:
-    """(id, gain, windows, score): weighted mean of the bytes that the toxic dictionary saves on a window."""
+def whole_gain(saved: np.ndarray, clear: float, prior: float) -> float:
+    """Mean of the windows' gains, bytes beyond ``clear`` twice, with ``prior`` windows without a gain."""
+    return float((saved + np.maximum(saved - clear, 0)).sum() / (len(saved) + prior))
+
+
+def run_gain(saved: np.ndarray, clear: float, drift: float) -> float:
+    """Largest sum of neighbouring windows' gains, each less ``drift``, over the log of the windows."""
+    total = np.concatenate(([0.0], np.cumsum(saved + np.maximum(saved - clear, 0) - drift)))
+    return float((total - np.minimum.accumulate(total)).max() / np.log(len(saved) + 5))
+
+
+def gains(
+    docs: DataFrame, dictionaries: Dictionaries, whole: tuple = WHOLE, runs: tuple = RUNS
+) -> DataFrame:
+    """(id, windows, whole, run) of (id, text): the mean gain and the strongest run under each setting."""
 
     def measure(batches):
         ordinary, toxic = dictionaries.compressors()
         for batch in batches:
             for part in tx.slices(batch, "text"):
-                gain, count = [], []
+                means, best, count = [], [], []
                 for text in part.column("text").to_pylist():
                     pieces = windows((text or "").encode().lower())
-                    saved = [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in pieces]
-                    gain.append((sum(saved) + sum(n - CLEAR for n in saved if n > CLEAR)) / (len(pieces) + PRIOR))
+                    saved = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in pieces], dtype=float)
+                    means.append([whole_gain(saved, *s) for s in whole])
+                    best.append([run_gain(saved, *s) for s in runs])
                     count.append(len(pieces))
-                gain = np.array(gain, dtype=float)
-                score = thresholds(gain) if thresholds else gain
+                kind = pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(gain), pa.array(count, pa.int64()), pa.array(score)],
-                    names=["id", "gain", "windows", "score"],
+                    [part.column("id"), pa.array(count, pa.int64()), pa.array(means, kind), pa.array(best, kind)],
+                    names=["id", "windows", "whole", "run"],
                 )
 
-    return docs.select("id", "text").mapInArrow(measure, "id long, gain double, windows long, score double")
+    return docs.select("id", "text").mapInArrow(measure, "id long, windows long, whole array<double>, run array<double>")
+
+
+def ordering(values: np.ndarray, labels: np.ndarray) -> float:
+    """Share of (toxic, ordinary) pairs that ``values`` order rightly, ties half."""
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    toxic = int(labels.sum())
+    pairs = toxic * (len(labels) - toxic)
+    return float((rank[labels == 1].sum() - toxic * (toxic + 1) / 2) / pairs) if pairs else 0.5
+
+
+@dataclass
+class Judge:
+    """The settings chosen and the thresholds of both numbers and of the larger probability."""
+
+    whole: tuple[float, float]
+    run: tuple[float, float]
+    thresholds: tuple[Calibration, Calibration, Calibration]
+
+    def __call__(self, whole: np.ndarray, run: np.ndarray) -> np.ndarray:
+        of_whole, of_run, of_both = self.thresholds
+        return of_both(np.maximum(of_whole(whole), of_run(run)))
+
+
+def judge(measured: DataFrame) -> Judge:
+    """Settings and thresholds from (label, whole, run) rows, those of the bounded calibration set."""
+    rows = measured.select("label", "whole", "run").toPandas()
+    labels = rows["label"].to_numpy(dtype=int)
+    chosen = []
+    for column, settings in (("whole", WHOLE), ("run", RUNS)):
+        table = np.array(rows[column].tolist(), dtype=float).reshape(len(rows), len(settings))
+        best = max(range(len(settings)), key=lambda k: (ordering(table[:, k], labels), -k))
+        chosen.append((settings[best], table[:, best]))
+    (whole, a), (run, b) = chosen
+    of_whole, of_run = thresholds(a, labels, *WHOLE_RANGE), thresholds(b, labels, *RUN_RANGE)
+    both = thresholds(np.maximum(of_whole(a), of_run(b)), labels, 0.0, 1.0)
+    return Judge(whole, run, (of_whole, of_run, both))
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
     fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
-    """(id, gain, windows, score) of every document."""
+    """(id, gain, run, windows, score) of every document."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     # at most about fit_rows ids, so the small side is bounded by a parameter
     chosen = F.broadcast(training(labels, id_col, label_col, fit_rows))
     taught = rows.join(chosen, "id").persist()
     dictionaries = train(taught.where(~F.col("calibrates")))
     kept = taught.where("calibrates")
-    thresholds = calibrate(
-        gains(kept, dictionaries).join(kept.select("id", "label").distinct(), "id"), "gain", "label", LOW, HIGH
-    )
+    verdict = judge(gains(kept, dictionaries).join(kept.select("id", "label").distinct(), "id"))
     taught.unpersist()
-    return gains(rows, dictionaries, thresholds)
+
+    def score(batches):
+        for batch in batches:
+            whole, run = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gain", "run"))
+            yield batch.append_column("score", pa.array(verdict(whole, run)))
+
+    measured = gains(rows, dictionaries, (verdict.whole,), (verdict.run,)).select(
+        "id", F.col("whole")[0].alias("gain"), F.col("run")[0].alias("run"), "windows"
+    )
+    return measured.mapInArrow(score, "id long, gain double, run double, windows long, score double")

@@ -89,6 +89,48 @@ def test_toxicity(spark):
     assert {t for t in terms if not t.endswith("*")} == {"vileword", "nastything", "grimslur"}
 
 
+def test_gains_from_the_definition(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abdeg") for _ in range(rng.randrange(2, 8)))
+    texts = [None, "", "x", "Grimslur AÉ " * 9] + [" ".join(word() for _ in range(rng.randrange(1, 400))) for _ in range(40)]
+    texts += [t.replace("ab", "grimslur") for t in texts[4:20]]
+    dictionaries = tox.Dictionaries(b"abe gad bade deg " * 9, b" grimslur " + b"abe gad bade deg " * 9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r for r in tox.gains(docs, dictionaries).collect()}
+    ordinary, toxic = dictionaries.compressors()
+    for k, text in enumerate(texts):
+        pieces = tox.windows((text or "").encode().lower())
+        saved = [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in pieces]
+        assert got[k].windows == len(saved)
+        for (clear, prior), value in zip(tox.WHOLE, got[k].whole):
+            weighted = [n + max(n - clear, 0) for n in saved]
+            assert value == pytest.approx(sum(weighted) / (len(saved) + prior))
+        for (clear, drift), value in zip(tox.RUNS, got[k].run):
+            weighted = [n + max(n - clear, 0) - drift for n in saved]
+            sums = [sum(weighted[i:j]) for i in range(len(saved)) for j in range(i, len(saved) + 1)]
+            assert value == pytest.approx(max(sums, default=0) / np.log(len(saved) + 5))
+
+
+def test_settings_are_those_that_order_best():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        values, labels = rng.integers(0, 6, 30).astype(float), rng.integers(0, 2, 30)
+        pairs = [(a > b) + (a == b) / 2 for a in values[labels == 1] for b in values[labels == 0]]
+        assert tox.ordering(values, labels) == pytest.approx(np.mean(pairs) if pairs else 0.5)
+
+
+def test_one_toxic_passage_in_a_long_text(spark):
+    rows, labels = toxic_corpus()
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abdeghilnorstu") for _ in range(rng.randrange(2, 8)))
+    clean = [word() for _ in range(8000)]
+    passage = [w for _ in range(12) for w in (rng.choice(["vileword", "nastything", "GRIMSLUR"]), word())]
+    rows += [(950, " ".join(clean), "", ""), (951, " ".join(clean[:4000] + passage + clean[4000:]), "", "")]
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
+    scores = {r.id: r.score for r in tox.classify(docs, marks).collect()}
+    assert scores[950] < 0.5 <= scores[951]
+
+
 def test_windows_cover_the_text():
     rng = random.Random(0)
     for _ in range(200):
