@@ -17,12 +17,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strayfinder.operators.evaluate import mean_ndcg
 from strayfinder.operators.iforest import uniform_hash
 from strayfinder.operators.pairs import matrix
+from strayfinder.plans.history import should_stop
 from strayfinder.session import durable
 
 EMBEDDING_SCHEMA = "component int, weights array<double>, center double, scale double"
 FACTOR_SCHEMA = "model_id int, v array<double>"
+HISTORY_SCHEMA = "iteration int, rate double, train_ndcg double, valid_ndcg double"
 # Pair matrices of models held by one task at a time, in doubles.
 _PAIR_CELLS = 4_000_000
+# Datasets of one partition that forests are fitted on.
+FOREST_ROWS = 10_000
 
 
 # ------------------------------------------------------------------------------ dataset factors
@@ -256,12 +260,17 @@ def fit_forests(
     ``bins`` bounds the split candidates of a feature; by default there is one per training dataset,
     which makes splits exact at every size.
     """
+    parts = 1 + targets.count() // FOREST_ROWS
     table = (
         inputs.join(targets, "dataset_id")
         .select(
+            "dataset_id",
             array_to_vector("x").alias("x"),
             *[F.element_at("u", k + 1).alias(f"u{k}") for k in range(factors)],
         )
+        # bootstraps draw by partition and place, which must not depend on how the tables were read
+        .repartition(parts, "dataset_id")
+        .sortWithinPartitions("dataset_id")
         .cache()
     )
     if bins is None:
@@ -312,15 +321,49 @@ class TrainedModel:
         return score_models(predict_forests(inputs, self.forests), self.model_factors)
 
 
-def should_stop(scores: list[float], threshold: float = 0.001, patience: int = 5) -> bool:
-    """True after ``patience`` successive relative gains of at most ``threshold``.
+class Progress:
+    """Written state of a training run: factors after each iteration and one history row for each.
 
-    The first score always counts as an improvement.
+    An iteration counts once its history row is there, which is written last; one that was cut off
+    is done again and overwritten. Without a folder the rows are only kept for the session.
     """
-    stalled = 1
-    for before, now in zip(scores, scores[1:]):
-        stalled = stalled + 1 if before <= 0 or (now - before) / before <= threshold else 1
-    return stalled > patience
+
+    def __init__(self, spark: SparkSession, folder: str | None, run: str) -> None:
+        self.spark, self.run = spark, run
+        self.folder = None if folder is None else f"{folder}/{run}"
+        self.rows: list[dict] = []
+        if self.folder is not None:
+            # the folder itself is not there before the first write
+            spark.createDataFrame([(run,)], "run string").write.mode("overwrite").parquet(f"{self.folder}/history/iteration=0")
+            written = spark.read.schema(HISTORY_SCHEMA).parquet(f"{self.folder}/history").where("valid_ndcg IS NOT NULL")
+            self.rows = [r.asDict() for r in written.orderBy("iteration").collect()]
+
+    def kept(self, name: str, table: DataFrame) -> DataFrame:
+        """``table`` as it was when the run began."""
+        if self.folder is None:
+            return table
+        if not self.rows:
+            table.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(table.schema).parquet(f"{self.folder}/{name}")
+
+    def factors(self) -> tuple[DataFrame, DataFrame]:
+        """Dataset and model factors after the last iteration of a resumed run."""
+        last = f"{self.folder}/factors/{self.rows[-1]['iteration']}"
+        return self.spark.read.parquet(f"{last}/datasets"), self.spark.read.parquet(f"{last}/models")
+
+    def add(self, row: dict, datasets: DataFrame, models: DataFrame) -> None:
+        if self.folder is not None:
+            here = f"{self.folder}/factors/{row['iteration']}"
+            datasets.write.mode("overwrite").parquet(f"{here}/datasets")
+            models.write.mode("overwrite").parquet(f"{here}/models")
+            one = self.spark.createDataFrame([row], HISTORY_SCHEMA).drop("iteration")
+            one.write.mode("overwrite").parquet(f"{self.folder}/history/iteration={row['iteration']}")
+        self.rows.append(row)
+
+    def history(self, extra: list[dict] = ()) -> DataFrame:
+        """(run, iteration, rate, train_ndcg, valid_ndcg)."""
+        rows = self.spark.createDataFrame([*self.rows, *extra], HISTORY_SCHEMA)
+        return rows.withColumn("run", F.lit(self.run))
 
 
 def train(
@@ -339,6 +382,7 @@ def train(
     seed: int = 0,
     model_scale: float = 1.0,
     bins: int | None = None,
+    folder: str | None = None,
 ) -> TrainedModel:
     """Fit factors by mini-batch steps; every step and every evaluation is a Spark job.
 
@@ -346,45 +390,56 @@ def train(
     its size.
 
     Dataset factors live in a DataFrame that is checkpointed after each step; only the model
-    factors (models x factors numbers) are on the driver.
+    factors (models x factors numbers) are on the driver. Training ends where ``stopping_history``
+    says so.
+
+    With a shared ``folder`` the state after each iteration is written there, and a run that was cut
+    off goes on after its last whole iteration; more ``iterations`` prolong a finished one. A folder
+    belongs to one set of training tables; other settings get their own part of it.
     """
     spark = vectors.sparkSession
     # every step below reads these small tables again; they have a row per dataset (and model)
     vectors, performance = durable(vectors), durable(performance)
     valid_performance = durable(valid_performance)
-    embedding = fit_embedding(vectors, factors)
+    settings = (factors, trees, depth, min_rate, max_rate, n_steps, batch_fraction, seed, model_scale, bins)
+    progress = Progress(spark, folder, "run-" + "-".join(str(x) for x in settings))
+    embedding = progress.kept("embedding", fit_embedding(vectors, factors))
     inputs = durable(embed(vectors, embedding, "x"))
     valid_inputs = durable(embed(valid_vectors, embedding, "x"))
     ids = sorted(r.model_id for r in performance.select("model_id").distinct().collect())
     place = {model: k for k, model in enumerate(ids)}
     ratings = durable(rating_vectors(performance, ids))
-    v = factor_matrix(initial_model_factors(spark, len(ids), factors, seed))
-    u = inputs.withColumnRenamed("x", "u")
+    if progress.rows:
+        u, models = progress.factors()
+    else:
+        u, models = inputs.withColumnRenamed("x", "u"), initial_model_factors(spark, len(ids), factors, seed)
+    v = factor_matrix(models)
     batches = max(1, round(1 / batch_fraction))
-    history, valid_scores = [], []
-    for i, rate in enumerate(cyclic_rates(iterations, min_rate, max_rate, n_steps)):
+    rates = cyclic_rates(iterations, min_rate, max_rate, n_steps)
+    rule = {"min_rate": min_rate, "max_rate": max_rate, "n_steps": n_steps}
+    stopped = bool(progress.rows) and should_stop(progress.history(), **rule)
+    for i in range(len(progress.rows), iterations):
+        if stopped:
+            break
         table = factor_table(spark, v, ids)
         forests = fit_forests(inputs, u, factors, trees, depth, seed, bins=bins)
         train_ndcg = _quality(score_models(u, table), performance)
         valid_ndcg = _quality(
             score_models(predict_forests(valid_inputs, forests), table), valid_performance
         )
-        valid_scores.append(valid_ndcg)
-        history.append(
-            {"iteration": i + 1, "rate": rate, "train_ndcg": train_ndcg, "valid_ndcg": valid_ndcg}
-        )
-        if should_stop(valid_scores):
-            break
-        for b in range(batches):
+        row = {"iteration": i + 1, "rate": rates[i], "train_ndcg": train_ndcg, "valid_ndcg": valid_ndcg}
+        stopped = should_stop(progress.history([row]), **rule)
+        for b in range(0 if stopped else batches):
             chosen = F.floor(uniform_hash(F.lit(seed), F.lit(i), "dataset_id") * batches) == b
-            step = durable(gradient_step(u.where(chosen), ratings, v, rate, ids))
+            step = durable(gradient_step(u.where(chosen), ratings, v, rates[i], ids))
             moved = step.where("dataset_id IS NOT NULL").select("dataset_id", F.col("vec").alias("u"))
             for r in summed_gradient(step).collect():  # models x factors numbers
-                v[place[r.model_id], r.k] += rate * model_scale * r.grad
+                v[place[r.model_id], r.k] += rates[i] * model_scale * r.grad
             u = durable(u.where(~chosen).unionByName(moved))
+        progress.add(row, u, factor_table(spark, v, ids))
     # the factors moved after the last forest was fitted
     forests = fit_forests(inputs, u, factors, trees, depth, seed, bins=bins)
-    return TrainedModel(embedding, forests, factor_table(spark, v, ids), u, history)
+    return TrainedModel(embedding, forests, factor_table(spark, v, ids), u, progress.rows)
 
 
 def _quality(scores: DataFrame, performance: DataFrame) -> float:

@@ -44,3 +44,9 @@ def stopping_history(
         cyclic_rate(F.col("iteration"), min_rate, max_rate, n_steps).alias("rate"),
         F.coalesce(F.col("iteration") <= stop, F.lit(True)).alias("trained"),
     )
+
+
+def should_stop(history: DataFrame, min_rate: float, max_rate: float, n_steps: int, **rule) -> bool:
+    """Whether ``stopping_history`` ends a run with one of the rows written so far."""
+    ends = stopping_history(history, min_rate, max_rate, n_steps, **rule)
+    return bool(ends.agg(F.max(F.col("stalled") > rule.get("patience", 5))).first()[0])

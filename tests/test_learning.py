@@ -6,6 +6,7 @@ from strayfinder.operators import transform
 from strayfinder.operators.evaluate import average_precision, mean_ndcg, ndcg
 from strayfinder.operators.ranking import best_item, nth_model, top_models
 from strayfinder.plans import factorize
+from strayfinder.plans.history import should_stop, stopping_history
 from strayfinder.plans.profile import META_WIDTH
 from strayfinder.plans.recommend import (
     fit_recommender,
@@ -120,14 +121,19 @@ def test_gradient_against_finite_differences(spark):
     assert factorize.summed_gradient(step).count() == v.size
 
 
-def test_rates_and_stopping():
+def test_rates_and_stopping(spark):
     rates = factorize.cyclic_rates(18, 0.1, 0.9, 8)
     assert rates[:2] == pytest.approx([0.1, 0.1 + 0.8 / 7])
     assert rates[7:9] == [0.9, 0.9] and rates[15:17] == [0.1, 0.1]
-    assert not factorize.should_stop([0.5])
-    assert not factorize.should_stop([0.5, 0.5, 0.5, 0.5, 0.5])
-    assert factorize.should_stop([0.5] * 6)
-    assert not factorize.should_stop([0.5] * 4 + [0.6] + [0.6] * 4)
+
+    def stops(scores):
+        rows = [("r", i + 1, x) for i, x in enumerate(scores)]
+        return should_stop(spark.createDataFrame(rows, "run string, iteration int, valid_ndcg double"), 0.1, 0.9, 8)
+
+    assert not stops([0.5])
+    assert not stops([0.5, 0.5, 0.5, 0.5, 0.5])
+    assert stops([0.5] * 6)
+    assert not stops([0.5] * 4 + [0.6] + [0.6] * 4)
 
 
 def toy(spark, n=40, m=6, width=META_WIDTH, seed=0):
@@ -155,6 +161,42 @@ def fitted(spark):
     return meta, ap, recommender
 
 
+def test_training_goes_on_where_it_was_cut_off(spark, tmp_path, monkeypatch):
+    from strayfinder.plans.profile import meta_vectors
+
+    meta, ap = toy(spark, n=30, m=5, width=8)
+    vectors = meta_vectors(meta)
+    early = F.col("dataset_id") < "d020"
+    tables = vectors.where(early), ap.where(early), vectors.where(~early), ap.where(~early)
+    options = {"factors": 2, "trees": 2, "depth": 2, "min_rate": 0.1, "max_rate": 0.9, "n_steps": 8, "batch_fraction": 0.5}
+    whole = factorize.train(*tables, iterations=4, **options)
+    folder, calls, real = str(tmp_path / "run"), [], factorize.summed_gradient
+
+    def lost(step):
+        calls.append(1)
+        if len(calls) == 6:  # the second batch of the third iteration
+            raise RuntimeError("driver lost")
+        return real(step)
+
+    monkeypatch.setattr(factorize, "summed_gradient", lost)
+    with pytest.raises(RuntimeError):
+        factorize.train(*tables, iterations=4, folder=folder, **options)
+    resumed = factorize.train(*tables, iterations=4, folder=folder, **options)
+    assert len(calls) == 6 + 4  # two iterations of two batches were left
+    assert [r["iteration"] for r in resumed.history] == [1, 2, 3, 4]
+    for a, b in zip(whole.history, resumed.history):
+        assert a == pytest.approx(b, rel=1e-6)
+    for a, b in zip(*(m.model_factors.orderBy("model_id").collect() for m in (whole, resumed))):
+        assert a.v == pytest.approx(b.v, rel=1e-6)
+    again = factorize.train(*tables, iterations=4, folder=folder, **options)
+    assert len(calls) == 10 and again.history == resumed.history
+    longer = factorize.train(*tables, iterations=5, folder=folder, **options)
+    assert len(calls) == 12 and longer.history[:4] == resumed.history
+    rows = [("r", r["iteration"], r["valid_ndcg"]) for r in longer.history]
+    checked = stopping_history(spark.createDataFrame(rows, "run string, iteration int, valid_ndcg double"), 0.1, 0.9, 8)
+    assert [r.rate for r in checked.orderBy("iteration").collect()] == pytest.approx([r["rate"] for r in longer.history])
+
+
 def test_training_beats_random_factors(spark, fitted):
     meta, ap, recommender = fitted
     truth = ap.withColumnRenamed("ap", "truth")
