@@ -6,7 +6,7 @@ fewer words the whole sequence is one. Documents link when intersection / union
 1. ``shared``: shingles meet in parts of the hash space, and each set learns how many of its shingles
    occur in another set. A set with fewer than THRESHOLD percent cannot link and goes no further.
    Shingles travel as packed arrays, once per slice of rows, so a shingle that a third of all documents
-   holds is as many records as there are slices.
+   holds is as many items as there are slices; beyond 1,024 parts in two steps (``packed``).
 2. Equal sets collapse to the smallest id, and those left learn the same of each other. The prefixes, rare
    shingles first, that similar sets must share give candidate clusters (through the smallest id of a
    prefix shingle and size class, so a hot shingle is a star and never a list of pairs).
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from strayfinder.llm import text as tx
+from strayfinder.llm import packed as pk, text as tx
 from strayfinder.llm.graph import components, groups, small
 from strayfinder.session import durable
 
@@ -77,12 +77,18 @@ def _short_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part.slice(low, SLICE_ROWS)
 
 
-PACKED = "part long, slice long, ids binary, sizes binary, high binary, low binary, counts binary, who binary, shingles binary"
-_PACKED = pa.schema([("part", pa.int64()), ("slice", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "high", "low", "counts", "who", "shingles"))])
+PACKED = "part long, slice long, slices binary, ids binary, sizes binary, high binary, low binary, counts binary, who binary, shingles binary"
+_PACKED = pa.schema([("part", pa.int64()), ("slice", pa.int64()), *((c, pa.binary()) for c in ("slices", "ids", "sizes", "high", "low", "counts", "who", "shingles"))])
 
 
-def _ask(width: int, bits: int):
-    """Per slice: one row that describes its sets, and one row of shingles per part of the hash space."""
+def _values(token: np.ndarray, bits: int) -> np.ndarray:
+    """What tells shingles of one part apart: the 32 bits behind its own."""
+    return ((token << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _ask(width: int, bits: int, coarse: int = pk.COARSE):
+    """Per slice: one row that describes its sets, and one row of shingles per (coarse) part of the hash space."""
+    first_bits = pk.first_bits(bits, coarse)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -105,55 +111,98 @@ def _ask(width: int, bits: int):
                 counts = np.bincount(owner[~alone], minlength=len(sizes))
                 who = np.where(alone, owner, NOBODY).astype(np.uint16)[new]
                 token = token[new]
-                part = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
-                value = ((token << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+                part = pk.place(token, first_bits)
+                value = _values(token, bits) if first_bits == bits else token
                 out = [{
                     "part": -1 - number % 4096, "slice": number,
                     "ids": rows.column("id").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).tobytes(),
                     "sizes": sizes.astype(np.int64).tobytes(), "high": high.tobytes(), "low": low.tobytes(),
                     "counts": np.where(asks, counts, -1).astype(np.int64).tobytes(),
                 }]
-                for p in np.flatnonzero(np.diff(cuts)):
-                    a, b = cuts[p], cuts[p + 1]
-                    out.append({"part": int(p), "slice": number, "who": who[a:b].tobytes(), "shingles": value[a:b].tobytes()})
+                for a, b in pk.cuts(part):
+                    out.append({"part": int(part[a]), "slice": number, "who": who[a:b].tobytes(), "shingles": value[a:b].tobytes()})
                 yield pa.RecordBatch.from_pylist(out, _PACKED)
                 number += 1
 
     return ask
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part: which rows of which slice hold a shingle that another slice holds too."""
-    for table in groups(batches, ["part"]):
-        if table["part"][0].as_py() < 0:
-            yield from table.to_batches()
-            continue
-        pieces = [np.frombuffer(b, np.uint32) for b in table["shingles"].to_pylist()]
-        where = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(p) for p in pieces])
-        who = np.concatenate([np.frombuffer(b, np.uint16) for b in table["who"].to_pylist()])
-        token = np.concatenate(pieces)
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        same = token[1:] == token[:-1]
-        again = np.zeros(len(token), dtype=bool)
-        again[1:] |= same
-        again[:-1] |= same
-        order = order[again]
-        order = order[who[order] != NOBODY]
-        if not len(order):
-            continue
-        keys, counts = np.unique(where[order].astype(np.int64) << 16 | who[order], return_counts=True)
-        piece = keys >> 16
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(piece)) + 1, [len(piece)]))
-        slices = table["slice"].to_pylist()
-        yield pa.RecordBatch.from_pylist([
-            {
-                "part": -1, "slice": slices[piece[a]],
-                "who": (keys[a:b] & 65535).astype(np.uint16).tobytes(), "counts": counts[a:b].astype(np.int64).tobytes(),
-            }
-            for a, b in zip(cuts[:-1], cuts[1:])
-        ], _PACKED)
+def _deal(bits: int):
+    """Shingles of a coarse part, to their fine parts."""
+
+    def deal(items: dict[str, np.ndarray]) -> list[dict]:
+        order = np.argsort(items["shingles"], kind="stable")
+        token, who, slices = (items[c][order] for c in ("shingles", "who", "slices"))
+        part, value = pk.place(token, bits), _values(token, bits)
+        return [
+            {"part": int(part[a]), "slices": slices[a:b].tobytes(), "who": who[a:b].tobytes(), "shingles": value[a:b].tobytes()}
+            for a, b in pk.cuts(part)
+        ]
+
+    return deal
+
+
+def _return(items: dict[str, np.ndarray]) -> list[dict]:
+    """Answers that met by coarse home, added up per row and sent to their slices."""
+    order = np.lexsort((items["who"], items["slices"]))
+    slices, who, counts = (items[c][order] for c in ("slices", "who", "counts"))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (slices[1:] != slices[:-1]) | (who[1:] != who[:-1])
+    first = np.flatnonzero(new)
+    slices, who, counts = slices[first], who[first], np.add.reduceat(counts, first)
+    return [
+        {"part": -1, "slice": int(slices[a]), "who": who[a:b].tobytes(), "counts": counts[a:b].tobytes()}
+        for a, b in pk.cuts(slices)
+    ]
+
+
+def _answer(homes: int | None):
+    """Per part: which rows of which slice hold a shingle that another slice holds too.
+
+    Answers are addressed to the slice, or with ``homes`` bits to its coarse home.
+    """
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["part"]):
+            if table["part"][0].as_py() < 0:
+                yield from table.to_batches()
+                continue
+            pieces = [np.frombuffer(b, np.uint32) for b in table["shingles"].to_pylist()]
+            slices, where = pk.owners(table, [len(p) for p in pieces])
+            who = pk.column(table, "who", np.uint16)
+            token = np.concatenate(pieces)
+            order = np.argsort(token, kind="stable")
+            token = token[order]
+            same = token[1:] == token[:-1]
+            again = np.zeros(len(token), dtype=bool)
+            again[1:] |= same
+            again[:-1] |= same
+            order = order[again]
+            order = order[who[order] != NOBODY]
+            if not len(order):
+                continue
+            keys, counts = np.unique(where[order].astype(np.int64) << 16 | who[order], return_counts=True)
+            owner, who = slices[keys >> 16], (keys & 65535).astype(np.uint16)
+            counts = counts.astype(np.int64)
+            if homes is None:
+                out = [
+                    {"part": -1, "slice": int(owner[a]), "who": who[a:b].tobytes(), "counts": counts[a:b].tobytes()}
+                    for a, b in pk.cuts(owner)
+                ]
+            else:
+                target = pk.home(owner, homes)
+                order = np.argsort(target, kind="stable")
+                target, owner, who, counts = target[order], owner[order], who[order], counts[order]
+                out = [
+                    {
+                        "part": -1, "slice": int(target[a]), "slices": owner[a:b].tobytes(), "who": who[a:b].tobytes(),
+                        "counts": counts[a:b].tobytes(),
+                    }
+                    for a, b in pk.cuts(target)
+                ]
+            yield pa.RecordBatch.from_pylist(out, _PACKED)
+
+    return answer
 
 
 def _tell(threshold: int):
@@ -179,13 +228,23 @@ def _tell(threshold: int):
     return tell
 
 
-def shared(rows: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """(id, n, high, low, may) of (id, text): set size, its name, and whether it can have a link."""
+def shared(rows: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, coarse: int = pk.COARSE) -> DataFrame:
+    """(id, n, high, low, may) of (id, text): set size, its name, and whether it can have a link.
+
+    Beyond ``2 ** coarse`` parts shingles and answers travel in two steps each.
+    """
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(size // PART_BYTES).bit_length())
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = rows.mapInArrow(_ask(width, bits), PACKED)
-    answered = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer, PACKED)
+    asked = rows.mapInArrow(_ask(width, bits, coarse), PACKED)
+    far = bits > coarse
+    if far:
+        kinds = {"who": np.uint16, "shingles": np.uint64}
+        asked = pk.regather(asked, "part", "shingles", kinds, _deal(bits), _PACKED, PACKED, 2 * size, coarse)
+    answered = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer(coarse if far else None), PACKED)
+    if far:
+        kinds = {"who": np.uint16, "counts": np.int64}
+        answered = pk.regather(answered, "slice", "slices", kinds, _return, _PACKED, PACKED, size, coarse)
     return (
         answered.repartition(parts, "slice").sortWithinPartitions("slice")
         .mapInArrow(_tell(threshold), "id long, n long, high long, low long, may boolean")

@@ -6,7 +6,7 @@ every suffix would move the corpus many times over, so only suffixes at anchors
 anchor. Equal windows have their anchor at the same place, so nothing is lost: a window is the text to
 the left and to the right of its anchor.
 
-1. ``asked``: grams and contexts (all windows of an anchor) meet by hash, packed per slice of rows. An
+1. ``asked``: grams and contexts (all windows of an anchor) meet by hash, packed per slice of rows (``packed``). An
    anchor whose gram occurs nowhere else is done; one whose whole context recurs is covered.
 2. The rest are sorted by the suffix that begins at the anchor: each slice makes sorted runs, sends them
    front-coded (length of the common prefix with the one before, then the rest), and each task merges
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from strayfinder.llm import text as tx
+from strayfinder.llm import packed as pk, text as tx
 from strayfinder.llm.graph import groups
 from strayfinder.session import durable
 
@@ -105,10 +105,10 @@ class Anchors:
 
 
 _ASKED = pa.schema([
-    ("part", pa.int64()), ("slice", pa.int64()), ("first", pa.binary()), ("second", pa.binary()),
+    ("part", pa.int64()), ("slice", pa.int64()), ("slices", pa.binary()), ("first", pa.binary()), ("second", pa.binary()),
     ("bounds", pa.binary()), ("codes", pa.binary()), ("who", pa.binary()), ("gram", pa.binary()), ("context", pa.binary()),
 ])
-ASKED = "part long, slice long, first binary, second binary, bounds binary, codes binary, who binary, gram binary, context binary"
+ASKED = "part long, slice long, slices binary, first binary, second binary, bounds binary, codes binary, who binary, gram binary, context binary"
 SEVERAL = np.uint32(1 << 31)
 
 
@@ -119,8 +119,9 @@ def _runs_of(values: np.ndarray) -> np.ndarray:
     return new
 
 
-def _ask(length: int, bits: int):
-    """Per slice: its rows with what the slice alone tells, and one packed row per part of the grams."""
+def _ask(length: int, bits: int, coarse: int = pk.COARSE):
+    """Per slice: its rows with what the slice alone tells, and one packed row per (coarse) part of the grams."""
+    first_bits = pk.first_bits(bits, coarse)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -144,8 +145,7 @@ def _ask(length: int, bits: int):
                 told = np.where(several, contexts.astype(np.uint64), context[lead])
                 who = np.where(several, who | SEVERAL, who).astype(np.uint32)
                 asks = gram[lead]
-                part = (asks >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+                part = pk.place(asks, first_bits)
                 leader = np.empty(len(order), dtype=np.uint32)
                 leader[order] = order[lead][group].astype(np.uint32)
                 out = [{
@@ -153,10 +153,9 @@ def _ask(length: int, bits: int):
                     "first": rows.column("k1").to_numpy().tobytes(), "second": rows.column("k2").to_numpy().tobytes(),
                     "bounds": anchors.bounds.astype(np.int64).tobytes(), "codes": codes.tobytes(), "who": leader.tobytes(),
                 }]
-                for p in np.flatnonzero(np.diff(cuts)):
-                    a, b = cuts[p], cuts[p + 1]
+                for a, b in pk.cuts(part):
                     out.append({
-                        "part": int(p), "slice": number, "who": who[a:b].tobytes(),
+                        "part": int(part[a]), "slice": number, "who": who[a:b].tobytes(),
                         "gram": asks[a:b].tobytes(), "context": told[a:b].tobytes(),
                     })
                 yield pa.RecordBatch.from_pylist(out, _ASKED)
@@ -165,8 +164,39 @@ def _ask(length: int, bits: int):
     return ask
 
 
-def _answer(hot: int):
-    """Per part: which records share their gram, or their context, with a record of another slice."""
+def _deal(bits: int):
+    """Grams of a coarse part, to their fine parts."""
+
+    def deal(items: dict[str, np.ndarray]) -> list[dict]:
+        order = np.argsort(items["gram"], kind="stable")
+        slices, who, gram, context = (items[c][order] for c in ("slices", "who", "gram", "context"))
+        part = pk.place(gram, bits)
+        return [
+            {
+                "part": int(part[a]), "slices": slices[a:b].tobytes(), "who": who[a:b].tobytes(),
+                "gram": gram[a:b].tobytes(), "context": context[a:b].tobytes(),
+            }
+            for a, b in pk.cuts(part)
+        ]
+
+    return deal
+
+
+def _return(items: dict[str, np.ndarray]) -> list[dict]:
+    """Answers that met by coarse home, sent to their slices."""
+    order = np.argsort(items["slices"], kind="stable")
+    slices, who, codes = (items[c][order] for c in ("slices", "who", "codes"))
+    return [
+        {"part": -1, "slice": int(slices[a]), "who": who[a:b].tobytes(), "codes": codes[a:b].tobytes()}
+        for a, b in pk.cuts(slices)
+    ]
+
+
+def _answer(hot: int, homes: int | None):
+    """Per part: which records share their gram, or their context, with a record of another slice.
+
+    Answers are addressed to the slice, or with ``homes`` bits to its coarse home.
+    """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["part"]):
@@ -174,9 +204,8 @@ def _answer(hot: int):
                 yield from table.to_batches()
                 continue
             pieces = [np.frombuffer(b, np.uint64) for b in table["gram"].to_pylist()]
-            where = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-            who = np.concatenate([np.frombuffer(b, np.uint32) for b in table["who"].to_pylist()])
-            context = np.concatenate([np.frombuffer(b, np.uint64) for b in table["context"].to_pylist()])
+            slices, where = pk.owners(table, [len(p) for p in pieces])
+            who, context = pk.column(table, "who", np.uint32), pk.column(table, "context", np.uint64)
             gram = np.concatenate(pieces)
             several = who >= SEVERAL
             order = np.lexsort((context, several, gram))
@@ -195,15 +224,15 @@ def _answer(hot: int):
             sent = np.flatnonzero(code)
             if not len(sent):
                 continue
-            by = sent[np.argsort(where[sent], kind="stable")]
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(where[by])) + 1, [len(by)]))
-            slices = table["slice"].to_pylist()
+            owner = slices[where]
+            target = owner if homes is None else pk.home(owner, homes)
+            by = sent[np.argsort(target[sent], kind="stable")]
             yield pa.RecordBatch.from_pylist([
                 {
-                    "part": -1, "slice": slices[where[by[a]]], "who": who[by[a:b]].astype(np.uint32).tobytes(),
-                    "codes": code[by[a:b]].astype(np.uint8).tobytes(),
+                    "part": -1, "slice": int(target[by[a]]), "slices": None if homes is None else owner[by[a:b]].tobytes(),
+                    "who": who[by[a:b]].astype(np.uint32).tobytes(), "codes": code[by[a:b]].astype(np.uint8).tobytes(),
                 }
-                for a, b in zip(cuts[:-1], cuts[1:])
+                for a, b in pk.cuts(target[by])
             ], _ASKED)
 
     return answer
@@ -238,16 +267,24 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def asked(rows: DataFrame, length: int, hot: int) -> DataFrame:
-    """(k1, k2, copies, codes) of the texts with an anchor whose gram occurs elsewhere."""
+def asked(rows: DataFrame, length: int, hot: int, coarse: int = pk.COARSE) -> DataFrame:
+    """(k1, k2, copies, codes) of the texts with an anchor whose gram occurs elsewhere.
+
+    Beyond ``2 ** coarse`` parts grams and answers travel in two steps each.
+    """
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(size // PART_BYTES).bit_length())
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = (
-        rows.mapInArrow(_ask(length, bits), ASKED)
-        .repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer(hot), ASKED)
-        .repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_tell, TOLD)
-    )
+    far = bits > coarse
+    sent = rows.mapInArrow(_ask(length, bits, coarse), ASKED)
+    if far:
+        kinds = {"who": np.uint32, "gram": np.uint64, "context": np.uint64}
+        sent = pk.regather(sent, "part", "gram", kinds, _deal(bits), _ASKED, ASKED, size // 4, coarse)
+    answered = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer(hot, coarse if far else None), ASKED)
+    if far:
+        kinds = {"who": np.uint32, "codes": np.uint8}
+        answered = pk.regather(answered, "slice", "slices", kinds, _return, _ASKED, ASKED, size // 8, coarse)
+    told = answered.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_tell, TOLD)
     return told.groupBy("k1", "k2").agg(F.sum("n_rows").alias("copies"), F.first("codes").alias("codes"))
 
 
