@@ -1,9 +1,15 @@
-"""Isolation forest (Liu et al. 2008)."""
+"""Isolation forest (Liu et al. 2008).
+
+All choices come from md5 digests of (seed, dataset, tree, node or row), so a forest can be grown again
+from its definition, by whatever engine, and doesn't depend on partitions or row order. Nodes are
+numbered 1 for the root and 2k, 2k + 1 for the children of k.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -24,6 +30,40 @@ _TREE_SCHEMA = (
 )
 
 
+# Arithmetic of row hashes is modulo this prime, so that products fit 64 bits.
+PRIME = 2147483647
+
+
+def digest(*parts: object) -> str:
+    """32 hex digits that depend only on ``parts``."""
+    return md5(":".join(map(str, parts)).encode()).hexdigest()
+
+
+def fraction(digits: str) -> float:
+    """13 hex digits as a number in [0, 1)."""
+    return int(digits, 16) / float(1 << 52)
+
+
+def row_halves(row_id: str = "row_id") -> Column:
+    """Two numbers below PRIME from one digest of a row's id."""
+    hex_ = F.md5(F.col(row_id).cast("string"))
+    return F.struct(*(
+        (F.conv(F.substr(hex_, F.lit(at), F.lit(8)), 16, 10).cast("bigint") % PRIME).alias(name)
+        for name, at in (("one", 1), ("two", 9))
+    ))
+
+
+def tree_maps(trees: int, seed: int) -> Column:
+    """Per tree two linear functions modulo PRIME, one for each half of a row's digest."""
+    maps = []
+    for tree in range(trees):
+        d = digest(seed, tree)
+        factor, shift = (int(d[k : k + 8], 16) % (PRIME - 1) + 1 for k in (0, 16)), (int(d[k : k + 8], 16) % PRIME for k in (8, 24))
+        named = [("a1", next(factor)), ("b1", next(shift)), ("a2", next(factor)), ("b2", next(shift))]
+        maps.append(F.struct(F.lit(tree).alias("tree"), *(F.lit(v).cast("bigint").alias(n) for n, v in named)))
+    return F.array(*maps)
+
+
 def uniform_hash(*columns: Column | str) -> Column:
     """A number in [0, 1) that depends only on the given columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
@@ -38,22 +78,20 @@ def tree_samples(
     """(dataset_id, tree, row_id, features): at most 256 rows per tree, without replacement.
 
     A tree takes the rows of smallest hash. Which trees a row is offered to is decided row by row,
-    independently for every tree, before anything is copied: about 400 rows a tree, from all rows.
+    independently for every tree, in the scan's own stage: about 400 rows a tree, from all rows, go on.
     """
     if counts is None:
         counts = sample_df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_rows"))
     counts = sized(counts.select("dataset_id", F.col("n_rows").alias("_n")))
-    rate = F.least(F.lit(1.0), 400.0 / F.col("_n"))
-    offered_to = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda tree: uniform_hash(F.lit(seed), tree, "row_id") < F.col("_rate"),
-    )
+    bound = F.least(F.lit(1.0), 400.0 / F.col("_n")) * float(PRIME) * float(PRIME)
+    first = (F.col("_m.a1") * F.col("_h.one") + F.col("_m.b1")) % PRIME
+    u = first * PRIME + (F.col("_m.a2") * F.col("_h.two") + F.col("_m.b2")) % PRIME
     offered = (
-        sample_df.select("dataset_id", "row_id", "features")
+        sample_df.select("dataset_id", "row_id", "features", row_halves().alias("_h"))
         .join(counts, "dataset_id")
-        .withColumn("_rate", rate)
-        .withColumn("tree", F.explode(offered_to))
-        .withColumn("_u", uniform_hash(F.lit(seed), "tree", "row_id"))
+        .withColumn("_m", F.explode(tree_maps(trees, seed)))
+        .where((first <= bound / PRIME) & (u <= bound))
+        .select("dataset_id", "row_id", "features", F.col("_m.tree").alias("tree"), u.alias("_u"))
     )
     w = Window.partitionBy("dataset_id", "tree").orderBy("_u", "row_id")
     return (
@@ -71,14 +109,14 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, value))
 
 
-def _grow(x: np.ndarray, features: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+def _grow(x: np.ndarray, features: np.ndarray, target: np.ndarray, name: tuple) -> dict[str, np.ndarray]:
     """One random tree, a whole level at a time.
 
-    ``child`` is the left child (the right one follows it), -1 at a leaf; ``gain`` is the drop in
-    squared error of a random target.
+    Of the features that vary in a node its digest picks one, and the cut. ``child`` is the left child (the right one follows it), -1 at a leaf; ``gain`` is the drop in
+    squared error of the random ``target``.
     """
     limit = math.ceil(math.log2(max(len(x), 2)))
-    values, target = x[:, features], rng.random(len(x))
+    values = x[:, features]
     node = np.zeros(len(x), dtype=int)
     size = 2 * len(x)
     out = {
@@ -86,6 +124,7 @@ def _grow(x: np.ndarray, features: np.ndarray, rng: np.random.Generator) -> dict
         "threshold": np.zeros(size),
         "child": np.full(size, -1),
         "depth": np.zeros(size, dtype=int),
+        "number": np.ones(size, dtype=int),
         "count": np.zeros(size),
         "gain": np.zeros(size),
     }
@@ -103,10 +142,12 @@ def _grow(x: np.ndarray, features: np.ndarray, rng: np.random.Generator) -> dict
         ids, starts, place = np.unique(node[rows], return_index=True, return_inverse=True)
         low = np.minimum.reduceat(values[rows], starts, axis=0)
         high = np.maximum.reduceat(values[rows], starts, axis=0)
-        order = np.where(high > low, rng.random(low.shape), -1.0)
-        pick, each = order.argmax(axis=1), np.arange(len(ids))
+        varies = high > low
+        digests = [digest(*name, number) for number in out["number"][ids]]
+        wanted = np.floor(np.array([fraction(d[:13]) for d in digests]) * varies.sum(axis=1))
+        pick, each = (varies & (np.cumsum(varies, axis=1) == wanted[:, None] + 1)).argmax(axis=1), np.arange(len(ids))
         lo, hi = low[each, pick], high[each, pick]
-        cut = lo + rng.random(len(ids)) * (hi - lo)
+        cut = lo + np.array([fraction(d[13:26]) for d in digests]) * (hi - lo)
         cut = np.where(cut >= hi, lo, cut)
         splits = hi > lo
         if not splits.any():
@@ -125,6 +166,7 @@ def _grow(x: np.ndarray, features: np.ndarray, rng: np.random.Generator) -> dict
         out["child"][at] = to
         out["gain"][at] = before[splits] - after[to] - after[to + 1]
         out["depth"][used:total] = depth + 1
+        out["number"][to], out["number"][to + 1] = 2 * out["number"][at], 2 * out["number"][at] + 1
         out["count"][used:total] = np.bincount(node[rows], minlength=total)[used:total]
         used = total
     out = {c: v[:used] for c, v in out.items()}
@@ -155,11 +197,13 @@ def iforest_fit(
         used = max(1, int(max_features * width))
         names, starts = np.unique(rows["tree"].to_numpy(), return_index=True)
         grown = []
-        for tree, x in zip(names, np.split(all_x, starts[1:])):
-            key = [seed, int(tree), *dataset.encode()]
-            rng = np.random.default_rng(np.random.SeedSequence(key))
-            features = np.sort(rng.choice(width, size=used, replace=False))
-            nodes = _grow(x, features, rng)
+        ids = np.split(rows["row_id"].to_numpy(), starts[1:])
+        for tree, x, own in zip(names, np.split(all_x, starts[1:]), ids):
+            name = (seed, dataset, tree)
+            order = sorted(range(width), key=lambda f: digest(*name, "f", f)) if used < width else range(width)
+            features = np.sort(np.array(order[:used]))
+            target = np.array([fraction(digest(*name, "r", i)[:13]) for i in own])
+            nodes = _grow(x, features, target, name)
             grown.append((dataset, tree, len(x), used, *[nodes[c] for c in _NODE_COLUMNS]))
         return pd.DataFrame(
             grown, columns=["dataset_id", "tree", "sample_size", "width", *_NODE_COLUMNS]

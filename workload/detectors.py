@@ -10,7 +10,7 @@ from strayfinder.plans.detect import performance_table
 from strayfinder.session import sized
 from strayfinder.sources.catalog import model_catalog
 from workload import fixtures as x
-from workload.profile import _BASE_SQL, _BIN_SQL, loda_sql
+from workload.profile import _BASE_SQL, _BIN_SQL, forest_sql, loda_sql
 from workload.registry import query, r, rounded, rs
 
 ALPHAS = (0.1, 0.3, 0.5)
@@ -57,7 +57,28 @@ def det2_loda_scores(spark, sf):
     return rounded(loda.loda_scores(shaped, loda.loda_fit(shaped, 15, 50)), "score")
 
 
-@query("det3_iforest_scores")
+def _descent(levels: int = 8) -> str:
+    """All rows from the root down, one level a step."""
+    steps = ["d0 AS (SELECT s.dataset_id, s.row_id, s.features, m.tree, CAST(1 AS BIGINT) AS node FROM samples s, maps m)"]
+    for k in range(levels):
+        steps.append(f"""d{k + 1} AS (
+  SELECT d.dataset_id, d.row_id, d.features, d.tree,
+         CASE WHEN s.f IS NULL THEN d.node WHEN d.features[s.f + 1] > s.cut THEN 2 * d.node + 1 ELSE 2 * d.node END AS node
+  FROM d{k} d LEFT JOIN splits s ON s.dataset_id = d.dataset_id AND s.tree = d.tree AND s.node = d.node)""")
+    return ",\n".join(steps)
+
+
+@query(
+    "det3_iforest_scores",
+    f"""{forest_sql(x.EVENTS, 50, 0.9)},
+{_descent()},
+scales AS (
+  SELECT dataset_id, max(2 * (ln(size - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * (size - 1.0::DOUBLE) / size) AS scale
+  FROM l0 GROUP BY dataset_id)
+SELECT dataset_id, row_id, {r('2.0 ** (-avg(n.path) / any_value(scale))')} AS score
+FROM d8 JOIN nodes n USING (dataset_id, tree, node) JOIN scales USING (dataset_id)
+GROUP BY dataset_id, row_id""",
+)
 def det3_iforest_scores(spark, sf):
     shaped = x.events(spark, sf)
     return rounded(iforest.iforest_scores(shaped, iforest.iforest_fit(shaped, 50, 0.9)), "score")

@@ -503,6 +503,72 @@ def mf30_loda_landmarks(spark, sf):
     return rounded(out, "value")
 
 
+def _hex(text: str, at: int, size: int) -> str:
+    return f"('0x' || substr({text}, {at}, {size}))::BIGINT"
+
+
+def forest_sql(fixture: str, trees: int, share: float = 1.0, seed: int = 0) -> str:
+    """Isolation trees in SQL, level by level: their rows, the ``splits`` (f, cut) and the ``nodes``."""
+    prime, unit = iforest.PRIME, "4503599627370496.0::DOUBLE"
+    key = f"'{seed}:' || dataset_id || ':' || tree || ':'"
+    levels = "".join(
+        f"""
+s{k} AS MATERIALIZED (
+  SELECT dataset_id, tree, node, f, CASE WHEN cut >= hi THEN lo ELSE cut END AS cut
+  FROM (SELECT *, lo + {_hex('h', 14, 13)} / {unit} * (hi - lo) AS cut
+        FROM (SELECT *, md5({key} || node) AS h,
+                     row_number() OVER (PARTITION BY dataset_id, tree, node ORDER BY f) - 1 AS pick,
+                     count(*) OVER (PARTITION BY dataset_id, tree, node) AS n
+              FROM (SELECT dataset_id, tree, node, f, min(features[f + 1]) AS lo, max(features[f + 1]) AS hi
+                    FROM l{k} JOIN used USING (dataset_id, tree)
+                    WHERE {k} < ceil(log2(greatest(size, 2))) GROUP BY dataset_id, tree, node, f)
+              WHERE hi > lo))
+  WHERE pick = floor({_hex('h', 1, 13)} / {unit} * n)),
+l{k + 1} AS MATERIALIZED (
+  SELECT dataset_id, tree, row_id, features, target, size,
+         2 * node + CASE WHEN features[f + 1] > cut THEN 1 ELSE 0 END AS node
+  FROM l{k} JOIN s{k} USING (dataset_id, tree, node))"""
+        + ","
+        for k in range(8)
+    )
+    grown = " UNION ALL ".join(f"SELECT *, {k} AS depth FROM l{k}" for k in range(9))
+    return f"""WITH {fixture},
+widths AS (
+  SELECT dataset_id, p, greatest(1, CAST(floor({share!r}::DOUBLE * p) AS INTEGER)) AS width
+  FROM (SELECT dataset_id, max(len(features)) AS p FROM samples GROUP BY dataset_id)),
+hashed AS (
+  SELECT *, {_hex('m', 1, 8)} % {prime} AS one, {_hex('m', 9, 8)} % {prime} AS two
+  FROM (SELECT dataset_id, row_id, features, md5(CAST(row_id AS VARCHAR)) AS m FROM samples)),
+maps AS (
+  SELECT tree, {_hex('m', 1, 8)} % {prime - 1} + 1 AS a1, {_hex('m', 9, 8)} % {prime} AS b1,
+         {_hex('m', 17, 8)} % {prime - 1} + 1 AS a2, {_hex('m', 25, 8)} % {prime} AS b2
+  FROM (SELECT tree, md5('{seed}:' || tree) AS m FROM range({trees}) t(tree))),
+drawn AS (
+  SELECT dataset_id, tree, row_id, features FROM hashed, maps
+  QUALIFY row_number() OVER (
+    PARTITION BY dataset_id, tree
+    ORDER BY (a1 * one + b1) % {prime} * {prime} + (a2 * two + b2) % {prime}, row_id) <= {iforest.SUBSAMPLE}),
+used AS MATERIALIZED (
+  SELECT dataset_id, tree, f FROM (
+    SELECT dataset_id, tree, width, f,
+           row_number() OVER (PARTITION BY dataset_id, tree ORDER BY md5({key} || 'f:' || f)) AS place
+    FROM (SELECT dataset_id, width, tree, unnest(range(p)) AS f FROM widths, maps))
+  WHERE place <= width),
+l0 AS MATERIALIZED (
+  SELECT dataset_id, tree, row_id, features, {_hex("md5(" + key + " || 'r:' || row_id)", 1, 13)} / {unit} AS target,
+         count(*) OVER (PARTITION BY dataset_id, tree) AS size, CAST(1 AS BIGINT) AS node
+  FROM drawn),{levels}
+splits AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM s{k}' for k in range(8))}),
+nodes AS MATERIALIZED (
+  SELECT n.*, s.node IS NULL AS leaf,
+         depth + CASE WHEN c <= 1 THEN 0.0::DOUBLE WHEN c = 2 THEN 1.0::DOUBLE
+                      ELSE 2 * (ln(c - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * (c - 1.0::DOUBLE) / c END AS path
+  FROM (SELECT dataset_id, tree, node, any_value(depth) AS depth, count(*) AS c,
+               sum(target * target) - sum(target) * sum(target) / count(*) AS err
+        FROM ({grown}) GROUP BY dataset_id, tree, node) n
+  LEFT JOIN splits s USING (dataset_id, tree, node))"""
+
+
 @query("mf26_first_row_scores")
 def mf26_first_row_scores(spark, sf):
     shaped = x.events(spark, sf)
@@ -511,9 +577,29 @@ def mf26_first_row_scores(spark, sf):
     return spectral.first_row_scores(shaped, pairs_)
 
 
-@query("mf28_iforest_landmarks")
+_IFOREST = list(iforest.IFOREST_BLOCKS)
+
+
+@query(
+    "mf28_iforest_landmarks",
+    f"""{forest_sql(x.EVENTS, 100)},
+gains AS (
+  SELECT s.dataset_id, s.tree, s.f, sum(n.err - a.err - b.err) AS gain
+  FROM splits s JOIN nodes n USING (dataset_id, tree, node)
+  JOIN nodes a ON a.dataset_id = s.dataset_id AND a.tree = s.tree AND a.node = 2 * s.node
+  JOIN nodes b ON b.dataset_id = s.dataset_id AND b.tree = s.tree AND b.node = 2 * s.node + 1
+  GROUP BY s.dataset_id, s.tree, s.f),
+shares AS (SELECT dataset_id, tree, sum(gain) AS total, max(gain) AS top FROM gains GROUP BY dataset_id, tree),
+shapes AS (
+  SELECT dataset_id, tree, count(*) FILTER (leaf) AS IForest_n_leaves, max(depth) AS IForest_n_depth,
+         CASE WHEN any_value(total) > 0 THEN 1.0 / any_value(width) ELSE 0.0 END AS IForest_fi_mean,
+         CASE WHEN any_value(total) > 0 THEN any_value(top) / any_value(total) ELSE 0.0 END AS IForest_fi_max
+  FROM nodes LEFT JOIN shares USING (dataset_id, tree) JOIN widths USING (dataset_id)
+  GROUP BY dataset_id, tree)
+{summaries_sql('shapes', _IFOREST)}""",
+)
 def mf28_iforest_landmarks(spark, sf):
-    return iforest.iforest_landmarks(iforest.iforest_fit(x.events(spark, sf)))
+    return rounded(iforest.iforest_landmarks(iforest.iforest_fit(x.events(spark, sf))), "value")
 
 
 @query("mf29_pca_landmarks")
