@@ -1,11 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from strayfinder.functions.scalar import SUMMARY_PARTS, summaries
 from strayfinder.functions.special import f_tail
 from strayfinder.operators import pairs, per_feature, pooled
 from strayfinder.plans.profile import META_NAMES, profile, statistics
-from strayfinder.session import sized
+from strayfinder.session import gathered, sized
 from strayfinder.sources.datasets import validate
 
 
@@ -233,3 +234,14 @@ def test_summaries_merge_scales(spark):
             assert parts[4:] == [None, None]
         else:
             assert parts[4:] == pytest.approx([float((d**3).mean() / v**1.5), float((d**4).mean() / v**2 - 3)], rel=1e-9)
+
+
+def test_gathering_few_datasets_holds_little():
+    """A task holds about 100,000 values of few datasets, and more only of many interleaved ones."""
+
+    def pieces(datasets):
+        rows = (pd.DataFrame({"dataset_id": [f"d{i % datasets}" for i in range(10_000)], "features": [np.zeros(3)] * 10_000}) for _ in range(30))
+        return [len(p) for p in gathered(rows)]
+
+    assert max(pieces(6)) <= 40_000 and sum(pieces(6)) == 300_000
+    assert max(pieces(5_000)) == 300_000
