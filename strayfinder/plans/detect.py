@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, functions as F
 
 from strayfinder.operators import hbos, iforest, loda, neighbors, ocsvm
@@ -9,6 +12,9 @@ from strayfinder.operators.evaluate import average_precision
 from strayfinder.session import durable, sized
 
 _OUT = ("dataset_id", "row_id", "model_id", "score")
+# Groups of models evaluated at a time: their many small jobs fill the cores together.
+AT_ONCE = 4
+_NEIGHBOUR_FAMILIES = ("KNN", "LOF", "ABOD", "COF")
 
 
 def run_models(sample_df: DataFrame, models: DataFrame, seed: int = 0) -> DataFrame:
@@ -91,7 +97,7 @@ def _iforest(rows: DataFrame, wanted: list[Row], seed: int) -> list[DataFrame]:
 
 def _neighbour_models(rows: DataFrame, wanted: dict[str, list[Row]]) -> list[DataFrame]:
     needs: dict[str, int] = {}
-    for family in ("KNN", "LOF", "ABOD", "COF"):
+    for family in _NEIGHBOUR_FAMILIES:
         for row in wanted.get(family, []):
             metric = "manhattan" if row.params.get("metric") == "manhattan" else "euclidean"
             needs[metric] = max(needs.get(metric, 0), int(row.params["n_neighbors"]))
@@ -124,14 +130,29 @@ def performance_table(
         sample_df.where(F.col("label").isNotNull()).select("dataset_id", "row_id", "label")
     )
     rows = durable(sample_df.select("dataset_id", "row_id", "features"))
-    out = None
-    # one evaluation per family keeps each job's plan small
-    for row in models.select("family").distinct().orderBy("family").collect():
-        scores = _scores(rows, models.where(F.col("family") == row.family), seed)
+
+    def evaluated(ids: list[int]) -> DataFrame:
+        scores = _scores(rows, models.where(F.col("model_id").isin(ids)), seed)
         if digits is not None:
             scores = scores.withColumn("score", F.round("score", digits))
-        part = average_precision(scores.join(labels, ["dataset_id", "row_id"])).select(
+        return average_precision(scores.join(labels, ["dataset_id", "row_id"])).select(
             "dataset_id", "model_id", "ap"
         )
-        out = part if out is None else out.unionByName(part)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        run = inheritable_thread_target(rows.sparkSession)(evaluated)
+        parts = list(pool.map(run, _evaluations(models)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
+
+
+def _evaluations(models: DataFrame) -> list[list[int]]:
+    """Model ids by what is evaluated in one plan: a family or kernel, or all that share the neighbour joins."""
+    groups: dict[tuple, list[int]] = {}
+    for row in models.select("model_id", "family", "params").orderBy("model_id").collect():
+        key = ("neighbours",) if row.family in _NEIGHBOUR_FAMILIES else (row.family, row.params.get("kernel"))
+        groups.setdefault(key, []).append(row.model_id)
+    # the solver's passes take longest
+    return [groups[key] for key in sorted(groups, key=lambda key: (key[0] != "OCSVM", key[0] != "neighbours", str(key)))]

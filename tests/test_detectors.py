@@ -422,3 +422,13 @@ def test_catalog(spark):
     }
     assert rows[0].params == {"n_bins": "5", "n_random_cuts": "10"}
     assert rows[301].params == {"n_neighbors": "50"}
+
+
+def test_neighbour_families_share_one_evaluation(spark):
+    """KNN, LOF, ABOD and COF of the catalogue are scored from the same joins; every model is scored once."""
+    from strayfinder.plans.detect import _evaluations
+
+    of = {row.model_id: row.family for row in model_catalog(spark).collect()}
+    groups = _evaluations(model_catalog(spark))
+    assert sorted(m for g in groups for m in g) == sorted(of)
+    assert [{of[m] for m in g} for g in groups if "KNN" in {of[m] for m in g}] == [{"KNN", "LOF", "ABOD", "COF"}]
