@@ -271,3 +271,20 @@ def test_similar_datasets(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf
         assert r.similar_id == f"d{d.argmin()}" and r.distance == pytest.approx(d.min())
+
+
+def test_rating_vectors_of_complete_and_partial_datasets(spark):
+    rows = [("a", 2, 0.2), ("a", 0, 0.0), ("a", 1, None), ("b", 1, 0.5), ("c", 0, 0.7), ("c", 1, 0.8), ("c", 5, 0.9)]
+    table = spark.createDataFrame(rows, "dataset_id string, model_id int, ap double")
+    for ids in ([0, 1, 2], [2, 0, 1]):
+        got = {r.dataset_id: r.ratings for r in factorize.rating_vectors(table, ids).collect()}
+        want = {d: [dict((m, x) for e, m, x in rows if e == d).get(i) for i in ids] for d in "abc"}
+        assert got == want
+
+
+def test_supplier_training_reads_line_items_once(spark):
+    """What training gets is written; its steps do not go back to the line items."""
+    from workload.learning import _supplier_training
+
+    for table in _supplier_training(spark, "/root/testdata/sf0.001"):
+        assert "FileScan" not in table._jdf.queryExecution().executedPlan().toString()
