@@ -28,7 +28,8 @@ def run_models(sample_df: DataFrame, models: DataFrame, seed: int = 0) -> DataFr
     return _scores(durable(sample_df.select("dataset_id", "row_id", "features")), models, seed)
 
 
-def _scores(rows: DataFrame, models: DataFrame, seed: int) -> DataFrame:
+def _scores(rows: DataFrame, models: DataFrame, seed: int, asked: DataFrame | None = None) -> DataFrame:
+    """Scores by every model; without those of rows not in ``asked`` where that spares work."""
     wanted: dict[str, list[Row]] = {}
     for row in models.select("model_id", "family", "params").collect():  # at most 302 rows
         wanted.setdefault(row.family, []).append(row)
@@ -43,7 +44,7 @@ def _scores(rows: DataFrame, models: DataFrame, seed: int) -> DataFrame:
         of = {float(r.params["nu"]): r.model_id for r in group}
         model = ocsvm.ocsvm_fit_all(rows, sorted(of), kernel, seed=seed)
         parts.append(_named(ocsvm.ocsvm_scores_all(rows, model, kernel), of, "nu"))
-    parts += _neighbour_models(rows, wanted)
+    parts += _neighbour_models(rows, wanted, asked)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -95,13 +96,18 @@ def _iforest(rows: DataFrame, wanted: list[Row], seed: int) -> list[DataFrame]:
     return parts
 
 
-def _neighbour_models(rows: DataFrame, wanted: dict[str, list[Row]]) -> list[DataFrame]:
+def _neighbour_models(
+    rows: DataFrame, wanted: dict[str, list[Row]], asked: DataFrame | None = None
+) -> list[DataFrame]:
+    if "LOF" in wanted or "COF" in wanted:
+        # these compare a row with its neighbours' edges too
+        asked = None
     needs: dict[str, int] = {}
     for family in _NEIGHBOUR_FAMILIES:
         for row in wanted.get(family, []):
             metric = "manhattan" if row.params.get("metric") == "manhattan" else "euclidean"
             needs[metric] = max(needs.get(metric, 0), int(row.params["n_neighbors"]))
-    edges = {m: durable(neighbors.knn_edges(rows, k, m)) for m, k in needs.items()}
+    edges = {m: durable(neighbors.knn_edges(rows, k, m, asked=asked)) for m, k in needs.items()}
     parts = []
     if "KNN" in wanted:
         settings = {r.model_id: (int(r.params["n_neighbors"]), r.params["method"]) for r in wanted["KNN"]}
@@ -122,7 +128,8 @@ def performance_table(
 ) -> DataFrame:
     """(dataset_id, model_id, ap): average precision of each model on labelled samples.
 
-    Models are fitted on all rows; rows without a label are left out of the evaluation only. ``digits``
+    Models are fitted on all rows; rows without a label are left out of the evaluation only, and so
+    have no neighbours looked up where no other row's score needs theirs. ``digits``
     rounds the scores first, so that scores which differ by rounding errors tie.
     """
     # labels are often few; measured as small they are broadcast and the scores are not shuffled
@@ -132,7 +139,7 @@ def performance_table(
     rows = durable(sample_df.select("dataset_id", "row_id", "features"))
 
     def evaluated(ids: list[int]) -> DataFrame:
-        scores = _scores(rows, models.where(F.col("model_id").isin(ids)), seed)
+        scores = _scores(rows, models.where(F.col("model_id").isin(ids)), seed, labels)
         if digits is not None:
             scores = scores.withColumn("score", F.round("score", digits))
         return average_precision(scores.join(labels, ["dataset_id", "row_id"])).select(

@@ -459,3 +459,14 @@ def test_neighbour_families_share_one_evaluation(spark):
     groups = _evaluations(model_catalog(spark))
     assert sorted(m for g in groups for m in g) == sorted(of)
     assert [{of[m] for m in g} for g in groups if "KNN" in {of[m] for m in g}] == [{"KNN", "LOF", "ABOD", "COF"}]
+
+
+@pytest.mark.parametrize("cell_rows", [4096, 30])
+def test_edges_of_asked_rows(make_samples, cell_rows):
+    """Copies, one cell or many: the asked rows' edges are those of the whole join, and no others are made."""
+    x = np.vstack([cloud(2, 120), np.zeros((12, 3))])
+    df = make_samples({"a": x})
+    asked = df.where("row_id % 3 = 0").select("dataset_id", "row_id")
+    got = edge_map(neighbors.knn_edges(df, 4, cell_rows=cell_rows, asked=asked), "a")
+    whole = edge_map(neighbors.knn_edges(df, 4, cell_rows=cell_rows), "a")
+    assert got == {i: v for i, v in whole.items() if i % 3 == 0}
