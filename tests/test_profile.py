@@ -6,7 +6,9 @@ from strayfinder.functions.scalar import SUMMARY_PARTS, summaries
 from strayfinder.functions.special import f_tail
 from strayfinder.operators import pairs, per_feature, pooled
 from strayfinder.plans.profile import META_NAMES, profile, statistics
-from strayfinder.session import gathered, sized
+from strayfinder.operators.loda import range_fold
+from strayfinder.operators.spectral import first_row_fold
+from strayfinder.session import batches_by_rows, fold_together, gathered, sized
 from strayfinder.sources.datasets import validate
 
 
@@ -245,3 +247,56 @@ def test_gathering_few_datasets_holds_little():
 
     assert max(pieces(6)) <= 40_000 and sum(pieces(6)) == 300_000
     assert max(pieces(5_000)) == 300_000
+
+
+def test_profile_reads_the_rows_four_times(spark, make_samples):
+    """For value counts, products and LODA ranges, first rows and LODA counts, and the forest."""
+    rows = make_samples({"a": data(0), "b": data(1)})
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    profile(rows.mapInPandas(counting, rows.schema)).collect()
+    assert 0 < read.value <= 4 * 240
+
+
+def test_feature_base_from_value_counts_equals_scans(spark):
+    rows = [("a", [1.0, 2.0]), ("a", [1.0, None]), ("a", [4.0, -3.5]), ("b", [7.0, 7.0]), ("b", []), ("b", None)]
+    df = spark.createDataFrame(rows, "dataset_id string, features array<double>")
+    keys = ["dataset_id", "f_idx"]
+    scans, counted = (
+        per_feature.feature_base(df, c).toPandas().sort_values(keys).reset_index(drop=True)
+        for c in (None, pooled.value_counts(df, outer=True))
+    )
+    pd.testing.assert_frame_equal(scans, counted, check_dtype=False)
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_folds_together_keep_large_ids(spark, monkeypatch, small):
+    monkeypatch.setattr("strayfinder.session.SMALL_BYTES", small)
+    first = 2**62 + 1
+    rows = spark.createDataFrame(
+        [("a", first + i, [float(i), 1.0, i * i / 7]) for i in (1, 0, 2)], "dataset_id string, row_id bigint, features array<double>"
+    )
+    side = spark.createDataFrame(
+        [("a", k, [float(k == j) for j in range(3)], [0.0] * 3) for k in range(3)],
+        "dataset_id string, component int, vector array<double>, mean array<double>",
+    )
+    found, reached = fold_together(rows.coalesce(1), [first_row_fold(side), range_fold(cuts=4)])
+    assert [(r.component, r.row_id, r.score) for r in found.orderBy("component").collect()] == [
+        (0, first, 0.0), (1, first, 1.0), (2, first, 0.0)
+    ]
+    assert reached.count() == 4 and reached.where("lo <= hi").count() == 4
+
+
+def test_batches_by_rows_of_narrow_rows_only(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    with batches_by_rows(spark, 4):
+        assert spark.conf.get(limit) == str(2**31 - 1)
+    with batches_by_rows(spark, 100_000):
+        assert spark.conf.get(limit) == before
+    assert spark.conf.get(limit) == before
