@@ -29,21 +29,22 @@ def run_models(sample_df: DataFrame, models: DataFrame, seed: int = 0) -> DataFr
 
 
 def _scores(rows: DataFrame, models: DataFrame, seed: int, asked: DataFrame | None = None) -> DataFrame:
-    """Scores by every model; without those of rows not in ``asked`` where that spares work."""
+    """Scores by every model, fitted on ``rows``; of the rows in ``asked`` only, if given."""
+    own = rows if asked is None else asked
     wanted: dict[str, list[Row]] = {}
     for row in models.select("model_id", "family", "params").collect():  # at most 302 rows
         wanted.setdefault(row.family, []).append(row)
     parts: list[DataFrame] = []
     if "HBOS" in wanted:
-        parts += _hbos(rows, wanted["HBOS"])
+        parts += _hbos(rows, wanted["HBOS"], own)
     if "LODA" in wanted:
-        parts += _loda(rows, wanted["LODA"], seed)
+        parts += _loda(rows, wanted["LODA"], seed, own)
     if "IForest" in wanted:
-        parts += _iforest(rows, wanted["IForest"], seed)
+        parts += _iforest(rows, wanted["IForest"], seed, own)
     for kernel, group in _by(wanted.get("OCSVM", []), "kernel").items():
         of = {float(r.params["nu"]): r.model_id for r in group}
         model = ocsvm.ocsvm_fit_all(rows, sorted(of), kernel, seed=seed)
-        parts.append(_named(ocsvm.ocsvm_scores_all(rows, model, kernel), of, "nu"))
+        parts.append(_named(ocsvm.ocsvm_scores_all(own, model, kernel), of, "nu"))
     parts += _neighbour_models(rows, wanted, asked)
     out = parts[0]
     for part in parts[1:]:
@@ -64,35 +65,35 @@ def _by(rows: list[Row], key: str) -> dict[str, list[Row]]:
     return groups
 
 
-def _hbos(rows: DataFrame, wanted: list[Row]) -> list[DataFrame]:
+def _hbos(rows: DataFrame, wanted: list[Row], own: DataFrame) -> list[DataFrame]:
     ranges = sized(hbos.feature_ranges(rows))
     parts = []
     for n_bins, group in _by(wanted, "n_bins").items():
         model = hbos.hbos_fit(rows, int(n_bins), ranges)
         alphas = {float(r.params["alpha"]): r.model_id for r in group}
         ids = F.create_map(*[F.lit(x) for pair in alphas.items() for x in pair])
-        scores = hbos.hbos_scores(rows, model, list(alphas))
+        scores = hbos.hbos_scores(own, model, list(alphas))
         parts.append(scores.withColumn("model_id", ids[F.col("alpha")]).select(*_OUT))
     return parts
 
 
-def _loda(rows: DataFrame, wanted: list[Row], seed: int) -> list[DataFrame]:
+def _loda(rows: DataFrame, wanted: list[Row], seed: int, own: DataFrame) -> list[DataFrame]:
     parts = []
     for n_bins, group in _by(wanted, "n_bins").items():
         most = max(int(r.params["n_random_cuts"]) for r in group)
         model = loda.loda_fit(rows, int(n_bins), most, seed)
         of = {int(r.params["n_random_cuts"]): r.model_id for r in group}
-        parts.append(_named(loda.loda_scores(rows, model, seed, sorted(of)), of, "cuts"))
+        parts.append(_named(loda.loda_scores(own, model, seed, sorted(of)), of, "cuts"))
     return parts
 
 
-def _iforest(rows: DataFrame, wanted: list[Row], seed: int) -> list[DataFrame]:
+def _iforest(rows: DataFrame, wanted: list[Row], seed: int, own: DataFrame) -> list[DataFrame]:
     parts = []
     for share, group in _by(wanted, "max_features").items():
         most = max(int(r.params["n_estimators"]) for r in group)
         model = durable(iforest.iforest_fit(rows, most, float(share), seed))
         of = {int(r.params["n_estimators"]): r.model_id for r in group}
-        parts.append(_named(iforest.iforest_scores(rows, model, counts=sorted(of)), of, "trees"))
+        parts.append(_named(iforest.iforest_scores(own, model, counts=sorted(of)), of, "trees"))
     return parts
 
 
@@ -129,7 +130,7 @@ def performance_table(
     """(dataset_id, model_id, ap): average precision of each model on labelled samples.
 
     Models are fitted on all rows; rows without a label are left out of the evaluation only, and so
-    have no neighbours looked up where no other row's score needs theirs. ``digits``
+    are not scored, nor have neighbours looked up where no other row's score needs theirs. ``digits``
     rounds the scores first, so that scores which differ by rounding errors tie.
     """
     # labels are often few; measured as small they are broadcast and the scores are not shuffled
@@ -137,9 +138,10 @@ def performance_table(
         sample_df.where(F.col("label").isNotNull()).select("dataset_id", "row_id", "label")
     )
     rows = durable(sample_df.select("dataset_id", "row_id", "features"))
+    asked = durable(rows.join(labels, ["dataset_id", "row_id"], "left_semi"))
 
     def evaluated(ids: list[int]) -> DataFrame:
-        scores = _scores(rows, models.where(F.col("model_id").isin(ids)), seed, labels)
+        scores = _scores(rows, models.where(F.col("model_id").isin(ids)), seed, asked)
         if digits is not None:
             scores = scores.withColumn("score", F.round("score", digits))
         return average_precision(scores.join(labels, ["dataset_id", "row_id"])).select(

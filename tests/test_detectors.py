@@ -395,6 +395,55 @@ def test_ocsvm_ranks_like_the_dual_with_landmarks(make_samples, kernel):
     assert abs((ours > 0).mean() - 0.3) < 0.01  # nu is the share of rows outside
 
 
+def test_ocsvm_passes_without_a_job_each(spark, make_samples):
+    x = np.random.default_rng(3).normal(size=(300, 3)) * 40  # rows far apart: the solution takes many passes
+    df, log = make_samples({"a": x, "b": x[:90] / 40}), []
+    spark.sparkContext.setJobGroup("ocsvm", "passes")
+    ocsvm.ocsvm_fit_all(df, [0.3, 0.6, 0.9], "rbf", log=log)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ocsvm"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(log) > 10 and log[-1] <= 1e-3
+    assert jobs < 40 + len(log)  # three or more a pass before
+
+
+@pytest.mark.parametrize("numbers", [10**6, 1])
+@pytest.mark.parametrize("kernel", ["rbf", "poly"])
+def test_ocsvm_of_large_datasets_equals_that_of_small_ones(make_samples, monkeypatch, kernel, numbers):
+    rng = np.random.default_rng(5)
+    df = make_samples({"a": rng.normal(size=(400, 3)) + 1, "b": rng.normal(size=(60, 2)), "c": rng.normal(size=(130, 4)) - 2})
+    nus, logs = [0.2, 0.5, 0.8], ([], [])
+    want = {r.dataset_id: r for r in ocsvm.ocsvm_fit_all(df, nus, kernel, log=logs[0]).collect()}
+    monkeypatch.setattr(ocsvm, "LOCAL_NUMBERS", 0)
+    monkeypatch.setattr(ocsvm, "DRIVER_NUMBERS", numbers)  # 1: one dataset at a time, tallies added by tasks
+    monkeypatch.setattr(ocsvm, "PACKED_ROWS", 50)
+    got = {r.dataset_id: r for r in ocsvm.ocsvm_fit_all(df, nus, kernel, log=logs[1]).collect()}
+    assert got.keys() == want.keys() and len(logs[0]) == len(logs[1])
+    for name, row in want.items():
+        assert max(row.gap) <= ocsvm.GAP
+        assert np.array(got[name].w) == pytest.approx(np.array(row.w), rel=1e-6, abs=1e-9)
+        assert got[name].rho == pytest.approx(row.rho, rel=1e-6, abs=1e-9)
+
+
+def test_only_labelled_rows_are_scored(make_samples, monkeypatch):
+    scored = []
+    plain = hbos.hbos_scores
+
+    def counted(rows, *args, **options):
+        scored.append(rows.count())
+        return plain(rows, *args, **options)
+
+    x = cloud(7, n=80)
+    df = make_samples({"a": x}, {"a": np.r_[np.ones(4), np.zeros(76)].astype(int)})
+    models = model_catalog(df.sparkSession).where("name = 'HBOS(alpha=0.1, n_bins=10)'")
+    some = df.selectExpr("dataset_id", "row_id", "features", "if(row_id % 4 = 0, label, null) AS label")
+    scores_of = {r.row_id: r.score for r in run_models(df, models).collect()}
+    monkeypatch.setattr(hbos, "hbos_scores", counted)
+    found = performance_table(some, models).collect()
+    assert scored == [20]
+    ranked = sorted(((scores_of[i], i) for i in range(0, 80, 4)), reverse=True)
+    assert ranked[0][1] == 0 and found[0].ap == pytest.approx(1.0)  # fitted on all rows: the outlier comes first
+
+
 def test_all_settings_equal_single_ones(make_samples):
     x = cloud(5, n=70)
     x[10:14] = x[10]  # copies
