@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, functions as F
 
-from strayfinder.operators import hbos, iforest, loda, neighbors, ocsvm
+from strayfinder.operators import hbos, iforest, loda, neighbor_tables, neighbors, ocsvm
 from strayfinder.operators.evaluate import average_precision
 from strayfinder.session import durable, sized
 
@@ -100,6 +100,7 @@ def _iforest(rows: DataFrame, wanted: list[Row], seed: int, own: DataFrame) -> l
 def _neighbour_models(
     rows: DataFrame, wanted: dict[str, list[Row]], asked: DataFrame | None = None
 ) -> list[DataFrame]:
+    own = asked
     if "LOF" in wanted or "COF" in wanted:
         # these compare a row with its neighbours' edges too
         asked = None
@@ -108,20 +109,44 @@ def _neighbour_models(
         for row in wanted.get(family, []):
             metric = "manhattan" if row.params.get("metric") == "manhattan" else "euclidean"
             needs[metric] = max(needs.get(metric, 0), int(row.params["n_neighbors"]))
-    edges = {m: durable(neighbors.knn_edges(rows, k, m, asked=asked)) for m, k in needs.items()}
     parts = []
+    for metric, k in needs.items():
+        edges = durable(neighbors.knn_edges(rows, k, metric, asked=asked))
+        parts += _edge_models(edges, rows, metric, wanted, own)
+    return [part.select(*_OUT) for part in parts]
+
+
+def _edge_models(
+    edges: DataFrame, rows: DataFrame, metric: str, wanted: dict[str, list[Row]], own: DataFrame | None
+) -> list[DataFrame]:
+    """Scores by all models of one metric, by broadcast tables where these are small, else by joins."""
+    lists = neighbor_tables.pack(edges, rows, own)
+    mine = edges if own is None else edges.join(own.select("dataset_id", "row_id").distinct(), ["dataset_id", "row_id"], "left_semi")
+    parts = []
+    group = [r for r in wanted.get("LOF", []) if (r.params["metric"] == "manhattan") == (metric == "manhattan")]
+    if group:
+        settings = {r.model_id: int(r.params["n_neighbors"]) for r in group}
+        found = None if lists is None else neighbor_tables.lof_scores_all(lists, settings)
+        parts += [neighbors.lof_scores_all(edges, settings)] if found is None else found
+    if metric == "manhattan":
+        return parts
     if "KNN" in wanted:
         settings = {r.model_id: (int(r.params["n_neighbors"]), r.params["method"]) for r in wanted["KNN"]}
-        parts.append(neighbors.knn_scores_all(edges["euclidean"], settings))
-    for metric, table in edges.items():
-        group = [r for r in wanted.get("LOF", []) if (r.params["metric"] == "manhattan") == (metric == "manhattan")]
-        if group:
-            parts.append(neighbors.lof_scores_all(table, {r.model_id: int(r.params["n_neighbors"]) for r in group}))
-    for family, scores in (("ABOD", neighbors.abod_scores_all), ("COF", neighbors.cof_scores_all)):
-        if family in wanted:
-            settings = {r.model_id: int(r.params["n_neighbors"]) for r in wanted[family]}
-            parts.append(scores(edges["euclidean"], rows, settings))
-    return [part.select(*_OUT) for part in parts]
+        parts.append(
+            neighbors.knn_scores_all(mine, settings) if lists is None else neighbor_tables.knn_scores_all(lists, settings)
+        )
+    vectors = neighbor_tables.features(lists, rows) if lists is not None and {"ABOD", "COF"} & set(wanted) else None
+    for family in ("ABOD", "COF"):
+        if family not in wanted:
+            continue
+        settings, found = {r.model_id: int(r.params["n_neighbors"]) for r in wanted[family]}, None
+        if vectors is not None:
+            by_tables = {"ABOD": neighbor_tables.abod_scores_all, "COF": neighbor_tables.cof_scores_all}[family]
+            found = by_tables(lists, vectors, settings)
+        if found is None and family == "ABOD":
+            found = neighbors.abod_scores_all(mine, rows, settings)
+        parts.append(neighbors.cof_scores_all(edges, rows, settings) if found is None else found)
+    return parts
 
 
 def performance_table(
@@ -163,5 +188,5 @@ def _evaluations(models: DataFrame) -> list[list[int]]:
     for row in models.select("model_id", "family", "params").orderBy("model_id").collect():
         key = ("neighbours",) if row.family in _NEIGHBOUR_FAMILIES else (row.family, row.params.get("kernel"))
         groups.setdefault(key, []).append(row.model_id)
-    # the solver's passes take longest
-    return [groups[key] for key in sorted(groups, key=lambda key: (key[0] != "OCSVM", key[0] != "neighbours", str(key)))]
+    # the neighbour joins take longest, then the solver's passes
+    return [groups[key] for key in sorted(groups, key=lambda key: (key[0] != "neighbours", key[0] != "OCSVM", str(key)))]

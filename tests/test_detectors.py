@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from strayfinder import session
-from strayfinder.operators import hbos, iforest, loda, neighbors, ocsvm
+from strayfinder.operators import hbos, iforest, loda, neighbor_tables, neighbors, ocsvm
 from strayfinder.plans.detect import performance_table, run_models
 from strayfinder.sources.catalog import model_catalog
 
@@ -467,6 +467,65 @@ def test_all_settings_equal_single_ones(make_samples):
             assert values[0] == pytest.approx(values[1], rel=1e-9, nan_ok=True), (family, k)
 
 
+def test_scores_from_neighbour_lists_equal_joins(make_samples, monkeypatch):
+    x = cloud(5, n=70)
+    x[10:24] = x[10]  # more copies than neighbours
+    df = make_samples({"a": x, "tiny": cloud(n=4), "b": cloud(8, n=40, p=2)})
+    asked = df.where("row_id % 3 = 0")
+    edges = neighbors.knn_edges(df, 9).persist()
+    monkeypatch.setattr(neighbor_tables, "PACKED_ROWS", 16)
+    lists = neighbor_tables.pack(edges, df, asked)
+    vectors = neighbor_tables.features(lists, df)
+    ks = {1: 3, 2: 5, 3: 9}
+    knn = {m: (k, ("largest", "mean", "median")[m - 1]) for m, k in ks.items()}
+    pairs = [
+        ([neighbor_tables.knn_scores_all(lists, knn)], neighbors.knn_scores_all(edges, knn)),
+        (neighbor_tables.lof_scores_all(lists, ks), neighbors.lof_scores_all(edges, ks)),
+        ([neighbor_tables.abod_scores_all(lists, vectors, ks)], neighbors.abod_scores_all(edges, df, ks)),
+        ([neighbor_tables.cof_scores_all(lists, vectors, ks)], neighbors.cof_scores_all(edges, df, ks)),
+    ]
+    # tables of one k at a time, as for many rows
+    monkeypatch.setattr(neighbor_tables, "SMALL_BYTES", 8 * lists.rows)
+    parts = neighbor_tables.lof_scores_all(lists, ks)
+    assert len(parts) == 3
+    pairs.append((parts, neighbors.lof_scores_all(edges, ks)))
+    for ours, theirs in pairs:
+        got = {(r.dataset_id, r.row_id, r.model_id): r.score for part in ours for r in part.collect()}
+        want = {(r.dataset_id, r.row_id, r.model_id): r.score for r in theirs.where("row_id % 3 = 0").collect()}
+        assert got.keys() == want.keys() and len(got) == 3 * (24 + 2 + 14)
+        values = [[np.nan if t[i] is None else t[i] for i in want] for t in (got, want)]
+        assert values[0] == pytest.approx(values[1], rel=1e-9, nan_ok=True)
+
+
+def test_neighbour_lists_need_single_ids_and_small_tables(make_samples, monkeypatch):
+    df = make_samples({"a": cloud(n=30)})
+    edges = neighbors.knn_edges(df, 3).persist()
+    assert neighbor_tables.pack(edges, df.unionByName(df.limit(1))) is None
+    assert neighbor_tables.pack(edges, df.selectExpr("dataset_id", "nullif(row_id, 3) AS row_id", "features")) is None
+    lists = neighbor_tables.pack(edges, df)
+    monkeypatch.setattr(neighbor_tables, "SMALL_BYTES", 100)
+    assert neighbor_tables.pack(edges, df) is None and neighbor_tables.features(lists, df) is None
+    assert neighbor_tables.lof_scores_all(lists, {1: 3}) is None
+
+
+def test_every_family_without_tables_equals_that_with(make_samples, monkeypatch):
+    labels = {"a": np.r_[np.ones(6), np.zeros(54)].astype(int)}
+    df = make_samples({"a": cloud(5, n=60)}, labels)
+    names = [f"{f}(n_neighbors=5)" for f in ("ABOD", "COF")] + [f"LOF(metric={m}, n_neighbors=5)" for m in ("manhattan", "euclidean")]
+    models = model_catalog(df.sparkSession)
+    models = models.where(models.name.isin(*names, "KNN(method=mean, n_neighbors=5)"))
+    want = {r.model_id: r.ap for r in performance_table(df, models, digits=9).collect()}
+    monkeypatch.setattr(neighbor_tables, "pack", lambda *args: None)
+    assert {r.model_id: r.ap for r in performance_table(df, models, digits=9).collect()} == pytest.approx(want) and len(want) == 5
+
+
+def test_neighbour_scores_send_no_edges(spark, make_samples, monkeypatch):
+    df = make_samples({"a": cloud(5, n=60)}, {"a": np.r_[np.ones(6), np.zeros(54)].astype(int)})
+    models = model_catalog(spark).where("name = 'LOF(metric=euclidean, n_neighbors=10)'")
+    monkeypatch.setattr(neighbors, "lookup", lambda *args: pytest.fail("edges are joined to their neighbours"))
+    assert performance_table(df, models).count() == 1
+
+
 def test_every_family_runs(make_samples):
     names = (
         "LODA(n_bins=5, n_random_cuts=10)", "ABOD(n_neighbors=5)",
