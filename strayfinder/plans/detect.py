@@ -107,33 +107,47 @@ def _neighbour_models(
     needs: dict[str, int] = {}
     for family in _NEIGHBOUR_FAMILIES:
         for row in wanted.get(family, []):
-            metric = "manhattan" if row.params.get("metric") == "manhattan" else "euclidean"
+            metric = _metric(row)
             needs[metric] = max(needs.get(metric, 0), int(row.params["n_neighbors"]))
     parts = []
     for metric, k in needs.items():
-        edges = durable(neighbors.knn_edges(rows, k, metric, asked=asked))
+        edges = neighbors.knn_edges(rows, k, metric, asked=asked)
         parts += _edge_models(edges, rows, metric, wanted, own)
     return [part.select(*_OUT) for part in parts]
 
 
+def _metric(row: Row) -> str:
+    return "manhattan" if row.params.get("metric") == "manhattan" else "euclidean"
+
+
 def _edge_models(
     edges: DataFrame, rows: DataFrame, metric: str, wanted: dict[str, list[Row]], own: DataFrame | None
 ) -> list[DataFrame]:
     """Scores by all models of one metric, by broadcast tables where these are small, else by joins."""
     lists = neighbor_tables.pack(edges, rows, own)
-    mine = edges if own is None else edges.join(own.select("dataset_id", "row_id").distinct(), ["dataset_id", "row_id"], "left_semi")
+    kept: list[DataFrame] = []
+
+    def every() -> DataFrame:
+        if not kept:  # written only where joins need them
+            kept.append(durable(edges))
+        return kept[0]
+
+    def mine() -> DataFrame:
+        keys = ["dataset_id", "row_id"]
+        return every() if own is None else every().join(own.select(*keys).distinct(), keys, "left_semi")
+
     parts = []
-    group = [r for r in wanted.get("LOF", []) if (r.params["metric"] == "manhattan") == (metric == "manhattan")]
+    group = [r for r in wanted.get("LOF", []) if _metric(r) == metric]
     if group:
         settings = {r.model_id: int(r.params["n_neighbors"]) for r in group}
         found = None if lists is None else neighbor_tables.lof_scores_all(lists, settings)
-        parts += [neighbors.lof_scores_all(edges, settings)] if found is None else found
+        parts += [neighbors.lof_scores_all(every(), settings)] if found is None else found
     if metric == "manhattan":
         return parts
     if "KNN" in wanted:
         settings = {r.model_id: (int(r.params["n_neighbors"]), r.params["method"]) for r in wanted["KNN"]}
         parts.append(
-            neighbors.knn_scores_all(mine, settings) if lists is None else neighbor_tables.knn_scores_all(lists, settings)
+            neighbors.knn_scores_all(mine(), settings) if lists is None else neighbor_tables.knn_scores_all(lists, settings)
         )
     vectors = neighbor_tables.features(lists, rows) if lists is not None and {"ABOD", "COF"} & set(wanted) else None
     for family in ("ABOD", "COF"):
@@ -144,8 +158,8 @@ def _edge_models(
             by_tables = {"ABOD": neighbor_tables.abod_scores_all, "COF": neighbor_tables.cof_scores_all}[family]
             found = by_tables(lists, vectors, settings)
         if found is None and family == "ABOD":
-            found = neighbors.abod_scores_all(mine, rows, settings)
-        parts.append(neighbors.cof_scores_all(edges, rows, settings) if found is None else found)
+            found = neighbors.abod_scores_all(mine(), rows, settings)
+        parts.append(neighbors.cof_scores_all(every(), rows, settings) if found is None else found)
     return parts
 
 
@@ -183,10 +197,10 @@ def performance_table(
 
 
 def _evaluations(models: DataFrame) -> list[list[int]]:
-    """Model ids by what is evaluated in one plan: a family or kernel, or all that share the neighbour joins."""
+    """Model ids by what is evaluated in one plan: a family or kernel, or all that share a neighbour join."""
     groups: dict[tuple, list[int]] = {}
     for row in models.select("model_id", "family", "params").orderBy("model_id").collect():
-        key = ("neighbours",) if row.family in _NEIGHBOUR_FAMILIES else (row.family, row.params.get("kernel"))
+        key = ("neighbours", _metric(row)) if row.family in _NEIGHBOUR_FAMILIES else (row.family, row.params.get("kernel"))
         groups.setdefault(key, []).append(row.model_id)
     # the neighbour joins take longest, then the solver's passes
-    return [groups[key] for key in sorted(groups, key=lambda key: (key[0] != "neighbours", key[0] != "OCSVM", str(key)))]
+    return [groups[key] for key in sorted(groups, key=lambda key: (key[0] != "neighbours", key != ("OCSVM", "rbf"), key[0] != "OCSVM", str(key)))]
