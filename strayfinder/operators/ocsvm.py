@@ -447,11 +447,15 @@ def _projections(rows: DataFrame, model: DataFrame, kernel: str) -> DataFrame:
     def project(part: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         x = matrix(part["features"])
         nus, rho = (np.asarray(side[c].iloc[0], dtype=float) for c in ("nus", "rho"))
-        columns, marks = np.asarray(side["w"].iloc[0], dtype=float).reshape(len(nus), -1).T, None
+        w, marks = np.asarray(side["w"].iloc[0], dtype=float).reshape(len(nus), -1), None
         if kernel != "linear":
             marks = np.asarray(side["landmarks"].iloc[0], dtype=float).reshape(-1, x.shape[1])
-            columns = np.asarray(side["map"].iloc[0], dtype=float).reshape(len(marks), -1) @ columns
-        found = [values @ columns for values in _values(x, marks, kernel)]
+            to = np.asarray(side["map"].iloc[0], dtype=float).reshape(len(marks), -1)
+        if marks is not None and w.shape[1] <= NARROW:  # in the order in which the passes saw the rows
+            found = [(values @ to) @ w.T for values in _values(x, marks, kernel)]
+        else:
+            columns = w.T if marks is None else to @ w.T
+            found = [values @ columns for values in _values(x, marks, kernel)]
         return pd.DataFrame(
             {
                 "dataset_id": part["dataset_id"].iloc[0],
